@@ -344,7 +344,7 @@ def liquidity_regime(bars: DataFrame) -> DataFrame:
         F.when(F.col("_i") > 20, F.col("close") / F.col("c20") - 1).otherwise(0.0).alias("trend"),
         F.coalesce(F.when(F.col("vs") != 0, (F.col("volume") - F.col("vm")) / F.col("vs")), F.lit(0.0)).alias("volume_z"))
     pct = (d.select("symbol", "am").where("am is not null").join(last.select("symbol", "am_last"), "symbol")
-           .groupBy("symbol").agg((F.avg(flag(F.col("am") < F.col("am_last"))) * 100).alias("amihud_pct")))
+           .groupBy("symbol").agg((F.avg(flag(F.col("am") < F.col("am_last") * (1 - 1e-9))) * 100).alias("amihud_pct")))
     x = last.join(pct, "symbol", "left").withColumn("amihud_pct", F.coalesce("amihud_pct", F.lit(50.0)))
     x = x.withColumn("liquidity_score", clamp(50 - (F.col("amihud_pct") - 50) * 0.5 + F.col("volume_z") * 10, 0.0, 100.0))
     s = F.col("liquidity_score")
