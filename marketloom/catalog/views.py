@@ -8,13 +8,13 @@ from ..functions import PHI_DEN, PHI_NUM
 
 _PATH = """
 {name}_s AS (SELECT {key} AS k, ts, r, w, volume, sum(r) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM {name}_d),
-{name}_c AS (SELECT {sym} AS symbol, ts, w, volume, 100*exp(round(s,6)) AS close, 100*exp(round(s-r,6)) AS open FROM {name}_s),
+{name}_c AS (SELECT {sym} AS symbol, ts, w, volume, 100*exp(s) AS close, 100*exp(s-0.9*r) AS open FROM {name}_s),
 {name} AS MATERIALIZED (SELECT symbol, ts, open, greatest(open,close)*(1+w) AS high, least(open,close)*(1-w) AS low, close, volume FROM {name}_c)"""
 
 VIEWS = {
-    "bars": """bars_d AS (SELECT l_suppkey, l_shipdate AS ts, round(0.2*(sum(l_discount)-0.05*count(*)),6) AS r,
+    "bars": """bars_d AS (SELECT l_suppkey, l_shipdate AS ts, 0.2*(sum(l_discount)-0.05*count(*))+0.002*sin(sum(l_extendedprice)) AS r,
  0.1*avg(l_tax) AS w, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),""" + _PATH.format(name="bars", key="l_suppkey", sym="'S'||k"),
-    "bars_brand": """bars_brand_d AS (SELECT p_brand, l_shipdate AS ts, round(0.2*(sum(l_discount)-0.05*count(*))/sqrt(count(*)),6) AS r,
+    "bars_brand": """bars_brand_d AS (SELECT p_brand, l_shipdate AS ts, 0.2*(sum(l_discount)-0.05*count(*))/sqrt(count(*))+0.002*sin(sum(l_extendedprice)) AS r,
  0.1*avg(l_tax) AS w, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY ALL),""" + _PATH.format(name="bars_brand", key="p_brand", sym="k"),
     "ticks": """ticks AS MATERIALIZED (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, value*(1-0.0005) AS bid, value*(1+0.0005) AS ask,
  1.0::DOUBLE+kk AS bid_size, 100.0::DOUBLE-kk AS ask_size, 1.0::DOUBLE+kk AS volume
@@ -35,7 +35,7 @@ VIEWS = {
  entry_zscore, entry_ofi, entry_kyle_lambda, lead_lag_active, funding_signal, regime, quality_score, maker_order
  FROM (SELECT l_orderkey*1000+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_extendedprice,l_quantity) AS trade_id,
  'C'||o_custkey AS account, o_orderpriority AS strategy, 'S'||l_suppkey AS symbol, CASE WHEN l_linestatus='O' THEN 'LONG' ELSE 'SHORT' END AS direction,
- least(o_orderdate,l_shipdate) AS entry_ts, greatest(o_orderdate,l_shipdate) AS exit_ts, round(l_extendedprice/l_quantity,6) AS entry_price,
+ least(o_orderdate,l_shipdate)+to_seconds(l_orderkey*7919%86400) AS entry_ts, greatest(o_orderdate,l_shipdate)+to_seconds(86400+l_partkey*7907%86400) AS exit_ts, round(l_extendedprice/l_quantity,6) AS entry_price,
  l_extendedprice AS size_usd, round(l_extendedprice*(l_discount-0.045),6) AS gross_pnl_usd, round(l_extendedprice*0.0007,6) AS fee_usd,
  round(l_extendedprice*l_tax*0.01,6) AS slippage_usd, CASE l_returnflag WHEN 'A' THEN 'TAKE_PROFIT' WHEN 'R' THEN 'STOP_LOSS' ELSE 'TIME_STOP' END AS exit_reason,
  l_discount, round((l_quantity-25)/10,6) AS entry_zscore, round(l_tax*12,6) AS entry_ofi, round(l_discount*10,6) AS entry_kyle_lambda,

@@ -125,6 +125,24 @@ def blocked(df: DataFrame, keys: list[str], order: list, chunk: Column, *,
     return Blocks(out, keys, rows)
 
 
+def time_blocks(df: DataFrame, keys: list[str], ts, chunk: int, span: int) -> DataFrame:
+    """Cut a series into time chunks (_b); rows of the last ``span`` seconds of a chunk are copied into the next one
+    (_own false), so trailing time frames up to span are exact inside (keys, _b)."""
+    t = F.unix_micros(c(ts))
+    b = F.floor(t / (chunk * 1_000_000)).cast("long")
+    homes = F.array_compact(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
+                                    F.when(t >= ((b + 1) * chunk - span) * 1_000_000, F.struct((b + 1).alias("b"), F.lit(False).alias("own")))))
+    return df.withColumn("_h", F.explode(homes)).withColumns({"_b": F.col("_h.b"), "_own": F.col("_h.own")}).drop("_h")
+
+
+def runs(df: DataFrame, keys: list[str], order: list, chunk: Column, state) -> DataFrame:
+    """Gaps and islands: add _run (number of the maximal stretch of equal states) next to _i and _n."""
+    b = blocked(df, keys, order, chunk, before=1)
+    prev = F.lag(c(state)).over(b.w)
+    d = b.add(_chg=F.when(prev.isNull() | (prev != c(state)), 1).otherwise(0)).done(drop_index=False)
+    return running(d, keys, ["_i"], F.floor(F.col("_i") / b.rows).cast("long"), sums={"_run": "_chg"}).drop("_chg")
+
+
 def bar_blocks(bars: DataFrame, *, before: int = 0, after: int = 0, keys=("symbol",), rows: int | None = None) -> Blocks:
     return blocked(bars, list(keys), ["ts"], time_chunk("ts", BAR_CHUNK), before=before, after=after, rows=rows)
 

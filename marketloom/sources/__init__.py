@@ -38,11 +38,10 @@ class Tables:
         return df.withColumns(ntz) if ntz else df
 
     def _path(self, daily: DataFrame, key: str, symbol) -> DataFrame:
-        """Turn per-day returns into a price path (cumulative returns kept at six decimals)."""
+        """Turn per-day returns into a price path."""
         p = running(daily, [key], ["ts"], time_chunk("ts", BAR_CHUNK), sums={"s": "r"})
         p = p.select(symbol.alias("symbol"), "ts", "w", "volume",
-                     (100 * F.exp(F.round("s", 6))).alias("close"),
-                     (100 * F.exp(F.round(F.col("s") - F.col("r"), 6))).alias("open"))
+                     (100 * F.exp("s")).alias("close"), (100 * F.exp(F.col("s") - 0.9 * F.col("r"))).alias("open"))
         return p.select("symbol", "ts", "open",
                         (F.greatest("open", "close") * (1 + F.col("w"))).alias("high"),
                         (F.least("open", "close") * (1 - F.col("w"))).alias("low"),
@@ -51,7 +50,7 @@ class Tables:
     def bars(self) -> DataFrame:
         li = self.base("lineitem")
         daily = li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(
-            F.round(0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))), 6).alias("r"),
+            (0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) + 0.002 * F.sin(F.sum("l_extendedprice"))).alias("r"),
             (0.1 * F.avg("l_tax")).alias("w"), F.sum("l_quantity").alias("volume"))
         return self._path(daily, "l_suppkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
 
@@ -59,7 +58,8 @@ class Tables:
         li = self.base("lineitem").join(self.base("part").select("p_partkey", "p_brand"),
                                         F.col("l_partkey") == F.col("p_partkey"))
         daily = li.groupBy("p_brand", F.col("l_shipdate").alias("ts")).agg(
-            F.round(0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) / F.sqrt(F.count(F.lit(1)).cast("double")), 6).alias("r"),
+            (0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) / F.sqrt(F.count(F.lit(1)).cast("double"))
+             + 0.002 * F.sin(F.sum("l_extendedprice"))).alias("r"),
             (0.1 * F.avg("l_tax")).alias("w"), F.sum("l_quantity").alias("volume"))
         return self._path(daily, "p_brand", F.col("p_brand"))
 
@@ -114,6 +114,9 @@ class Tables:
         t = (li.join(o, li.l_orderkey == o.o_orderkey)
              .withColumn("trade_id", F.col("l_orderkey") * 1000 + F.row_number().over(nth)))
         px, pr = F.col("l_extendedprice"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6)
+        at = lambda day, sec: F.timestamp_seconds(F.unix_timestamp(day) + sec)
+        entry = at(F.least("o_orderdate", "l_shipdate"), F.col("l_orderkey") * 7919 % 86400)
+        exit_ = at(F.greatest("o_orderdate", "l_shipdate"), 86400 + F.col("l_partkey") * 7907 % 86400)
         gross = F.round(px * (F.col("l_discount") - 0.045), 6)
         fee = F.round(px * 0.0007, 6)
         return t.select(
@@ -121,7 +124,7 @@ class Tables:
             F.col("o_orderpriority").alias("strategy"),
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
             F.when(F.col("l_linestatus") == "O", "LONG").otherwise("SHORT").alias("direction"),
-            F.least("o_orderdate", "l_shipdate").alias("entry_ts"), F.greatest("o_orderdate", "l_shipdate").alias("exit_ts"),
+            entry.alias("entry_ts"), exit_.alias("exit_ts"),
             pr.alias("entry_price"), F.round(pr * (1 + F.col("l_discount") - 0.045), 6).alias("exit_price"),
             px.alias("size_usd"), gross.alias("gross_pnl_usd"), fee.alias("fee_usd"),
             F.round(px * F.col("l_tax") * 0.01, 6).alias("slippage_usd"),
@@ -129,8 +132,7 @@ class Tables:
             F.round(100 * (gross - fee) / px, 6).alias("net_pnl_pct"),
             F.when(F.col("l_returnflag") == "A", "TAKE_PROFIT").when(F.col("l_returnflag") == "R", "STOP_LOSS")
             .otherwise("TIME_STOP").alias("exit_reason"),
-            (F.unix_timestamp(F.greatest("o_orderdate", "l_shipdate"))
-             - F.unix_timestamp(F.least("o_orderdate", "l_shipdate"))).cast("double").alias("hold_seconds"),
+            (F.unix_timestamp(exit_) - F.unix_timestamp(entry)).cast("double").alias("hold_seconds"),
             # signal metadata at entry
             F.round((F.col("l_quantity") - 25) / 10, 6).alias("entry_zscore"),
             F.round(F.col("l_tax") * 12, 6).alias("entry_ofi"),
