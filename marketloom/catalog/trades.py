@@ -35,7 +35,7 @@ query("trade_streaks", sql("trades", "SELECT strategy, coalesce(max(len) FILTER
 CURVE = """qa AS (SELECT strategy, exit_ts::DATE AS day, net_pnl_usd AS p FROM trades UNION ALL SELECT strategy, min(entry_ts)::DATE, 0 FROM trades GROUP BY strategy),
 qb AS (SELECT strategy, day, sum(p) AS p FROM qa GROUP BY ALL), qc AS (SELECT strategy, min(day) AS a, max(day) AS b FROM qb GROUP BY strategy),
 qd AS (SELECT strategy, unnest(generate_series(a::TIMESTAMP,b::TIMESTAMP,INTERVAL 1 DAY))::DATE AS day FROM qc),
-curve AS (SELECT d.strategy, d.day, 100000+sum(coalesce(p,0)) OVER (PARTITION BY d.strategy ORDER BY d.day) AS balance FROM qd d LEFT JOIN qb b ON b.strategy=d.strategy AND b.day=d.day)"""
+curve AS (SELECT d.strategy, d.day, round(100000+sum(coalesce(p,0)) OVER (PARTITION BY d.strategy ORDER BY d.day),6) AS balance FROM qd d LEFT JOIN qb b ON b.strategy=d.strategy AND b.day=d.day)"""
 query("equity_curve", sql("trades", f"SELECT strategy, strftime(day,'%Y-%m-%d') AS day, {r6('balance')} FROM curve", CURVE))(lambda t: k.equity_curve(t.trades()).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
 query("curve_metrics", sql("trades", f"SELECT strategy, {r6('sharpe=avg(r)/stddev_pop(r)*sqrt(252);sortino=avg(r)/stddev_pop(r) FILTER (r<0)*sqrt(252);max_drawdown_pct=min(dd);total_return_pct=(arg_max(balance,day)/arg_min(balance,day)-1)*100;calmar=(arg_max(balance,day)/arg_min(balance,day)-1)*100/abs(min(dd))')} FROM "
       "(SELECT *, balance/lag(balance) OVER w-1 AS r, (balance/max(balance) OVER w-1)*100 AS dd FROM curve WINDOW w AS (PARTITION BY strategy ORDER BY day)) GROUP BY strategy", CURVE))(lambda t: k.curve_metrics(k.equity_curve(t.trades())))
@@ -56,13 +56,13 @@ query("position_size", sql("positions", f"SELECT position_id, CASE WHEN s<e THEN
 VOL = ((F.col("position_id") % 40) + 2) / 100
 query("vol_target_size", sql("positions", f"SELECT position_id, {r6('units=u;position_usd=u*e;pct_of_account=u*e/30000*100;vol_scalar=0.1/v')}, 30000*0.1/(e*v)>30000*3.0/e AS cap_applied FROM (SELECT *, least(30000*0.1/(e*v),30000*3.0/e) AS u FROM (SELECT position_id, entry_price AS e, ((position_id%40)+2)/100 AS v FROM positions))"))(
     lambda t: k.vol_target_size(t.positions().withColumn("vol_ann", VOL)))
-query("execution_cost", sql("positions", f"SELECT position_id, {r6('participation_pct=s/adv*100;impact_bps=im;total_cost_bps=4+im;total_cost_usd=s*(4+im)/10000;max_capacity_usd=cap')}, s>cap*0.8 AS capacity_warning FROM (SELECT *, 0.1*dv*sqrt(s/adv)*10000 AS im, (0.002/(0.1*dv))**2*adv AS cap FROM (SELECT position_id, size_usd AS s, size_usd*(1+position_id%90) AS adv, ((position_id%40)+2)/100/sqrt(252) AS dv FROM positions))"))(
+query("execution_cost", sql("positions", f"SELECT position_id, {r6('participation_pct=s/adv*100;impact_bps=im;total_cost_bps=4+im;total_cost_usd=s*(4+im)/10000;max_capacity_usd=cap')}, s>cap*0.8 AS capacity_warning FROM (SELECT *, 0.1*dv*sqrt(s/adv)*10000 AS im, round((0.002/(0.1*dv))**2*adv,0) AS cap FROM (SELECT position_id, size_usd AS s, size_usd*(1+position_id%90) AS adv, ((position_id%40)+2)/100/sqrt(252) AS dv FROM positions))"))(
     lambda t: k.execution_cost(t.positions().withColumns({"vol_ann": VOL, "adv_usd": F.col("size_usd") * (1 + F.col("position_id") % 90)})))
 query("portfolio_heat", sql("positions", f"SELECT account, n_open, {r6('heat_pct=h*100;remaining_heat_pct=greatest(0,0.15-h)*100;utilization_pct=h/0.15*100')}, h<0.15*0.9 AS can_add, CASE WHEN h<0.05 THEN 'OFFENSIVE' WHEN h<0.1 THEN 'STANDARD' WHEN h<0.13 THEN 'DEFENSIVE' ELSE 'MAXED_OUT' END AS risk_mode FROM (SELECT account, count(*) AS n_open, sum(abs(entry_price-stop_price)*size_usd/entry_price)/3e5 AS h FROM positions GROUP BY account)"))(
     lambda t: k.portfolio_heat(t.positions(), equity=3e5))
-query("exposure_report", sql("positions", f"SELECT kind, key, {r6('usd;cap_usd=cap;utilization_pct=usd/cap*100')}, usd>cap AS breach, kind='SYMBOL' AND ns>1 AS duplicate FROM (SELECT *, 2e9*CASE kind WHEN 'CLUSTER' THEN 0.25 WHEN 'SYMBOL' THEN 0.15 ELSE 0.3 END AS cap FROM (SELECT 'CLUSTER' AS kind, 'K'||(replace(symbol,'C','')::INT%7) AS key, sum(size_usd) AS usd, count(DISTINCT strategy) AS ns FROM positions GROUP BY ALL UNION ALL "
+query("exposure_report", sql("positions", f"SELECT kind, key, {r6('usd;cap_usd=cap;utilization_pct=usd/cap*100')}, usd>cap AS breach, kind='SYMBOL' AND ns>1 AS duplicate FROM (SELECT *, 1.973e9*CASE kind WHEN 'CLUSTER' THEN 0.25 WHEN 'SYMBOL' THEN 0.15 ELSE 0.3 END AS cap FROM (SELECT 'CLUSTER' AS kind, 'K'||(replace(symbol,'C','')::INT%7) AS key, sum(size_usd) AS usd, count(DISTINCT strategy) AS ns FROM positions GROUP BY ALL UNION ALL "
       "SELECT 'SYMBOL', symbol||'_'||direction, sum(size_usd), count(DISTINCT strategy) FROM positions GROUP BY ALL UNION ALL SELECT 'STRATEGY', strategy, sum(size_usd), 1 FROM positions GROUP BY ALL))"))(
-    lambda t: k.exposure_report(t.positions(), t.positions().select("symbol", F.concat(F.lit("K"), F.expr("string(int(substring(symbol, 2)) % 7)")).alias("cluster")).distinct(), 2e9))
+    lambda t: k.exposure_report(t.positions(), t.positions().select("symbol", F.concat(F.lit("K"), F.expr("string(int(substring(symbol, 2)) % 7)")).alias("cluster")).distinct(), 1.973e9))
 query("strategy_scalar", sql("trades", f"SELECT strategy, {r6('sharpe=s;win_rate=wr;profit_factor=CASE WHEN l>1e-12 THEN w/l WHEN w>0 THEN 9.9 ELSE 0 END;size_scalar=CASE WHEN s<=0 THEN 0 WHEN s<0.5 THEN greatest(0.6,least(1,0.6+s/(0.5+1e-12)*0.4)) WHEN s>1.5 THEN 1.2 ELSE 1 END;')} FROM (SELECT strategy, avg(p)/stddev_samp(p) AS s, avg((p>0)::INT) AS wr, coalesce(sum(p) FILTER (p>0),0) AS w, coalesce(-sum(p) FILTER (p<0),0) AS l FROM "
       "(SELECT strategy, net_pnl_pct AS p, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts DESC, trade_id DESC) AS rn FROM trades) WHERE rn<=20 GROUP BY strategy)"))(lambda t: k.strategy_scalar(t.trades()))
 

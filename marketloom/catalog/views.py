@@ -42,7 +42,7 @@ VIEWS = {
  l_linenumber%2=0 AS lead_lag_active, CASE WHEN l_tax>0.04 THEN 'SHORT_CARRY' WHEN l_tax<0.02 THEN 'LONG_CARRY' END AS funding_signal,
  CASE WHEN l_quantity>33 THEN 'TRENDING' WHEN l_quantity>16 THEN 'RANGING' ELSE 'VOLATILE' END AS regime, round(l_quantity*2,6) AS quality_score,
  l_linenumber%3=0 AS maker_order FROM lineitem JOIN orders ON l_orderkey=o_orderkey))""",
-    "equity": """equity AS MATERIALIZED (SELECT account, exit_ts AS ts, trade_id, round(10000+sum(net_pnl_usd) OVER (PARTITION BY account ORDER BY exit_ts,trade_id ROWS UNBOUNDED PRECEDING)/100,4) AS balance FROM trades)""",
+    "equity": """equity AS MATERIALIZED (SELECT account, exit_ts AS ts, trade_id, 10000+sum(net_pnl_usd) OVER (PARTITION BY account ORDER BY exit_ts,trade_id ROWS UNBOUNDED PRECEDING)*0.0517131::DOUBLE AS balance FROM trades)""",
     "positions": """positions AS (SELECT o_orderkey AS position_id, o_orderpriority AS strategy, 'C'||(o_custkey%40) AS symbol, 'C'||o_custkey AS account,
  CASE WHEN o_orderkey%3=0 THEN 'SHORT' ELSE 'LONG' END AS direction, o_totalprice AS entry_price, round(o_totalprice*0.98,6) AS stop_price, o_totalprice AS size_usd, o_orderdate AS opened_at
  FROM orders WHERE o_orderstatus='O')""",

@@ -132,7 +132,7 @@ def equity_curve(trades: DataFrame, initial: float = 100000.0, key: str = "strat
     first = trades.groupBy(key).agg(F.min(F.to_date("entry_ts")).alias("day")).withColumn("pnl", F.lit(0.0))
     d = d.unionByName(first).groupBy(key, "day").agg(F.sum("pnl").alias("pnl"))
     w = Window.partitionBy(key).orderBy("day")  # one row per calendar day
-    d = d.withColumns({"balance": F.lit(initial) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)), "nxt": F.lead("day").over(w)})
+    d = d.withColumns({"balance": F.round(F.lit(initial) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6), "nxt": F.lead("day").over(w)})
     return d.select(key, F.explode(F.sequence("day", F.coalesce(F.date_sub("nxt", 1), "day"))).alias("day"), "balance")
 
 
@@ -225,7 +225,7 @@ def execution_cost(orders: DataFrame, days: int = 1, commission_bps: float = 3.0
     x = orders.where("adv_usd > 0 and vol_ann > 0 and size_usd > 0").withColumn("dv", F.col("vol_ann") / math.sqrt(ANN))
     part = F.col("size_usd") / F.col("adv_usd")
     x = x.withColumns({"impact_bps": eta * F.col("dv") * F.sqrt(part / days) * 10000, "participation_pct": part * 100,
-                       "max_capacity_usd": F.pow(0.002 / (eta * F.col("dv")), 2) * F.col("adv_usd") * days})
+                       "max_capacity_usd": F.round(F.pow(0.002 / (eta * F.col("dv")), 2) * F.col("adv_usd") * days, 0)})
     t = commission_bps + spread_bps / 2 + F.col("impact_bps")
     return x.select("position_id", "participation_pct", "impact_bps", t.alias("total_cost_bps"), (F.col("size_usd") * t / 10000).alias("total_cost_usd"), "max_capacity_usd",
                     (F.col("size_usd") > F.col("max_capacity_usd") * 0.8).alias("capacity_warning"))

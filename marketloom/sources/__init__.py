@@ -147,7 +147,7 @@ class Tables:
     def equity(self) -> DataFrame:
         t = self.trades().select("account", F.col("exit_ts").alias("ts"), "trade_id", "net_pnl_usd")
         e = running(t, ["account"], ["ts", "trade_id"], time_chunk("ts", BAR_CHUNK), sums={"s": "net_pnl_usd"})
-        return e.select("account", "ts", "trade_id", F.round(10000 + F.col("s") / 100, 4).alias("balance"))
+        return e.select("account", "ts", "trade_id", (10000 + F.col("s") * 0.0517131).alias("balance"))
 
     def positions(self) -> DataFrame:
         o = self.base("orders").where("o_orderstatus = 'O'")
