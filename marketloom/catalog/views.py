@@ -16,10 +16,10 @@ VIEWS = {
  0.1*avg(l_tax) AS w, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),""" + _PATH.format(name="bars", key="l_suppkey", sym="'S'||k"),
     "bars_brand": """bars_brand_d AS (SELECT p_brand, l_shipdate AS ts, 0.2*(sum(l_discount)-0.05*count(*))/sqrt(count(*))+0.002*sin(sum(l_extendedprice)) AS r,
  0.1*avg(l_tax) AS w, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY ALL),""" + _PATH.format(name="bars_brand", key="p_brand", sym="k"),
-    "ticks": """ticks AS MATERIALIZED (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, value*(1-0.0005) AS bid, value*(1+0.0005) AS ask,
+    "ticks": """ticks AS MATERIALIZED (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, value*(1-0.0002*(1+event_id%7)) AS bid, value*(1+0.0002*(1+event_id%7)) AS ask,
  1.0::DOUBLE+kk AS bid_size, 100.0::DOUBLE-kk AS ask_size, 1.0::DOUBLE+kk AS volume
  FROM (SELECT *, CAST(json_extract(props,'$.k') AS INT) AS kk FROM events WHERE value>0))""",
-    "user_ticks": """user_ticks AS MATERIALIZED (SELECT 'U'||user_id AS symbol, ts, event_id AS seq, value AS price, value*(1-0.0005) AS bid, value*(1+0.0005) AS ask,
+    "user_ticks": """user_ticks AS MATERIALIZED (SELECT 'U'||user_id AS symbol, ts, event_id AS seq, value AS price, value*(1-0.0002*(1+event_id%7)) AS bid, value*(1+0.0002*(1+event_id%7)) AS ask,
  1.0::DOUBLE+kk AS bid_size, 100.0::DOUBLE-kk AS ask_size, 1.0::DOUBLE+kk AS volume
  FROM (SELECT *, CAST(json_extract(props,'$.k') AS INT) AS kk FROM events WHERE value>0))""",
     "book_levels": """book_levels AS (SELECT symbol, ts, seq, side, level, CASE WHEN side='B' THEN bid-level*0.01 ELSE ask+level*0.01 END AS px,

@@ -28,3 +28,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketloom")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df):
+    """Cut lineage with a reliable checkpoint in the shared folder (set here only where the cluster names none)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(spark, "checkpoints"))
+    return df.checkpoint(eager=True)

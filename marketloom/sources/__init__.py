@@ -67,7 +67,7 @@ class Tables:
         k = F.get_json_object("props", "$.k").cast("int")
         return (self.base("events").where("value > 0")
                 .select(symbol.alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"),
-                        (F.col("value") * (1 - 0.0005)).alias("bid"), (F.col("value") * (1 + 0.0005)).alias("ask"),
+                        (F.col("value") * (1 - 0.0002 * (1 + F.col("event_id") % 7))).alias("bid"), (F.col("value") * (1 + 0.0002 * (1 + F.col("event_id") % 7))).alias("ask"),
                         (1.0 + k).alias("bid_size"), (100.0 - k).alias("ask_size"), (1.0 + k).alias("volume")))
 
     def ticks(self) -> DataFrame:
