@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import (equity, features, flow, models, quality, risk, sources, structure, ticks, trades, universe)  # noqa: F401
+    from . import (equity, features, flow, models, portfolio, quality, risk, sources, structure, ticks, trades, universe)  # noqa: F401

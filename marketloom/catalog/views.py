@@ -27,8 +27,8 @@ VIEWS = {
     "book_deltas": """book_deltas AS (SELECT symbol, seq, ts, CASE WHEN seq%2=0 THEN 'B' ELSE 'A' END AS side, round(price,0) AS px, (seq%7)::DOUBLE AS sz FROM ticks)""",
     "hourly": """hourly AS (SELECT event_type AS symbol, date_trunc('hour',ts)::TIMESTAMP AS ts, avg(kk) AS ak, sum(kk-49.5)::DOUBLE AS sk, round(avg(value),6) AS price
  FROM (SELECT *, CAST(json_extract(props,'$.k') AS INT) AS kk FROM events WHERE value>0) GROUP BY ALL)""",
-    "funding": "funding AS MATERIALIZED (SELECT symbol, ts, round((ak-49.5)/100000,10) AS rate, price AS mark_px, round(price*0.999,6) AS index_px FROM hourly)",
-    "oi": "oi AS MATERIALIZED (SELECT symbol, ts, 1e6+1000*sum(sk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS oi_usd, price FROM hourly)",
+    "funding": "funding AS MATERIALIZED (SELECT symbol, ts, round((ak-49.5)/100000,10) AS rate, price AS mark_px, price*0.9991317 AS index_px FROM hourly)",
+    "oi": "oi AS MATERIALIZED (SELECT symbol, ts, 1e7+100*sum(sk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS oi_usd, price FROM hourly)",
     "trades": """trades AS MATERIALIZED (SELECT trade_id, account, strategy, symbol, direction, entry_ts, exit_ts, entry_price,
  round(entry_price*(1+l_discount-0.045),6) AS exit_price, size_usd, gross_pnl_usd, fee_usd, slippage_usd, round(gross_pnl_usd-fee_usd,6) AS net_pnl_usd,
  round(100*(gross_pnl_usd-fee_usd)/size_usd,6) AS net_pnl_pct, exit_reason, (epoch(exit_ts)-epoch(entry_ts))::DOUBLE AS hold_seconds,

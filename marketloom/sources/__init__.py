@@ -101,11 +101,11 @@ class Tables:
 
     def funding(self) -> DataFrame:
         return self._hourly().select("symbol", "ts", F.round((F.col("ak") - 49.5) / 100000, 10).alias("rate"),
-                                     F.col("price").alias("mark_px"), F.round(F.col("price") * 0.999, 6).alias("index_px"))
+                                     F.col("price").alias("mark_px"), (F.col("price") * 0.9991317).alias("index_px"))
 
     def oi(self) -> DataFrame:
         h = running(self._hourly(), ["symbol"], ["ts"], time_chunk("ts", TICK_CHUNK * 30), sums={"s": "sk"})
-        return h.select("symbol", "ts", (1e6 + 1000 * F.col("s")).alias("oi_usd"), "price")
+        return h.select("symbol", "ts", (1e7 + 100 * F.col("s")).alias("oi_usd"), "price")
 
     def trades(self) -> DataFrame:
         li = self.base("lineitem")
