@@ -33,7 +33,7 @@ query("correlation_clusters", sql("brets", f"SELECT cluster, leader, count(*)+1
       COV + """, ed AS (SELECT cluster, a, b, correlation FROM cov WHERE a<b AND abs(correlation)>0.03), nd AS (SELECT cluster, a AS s, row_number() OVER (PARTITION BY cluster ORDER BY a) AS i FROM cov WHERE a=b), el AS (SELECT cluster, b, list(a) AS prev FROM ed GROUP BY ALL),
 np AS (SELECT nd.*, coalesce(prev, []) AS prev FROM nd LEFT JOIN el ON el.cluster=nd.cluster AND el.b=nd.s),
 gr AS (SELECT cluster, i, [s] AS ls FROM np WHERE i=1 UNION ALL SELECT n.cluster, n.i, CASE WHEN list_has_any(n.prev, g.ls) THEN g.ls ELSE list_append(g.ls, n.s) END FROM gr g JOIN np n ON n.cluster=g.cluster AND n.i=g.i+1)""").replace("WITH ", "WITH RECURSIVE ", 1))(lambda t: k.correlation_clusters(cov(t), 0.03))
-BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 query("pca_factors")(lambda t: k.pca_factors(brets(t), BRANDS))
 
 
@@ -60,8 +60,8 @@ REPLAY = f"""ra AS (SELECT *, exp(sum(ln(1+dr/100)) OVER (PARTITION BY scenario
 rb AS (SELECT *, px/(1+dr/100) AS pv, px*0.995<=0.95 AS hit FROM ra), rc AS (SELECT *, min(CASE WHEN hit THEN day END) OVER (PARTITION BY scenario) AS sd FROM rb),
 rd AS (SELECT scenario, day, sd, sum(CASE WHEN day=sd THEN 0.95/pv-1 ELSE dr/100 END) OVER (PARTITION BY scenario ORDER BY day ROWS UNBOUNDED PRECEDING) AS c FROM rc WHERE sd IS NULL OR day<=sd),
 rp AS (SELECT scenario, any_value(sd) AS sd, arg_max(c,day) AS c, greatest(0,max(c)) AS hi, least(0,min(c)) AS lo FROM rd GROUP BY scenario)"""
-query("scenario_replay", sql("positions", f"SELECT position_id, scenario, {r6('total_pnl_usd=p*c;total_pnl_pct=p*c/1e6*100;max_drawdown_pct=((1e6+p*lo)/(1e6+p*hi)-1)*100')}, sd IS NOT NULL AS stopped_out, sd AS stop_day, CASE WHEN p*c/1e6*100>-20 THEN 'SURVIVED' WHEN p*c/1e6*100>-50 THEN 'SEVERELY_DAMAGED' ELSE 'WIPED_OUT' END AS rating FROM (SELECT position_id, size_usd*1.0000317 AS p FROM positions), rp", REPLAY))(
-    lambda t: k.scenario_replay(t.positions().select("position_id", (F.col("size_usd") * 1.0000317).alias("pos_usd")), ["position_id"], 1e6))
+query("scenario_replay", sql("positions", f"SELECT position_id, scenario, {r6('total_pnl_usd=round(p*c,4);total_pnl_pct=p*c/1e6*100;max_drawdown_pct=((1e6+p*lo)/(1e6+p*hi)-1)*100')}, sd IS NOT NULL AS stopped_out, sd AS stop_day, CASE WHEN p*c/1e6*100>-20 THEN 'SURVIVED' WHEN p*c/1e6*100>-50 THEN 'SEVERELY_DAMAGED' ELSE 'WIPED_OUT' END AS rating FROM (SELECT position_id, size_usd*1.0017131 AS p FROM positions), rp", REPLAY))(
+    lambda t: k.scenario_replay(t.positions().select("position_id", (F.col("size_usd") * 1.0017131).alias("pos_usd")), ["position_id"], 1e6))
 query("tail_risk_report", sql("positions", f"SELECT account, arg_min(scenario,(l,scenario)) AS worst_scenario, {r6('worst_pct=min(l);best_pct=max(l);avg_pct=avg(l)')}, arg_max(scenario,(l,scenario)) AS best_scenario, CASE WHEN avg(l)<-15 THEN 'HIGH' WHEN avg(l)<-8 THEN 'MODERATE' ELSE 'LOW' END AS tail_risk_rating FROM (SELECT account, scenario, p*c/1e6*100 AS l FROM (SELECT account, least(sum(size_usd)/1e6*100,100)/100*1e6 AS p FROM positions GROUP BY account), rp) GROUP BY account", REPLAY))(
     lambda t: k.tail_risk_report(t.positions(), 1e6))
 PSH = ", ".join(f"('{n}',{s}::DOUBLE,{d})" for n, s, d in k.PATH_SHOCKS)

@@ -90,9 +90,11 @@ def pca_factors(rets: DataFrame, symbols: list[str], k: int = 3) -> DataFrame:
     Marchenko-Pastur bound, and the share of each symbol's variance they explain. MLlib builds the Gramian on the executors;
     the driver only sees the symbol-by-symbol matrix of the requested list."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+
+    from ..session import checkpointed
 
     wide = rets.where(F.col("symbol").isin(symbols)).groupBy("ts").pivot("symbol", symbols).agg(F.first("r")).fillna(0.0)
+    wide = checkpointed(wide)  # three passes follow
     t = wide.count()
     names = [f"c{i}" for i in range(len(symbols))]
     v = VectorAssembler(inputCols=names, outputCol="x").transform(wide.toDF("ts", *names))
@@ -186,7 +188,7 @@ def scenario_replay(positions: DataFrame, keys: list[str], balance: float, stop_
 
     y = x.withColumn("r", F.aggregate("s.seq", start, step)).withColumn("total_pnl_pct", (F.col("r.bal") - balance) / balance * 100)
     p = F.col("total_pnl_pct")
-    return y.select(*keys, "s.scenario", (F.col("r.bal") - balance).alias("total_pnl_usd"), "total_pnl_pct", ((F.col("r.lo") / F.col("r.hi") - 1) * 100).alias("max_drawdown_pct"),
+    return y.select(*keys, "s.scenario", F.round(F.col("r.bal") - balance, 4).alias("total_pnl_usd"), "total_pnl_pct", ((F.col("r.lo") / F.col("r.hi") - 1) * 100).alias("max_drawdown_pct"),
                     (F.col("r.stop") > 0).alias("stopped_out"), F.when(F.col("r.stop") > 0, F.col("r.stop")).alias("stop_day"), case((p > -20, "SURVIVED"), (p > -50, "SEVERELY_DAMAGED"), default="WIPED_OUT").alias("rating"))
 
 
