@@ -30,7 +30,7 @@ def pairs(t):
 
 
 PR = "pw AS MATERIALIZED (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.close AS x, b.close AS y FROM bars_brand a JOIN bars_brand b ON a.ts=b.ts AND substr(a.symbol,7,1)=substr(b.symbol,7,1) AND a.symbol<b.symbol)"
-query("cointegration_pairs", sql("bars_brand", f"SELECT a, b, n, {r6('hedge_ratio=hr;intercept=ic;adf_statistic=adf;spread=sp;spread_mean=sm;spread_std=sd;zscore=z;half_life=coalesce(hl,9999)')}, adf<-3.34 AS is_cointegrated, CASE WHEN z<-2 THEN 'LONG_SPREAD' WHEN z>2 THEN 'SHORT_SPREAD' WHEN z>-0.5 AND z<0 THEN 'EXIT_LONG' WHEN z>0 AND z<0.5 THEN 'EXIT_SHORT' ELSE 'HOLD' END AS signal FROM (SELECT *, (sp-sm)/sd AS z FROM (SELECT *, coalesce(CASE WHEN rb>0 AND rb<1 THEN rc/(1-rb) END, ms) AS sm, CASE WHEN rb>0 AND rb<1 THEN ln(2)/-ln(rb) END AS hl, psi/sqrt((s00-psi*s1y-phi*s2y)*q/(q-3)*s22/(det*q)) AS adf FROM pg))",
+query("cointegration_pairs", sql("bars_brand", f"SELECT a, b, n, {r6('hedge_ratio=hr;intercept=round(ic,5);adf_statistic=adf;spread=sp;spread_mean=sm;spread_std=sd;zscore=z;half_life=coalesce(hl,9999)')}, adf<-3.34 AS is_cointegrated, CASE WHEN z<-2 THEN 'LONG_SPREAD' WHEN z>2 THEN 'SHORT_SPREAD' WHEN z>-0.5 AND z<0 THEN 'EXIT_LONG' WHEN z>0 AND z<0.5 THEN 'EXIT_SHORT' ELSE 'HOLD' END AS signal FROM (SELECT *, (sp-sm)/sd AS z FROM (SELECT *, coalesce(CASE WHEN rb>0 AND rb<1 THEN rc/(1-rb) END, ms) AS sm, CASE WHEN rb>0 AND rb<1 THEN ln(2)/-ln(rb) END AS hl, psi/sqrt((s00-psi*s1y-phi*s2y)*q/(q-3)*s22/(det*q)) AS adf FROM pg))",
       PR + """, po AS (SELECT a, b, count(*) AS n, regr_slope(y,x) AS hr, regr_intercept(y,x) AS ic FROM pw GROUP BY ALL),
 ps AS (SELECT a, b, ts, y-ic-hr*x AS s FROM pw JOIN po USING (a, b)), pl AS (SELECT *, lag(s) OVER w AS l, s-lag(s) OVER w AS dy, lag(s) OVER w-lag(s,2) OVER w AS d1 FROM ps WINDOW w AS (PARTITION BY a, b ORDER BY ts)),
 pm AS (SELECT a, b, count(d1) AS q, covar_pop(l,l) FILTER (d1 IS NOT NULL) AS s11, covar_pop(d1,d1) AS s22, covar_pop(l,d1) AS s12, covar_pop(l,dy) FILTER (d1 IS NOT NULL) AS s1y, covar_pop(d1,dy) AS s2y, covar_pop(dy,dy) FILTER (d1 IS NOT NULL) AS s00, regr_slope(s,l) AS rb, regr_intercept(s,l) AS rc, arg_max(s,ts) AS sp, avg(s) AS ms, stddev_samp(s) AS sd FROM pl GROUP BY ALL),

@@ -53,11 +53,14 @@ query("rolling_half_kelly", sql("trades", f"SELECT strategy, trade_id, {r6('size
 query("position_size", sql("positions", f"SELECT position_id, CASE WHEN s<e THEN 'LONG' ELSE 'SHORT' END AS direction, {r6('dollar_risk=300;units=u;notional=u*e;pct_of_account=u*e/30000*100;sl_distance_pct=abs(e-s)/e*100;margin=u*e/2;target_1r=e+m*abs(e-s);target_2r=e+2*m*abs(e-s);target_3r=e+3*m*abs(e-s)')} FROM (SELECT *, 300/(abs(e-s)*2) AS u, CASE WHEN s<e THEN 1 ELSE -1 END AS m FROM "
       "(SELECT position_id, entry_price AS e, CASE WHEN direction='LONG' THEN stop_price ELSE entry_price*1.03 END AS s FROM positions))"))(
     lambda t: k.position_size(t.positions().withColumn("stop_price", F.when(F.col("direction") == "LONG", F.col("stop_price")).otherwise(F.col("entry_price") * 1.03)), leverage=2.0))
-VOL = ((F.col("position_id") % 40) + 2) / 100
+def vol():
+    return ((F.col("position_id") % 40) + 2) / 100
+
+
 query("vol_target_size", sql("positions", f"SELECT position_id, {r6('units=u;position_usd=u*e;pct_of_account=u*e/30000*100;vol_scalar=0.1/v')}, 30000*0.1/(e*v)>30000*3.0/e AS cap_applied FROM (SELECT *, least(30000*0.1/(e*v),30000*3.0/e) AS u FROM (SELECT position_id, entry_price AS e, ((position_id%40)+2)/100 AS v FROM positions))"))(
-    lambda t: k.vol_target_size(t.positions().withColumn("vol_ann", VOL)))
+    lambda t: k.vol_target_size(t.positions().withColumn("vol_ann", vol())))
 query("execution_cost", sql("positions", f"SELECT position_id, {r6('participation_pct=s/adv*100;impact_bps=im;total_cost_bps=4+im;total_cost_usd=s*(4+im)/10000;max_capacity_usd=cap')}, s>cap*0.8 AS capacity_warning FROM (SELECT *, 0.1*dv*sqrt(s/adv)*10000 AS im, round((0.002/(0.1*dv))**2*adv,0) AS cap FROM (SELECT position_id, size_usd AS s, size_usd*(1+position_id%90) AS adv, ((position_id%40)+2)/100/sqrt(252) AS dv FROM positions))"))(
-    lambda t: k.execution_cost(t.positions().withColumns({"vol_ann": VOL, "adv_usd": F.col("size_usd") * (1 + F.col("position_id") % 90)})))
+    lambda t: k.execution_cost(t.positions().withColumns({"vol_ann": vol(), "adv_usd": F.col("size_usd") * (1 + F.col("position_id") % 90)})))
 query("portfolio_heat", sql("positions", f"SELECT account, n_open, {r6('heat_pct=h*100;remaining_heat_pct=greatest(0,0.15-h)*100;utilization_pct=h/0.15*100')}, h<0.15*0.9 AS can_add, CASE WHEN h<0.05 THEN 'OFFENSIVE' WHEN h<0.1 THEN 'STANDARD' WHEN h<0.13 THEN 'DEFENSIVE' ELSE 'MAXED_OUT' END AS risk_mode FROM (SELECT account, count(*) AS n_open, sum(abs(entry_price-stop_price)*size_usd/entry_price)/3e5 AS h FROM positions GROUP BY account)"))(
     lambda t: k.portfolio_heat(t.positions(), equity=3e5))
 query("exposure_report", sql("positions", f"SELECT kind, key, {r6('usd;cap_usd=cap;utilization_pct=usd/cap*100')}, usd>cap AS breach, kind='SYMBOL' AND ns>1 AS duplicate FROM (SELECT *, 1.973e9*CASE kind WHEN 'CLUSTER' THEN 0.25 WHEN 'SYMBOL' THEN 0.15 ELSE 0.3 END AS cap FROM (SELECT 'CLUSTER' AS kind, 'K'||(replace(symbol,'C','')::INT%7) AS key, sum(size_usd) AS usd, count(DISTINCT strategy) AS ns FROM positions GROUP BY ALL UNION ALL "

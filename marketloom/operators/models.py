@@ -101,7 +101,7 @@ def cointegration_pairs(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     a = _ou_columns(a, "spread").withColumn("spread_mean", F.coalesce("mu", "ms"))
     a = a.withColumn("zscore", (F.col("spread") - F.col("spread_mean")) / F.greatest("spread_std", F.lit(1e-9)))
     z = F.col("zscore")
-    return a.join(ols, ["a", "b"]).select("a", "b", "n", "hedge_ratio", "intercept", F.col("adf").alias("adf_statistic"), (F.col("adf") < -3.34).alias("is_cointegrated"), "spread", "spread_mean", "spread_std", "zscore",
+    return a.join(ols, ["a", "b"]).select("a", "b", "n", "hedge_ratio", F.round("intercept", 5).alias("intercept"), F.col("adf").alias("adf_statistic"), (F.col("adf") < -3.34).alias("is_cointegrated"), "spread", "spread_mean", "spread_std", "zscore",
                                           F.coalesce("half_life", F.lit(9999.0)).alias("half_life"),
                                           case((z < -2, "LONG_SPREAD"), (z > 2, "SHORT_SPREAD"), ((z > -0.5) & (z < 0), "EXIT_LONG"), ((z > 0) & (z < 0.5), "EXIT_SHORT"), default="HOLD").alias("signal"))
 
@@ -226,19 +226,19 @@ def hawkes_clustering(ticks: DataFrame, window_s: float = 60.0, betas=(0.1, 0.5,
     end = ticks.groupBy("symbol").agg(F.max(F.unix_micros("ts")).alias("te"))
     t = ticks.select("symbol", F.unix_micros("ts").alias("u")).join(end, "symbol").where(F.col("u") >= F.col("te") - int(window_s * 1e6))
     a = t.groupBy("symbol").agg(F.sort_array(F.collect_list("u")).alias("u")).withColumn("n", F.size("u")).where(F.col("n") >= min_events)
-    a = a.withColumn("t", F.transform("u", lambda x: (x - F.col("u")[0]) / 1e6)).withColumn("T", F.element_at("t", -1)).where("T > 0")
-    g = a.select("symbol", "n", "t", "T", F.explode(F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(float(b)).alias("be")) for e in HAWKES_ETA for b in betas])).alias("g"))
+    a = a.withColumn("t", F.transform("u", lambda x: (x - F.col("u")[0]) / 1e6)).withColumn("span", F.element_at("t", -1)).where("span > 0")
+    g = a.select("symbol", "n", "t", "span", F.explode(F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(float(b)).alias("be")) for e in HAWKES_ETA for b in betas])).alias("g"))
     be, al = F.col("g.be"), F.col("g.eta") * F.col("g.be")
-    mu = (1 - F.col("g.eta")) * F.col("n") / F.col("T")
+    mu = (1 - F.col("g.eta")) * F.col("n") / F.col("span")
     start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("r"), F.lit(0.0).alias("l"), F.lit(0.0).alias("c"))
 
     def step(s, x):
         r = F.when(s["p"].isNull(), 0.0).otherwise((s["r"] + 1) * F.exp(-be * (x - s["p"])))
-        return F.struct((x + F.lit(0.0)).alias("p"), r.alias("r"), (s["l"] + F.log(F.greatest(mu + al * r, F.lit(1e-9)))).alias("l"), (s["c"] + 1 - F.exp(-be * (F.col("T") - x))).alias("c"))
+        return F.struct((x + F.lit(0.0)).alias("p"), r.alias("r"), (s["l"] + F.log(F.greatest(mu + al * r, F.lit(1e-9)))).alias("l"), (s["c"] + 1 - F.exp(-be * (F.col("span") - x))).alias("c"))
 
     g = g.withColumn("s", F.aggregate("t", start, step))
-    g = g.select("symbol", "n", "T", F.col("g.eta").alias("eta"), F.col("g.be").alias("beta"), mu.alias("mu"), (F.col("s.l") - mu * F.col("T") - F.col("g.eta") * F.col("s.c")).alias("ll"), (mu + al * (F.col("s.r") + 1)).alias("intensity"))
-    b = g.groupBy("symbol").agg(F.max_by(F.struct("n", "T", "eta", "beta", "mu", "ll", "intensity"), F.struct(F.round("ll", 6), -F.col("eta"), -F.col("beta"))).alias("x")).select("symbol", "x.*")
+    g = g.select("symbol", "n", "span", F.col("g.eta").alias("eta"), F.col("g.be").alias("beta"), mu.alias("mu"), (F.col("s.l") - mu * F.col("span") - F.col("g.eta") * F.col("s.c")).alias("ll"), (mu + al * (F.col("s.r") + 1)).alias("intensity"))
+    b = g.groupBy("symbol").agg(F.max_by(F.struct("n", "span", "eta", "beta", "mu", "ll", "intensity"), F.struct(F.round("ll", 6), -F.col("eta"), -F.col("beta"))).alias("x")).select("symbol", "x.*")
     e = F.col("eta")
     return b.select("symbol", F.col("n").alias("n_events"), "mu", (e * F.col("beta")).alias("alpha"), "beta", e.alias("branching_ratio"), (1 / (1 - e)).alias("cluster_size"), "intensity", F.col("ll").alias("log_likelihood"),
                     case(((e > 0.7) & (F.col("intensity") > F.col("mu") * 3), "STRONG_MOMENTUM_FLOW"), (e > 0.5, "CLUSTERING_DETECTED"), (e < 0.2, "CALM_BACKGROUND_FLOW"), default="MODERATE_ACTIVITY").alias("signal"))
