@@ -15,12 +15,18 @@ HEADLINE = ["screener_rank", "technicals_panel", "quant_metrics", "realized_vol_
 
 def main() -> None:
     from marketloom import catalog
+    from marketloom.sources import Tables
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     catalog.load()
     spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()  # start the executors
     times = {}
+    t = time.time()  # the shared views are written once per application
+    tables = Tables(spark, folder)
+    for view in ("bars", "bars_brand", "trades", "equity"):
+        getattr(tables, view)()
+    times["write_views"] = round(time.time() - t, 3)
     for name in HEADLINE:
         t = time.time()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, safe_div
-from ..plans import bar_blocks, blocked, fold_blocks, last_rows, ordered_array, time_chunk, BAR_CHUNK
+from ..plans import BAR_CHUNK, bar_blocks, blocked, fold_blocks, last_rows, ordered_array, spread, time_chunk
 from . import features as ft, portfolio as pf, structure as st
 
 LAST = 1000
@@ -197,7 +197,7 @@ def garch_regime(bars: DataFrame, lookback: int = LAST) -> DataFrame:
     a = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a"), F.avg("lr").alias("mu"), F.var_pop("lr").alias("v"), F.count("lr").alias("n"), F.skewness("lr").alias("sk"), F.kurtosis("lr").alias("ku")).where("n >= 20")
     a = a.withColumn("e2", F.transform("_a", lambda x: (x["lr"] - F.col("mu")) * (x["lr"] - F.col("mu"))))
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("al"), F.lit(j).alias("be")) for i in GARCH_ALPHA for j in GARCH_BETA if i + j < 0.9999]))
-    g = a.select("symbol", "v", "e2", grid.alias("g"))
+    g = spread(a.select("symbol", "v", "e2", grid.alias("g")), "symbol", "g")
     om = F.col("v") * (1 - F.col("g.al") - F.col("g.be"))
 
     def nll(s, e):
@@ -228,6 +228,7 @@ def hawkes_clustering(ticks: DataFrame, window_s: float = 60.0, betas=(0.1, 0.5,
     a = t.groupBy("symbol").agg(F.sort_array(F.collect_list("u")).alias("u")).withColumn("n", F.size("u")).where(F.col("n") >= min_events)
     a = a.withColumn("t", F.transform("u", lambda x: (x - F.col("u")[0]) / 1e6)).withColumn("span", F.element_at("t", -1)).where("span > 0")
     g = a.select("symbol", "n", "t", "span", F.explode(F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(float(b)).alias("be")) for e in HAWKES_ETA for b in betas])).alias("g"))
+    g = spread(g, "symbol", "g")
     be, al = F.col("g.be"), F.col("g.eta") * F.col("g.be")
     mu = (1 - F.col("g.eta")) * F.col("n") / F.col("span")
     start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("r"), F.lit(0.0).alias("l"), F.lit(0.0).alias("c"))
@@ -255,8 +256,7 @@ def hmm_regime(bars: DataFrame, lookback: int = LAST, iters: int = 80) -> DataFr
     r = last_rows(ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr"), ["symbol"], ["ts"], lookback)
     arr = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a")).where(F.size("_a") >= 30).select("symbol", F.transform("_a", lambda x: x["lr"]).alias("r"))
     # fitting costs far more than moving the arrays: spread the symbols over all tasks instead of by bytes
-    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arr.repartition(tasks, "symbol").mapInPandas(_hmm_batches(iters), HMM_SCHEMA)
+    return spread(arr, "symbol").mapInPandas(_hmm_batches(iters), HMM_SCHEMA)
 
 
 def _hmm_batches(iters: int):

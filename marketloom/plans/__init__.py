@@ -218,11 +218,16 @@ def ordered_array(cols: list[str], order: str = "_i") -> Column:
     return F.array_sort(F.collect_list(F.struct(order, *cols)))
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash rows over all shuffle partitions: for work that is heavy per byte, which size-based coalescing would pile up."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold_blocks(b: Blocks, cols: list[str], init: Column, step, emit) -> DataFrame:
     """Sequential recursion over each block, one output row per own row.
     init: state struct; step(state, row) -> state struct; emit(state, row) -> list of aliased columns.
     The halo must be long enough for the recursion to forget its start; the first block has no halo and is exact."""
-    arr = b.df.groupBy(*b.keys, "_b").agg(ordered_array(["_own", *cols]).alias("_a"))
+    arr = spread(b.df, *b.keys, "_b").groupBy(*b.keys, "_b").agg(ordered_array(["_own", *cols]).alias("_a"))
 
     def item(s, r):
         return F.struct(r["_own"].alias("_own"), r["_i"].alias("_i"), *emit(s, r))

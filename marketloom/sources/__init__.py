@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..plans import BAR_CHUNK, TICK_CHUNK, running, time_chunk
+from ..session import work_dir
 
 
 
@@ -26,8 +27,13 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return reader.format(fmt).load(path).where(F.col("close").isNotNull())
 
 
+_STORED: dict = {}  # (application, folder, view) -> path of the written view
+
+
 class Tables:
-    """Market views over the base tables of one folder (read with column pruning; nothing is cached)."""
+    """Market views over the base tables of one folder. Views that need a shuffle are written once per application to the
+    shared folder and read back, as a pipeline would keep its bars and trades: later scans prune columns, several passes
+    over a view cost scans only, and a lost executor re-reads files instead of recomputing the view."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -37,6 +43,14 @@ class Tables:
         ntz = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
         return df.withColumns(ntz) if ntz else df
 
+    def _stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = work_dir(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def _path(self, daily: DataFrame, key: str, symbol) -> DataFrame:
         """Turn per-day returns into a price path."""
         p = running(daily, [key], ["ts"], time_chunk("ts", BAR_CHUNK), sums={"s": "r"})
@@ -48,6 +62,10 @@ class Tables:
                         "close", "volume")
 
     def bars(self) -> DataFrame:
+        """Daily bars per supplier."""
+        return self._stored("bars", self._bars)
+
+    def _bars(self) -> DataFrame:
         li = self.base("lineitem")
         daily = li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(
             (0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) + 0.002 * F.sin(F.sum("l_extendedprice"))).alias("r"),
@@ -55,6 +73,10 @@ class Tables:
         return self._path(daily, "l_suppkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
 
     def bars_brand(self) -> DataFrame:
+        """Daily bars per brand."""
+        return self._stored("bars_brand", self._bars_brand)
+
+    def _bars_brand(self) -> DataFrame:
         li = self.base("lineitem").join(self.base("part").select("p_partkey", "p_brand"),
                                         F.col("l_partkey") == F.col("p_partkey"))
         daily = li.groupBy("p_brand", F.col("l_shipdate").alias("ts")).agg(
@@ -108,6 +130,10 @@ class Tables:
         return h.select("symbol", "ts", (1e7 + 100 * F.col("s")).alias("oi_usd"), "price")
 
     def trades(self) -> DataFrame:
+        """Closed trades, one per order line."""
+        return self._stored("trades", self._trades)
+
+    def _trades(self) -> DataFrame:
         li = self.base("lineitem")
         o = self.base("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         nth = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -145,6 +171,10 @@ class Tables:
             (F.col("l_linenumber") % 3 == 0).alias("maker_order"))
 
     def equity(self) -> DataFrame:
+        """Running balance per account after each trade."""
+        return self._stored("equity", self._equity)
+
+    def _equity(self) -> DataFrame:
         t = self.trades().select("account", F.col("exit_ts").alias("ts"), "trade_id", "net_pnl_usd")
         e = running(t, ["account"], ["ts", "trade_id"], time_chunk("ts", BAR_CHUNK), sums={"s": "net_pnl_usd"})
         return e.select("account", "ts", "trade_id", (10000 + F.col("s") * 0.0517131).alias("balance"))
