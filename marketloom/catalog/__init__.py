@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F, types as T
+
 from ..functions import rounded
 from ..sources import Tables
 
@@ -9,13 +11,22 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+LONGS = {"rank", "portfolio", "utc_from", "hour", "trades_today", "n_events", "level", "lag", "pos", "k", "rev", "step"}
+
+
+def _output(df):
+    """Round doubles and widen counters to long, the type the SQL form gives them."""
+    wide = {f.name: F.col(f.name).cast("long") for f in df.schema.fields if f.name in LONGS and isinstance(f.dataType, T.IntegerType)}
+    return rounded(df.withColumns(wide) if wide else df)
+
+
 def query(name: str, sql: str | None = None):
     """Register f(Tables) -> DataFrame under a name; doubles are rounded at output."""
 
     def deco(f):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: rounded(f(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: _output(f(Tables(spark, folder)))
         if sql:
             SQL[name] = sql
         return f
