@@ -86,6 +86,7 @@ def test_late_ticks_are_dropped(spark):
     rows = lambda *s: spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.to_datetime(list(s)), "seq": range(len(s)), "price": 10.0, "volume": 1.0}))
     path = work_dir(spark, "late")
     rows("2024-01-01 00:05", "2024-01-01 03:00").coalesce(1).write.parquet(path)
+    rows("2024-01-01 04:00").coalesce(1).write.mode("append").parquet(path)  # the watermark takes effect one batch later
     rows("2024-01-01 00:06", "2024-01-01 06:00").coalesce(1).write.mode("append").parquet(path)
     out = st.drain(st.tick_to_bar_stream(st.file_stream(spark, path, files_per_batch=1), "1 hour"), "late-out").toPandas()
     first = out[out["ts"] == pd.Timestamp("2024-01-01 00:00")]
