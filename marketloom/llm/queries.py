@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .jaccard_join import op5_jaccard_join
+from .secrets import op6_secrets
 from .sentencepiece import op4_sentencepiece
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
+           "op6_secrets": op6_secrets}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
