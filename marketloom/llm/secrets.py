@@ -26,6 +26,7 @@ class Rule:
     pattern: str
     least: int = 1
     group: int = 0
+    scan: str = ""  # what the combined pass looks for instead, to keep it small: must occur in every match
 
 
 def _either_case(words: str) -> str:
@@ -35,23 +36,23 @@ def _either_case(words: str) -> str:
 BASE = (
     Rule("assign", "(" + _either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", "AKIA[A-Z0-9]+", 20),
-    Rule("hex", "[0-9a-f]{24,}", 24),  # a maximal run either has 24 characters or fails, so shorter runs need no states
+    Rule("hex", "[0-9a-f]+", 24, scan="[0-9a-f]{9}"),
 )
 #: Well-known public token formats beside the base rules.
 MORE = (
-    Rule("forge", "gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 20),
-    Rule("cloud", "AIza[A-Za-z0-9_-]+", 39),
-    Rule("pay", "[sr]k_live_[A-Za-z0-9]+", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("forge", "gh[pousr]_[A-Za-z0-9]+", 40, scan="gh[pousr]_"),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 20, scan="xox[abprs]-"),
+    Rule("cloud", "AIza[A-Za-z0-9_-]+", 39, scan="AIza"),
+    Rule("pay", "[sr]k_live_[A-Za-z0-9]+", 24, scan="[sr]k_live_"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, scan="eyJ"),
+    Rule("key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", scan="PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
 
 @lru_cache
 def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa]]:
-    return compile_rules([r.pattern for r in rules], search=True), [compile_rules([r.pattern], search=False) for r in rules]
+    return compile_rules([r.scan or r.pattern for r in rules], search=True), [compile_rules([r.pattern], search=False) for r in rules]
 
 
 def _long_enough(rule: Rule, found: bytes) -> bool:
