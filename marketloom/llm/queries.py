@@ -6,9 +6,10 @@ from .decontamination import op1_decontamination
 from .jaccard_join import op5_jaccard_join
 from .secrets import op6_secrets
 from .sentencepiece import op4_sentencepiece
+from .toxicity import op10_toxicity
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
-           "op6_secrets": op6_secrets}
+           "op6_secrets": op6_secrets, "op10_toxicity": op10_toxicity}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
