@@ -301,11 +301,11 @@ def digests(documents: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc
     return docs.mapInArrow(run, schema)
 
 
-def _public_model() -> str:
+def public_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op4_sentencepiece(spark, folder: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{folder}/documents.parquet"), _public_model())
+    return digests(spark.read.parquet(f"{folder}/documents.parquet"), public_model())
