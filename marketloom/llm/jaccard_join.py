@@ -210,13 +210,14 @@ def _verify(pdf: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
 def links(documents: DataFrame, ids: DataFrame, pairs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Those (hub, sid) pairs whose sets link. Members of a hub are dealt into parts of bounded size, each with the hub's text."""
     size = pairs.join(ids.select("sid", F.col("n").alias("m")), "sid")
-    parts = size.groupBy("hub").agg(F.ceil(F.sum("m") / 500_000).cast("int").alias("parts"))
+    parts = stored(size.groupBy("hub").agg(F.ceil(F.sum("m") / 500_000).cast("int").alias("parts")), "parts")  # stored, so the next join can split a hot hub
     member = pairs.join(parts, "hub").select("hub", "sid", (F.pmod(F.xxhash64("sid"), F.col("parts"))).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hubs = parts.select("hub", F.col("hub").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     want = stored(member.union(hubs).join(ids.select("sid", "doc_id"), "sid"), "wanted")
+    discard(parts)
     bits = documents.sparkSession.sparkContext.broadcast(_doc_bits(want.select("doc_id")))
     texts = documents.select("doc_id", "text").mapInArrow(lambda it: _only(it, bits.value), "doc_id long, text string")
-    rows = texts.join(want, "doc_id").select("hub", "part", "sid", "is_hub", "text")
+    rows = texts.join(want.hint("merge"), "doc_id").select("hub", "part", "sid", "is_hub", "text")
     return rows.groupBy("hub", "part").applyInPandas(lambda pdf: _verify(pdf, n, percent), "a long, b long"), want
 
 
