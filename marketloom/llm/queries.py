@@ -5,12 +5,13 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .html_extraction import op2_html_extraction
 from .jaccard_join import op5_jaccard_join
+from .language_id import op7_language_id
 from .secrets import op6_secrets
 from .sentencepiece import op4_sentencepiece
 from .toxicity import op10_toxicity
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_html_extraction": op2_html_extraction, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
-           "op6_secrets": op6_secrets, "op10_toxicity": op10_toxicity}
+           "op6_secrets": op6_secrets, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
