@@ -9,9 +9,10 @@ from .language_id import op7_language_id
 from .secrets import op6_secrets
 from .sentencepiece import op4_sentencepiece
 from .toxicity import op10_toxicity
+from .vector_search import op8_top_k
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_html_extraction": op2_html_extraction, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
-           "op6_secrets": op6_secrets, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
+           "op6_secrets": op6_secrets, "op7_language_id": op7_language_id, "op8_top_k": op8_top_k, "op10_toxicity": op10_toxicity}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -27,4 +28,11 @@ its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item
 con as (select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from dw left join hit using (doc_id) left join its using (doc_id))"""
 
-SQL = {"op1_decontamination": f"with docs as (select * from documents), {CONTAMINATION} select * from con"}
+TOP_K = """with v as (select vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)) x from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from s)
+select * from r where "rank" <= 10"""
+
+SQL = {"op8_top_k": TOP_K,
+       "op1_decontamination": f"with docs as (select * from documents), {CONTAMINATION} select * from con"}
