@@ -14,7 +14,7 @@ _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _CODES = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_CODES = _CODES[_LOWER]  # A-Z count as a-z
+_EXACT, _CODES = _CODES, _CODES[_LOWER]  # the second: A-Z count as a-z
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -78,15 +78,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased, from running polynomial sums."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of words in text order, from running polynomial sums; fold: A-Z count as a-z."""
+    codes = _CODES if fold else _EXACT
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, "right")))
         part = data[low:ends[to - 1]]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[part] * _power("up", _MULT, len(part)), out=sums[1:])
+        np.cumsum(codes[part] * _power("up", _MULT, len(part)), out=sums[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (sums[e] - sums[s]) * _power("down", _INV, len(part))[s]
         at = to

@@ -65,9 +65,9 @@ def word_means(weight: np.ndarray, grams: np.ndarray, count: np.ndarray) -> np.n
     return out
 
 
-def word_table(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words: index of one occurrence of each, which one every occurrence is, and their hashes."""
-    hashes, one, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes, one, which = np.unique(word_hashes(data, starts, ends, fold), return_index=True, return_inverse=True)
     order = np.argsort(one)  # in order of appearance
     place = np.empty(len(one), np.int64)
     place[order] = np.arange(len(one))
