@@ -36,17 +36,12 @@ def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     return d.withColumn(out, F.when(n >= 1, hashed).otherwise(F.array().cast("array<bigint>"))).drop("_words")
 
 
-def seeds(bands: int) -> list[int]:
-    """Fixed odd constants, one per band: h xor seed reorders the hashes, so its minimum is one min-hash."""
-    return [((i + 1) * 0x9E3779B97F4A7C15 ^ 0xD6E8FEB86659FD93) % (1 << 63) for i in range(bands)]
-
-
 def _signature(hashes, bands: int):
     """One min-hash a band (bands of one row): two sets with Jaccard similarity J collide in some band with probability 1 - (1 - J)^bands."""
     def low(seed: int):
-        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(seed))))
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
 
-    return F.array(*[low(s) for s in seeds(bands)])
+    return F.array(*[low(s) for s in range(bands)])
 
 
 def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int = BANDS, contained: float = CONTAINED) -> DataFrame:
