@@ -34,7 +34,6 @@ query("correlation_clusters", sql("brets", f"SELECT cluster, leader, count(*)+1
 np AS (SELECT nd.*, coalesce(prev, []) AS prev FROM nd LEFT JOIN el ON el.cluster=nd.cluster AND el.b=nd.s),
 gr AS (SELECT cluster, i, [s] AS ls FROM np WHERE i=1 UNION ALL SELECT n.cluster, n.i, CASE WHEN list_has_any(n.prev, g.ls) THEN g.ls ELSE list_append(g.ls, n.s) END FROM gr g JOIN np n ON n.cluster=g.cluster AND n.i=g.i+1)""").replace("WITH ", "WITH RECURSIVE ", 1))(lambda t: k.correlation_clusters(cov(t), 0.03))
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-query("pca_factors")(lambda t: k.pca_factors(brets(t), BRANDS))
 
 
 def weights(t):

@@ -71,12 +71,12 @@ def mix_sql(a, b, seed=42):
 
 
 def pois(x):
-    return "CASE " + " ".join(f"WHEN {x}/2147483647.0::DOUBLE<{p!r} THEN {i}" for i, p in enumerate(k.POISSON)) + " ELSE 8 END"
+    return "CASE " + " ".join(f"WHEN {x}/2147483647.0::DOUBLE<{p!r} THEN {i}" for i, p in enumerate(k.POISSON)) + f" ELSE {len(k.POISSON)} END"
 
 
 BOOT = f"""ba AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY ts)-1)//10 AS blk, r FROM rets),
 bb AS (SELECT symbol, blk, count(*) AS n, sum(r) AS s, sum(r*r) AS ss FROM ba GROUP BY ALL),
-bw AS MATERIALIZED (SELECT blk, rep, {pois('x')} AS w FROM (SELECT blk, rep, {mix_sql('rep', 'blk')} AS x FROM (SELECT DISTINCT blk FROM bb), range(200) g(rep))),
+bw AS MATERIALIZED (SELECT blk, rep, {pois('x')} AS w FROM (SELECT blk, rep, {mix_sql('rep', 'blk')} AS x FROM (SELECT DISTINCT blk FROM bb), range(10000) g(rep))),
 bc AS (SELECT symbol, rep, sum(w*n) AS n, sum(w*s) AS s, sum(w*ss) AS ss FROM bb JOIN bw USING (blk) WHERE w>0 GROUP BY ALL),
 bd AS (SELECT symbol, {sdiv(f's/n-{RF_DAILY!r}::DOUBLE', 'sqrt(greatest((ss-s*s/n)/(n-1),0))')}*{S} AS sr FROM bc WHERE n>1),
 boot AS (SELECT symbol, avg(sr) AS bm, quantile_cont(sr,0.025) AS ci_lower, quantile_cont(sr,0.975) AS ci_upper, avg((sr>0)::INT)*100 AS p0, avg((sr>1)::INT)*100 AS p1 FROM bd GROUP BY symbol)"""
@@ -89,7 +89,7 @@ td AS (SELECT *, sum(lr) OVER (PARTITION BY strategy, rep ORDER BY slot, pos ROW
 te AS (SELECT strategy, rep, lr, exp(c-max(c) OVER (PARTITION BY strategy, rep ORDER BY slot, pos ROWS UNBOUNDED PRECEDING))-1 AS dd FROM td),
 tf AS (SELECT strategy, rep, (exp(sum(lr))-1)*100 AS ret, min(dd)*100 AS mdd FROM te GROUP BY ALL)"""))(lambda t: k.block_bootstrap_trades(t.trades(), stake=0.01))
 query("bootstrap_win_rate", sql("trades", f"SELECT strategy, {r6('mean_pct=avg(wr)*100;ci_lower_pct=quantile_cont(wr,0.025)*100;ci_upper_pct=quantile_cont(wr,0.975)*100')} FROM (SELECT strategy, rep, sum(w*win)/sum(w) AS wr FROM (SELECT strategy, rep, win, {pois('x')} AS w FROM "
-      f"(SELECT strategy, rep, (net_pnl_usd>0)::INT AS win, {mix_sql('rep', 'trade_id')} AS x FROM trades, range(100) g(rep))) GROUP BY ALL) GROUP BY strategy"))(lambda t: k.bootstrap_win_rate(t.trades()))
+      f"(SELECT strategy, rep, (net_pnl_usd>0)::INT AS win, {mix_sql('rep', 'trade_id')} AS x FROM trades, range(1000) g(rep))) GROUP BY ALL) GROUP BY strategy"))(lambda t: k.bootstrap_win_rate(t.trades()))
 query("win_rate_significance", sql("trades", f"""SELECT strategy, n, {r6(f'win_rate_pct=wr*100;z_stat=z;p_value=p;min_tstat={k.MIN_T!r};adjusted_p=least(p*{k.TESTS},1)')}, p<0.05 AS significant, rn AS required_n, greatest(0,rn-n) AS shortfall, abs(z)>={k.MIN_T!r}::DOUBLE AS passes_correction
  FROM (SELECT *, 1-{phi_sql('z')} AS p, CASE WHEN abs(wr-0.5)>0.001 THEN floor({k.POWER!r}::DOUBLE/(abs(wr-0.5)**2))::BIGINT+1 ELSE 99999 END AS rn FROM (SELECT *, (wr-0.5)/sqrt(0.25/n) AS z FROM (SELECT strategy, count(*) AS n, avg((net_pnl_usd>0)::INT) AS wr FROM trades GROUP BY strategy)))"""))(
     lambda t: k.win_rate_significance(t.trades()))

@@ -80,7 +80,7 @@ def _tickers(t):
 
 query("parse_ticker_24h", f"SELECT 'S'||s_suppkey AS coin, {r6('volume=s_acctbal')} FROM supplier WHERE s_suppkey%3<>0 AND s_acctbal>=2000")(lambda t: k.parse_ticker_24h(_tickers(t), 2000.0))
 query("html_ticker_extract", "SELECT ticker, min(page_id) AS first_page, count(*) AS hits FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*>([A-Za-z]{2,5})</a>', 1)) AS ticker FROM pages) GROUP BY ticker ORDER BY first_page, ticker LIMIT 500")(
-    lambda t: k.html_ticker_extract(t.base("pages"), "a", "[A-Za-z]{2,5}"))
+    lambda t: k.html_ticker_extract(t.base("pages"), "a", "[A-Za-z]{2,5}", 500))
 query("sanitize_non_finite", f"SELECT event_id, {r6('x=CASE WHEN event_id%5<>0 AND event_id%7<>0 THEN value END;y=CASE WHEN event_id%3<>0 THEN value END;', 6)}, CASE WHEN event_id%3<>0 THEN 1 ELSE 0 END AS n_ok FROM events")(
     lambda t: sanitize_non_finite(t.base("events").select(
         "event_id", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("value")).alias("x"),

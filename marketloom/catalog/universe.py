@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import features as ft, universe as k
+from ..plans import row_index, value_chunk
 from . import query
 from .views import r6, sql
 
@@ -12,18 +13,18 @@ query("normalize_symbol", f"SELECT raw, trim(upper(replace(replace(raw,'-USD',''
     lambda t: k.normalize_symbol(t.base("orders").select(F.expr("CASE o_custkey%4 WHEN 0 THEN concat('c',o_custkey,'-USD') WHEN 1 THEN concat('C',o_custkey,'USDT') WHEN 2 THEN concat(' c',o_custkey,' ') ELSE concat('C',o_custkey,'.jk') END").alias("raw")).distinct()))
 
 
-def _ranked(t, by, desc=True):
-    """Suppliers ranked by a column inside the supplier dimension."""
-    from pyspark.sql import Window
-
-    s = t.base("supplier").withColumn("g", F.lit(1))
-    o = F.col(by).desc() if desc else F.col(by)
-    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.row_number().over(Window.partitionBy("g").orderBy(o, "s_suppkey")) - 1).alias("pos"), "s_nationkey", "s_acctbal")
+def _ranked(t, by, desc=True, n=None):
+    """Suppliers ranked by a column. First n: a top-n list, numbered once it is small. All: positions from the counts of value chunks."""
+    s = t.base("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), "s_suppkey", (-F.col(by) if desc else F.col(by)).alias("o"))
+    if n is not None:
+        top = s.orderBy("o", "s_suppkey").limit(n).groupBy().agg(F.array_sort(F.collect_list(F.struct("o", "s_suppkey", "symbol"))).alias("a"))
+        return top.select(F.posexplode("a").alias("pos", "x")).select("x.symbol", "pos")
+    return row_index(s, [], ["o", "s_suppkey"], value_chunk("o")).select("symbol", F.col("_i").alias("pos"))
 
 
 UL = "u1 AS (SELECT 'S'||s_suppkey AS symbol, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)-1 AS pos FROM supplier), u2 AS (SELECT 'S'||s_suppkey AS symbol, row_number() OVER (ORDER BY s_acctbal, s_suppkey)-1 AS pos FROM supplier), u3 AS (SELECT 'S'||s_suppkey AS symbol, row_number() OVER (ORDER BY s_nationkey, s_suppkey)-1 AS pos FROM supplier)"
 query("universe_union", f"WITH {UL}, u AS (SELECT symbol, 0 AS list, pos FROM u1 WHERE pos<10 UNION ALL SELECT symbol, 1, pos FROM u2 WHERE pos<15 UNION ALL SELECT symbol, 2, pos FROM u3 WHERE pos<10) SELECT symbol, list, pos FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY list, pos) AS rn FROM u) WHERE rn=1")(
-    lambda t: k.universe_union([_ranked(t, "s_acctbal"), _ranked(t, "s_acctbal", False), _ranked(t, "s_nationkey", False)], [10, 15, 10]))
+    lambda t: k.universe_union([_ranked(t, "s_acctbal", n=10), _ranked(t, "s_acctbal", False, 15), _ranked(t, "s_nationkey", False, 10)], [10, 15, 10]))
 sym = lambda t, cond=None: (t.base("supplier").where(cond) if cond else t.base("supplier")).select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), "s_acctbal")
 query("universe_exclude", f"SELECT 'S'||s_suppkey AS symbol, {r6('s_acctbal')} FROM supplier WHERE NOT (s_nationkey IN (3,5,7))")(lambda t: k.universe_exclude(sym(t), sym(t, "s_nationkey IN (3,5,7)")))
 query("universe_confirmed", f"SELECT 'S'||s_suppkey AS symbol, {r6('s_acctbal')} FROM supplier WHERE s_acctbal>3000")(lambda t: k.universe_confirmed(sym(t), sym(t, "s_acctbal > 3000")))
@@ -34,7 +35,7 @@ query("categorise_universe", f"WITH {UL}, c AS (SELECT symbol, pos AS rank, CASE
     lambda t: k.categorise_universe(_ranked(t, "s_acctbal").select("symbol", F.col("pos").alias("rank")), t.base("supplier").where("s_nationkey < 10").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("category")), 3))
 query("align_inner", sql("bars_brand", 'SELECT a.ts, ' + r6('Brand11=a.close;Brand12=b.close;Brand13=c.close').replace("AS Brand11", 'AS "Brand#11"').replace("AS Brand12", 'AS "Brand#12"').replace("AS Brand13", 'AS "Brand#13"') + " FROM bars_brand a JOIN bars_brand b ON b.ts=a.ts AND b.symbol='Brand#12' JOIN bars_brand c ON c.ts=a.ts AND c.symbol='Brand#13' WHERE a.symbol='Brand#11'"))(
     lambda t: k.align_inner(t.bars_brand(), ["Brand#11", "Brand#12", "Brand#13"]))
-query("align_tail", sql("rets", f"SELECT a.symbol AS key, a.rev, {r6('ra=a.r;rb=b.r')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rev FROM rets) a JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rev FROM rets WHERE volume_odd) b USING (symbol, rev) WHERE rev<=250".replace("FROM rets WHERE volume_odd", "FROM rets WHERE day(ts)%2=1")))(
+query("align_tail", sql("rets", f"SELECT a.symbol AS key, a.rev, {r6('ra=a.r;rb=b.r')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rev FROM rets) a JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rev FROM rets WHERE volume_odd) b USING (symbol, rev)".replace("FROM rets WHERE volume_odd", "FROM rets WHERE day(ts)%2=1")))(
     lambda t: k.align_tail(ft.log_returns(t.bars()).withColumnRenamed("symbol", "key"), ft.log_returns(t.bars()).where(F.dayofmonth("ts") % 2 == 1).withColumnRenamed("symbol", "key")))
 query("asof_slice", sql("bars", f"SELECT symbol, scan_date, ts, {r6('close')} FROM (SELECT b.symbol, q.scan_date, b.ts, b.close, row_number() OVER (PARTITION BY b.symbol, q.scan_date ORDER BY b.ts DESC) AS rn, count(*) OVER (PARTITION BY b.symbol, q.scan_date) AS n FROM bars b JOIN (SELECT unnest([TIMESTAMP '1996-01-01', TIMESTAMP '1997-03-15', TIMESTAMP '1999-12-31', TIMESTAMP '2001-06-30']) AS scan_date) q ON b.ts<=q.scan_date) WHERE rn<=90 AND n>=55"))(
     lambda t: k.asof_slice(t.bars(), t.bars().select("symbol").distinct().withColumn("scan_date", F.explode(F.array(*[F.lit(d).cast("timestamp") for d in ("1996-01-01", "1997-03-15", "1999-12-31", "2001-06-30")])))))

@@ -94,13 +94,15 @@ def t_quantile(p: float, nu) -> Column:
 
 
 def sanitize_non_finite(df: DataFrame) -> DataFrame:
-    """NaN and infinities become null in every double column, inside arrays and structs too."""
+    """NaN and infinities become null in every double column, inside arrays, maps and structs too."""
 
     def fix(col: Column, t: T.DataType) -> Column:
         if isinstance(t, (T.DoubleType, T.FloatType)):
             return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), col)
         if isinstance(t, T.ArrayType):
             return F.transform(col, lambda x: fix(x, t.elementType))
+        if isinstance(t, T.MapType):
+            return F.transform_values(col, lambda _, v: fix(v, t.valueType))
         if isinstance(t, T.StructType):
             return F.when(col.isNotNull(), F.struct(*[fix(col[f.name], f.dataType).alias(f.name) for f in t.fields]))
         return col

@@ -85,28 +85,6 @@ def correlation_clusters(cov: DataFrame, thr: float = 0.7) -> DataFrame:
                                                   F.concat_ws(",", F.array_sort(F.collect_list("b"))).alias("members"))
 
 
-def pca_factors(rets: DataFrame, symbols: list[str], k: int = 3) -> DataFrame:
-    """Leading principal components of standardised returns (missing days count as zero), explained variance against the
-    Marchenko-Pastur bound, and the share of each symbol's variance they explain. MLlib builds the Gramian on the executors;
-    the driver only sees the symbol-by-symbol matrix of the requested list."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
-    from ..session import checkpointed
-
-    wide = rets.where(F.col("symbol").isin(symbols)).groupBy("ts").pivot("symbol", symbols).agg(F.first("r")).fillna(0.0)
-    wide = checkpointed(wide)  # three passes follow
-    t = wide.count()
-    names = [f"c{i}" for i in range(len(symbols))]
-    v = VectorAssembler(inputCols=names, outputCol="x").transform(wide.toDF("ts", *names))
-    z = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(v).transform(v)
-    model = PCA(k=k, inputCol="z", outputCol="f").fit(z)
-    n = len(symbols)
-    bound = (1 + math.sqrt(n / t)) ** 2
-    load, ev = model.pc.toArray(), model.explainedVariance.toArray() * n
-    rows = [(s, j + 1, float(load[i][j]), float(ev[j]), bool(ev[j] > bound), float(min(1.0, sum(load[i][q] ** 2 * ev[q] for q in range(k))))) for i, s in enumerate(symbols) for j in range(k)]
-    return rets.sparkSession.createDataFrame(rows, "symbol string, factor int, loading double, eigenvalue double, significant boolean, r_squared double")
-
-
 def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
     """weights: (portfolio, symbol, w) -> (portfolio, ts, pr); partial sums combine before the shuffle."""
     return rets.select("symbol", "ts", "r").join(weights, "symbol").groupBy("portfolio", "ts").agg(F.sum(F.col("w") * F.col("r")).alias("pr"))
@@ -117,10 +95,11 @@ def portfolio_scan(rets: DataFrame, weights: DataFrame, rf: float = 0.04, conf:
     pr = portfolio_returns(rets, weights)
     q = quantiles(pr, ["portfolio"], "pr", {"v": 1 - conf})
     a = pr.join(q, "portfolio").groupBy("portfolio").agg((F.avg("pr") * ANN).alias("ret"), (F.stddev_pop("pr") * S).alias("vol"), (-F.avg(F.when(F.col("pr") <= F.col("v"), F.col("pr")))).alias("cvar"))
-    a = a.withColumns({"sharpe": (F.col("ret") - rf) / F.greatest("vol", F.lit(1e-12)), "_g": F.lit(1)})
-    best = a.groupBy("_g").agg(F.max_by("portfolio", "sharpe").alias("bs"), F.min_by("portfolio", "vol").alias("bv"), F.min_by("portfolio", "cvar").alias("bc"))
+    # `best` is one row
+    a = a.withColumns({"sharpe": (F.col("ret") - rf) / F.greatest("vol", F.lit(1e-12))})
+    best = a.groupBy().agg(F.max_by("portfolio", "sharpe").alias("bs"), F.min_by("portfolio", "vol").alias("bv"), F.min_by("portfolio", "cvar").alias("bc"))
     p = F.col("portfolio")
-    return a.join(best, "_g").select("portfolio", "ret", "vol", "sharpe", "cvar", (p == F.col("bs")).alias("best_sharpe"), (p == F.col("bv")).alias("min_vol"), (p == F.col("bc")).alias("min_cvar"))
+    return a.crossJoin(best).select("portfolio", "ret", "vol", "sharpe", "cvar", (p == F.col("bs")).alias("best_sharpe"), (p == F.col("bv")).alias("min_vol"), (p == F.col("bc")).alias("min_cvar"))
 
 
 def inverse_variance_weights(cov: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, RF_DAILY, case, clamp, flag, lit, phi, safe_div, t_cdf, z_quantile
-from ..plans import BAR_CHUNK, TICK_CHUNK, bar_blocks, drawdown_rows, order_stats, quantiles, row_index, time_chunk
+from ..plans import BAR_CHUNK, TICK_CHUNK, bar_blocks, drawdown_rows, order_stats, quantiles, row_index, spread, time_chunk
 
 S = math.sqrt(ANN)
 
@@ -135,8 +135,8 @@ def deflated_sharpe(rets: DataFrame, n_trials: int = 25) -> DataFrame:
     return a.select("symbol", "observed_sharpe", "threshold", "probability", (F.col("probability") > 0.95).alias("significant"))
 
 
-# Cumulative probabilities of the Poisson(1) law for 0..7.
-POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998980343]
+#: Cumulative probabilities of the Poisson(1) law, as far as a draw of 31 bits can tell.
+POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(13)]
 
 
 def mix(*parts) -> Column:
@@ -152,19 +152,65 @@ def mix(*parts) -> Column:
 
 def poisson_weight(x: Column) -> Column:
     u = x / 2147483647.0
-    return case(*[(u < p, float(k)) for k, p in enumerate(POISSON)], default=8.0)
+    return case(*[(u < p, float(k)) for k, p in enumerate(POISSON)], default=float(len(POISSON)))
 
 
-def block_bootstrap_sharpe(rets: DataFrame, reps: int = 200, block: int = 10, seed: int = 42) -> DataFrame:
+def replicate_weights(keys, reps: int, seed: int):
+    """Poisson(1) draws of `poisson_weight(mix(replicate, key, seed))` as a NumPy matrix (reps x keys)."""
+    import numpy as np
+
+    m = 2147483647
+    x = np.arange(reps, dtype=np.int64)[:, None] * 1000003 + np.asarray(keys, np.int64)[None, :] * 8191 + seed * 131071
+    x = ((x % m) + 12345) * 48271 % m
+    x ^= x >> 13
+    x = x * 69621 % m
+    return np.searchsorted(POISSON, x / 2147483647.0, side="right").astype(np.float64)
+
+
+def replicate_sums(df: DataFrame, group: str, key: str, values: list[str], reps: int, seed: int, span: int = 512) -> DataFrame:
+    """(group, rep, values): per replicate the Poisson-weighted sums of `values` over the rows of a group; rows draw by their integer `key`.
+
+    Rows of one group and one run of `span` keys meet in a task, where all replicates are one matrix product; what is shuffled after
+    that is a row per group, run and replicate."""
+    kind = df.schema[group].dataType.simpleString()
+    x = df.select(group, F.col(key).cast("long").alias("_k"), F.floor(F.col(key) / span).cast("long").alias("_run"), *[F.col(v).cast("double").alias(v) for v in values])
+    x = spread(x, group, "_run").sortWithinPartitions(group, "_run", "_k")
+
+    def products(batches):
+        import numpy as np
+        import pandas as pd
+
+        held, open_tag, pending = {}, None, []
+
+        def flush():
+            rows = pd.concat(pending)
+            keys = rows["_k"].to_numpy()
+            if held.get("keys") != keys.tobytes():  # groups of one length share their draws
+                held.update(keys=keys.tobytes(), w=replicate_weights(keys, reps, seed))
+            sums = held["w"] @ rows[values].to_numpy()
+            return pd.DataFrame({group: rows[group].iloc[0], "rep": np.arange(reps, dtype=np.int32), **{v: sums[:, i] for i, v in enumerate(values)}})
+
+        for pdf in batches:
+            for tag, part in pdf.groupby([group, "_run"], sort=False, dropna=False):
+                if pending and tag != open_tag:
+                    yield flush()
+                    pending.clear()
+                open_tag = tag
+                pending.append(part)
+        if pending:
+            yield flush()
+
+    out = x.mapInPandas(products, f"{group} {kind}, rep int, " + ", ".join(f"{v} double" for v in values))
+    return out.groupBy(group, "rep").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def block_bootstrap_sharpe(rets: DataFrame, reps: int = 10_000, block: int = 10, seed: int = 42) -> DataFrame:
     """Block bootstrap of the Sharpe ratio. Blocks of consecutive rows are reduced to (n, sum, sum of squares);
-    each replicate weighs every block by an independent Poisson(1) draw, so replicates are partial sums
-    that combine before the shuffle."""
+    each replicate weighs every block by an independent Poisson(1) draw."""
     d = row_index(rets.select("symbol", "ts", "r"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK))
     b = d.groupBy("symbol", F.floor(F.col("_i") / block).cast("long").alias("blk")).agg(
         F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
-    x = b.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = poisson_weight(mix(F.col("rep"), F.col("blk"), seed))
-    x = x.withColumn("w", w).where("w > 0").groupBy("symbol", "rep").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "s", "ss")])
+    x = replicate_sums(b, "symbol", "blk", ["n", "s", "ss"], reps, seed)
     m, n = F.col("s") / F.col("n"), F.col("n")
     sd = F.sqrt(F.greatest((F.col("ss") - n * m * m) / (n - 1), F.lit(0.0)))
     x = x.where("n > 1").withColumn("sr", safe_div(m - RF_DAILY, sd) * S)
@@ -193,12 +239,10 @@ def block_bootstrap_trades(trades: DataFrame, reps: int = 20, block: int = 5, ru
                                      (F.avg(flag(F.col("mdd") <= ruin * 100)) * 100).alias("ruin_pct"), (F.avg(flag(F.col("ret") > 0)) * 100).alias("prob_positive_pct"))
 
 
-def bootstrap_win_rate(trades: DataFrame, reps: int = 100, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the win rate: replicate sums combine before the shuffle."""
-    x = trades.select("strategy", "trade_id", (F.col("net_pnl_usd") > 0).cast("int").alias("win"))
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    x = x.withColumn("w", poisson_weight(mix(F.col("rep"), F.col("trade_id"), seed)))
-    x = x.groupBy("strategy", "rep").agg((F.sum(F.col("w") * F.col("win")) / F.sum("w")).alias("wr"))
+def bootstrap_win_rate(trades: DataFrame, reps: int = 1_000, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of the win rate: every trade draws by its id."""
+    x = trades.select("strategy", "trade_id", (F.col("net_pnl_usd") > 0).cast("double").alias("win"), F.lit(1.0).alias("n"))
+    x = replicate_sums(x, "strategy", "trade_id", ["win", "n"], reps, seed).where("n > 0").withColumn("wr", F.col("win") / F.col("n"))
     return x.groupBy("strategy").agg((F.avg("wr") * 100).alias("mean_pct"), (F.percentile("wr", F.lit(0.025)) * 100).alias("ci_lower_pct"),
                                      (F.percentile("wr", F.lit(0.975)) * 100).alias("ci_upper_pct"))
 
@@ -236,7 +280,7 @@ def performance_gates(rets: DataFrame, trades: DataFrame, target_sr: float = 1.5
                     (F.col("blockers") == "").alias("all_met"), "blockers")
 
 
-def strategy_report(rets: DataFrame, trades: DataFrame, n_trials: int = 25, reps: int = 200) -> DataFrame:
+def strategy_report(rets: DataFrame, trades: DataFrame, n_trials: int = 25, reps: int = 10_000) -> DataFrame:
     """One row per symbol: performance, validity, risk, trade statistics, gates and verdict."""
     m = rets.groupBy("symbol").agg(F.count("r").alias("n_obs"), (F.avg("r") * ANN).alias("mu"), (F.stddev_pop("r") * S).alias("vol"),
                                    (F.avg("r") / (F.stddev_samp("r") / F.sqrt(F.count("r").cast("double")))).alias("t_stat"))

@@ -45,7 +45,7 @@ def activity_rank(df: DataFrame, n: int) -> DataFrame:
 def categorise_universe(u: DataFrame, dim: DataFrame, n: int = 20, other: int = 25) -> DataFrame:
     """Category of each ranked symbol (symbol, rank), at most n per category; unknown symbols go to OTHER (at most ``other``)."""
     x = u.join(dim, "symbol", "left").withColumn("category", F.coalesce("category", F.lit("OTHER")))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("rank", "symbol")))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("rank", "symbol"))).where(F.col("k") <= max(n, other))  # a limit before the shuffle
     return x.where(((F.col("category") == "OTHER") & (F.col("k") <= other)) | ((F.col("category") != "OTHER") & (F.col("k") <= n))).select("category", "symbol", "rank", "k")
 
 
@@ -54,9 +54,12 @@ def align_inner(bars: DataFrame, symbols: list[str]) -> DataFrame:
     return bars.where(F.col("symbol").isin(symbols)).groupBy("ts").pivot("symbol", symbols).agg(F.max("close")).dropna()
 
 
-def align_tail(a: DataFrame, b: DataFrame, n: int = 250) -> DataFrame:
-    """Two series (key, ts, r) paired from their newest rows backwards, at most n rows."""
-    k = lambda d, c: last_rows(d.select("key", "ts", "r"), ["key"], ["ts"], n).select("key", F.col("_rev").alias("rev"), F.col("r").alias(c))
+def align_tail(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two series (key, ts, r) paired from their newest rows backwards, as far as the shorter one goes."""
+    def k(d, c):
+        d = row_index(d.select("key", "ts", "r"), ["key"], ["ts"], time_chunk("ts", BAR_CHUNK))
+        return d.select("key", (F.col("_n") - F.col("_i")).alias("rev"), F.col("r").alias(c))
+
     return k(a, "ra").join(k(b, "rb"), ["key", "rev"])
 
 

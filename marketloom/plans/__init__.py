@@ -32,7 +32,7 @@ def time_chunk(ts, seconds: int) -> Column:
 
 def value_chunk(x) -> Column:
     """Coarse, order-preserving cut of a double column: relative steps of 1/4096, finer around zero."""
-    return F.floor(F.asinh(c(x) * 1e4) * 4096).cast("long")
+    return F.floor(F.signum(c(x)) * F.asinh(F.abs(c(x)) * 1e4) * 4096).cast("long")  # asinh itself loses digits below zero
 
 
 def _carry(df: DataFrame, keys: list[str], parts: dict[str, tuple[str, Column]]) -> DataFrame:

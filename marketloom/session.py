@@ -25,8 +25,12 @@ def local_session(cpus: int | str = 8, app: str = "marketloom", **conf) -> Spark
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketloom")
+    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only in local mode without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "marketloom")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -69,11 +69,11 @@ def parse_ticker_24h(raw: DataFrame, min_vol: float = 5e6, suffix: str = "USDT",
     return x.select(F.expr(f"substring(symbol, 1, length(symbol) - {len(suffix)})").alias("coin"), "volume")
 
 
-def html_ticker_extract(pages: DataFrame, tag: str = "td", token: str = "[A-Z]{2,5}", n: int = 500) -> DataFrame:
-    """Distinct tokens in table cells, ordered by their first page, first n (the feature is a bounded list)."""
+def html_ticker_extract(pages: DataFrame, tag: str = "td", token: str = "[A-Z]{2,5}", n: int | None = None) -> DataFrame:
+    """Distinct tokens in table cells with their first page; n: only the first n by that page."""
     hits = F.regexp_extract_all("html", F.lit(f"<{tag}[^>]*>({token})</{tag}>"), F.lit(1))
     x = pages.select("page_id", F.explode(hits).alias("ticker")).groupBy("ticker").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("hits"))
-    return x.orderBy("first_page", "ticker").limit(n)
+    return x.orderBy("first_page", "ticker").limit(n) if n is not None else x
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition: str = "symbol", mode: str = "errorifexists") -> DataFrame:

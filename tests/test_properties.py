@@ -42,14 +42,6 @@ def test_shrinkage_weight_in_unit_interval(tables, method):
     assert s["rho"].between(0, 1).all() and (s.loc[s["a"] == s["b"], "cov_shrunk"] > 0).all()
 
 
-def test_pca_share_of_variance(tables):
-    names = [f"Brand#{i}" for i in range(1, 9)]
-    p = pf.pca_factors(ft.log_returns(tables.bars_brand()), names, k=2).toPandas()
-    assert len(p) == 16 and p["r_squared"].between(0, 1).all()
-    first = p.drop_duplicates("factor").sort_values("factor")["eigenvalue"].tolist()
-    assert first[0] >= first[1] > 0
-
-
 def test_vote_signal_bounds(tables):
     v = models.model_vote_signal(tables.bars()).toPandas()
     assert v["bull_probability_pct"].between(0, 100).all() and v["confidence"].between(0, 100).all()
