@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULT, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _CODES = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -17,7 +17,8 @@ PERCENT = 75
 MATCHES = 5  # longest extension of a prefix, in tokens
 HEAVY = 12  # documents that make a token heavy
 HEAVY_KEPT = 1 << 19  # the most frequent heavy tokens that are ordered by count; the rest are ordered by hash
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 2_000_000  # tokens of all texts a bucket
+HELD = 1_000_000  # tokens a task gathers before it sends them on
 WORD = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -71,7 +72,7 @@ def _token_counts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> It
         for s in shingle_sets(b.column("text"), n):
             held.append(s)
             size += len(s)
-        if size >= BUCKET_TOKENS:
+        if size >= HELD:
             yield flush()
             held, size = [], 0
     if size:
@@ -140,7 +141,7 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets:
                 m = len(order)
                 held.append((s[order], np.full(m, set_id(s)), np.full(m, len(s)), np.arange(m), np.full(m, l), c[order]))
                 size += m
-        if size >= BUCKET_TOKENS // 2:
+        if size >= HELD // 4:
             yield flush()
             held, size = [], 0
     if size:
