@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, phi, safe_div
-from ..plans import Blocks, bar_blocks, fold_blocks, last_rows, ordered_array
+from ..plans import BAR_CHUNK, Blocks, bar_blocks, fold_blocks, last_rows, memory, ordered_array, tail_rows, time_chunk
 
-LAST = 1000  # bars that fix the last value of an exponential average of span <= 50 to double precision
 
 
 def _lag(b: Blocks, col: str, k: int = 1) -> Column:
@@ -66,8 +65,8 @@ def ema(bars: DataFrame, spans=(20, 50), rows: int = 4096) -> DataFrame:
 
 
 def last_emas(bars: DataFrame, spans) -> DataFrame:
-    """EMA values at the last bar of each symbol, from its newest 1000 bars."""
-    t = last_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], LAST)
+    """EMA values at the last bar of each symbol, from as many bars as the longest span remembers in double precision."""
+    t = tail_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), memory(1 - 2 / (max(spans) + 1)))
     arr = t.groupBy("symbol").agg(ordered_array(["close"], "ts").alias("_a"))
     return arr.select("symbol", F.aggregate("_a", _ema_init(spans), _ema_step(spans, "close")).alias("_e")).select("symbol", "_e.*")
 

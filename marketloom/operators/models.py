@@ -1,7 +1,7 @@
 """Sequential and pair models as grouped Spark jobs.
 
-Filters whose memory fades work on the newest ``LAST`` bars of each symbol (a bounded array per symbol) or on blocks with
-a halo; estimators that fit a window take it as ``lookback``. No task ever holds a whole series."""
+Filters whose memory fades read as many bars as they remember (a bounded array per symbol) or blocks with a halo that long;
+data-dependent filters compose their maps block by block. Only the hidden Markov model holds a series in a task, and refuses longer ones."""
 
 from __future__ import annotations
 
@@ -10,16 +10,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, bar_blocks, blocked, fold_blocks, last_rows, ordered_array, spread, time_chunk
+from ..plans import BAR_CHUNK, bar_blocks, blocked, fold_blocks, last_rows, memory, ordered_array, spread, tail_rows, time_chunk
 from . import features as ft, portfolio as pf, structure as st
 
-LAST = 1000
+def trend_memory(r: float, q: float) -> int:
+    """Bars the constant-velocity filter remembers: the error's factor per bar under the settled gain, and the settling itself."""
+    a, b, c, steps = 1.0, 0.0, 1.0, 0
+    while steps < 1_000_000:
+        a, b, c = a + 2 * b + c + q * 0.25, b + c + q * 0.5, c + q
+        k0, k1 = a / (a + r), b / (a + r)
+        new = (1 - k0) * (1 - k0) * a + k0 * k0 * r, (1 - k0) * (b - k1 * a) + k0 * k1 * r, k1 * k1 * a - 2 * k1 * b + c + k1 * k1 * r
+        steps += 1
+        if steps > 1 and all(abs(x - y) <= 1e-15 * abs(y) for x, y in zip(new, old)):
+            break
+        a, b, c = old = new
+    trace, det = (1 - k0) + (1 - k1), (1 - k0) * (1 - k1) - (1 - k0) * -k1  # of (I - K H) F
+    disc = trace * trace / 4 - det
+    return memory(math.sqrt(det) if disc < 0 else abs(trace) / 2 + math.sqrt(disc))
 
 
 def kalman_trend(bars: DataFrame, r: float = 1e-3, q: float = 1e-5) -> DataFrame:
     """Constant-velocity filter at the last bar: level, trend, gain, one-sigma band, label.
-    With the default noise ratio the filter forgets by a factor 0.8 per bar, so 1000 bars fix the result to double precision."""
-    t = last_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], LAST)
+    The filter reads as many bars as it remembers in double precision at its noise ratio (``trend_memory``): the unbroken answer."""
+    t = tail_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), trend_memory(r, q))
     arr = t.groupBy("symbol").agg(ordered_array(["close", "_rev"], "ts").alias("_a"), F.count(F.lit(1)).alias("n")).where("n >= 10")
     d = lambda v: F.lit(float(v))
     z0 = F.col("_a")[0]["close"]
@@ -106,31 +119,86 @@ def cointegration_pairs(bars: DataFrame, pairs: DataFrame) -> DataFrame:
                                           case((z < -2, "LONG_SPREAD"), (z > 2, "SHORT_SPREAD"), ((z > -0.5) & (z < 0), "EXIT_LONG"), ((z > 0) & (z < 0.5), "EXIT_SHORT"), default="HOLD").alias("signal"))
 
 
-def kalman_hedge(bars: DataFrame, pairs: DataFrame, r: float = 1e-3, q: float = 1e-4, lookback: int = LAST) -> DataFrame:
-    """Time-varying hedge ratio y = beta x + alpha over the last ``lookback`` common bars of each pair, and the spread's z-score."""
-    t = last_rows(pf.pair_rows(bars, pairs, "close").select("a", "b", "ts", "x", "y"), ["a", "b"], ["ts"], lookback)
-    arr = t.groupBy("a", "b").agg(ordered_array(["x", "y", "_rev"], "ts").alias("_a"), F.count(F.lit(1)).alias("n")).where("n >= 20")
-    d = lambda v: F.lit(float(v))
-    start = F.struct(d(1).alias("be"), d(0).alias("al"), d(1).alias("p"), d(0).alias("o"), d(1).alias("w"), F.array().cast("array<double>").alias("sp"))
-
-    def step(s, z):
-        x, p, o, w = z["x"], s["p"] + q, s["o"], s["w"] + q
-        hp, ho = x * p + o, x * o + w  # P H
-        sv = F.greatest(x * hp + ho + r, F.lit(1e-9))
-        k0, k1 = hp / sv, ho / sv
-        e = z["y"] - x * s["be"] - s["al"]
-        be, al = s["be"] + k0 * e, s["al"] + k1 * e
-        # (I - K H) P (I - K H)' + r K K' written out for the 2 x 2 case
-        a0, a1, c0, c1 = 1 - k0 * x, -k0, -k1 * x, 1 - k1
-        u0, u1, v0, v1 = a0 * p + a1 * o, a0 * o + a1 * w, c0 * p + c1 * o, c0 * o + c1 * w
-        spread = F.when(z["_rev"] <= 20, F.array(z["y"] - be * x - al)).otherwise(F.array().cast("array<double>"))
-        return F.struct(be.alias("be"), al.alias("al"), (u0 * a0 + u1 * a1 + r * k0 * k0).alias("p"), (u0 * c0 + u1 * c1 + r * k0 * k1).alias("o"), (v0 * c0 + v1 * c1 + r * k1 * k1).alias("w"), F.concat(s["sp"], spread).alias("sp"))
-
-    x = arr.select("a", "b", "n", F.aggregate("_a", start, step).alias("s")).select("a", "b", "n", "s.*")
-    x = x.withColumn("mu", F.aggregate("sp", d(0), lambda a, v: a + v) / F.size("sp"))
-    x = x.withColumn("sd", F.sqrt(F.aggregate("sp", d(0), lambda a, v: a + (v - F.col("mu")) * (v - F.col("mu"))) / (F.size("sp") - 1)))
-    x = x.withColumn("z", (F.element_at("sp", -1) - F.col("mu")) / F.greatest("sd", F.lit(1e-9)))
-    return x.select("a", "b", F.col("be").alias("beta"), F.col("al").alias("alpha"), F.element_at("sp", -1).alias("spread"), F.col("sd").alias("spread_std"), F.col("z").alias("spread_zscore"),
+def _hedge_maps(q: float, r: float):
+    """Block -> one filtering element (A, b, C, eta, J): what the block does to any start mean and covariance. Elements of steps combine
+    associatively without losing either direction of the state, which products of transition matrices would."""
+
+    def compose(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("_i")
+        eye = np.eye(2)
+        A, b, C, e, J = eye, np.zeros(2), np.zeros((2, 2)), np.zeros(2), np.zeros((2, 2))
+        for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+            h = np.array([x, 1.0])
+            s = max(q * (x * x + 1) + r, 1e-9)
+            k = q * h / s
+            A2 = eye - np.outer(k, h)
+            J2 = np.outer(h, h) / s
+            D = A2 @ np.linalg.inv(eye + C @ J2)
+            B = A.T @ np.linalg.inv(eye + J2 @ C)
+            e, J = B @ (h * y / s - J2 @ b) + e, B @ J2 @ A + J
+            A, b, C = D @ A, D @ (b + C @ (h * y / s)) + k * y, D @ C @ A2.T + q * A2
+        return pd.DataFrame({"a": pdf["a"].iloc[:1], "b": pdf["b"].iloc[:1], "_b": pdf["_b"].iloc[:1], "m": [np.concatenate([A.ravel(), b, C.ravel(), e, J.ravel()]).tolist()]})
+
+    return compose
+
+
+def _hedge_start(pdf):
+    """Mean and covariance after all blocks of a pair but the last."""
+    import numpy as np
+    import pandas as pd
+
+    m, P, eye = np.array([1.0, 0.0]), np.eye(2), np.eye(2)
+    for v in pdf.sort_values("_b")["m"]:
+        v = np.asarray(v)
+        A, b, C, e, J = v[:4].reshape(2, 2), v[4:6], v[6:10].reshape(2, 2), v[10:12], v[12:].reshape(2, 2)
+        D = A @ np.linalg.inv(eye + P @ J)
+        m, P = D @ (m + P @ e) + b, D @ P @ A.T + C
+        P = (P + P.T) / 2
+    return pd.DataFrame({"a": pdf["a"].iloc[:1], "b": pdf["b"].iloc[:1], "start": [[m[0], m[1], P[0, 0], P[0, 1], P[1, 1]]]})
+
+
+def _hedge_end(q: float, r: float, last: int):
+    """The filter itself over a pair's last block."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("_i")
+        be, al, p, o, w = (float(v) for v in pdf["start"].iloc[0])
+        spreads = []
+        for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+            p, w = p + q, w + q
+            hp, ho = x * p + o, x * o + w
+            sv = max(x * hp + ho + r, 1e-9)
+            k0, k1 = hp / sv, ho / sv
+            e = y - x * be - al
+            be, al = be + k0 * e, al + k1 * e
+            a0, a1, c0, c1 = 1 - k0 * x, -k0, -k1 * x, 1 - k1
+            u0, u1, v0, v1 = a0 * p + a1 * o, a0 * o + a1 * w, c0 * p + c1 * o, c0 * o + c1 * w
+            p, o, w = u0 * a0 + u1 * a1 + r * k0 * k0, u0 * c0 + u1 * c1 + r * k0 * k1, v0 * c0 + v1 * c1 + r * k1 * k1
+            spreads.append(y - be * x - al)
+        spreads = spreads[-last:]
+        sd = float(np.std(spreads, ddof=1))
+        return pd.DataFrame({"a": pdf["a"].iloc[:1], "b": pdf["b"].iloc[:1], "be": [be], "al": [al], "spread": [spreads[-1]], "sd": [sd], "z": [(spreads[-1] - float(np.mean(spreads))) / max(sd, 1e-9)]})
+
+    return run
+
+
+def kalman_hedge(bars: DataFrame, pairs: DataFrame, r: float = 1e-3, q: float = 1e-4, rows: int = 8192, last: int = 20) -> DataFrame:
+    """Time-varying hedge ratio y = beta x + alpha over all common bars of each pair, and the z-score of the spread over its ``last`` bars.
+
+    Every block of ``rows`` bars becomes one small filtering element, a pair folds its elements, and only its last block is filtered bar by bar."""
+    b = blocked(pf.pair_rows(bars, pairs, "close").select("a", "b", "ts", "x", "y"), ["a", "b"], ["ts"], time_chunk("ts", BAR_CHUNK), rows=rows)
+    d = b.df.where("_n >= 20").select("a", "b", "_b", "_i", "x", "y", F.floor((F.col("_n") - last) / b.rows).cast("long").alias("_end"))
+    maps = spread(d.where("_b < _end"), "a", "b", "_b").groupBy("a", "b", "_b").applyInPandas(_hedge_maps(q, r), "a string, b string, _b long, m array<double>")
+    starts = maps.groupBy("a", "b").applyInPandas(_hedge_start, "a string, b string, start array<double>")
+    tail = d.where("_b >= _end").join(starts, ["a", "b"], "left").withColumn("start", F.coalesce("start", F.array(*[F.lit(v) for v in (1.0, 0.0, 1.0, 0.0, 1.0)])))
+    x = tail.groupBy("a", "b").applyInPandas(_hedge_end(q, r, last), "a string, b string, be double, al double, spread double, sd double, z double")
+    return x.select("a", "b", F.col("be").alias("beta"), F.col("al").alias("alpha"), "spread", F.col("sd").alias("spread_std"), F.col("z").alias("spread_zscore"),
                     case((F.col("z") < -2, "LONG_SPREAD"), (F.col("z") > 2, "SHORT_SPREAD"), default="HOLD").alias("signal"))
 
 
@@ -190,27 +258,33 @@ GARCH_ALPHA = [0.03, 0.05, 0.08, 0.12, 0.20]
 GARCH_BETA = [0.70, 0.78, 0.85, 0.90, 0.94]
 
 
-def garch_regime(bars: DataFrame, lookback: int = LAST) -> DataFrame:
-    """GARCH(1,1) by grid likelihood with the long-run variance as target, over the last ``lookback`` returns;
-    percentile of the current volatility -> regime and size multiplier. One task per symbol and grid point, arrays bounded."""
-    r = last_rows(ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr"), ["symbol"], ["ts"], lookback)
-    a = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a"), F.avg("lr").alias("mu"), F.var_pop("lr").alias("v"), F.count("lr").alias("n"), F.skewness("lr").alias("sk"), F.kurtosis("lr").alias("ku")).where("n >= 20")
-    a = a.withColumn("e2", F.transform("_a", lambda x: (x["lr"] - F.col("mu")) * (x["lr"] - F.col("mu"))))
+def garch_regime(bars: DataFrame, rows: int = 4096) -> DataFrame:
+    """GARCH(1,1) by grid likelihood over all returns with the long-run variance as target; percentile of the current volatility ->
+    regime and size multiplier. The variance keeps at most the largest beta of its past per bar, so blocks with a halo that long give
+    the unbroken recursion; likelihoods and ranks of blocks add up."""
+    r = ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr")
+    m = r.groupBy("symbol").agg(F.avg("lr").alias("mu"), F.var_pop("lr").alias("v"), F.count("lr").alias("n"), F.skewness("lr").alias("sk"), F.kurtosis("lr").alias("ku")).where("n >= 20")
+    b = bar_blocks(r, before=memory(max(GARCH_BETA)), rows=rows)
+    a = b.df.groupBy("symbol", "_b").agg(ordered_array(["lr", "_own"]).alias("_a")).join(m.select("symbol", "mu", "v"), "symbol")
+    a = a.select("symbol", "_b", "v", F.transform("_a", lambda x: F.struct(((x["lr"] - F.col("mu")) * (x["lr"] - F.col("mu"))).alias("e"), x["_own"].alias("own"))).alias("e2"))
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("al"), F.lit(j).alias("be")) for i in GARCH_ALPHA for j in GARCH_BETA if i + j < 0.9999]))
-    g = spread(a.select("symbol", "v", "e2", grid.alias("g")), "symbol", "g")
+    g = spread(a.withColumn("g", grid), "symbol", "_b", "g")
     om = F.col("v") * (1 - F.col("g.al") - F.col("g.be"))
 
-    def nll(s, e):
-        s2 = F.greatest(s["s2"], F.lit(1e-12))
-        return F.struct((om + F.col("g.al") * e + F.col("g.be") * s["s2"]).alias("s2"), (s["l"] + F.log(s2) + e / s2).alias("l"))
+    def fold(add):
+        """Variance along a block; add(variance, squared residual) is summed over the block's own rows."""
+        def step(s, x):
+            return F.struct((om + F.col("g.al") * x["e"] + F.col("g.be") * s["s2"]).alias("s2"), s["s2"].alias("at"), (s["l"] + F.when(x["own"], add(s["s2"], x["e"])).otherwise(0.0)).alias("l"))
 
-    g = g.select("symbol", "g", (F.aggregate("e2", F.struct(F.col("v").alias("s2"), F.lit(0.0).alias("l")), nll)["l"] / 2).alias("nll"))
-    best = g.groupBy("symbol").agg(F.min_by("g", F.struct(F.round("nll", 6), "g.al", "g.be")).alias("g"), F.min("nll").alias("nll"))
-    x = a.join(best, "symbol")
-    om = F.col("v") * (1 - F.col("g.al") - F.col("g.be"))
-    path = F.aggregate(F.slice("e2", 1, F.size("e2") - 1), F.array(F.col("v")), lambda s, e: F.concat(s, F.array(om + F.col("g.al") * e + F.col("g.be") * F.element_at(s, -1))))
-    x = x.withColumn("s2", path).withColumn("cur", F.element_at("s2", -1))
-    x = x.withColumns({"rank": F.size(F.filter("s2", lambda v: v < F.col("cur"))) / F.size("s2") * 100.0, "jb": F.col("n") / 6 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4)})
+        return F.aggregate("e2", F.struct(F.col("v").alias("s2"), F.col("v").alias("at"), F.lit(0.0).alias("l")), step)
+
+    g = g.select("symbol", "_b", "g", fold(lambda s2, e: F.log(F.greatest(s2, F.lit(1e-12))) + e / F.greatest(s2, F.lit(1e-12))).alias("s"))
+    g = g.groupBy("symbol", "g").agg((F.sum("s.l") / 2).alias("nll"), F.max_by("s.at", "_b").alias("cur"))
+    best = g.groupBy("symbol").agg(F.min_by(F.struct("g", "cur", "nll"), F.struct(F.round("nll", 6), "g.al", "g.be")).alias("x"), F.min("nll").alias("nll")).select("symbol", "x.g", "x.cur", "nll")
+    # rows are below by more than rounding: moments summed in another order move the last digit
+    low = a.join(best, "symbol").select("symbol", fold(lambda s2, e: F.when(s2 < F.col("cur") * (1 - 1e-12), 1.0).otherwise(0.0))["l"].alias("below")).groupBy("symbol").agg(F.sum("below").alias("below"))
+    x = m.join(best, "symbol").join(low, "symbol")
+    x = x.withColumns({"rank": F.col("below") / F.col("n") * 100.0, "jb": F.col("n") / 6 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4)})
     k = F.col("rank")
     return x.select("symbol", (F.sqrt("cur") * math.sqrt(ANN) * 100).alias("vol_annual_pct"), k.alias("vol_percentile"), F.col("g.al").alias("alpha"), F.col("g.be").alias("beta"), "nll",
                     case((k < 10, "ULTRA_LOW"), (k < 30, "LOW"), (k < 70, "NORMAL"), (k < 90, "HIGH"), default="CRISIS").alias("vol_regime"),
@@ -250,11 +324,14 @@ HMM_SCHEMA = ("symbol string, current_regime string, confidence_pct double, prob
               "history array<string>, means array<double>, vols array<double>, transition array<double>")
 
 
-def hmm_regime(bars: DataFrame, lookback: int = LAST, iters: int = 80) -> DataFrame:
-    """Three-state Gaussian hidden Markov model per symbol by expectation-maximisation over the last ``lookback`` returns.
-    The only Python operator: series are bounded by the lookback and NumPy does the recursions."""
-    r = last_rows(ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr"), ["symbol"], ["ts"], lookback)
-    arr = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a")).where(F.size("_a") >= 30).select("symbol", F.transform("_a", lambda x: x["lr"]).alias("r"))
+def hmm_regime(bars: DataFrame, iters: int = 80, most: int = 50_000) -> DataFrame:
+    """Three-state Gaussian hidden Markov model per symbol by expectation-maximisation over all its returns.
+    NumPy does the recursions on one array per symbol; a series of more than ``most`` returns stops the job instead of losing rows."""
+    r = ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr")
+    size = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    size = size.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("too many returns for one model: "), "symbol")).cast("long")).otherwise(F.col("n"))).where("n >= 30")
+    r = r.join(size, "symbol")
+    arr = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a")).select("symbol", F.transform("_a", lambda x: x["lr"]).alias("r"))
     # fitting costs far more than moving the arrays: spread the symbols over all tasks instead of by bytes
     return spread(arr, "symbol").mapInPandas(_hmm_batches(iters), HMM_SCHEMA)
 
@@ -267,9 +344,7 @@ def _hmm_batches(iters: int):
         import pandas as pd
 
         cols = [f.split()[0] for f in HMM_SCHEMA.split(", ")]
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (whole[i:i + 64] for whole in batches for i in range(0, len(whole), 64)):  # bounds the arrays below
             size = pdf["r"].map(len).to_numpy()
             n, top = len(pdf), int(size.max())
             x, on = np.zeros((top, n)), np.arange(top)[:, None] < size  # time first, short series padded at the end

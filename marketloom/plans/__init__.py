@@ -13,6 +13,7 @@ into blocks first, so that the largest task holds one block however many rows th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -157,6 +158,21 @@ def last_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str = "
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+def tail_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, n: int, name: str = "_rev") -> DataFrame:
+    """Newest n rows of each key like ``last_rows``; beyond 1000 rows positions come from chunk counts instead of a rank over the key."""
+    if n <= 1000:
+        return last_rows(df, keys, order, n, name)
+    d = row_index(df, keys, order, chunk)
+    return d.withColumn(name, F.col("_n") - F.col("_i")).where(F.col(name) <= n).drop("_i", "_n")
+
+
+def memory(factor: float, most: int = 1_000_000) -> int:
+    """Rows after which a recursion that keeps ``factor`` of its past per row has lost it to double precision."""
+    if not 0 <= factor < 1 or (n := math.ceil(math.log(1e-17) / math.log(factor)) if factor > 0 else 1) > most:
+        raise ValueError(f"these parameters leave a memory of more than {most} rows")
+    return n
+
+
 def order_stats(df: DataFrame, keys: list[str], value, ranks: dict) -> DataFrame:
     """Exact order statistics per key: ranks maps an output name to a function of the row count n giving the
     0-based rank. Equal values are counted first, then value chunks are counted, and only rows of a chunk that
