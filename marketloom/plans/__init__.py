@@ -5,7 +5,8 @@ into blocks first, so that the largest task holds one block however many rows th
 
 * ``blocked``     - rows get their position in the series and are cut every ``rows`` rows; each block carries a
                     copy of its neighbours' edge rows (the halo), so any frame no longer than the halo is exact.
-* ``running``     - unbounded running sums / maxima: scan inside a time chunk, plus the carry of earlier chunks.
+* ``running``     - unbounded running sums / maxima: scan inside a time chunk, plus the carry of earlier chunks; a chunk with
+                    more than SPLIT_ROWS rows is cut finer first, so a crowded day of one key is not one task.
 * ``last_rows``   - newest n rows per key; Spark turns the rank filter into a per-task limit before the shuffle.
 * ``order_stats`` - exact order statistics by counting value chunks and sorting only the chunk that is hit.
 * ``fold_blocks`` - sequential recursions over a block's array, for recursions that forget their start.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import c
 
@@ -24,6 +25,7 @@ BLOCK_ROWS = 8192  # rows per block: a task's unit of work, independent of the s
 DAY = 86400
 BAR_CHUNK = 366 * DAY  # coarse time cut for bars
 TICK_CHUNK = DAY  # coarse time cut for ticks and trades
+SPLIT_ROWS = 1_000_000  # a (key, chunk) with more rows is cut into finer stretches of its order column
 
 
 def time_chunk(ts, seconds: int) -> Column:
@@ -36,6 +38,21 @@ def value_chunk(x) -> Column:
     return F.floor(F.signum(c(x)) * F.asinh(F.abs(c(x)) * 1e4) * 4096).cast("long")  # asinh itself loses digits below zero
 
 
+def _chunked(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:
+    """Add _chunk: the coarse chunk, and inside a chunk that holds too many rows an equal stretch of the first order column, so that
+    one crowded day of a hot key is many tasks. Crowded chunks are counted first; there is at most one per SPLIT_ROWS rows, which
+    bounds the broadcast. Rows with one and the same value stay together. Chunks over row positions are bounded already."""
+    df = df.withColumn("_chunk", chunk)
+    if order[0] in ("_i", "slot"):
+        return df
+    t = c(order[0])
+    x = F.unix_micros(t) if isinstance(df.select(t.alias("t")).schema["t"].dataType, T.TimestampType) else t.cast("double")
+    per = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).where((F.col("_m") > SPLIT_ROWS) & (F.col("_hi") > F.col("_lo")))
+    hot = per.select(*keys, "_chunk", "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_m") / (SPLIT_ROWS / 4))).alias("_width"))
+    cut = F.coalesce(F.floor((x - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
+    return df.join(F.broadcast(hot), [*keys, "_chunk"], "left").withColumn("_chunk", F.struct(F.col("_chunk").alias("c"), cut.alias("s"))).drop("_lo", "_width")
+
+
 def _carry(df: DataFrame, keys: list[str], parts: dict[str, tuple[str, Column]]) -> DataFrame:
     """Per (key, _chunk): totals of all EARLIER chunks of the key. parts: name -> (sum|max|min, expression)."""
     agg = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -50,7 +67,8 @@ def running(df: DataFrame, keys: list[str], order: list, chunk: Column, *,
     want = {**{n: ("sum", c(x)) for n, x in (sums or {}).items()},
             **{n: ("max", c(x)) for n, x in (maxs or {}).items()},
             **{n: ("min", c(x)) for n, x in (mins or {}).items()}}
-    df = df.withColumn("_chunk", chunk)
+    columns = df.columns
+    df = _chunked(df, keys, order, chunk)
     carry = _carry(df, keys, {f"_c_{n}": v for n, v in want.items()})
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -63,12 +81,12 @@ def running(df: DataFrame, keys: list[str], order: list, chunk: Column, *,
             exprs.append(F.greatest(F.col(f"_c_{n}"), F.max(x).over(w)).alias(n))
         else:
             exprs.append(F.least(F.col(f"_c_{n}"), F.min(x).over(w)).alias(n))
-    return out.select(*[F.col(k) for k in df.columns if k != "_chunk"], *exprs)
+    return out.select(*[F.col(k) for k in columns], *exprs)
 
 
 def row_index(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:
     """Add _i, the 0-based position of each row in its key's series, and _n, the length of the series."""
-    df = df.withColumn("_chunk", chunk)
+    df = _chunked(df, keys, order, chunk)
     per = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_m"))
     wk = Window.partitionBy(*keys)
     carry = per.select(*keys, "_chunk", F.sum("_m").over(wk).alias("_n"),
@@ -214,7 +232,7 @@ def quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float]) ->
 def drawdown_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, log_ret) -> DataFrame:
     """Add cum = exp(running sum of log returns) and peak = its running maximum, in one carry pass.
     Inside a chunk the peak of the local sum is known; earlier chunks add one offset and one earlier peak."""
-    df = df.withColumns({"_chunk": chunk, "_x": c(log_ret)})
+    df = _chunked(df, keys, order, chunk).withColumn("_x", c(log_ret))
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = df.withColumn("_s", F.sum("_x").over(w))

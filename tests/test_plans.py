@@ -81,3 +81,27 @@ def test_cooldown_against_brute_force(hot, seconds):
                 want.add((s, q))
                 last = t
     assert got == want
+
+
+def test_crowded_day_of_one_key_is_cut(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from marketloom import plans
+
+    monkeypatch.setattr(plans, "SPLIT_ROWS", 1000)
+    rng = np.random.default_rng(2)
+    hot = pd.DataFrame({"symbol": "HOT", "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 86_400_000, 19_000)), unit="ms")})
+    cold = pd.DataFrame({"symbol": "B", "ts": pd.date_range("2020-01-01", periods=1000, freq="6h")})
+    pdf = pd.concat([hot, cold])
+    pdf["seq"], pdf["x"] = np.arange(len(pdf)), rng.normal(size=len(pdf))
+    df = spark.createDataFrame(pdf).repartition(8)
+    sizes = plans._chunked(df, ["symbol"], ["ts", "seq"], plans.time_chunk("ts", plans.TICK_CHUNK)).groupBy("symbol", "_chunk").count().agg(F.max("count")).first()[0]
+    assert sizes <= 1000
+    got = plans.running(plans.row_index(df, ["symbol"], ["ts", "seq"], plans.time_chunk("ts", plans.TICK_CHUNK)), ["symbol"], ["ts", "seq"], plans.time_chunk("ts", plans.TICK_CHUNK),
+                        sums={"s": "x"}, maxs={"m": "x"}).toPandas().sort_values(["symbol", "ts", "seq"])
+    want = pdf.sort_values(["symbol", "ts", "seq"])
+    by = want.groupby("symbol")["x"]
+    assert (got["_i"].to_numpy() == want.groupby("symbol").cumcount().to_numpy()).all()
+    assert np.allclose(got["s"], by.cumsum()) and np.allclose(got["m"], by.cummax())
