@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._arrays import SLICE_BYTES, bitmap, byte_class, find, grams, mix, slices, utf8, word_bounds, word_hashes
-from ._store import components, discard, stored
+from ._store import components, discard, small_batches, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -236,7 +236,11 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, percent: int = PERCE
     documents: doc_id long, text string; other columns are ignored. Null, empty and blank texts have no shingles and stay alone;
     repeated rows come out repeated; a row with a null doc_id keeps a null component_id unless its set has an id.
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n, percent)
+
+
+def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     sets = stored(documents.mapInArrow(lambda it: _sizes(it, n), "doc_id long, n long, sid long"), "sets")
     ids = sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
