@@ -31,12 +31,12 @@ def pairs(t):
 
 PR = "pw AS MATERIALIZED (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.close AS x, b.close AS y FROM bars_brand a JOIN bars_brand b ON a.ts=b.ts AND substr(a.symbol,7,1)=substr(b.symbol,7,1) AND a.symbol<b.symbol)"
 query("cointegration_pairs", sql("bars_brand", f"SELECT a, b, n, {r6('hedge_ratio=hr;intercept=round(ic,5);adf_statistic=adf;spread=sp;spread_mean=sm;spread_std=sd;zscore=z;half_life=coalesce(hl,9999)')}, adf<-3.34 AS is_cointegrated, CASE WHEN z<-2 THEN 'LONG_SPREAD' WHEN z>2 THEN 'SHORT_SPREAD' WHEN z>-0.5 AND z<0 THEN 'EXIT_LONG' WHEN z>0 AND z<0.5 THEN 'EXIT_SHORT' ELSE 'HOLD' END AS signal FROM (SELECT *, (sp-sm)/sd AS z FROM (SELECT *, coalesce(CASE WHEN rb>0 AND rb<1 THEN rc/(1-rb) END, ms) AS sm, CASE WHEN rb>0 AND rb<1 THEN ln(2)/-ln(rb) END AS hl, psi/sqrt((s00-psi*s1y-phi*s2y)*q/(q-3)*s22/(det*q)) AS adf FROM pg))",
-      PR + """, po AS (SELECT a, b, count(*) AS n, regr_slope(y,x) AS hr, regr_intercept(y,x) AS ic FROM pw GROUP BY ALL),
+      PR + """, po AS (SELECT a, b, count(*) AS n, regr_slope(y,x) AS hr, regr_intercept(y,x) AS ic FROM pw GROUP BY ALL HAVING count(*)>=30),
 ps AS (SELECT a, b, ts, y-ic-hr*x AS s FROM pw JOIN po USING (a, b)), pl AS (SELECT *, lag(s) OVER w AS l, s-lag(s) OVER w AS dy, lag(s) OVER w-lag(s,2) OVER w AS d1 FROM ps WINDOW w AS (PARTITION BY a, b ORDER BY ts)),
 pm AS (SELECT a, b, count(d1) AS q, covar_pop(l,l) FILTER (d1 IS NOT NULL) AS s11, covar_pop(d1,d1) AS s22, covar_pop(l,d1) AS s12, covar_pop(l,dy) FILTER (d1 IS NOT NULL) AS s1y, covar_pop(d1,dy) AS s2y, covar_pop(dy,dy) FILTER (d1 IS NOT NULL) AS s00, regr_slope(s,l) AS rb, regr_intercept(s,l) AS rc, arg_max(s,ts) AS sp, avg(s) AS ms, stddev_samp(s) AS sd FROM pl GROUP BY ALL),
 pg AS (SELECT *, (s1y*s22-s2y*s12)/det AS psi, (s2y*s11-s1y*s12)/det AS phi FROM (SELECT *, s11*s22-s12*s12 AS det FROM pm JOIN po USING (a, b)))"""))(lambda t: k.cointegration_pairs(t.bars_brand(), pairs(t)))
 query("kalman_hedge", rec("bars_brand", f"SELECT a, b, {r6('beta=be;alpha=al;spread=s;spread_std=sd;spread_zscore=z')}, CASE WHEN z<-2 THEN 'LONG_SPREAD' WHEN z>2 THEN 'SHORT_SPREAD' ELSE 'HOLD' END AS signal FROM (SELECT a, b, arg_max(be,i) AS be, arg_max(al,i) AS al, arg_max(s,i) AS s, stddev_samp(s) FILTER (i>n-20) AS sd, (arg_max(s,i)-avg(s) FILTER (i>n-20))/stddev_samp(s) FILTER (i>n-20) AS z FROM hf JOIN (SELECT a, b, max(i) AS n FROM hp GROUP BY ALL) USING (a, b) WHERE i>0 GROUP BY a, b)",
-      PR + """, hp AS MATERIALIZED (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY ts) AS i FROM pw),
+      PR + """, hp AS MATERIALIZED (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY ts) AS i FROM pw JOIN (SELECT a, b FROM pw GROUP BY ALL HAVING count(*)>=20) USING (a, b)),
 hf AS (SELECT a, b, 0::BIGINT AS i, 1::DOUBLE AS be, 0::DOUBLE AS al, 1::DOUBLE AS p, 0::DOUBLE AS o, 1::DOUBLE AS w, 0::DOUBLE AS s FROM hp WHERE i=1 UNION ALL
 SELECT a, b, i, be1, al1, u0*a0+u1*a1+1e-3*k0*k0, u0*c0+u1*c1+1e-3*k0*k1, v0*c0+v1*c1+1e-3*k1*k1, y-be1*x-al1 FROM (SELECT *, a0*p+a1*o AS u0, a0*o+a1*w AS u1, c0*p+c1*o AS v0, c0*o+c1*w AS v1, be+k0*e AS be1, al+k1*e AS al1 FROM (SELECT *, 1-k0*x AS a0, -k0 AS a1, -k1*x AS c0, 1-k1 AS c1 FROM (SELECT *, (x*p+o)/(x*(x*p+o)+(x*o+w)+1e-3) AS k0, (x*o+w)/(x*(x*p+o)+(x*o+w)+1e-3) AS k1, y-x*be-al AS e FROM
  (SELECT h.a, h.b, h.i, h.x, h.y, f.be, f.al, f.p+1e-4 AS p, f.o, f.w+1e-4 AS w FROM hf f JOIN hp h ON h.a=f.a AND h.b=f.b AND h.i=f.i+1)))))"""))(lambda t: k.kalman_hedge(t.bars_brand(), pairs(t)))

@@ -392,12 +392,12 @@ def _hmm_batches(iters: int):
     return fit
 
 
-def regime_transitions(labels: DataFrame, history: int = 200, warn: float = 0.30, block: float = 0.55, entropy: float = 0.85) -> DataFrame:
+def regime_transitions(labels: DataFrame, history: int = 200, warn: float = 0.30, block: float = 0.55, entropy: float = 0.85, least: int = 30) -> DataFrame:
     """Transition probabilities from the current state with 0.5 smoothing over the last ``history`` labels (symbol, ts, state 0..2,
-    0 = dangerous), entropy, stability, size scalar and status."""
+    0 = dangerous), entropy, stability, size scalar and status; symbols with fewer than ``least`` labels are left out."""
     t = last_rows(labels, ["symbol"], ["ts"], history)
     t = t.withColumn("nxt", F.lead("state").over(Window.partitionBy("symbol").orderBy("ts")))  # at most `history` rows
-    cur = t.where("_rev = 1").select("symbol", F.col("state").alias("cur"))
+    cur = t.groupBy("symbol").agg(F.max_by("state", "ts").alias("cur"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least).drop("_k")
     c = t.where("nxt is not null").groupBy("symbol", "state").agg(*[F.count(F.when(F.col("nxt") == k, 1)).alias(f"c{k}") for k in range(3)])
     x = cur.join(c.withColumnRenamed("state", "cur"), ["symbol", "cur"], "left").fillna({f"c{k}": 0 for k in range(3)})
     tot = F.col("c0") + F.col("c1") + F.col("c2") + 1.5
