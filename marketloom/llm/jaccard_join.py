@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrays import SLICE_BYTES, bitmap, byte_class, find, grams, mix, slices, utf8, word_bounds, word_hashes
+from ._arrays import bitmap, byte_class, find, grams, mix, release, slices, utf8, word_bounds, word_hashes
 from ._store import components, discard, small_batches, stored
 
 SHINGLE = 5
@@ -159,6 +159,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
             f = f[f["key"].duplicated(keep=False)].drop_duplicates(["key", "sid"])
             f = f[f["key"].duplicated(keep=False)]
         parts.append(f)
+    release()
     return pd.concat(parts)
 
 

@@ -13,7 +13,7 @@ from ._arrays import byte_class, mix, ragged, slices, utf8, word_bounds, word_ha
 
 WORD = byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 BUCKETS = 1 << 18
-CHUNK = 20_000  # words whose subwords are formed at a time
+CHUNK = 5_000  # words whose subwords are formed at a time
 DIM = 8
 SIZES = (3, 4, 5, 6, 7, 8)
 WINDOW = 2
