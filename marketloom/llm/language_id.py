@@ -207,8 +207,10 @@ def fit(documents: DataFrame, model_file: str, rows: int = ROWS, chars: int = 4_
     """Model from a bounded sample: the first `rows` learnable texts of each language by hash of the id, of each its first `chars` characters."""
     learn = documents.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).withColumn("h", F.xxhash64("doc_id"))
     langs = [r[0] for r in learn.select("lang").distinct().orderBy("lang").limit(1_000).collect()]
-    sample = [(lang, r[0]) for lang in langs for r in learn.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(rows).select("text").toLocalIterator()]
-    return train(sample, model_file)
+    # ids first: what meets in the one task of a top-n list is then a few bytes a row
+    ids = [(r[0],) for lang in langs for r in learn.where(F.col("lang") == lang).select("doc_id", "h").orderBy("h", "doc_id").limit(rows).collect()]
+    chosen = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long").distinct())  # `rows` a language at most
+    return train([(r[0], r[1]) for r in learn.join(chosen, "doc_id").orderBy("lang", "h", "doc_id").select("lang", "text").toLocalIterator()], model_file)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

@@ -120,7 +120,8 @@ def pivot_index(vectors: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], d
     pivots, samples = {}, {}
     dims = [r[0] for r in vectors.select(F.size("x").alias("d")).distinct().orderBy("d").limit(10_000).collect()]
     for dim in dims:
-        rows = vectors.where(F.size("x") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        ids = vectors.where(F.size("x") == dim).select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)  # ids first: vectors of the few are read after
+        rows = sorted(vectors.where(F.size("x") == dim).join(F.broadcast(ids), "vec_id").dropDuplicates(["vec_id"]).collect(), key=lambda r: r["vec_id"])
         x = np.array([r["x"] for r in rows], np.int64).reshape(len(rows), dim)
         samples[dim] = (np.array([r["vec_id"] for r in rows], np.int64), x)
         pivots[dim] = choose_pivots(x, PIVOTS)
