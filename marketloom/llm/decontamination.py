@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._arrays import bitmap, byte_class, find, grams, ragged, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 WORD = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 WORD[65:91] = True  # A-Z are lower-cased first
@@ -173,7 +173,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[tuple[list[str], list[s
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Verbatim matches of every test item in every document.
 
-    A shard is a run of documents of about 8 MB inside a task. Its suffix array (word positions sorted by the words that follow) is
+    A shard is a run of documents of about 4 MB inside a task. Its suffix array (word positions sorted by the words that follow) is
     binary-searched for every suffix of every test item, which yields the longest match and all places of whole windows. Test items
     are the stated query set: they are read in blocks of `block_bytes`, each shipped to the tasks and applied in one chained pass.
 

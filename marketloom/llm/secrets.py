@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._arrays import slices, utf8
 from .automaton import Dfa, compile_rules
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)

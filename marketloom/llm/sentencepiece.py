@@ -76,7 +76,7 @@ class MergeModel:
         """Neighbours a, b stay apart: merging their concatenation gives exactly them."""
         ok = self.pair_ok.get((a, b))
         if ok is None:
-            if len(self.pair_ok) > 1 << 20:
+            if len(self.pair_ok) > 1 << 18:
                 self.pair_ok.clear()
             ok = self.pair_ok[a, b] = self.merge(a + b) == [a, b]
         return ok
