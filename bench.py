@@ -10,7 +10,8 @@ from marketloom.session import local_session
 
 HEADLINE = ["screener_rank", "technicals_panel", "quant_metrics", "realized_vol_suite", "structure_bias", "rolling_walk_forward", "block_bootstrap_sharpe",
             "attribution_by_dimension", "kelly_from_trades", "triple_barrier_outcomes", "combined_risk_scale", "data_quality_report", "cointegration_pairs",
-            "kalman_trend", "bayes_regime", "garch_regime", "rolling_tick_stats", "burst_signal", "kyle_lambda", "funding_signal", "bars_from_ticks", "tick_to_bar_stream"]
+            "kalman_trend", "bayes_regime", "garch_regime", "rolling_tick_stats", "burst_signal", "kyle_lambda", "funding_signal", "bars_from_ticks", "tick_to_bar_stream",
+            "strategy_report", "bootstrap_win_rate", "kalman_hedge", "hmm_regime"]
 
 
 def main() -> None:
