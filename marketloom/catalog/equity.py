@@ -36,6 +36,9 @@ query("trailing_stop_level", sql("equity", f"SELECT account, ts, trade_id, {r6('
     lambda t: k.trailing_stop_level(t.equity(), 0.031, 0.017))
 RT = PK + ", rf AS (SELECT *, 10000*(1+floor((peak-10000)/10000*100/0.3::DOUBLE)*0.3::DOUBLE*0.6/100) AS fl FROM pk)"
 query("ratchet_floor", sql("equity", f"SELECT account, ts, trade_id, {r6('balance;peak;floor=fl')}, balance<=fl AND fl>10000 AS halt FROM rf", RT))(lambda t: k.ratchet_floor(t.equity()))
+query("halt_latch", sql("equity", f"SELECT account, ts, trade_id, {r6('balance;floor=fl')}, coalesce(e%4,0)>0 AS halted, CASE coalesce(e%4,0) WHEN 1 THEN 'FLOOR' WHEN 2 THEN 'HARD_DRAWDOWN' ELSE 'NONE' END AS reason FROM (SELECT *, max(ev) OVER ({W} ROWS UNBOUNDED PRECEDING) AS e FROM hb)",
+      RT + f", ha AS (SELECT *, (row_number() OVER ({W})-1)*4 AS i4 FROM rf), hb AS (SELECT *, CASE WHEN balance<=fl THEN i4+1 WHEN (10000-balance)/10000*100>=2.0 THEN i4+2 WHEN balance>fl*1.02 THEN i4 END AS ev FROM ha)"))(
+    lambda t: k.halt_latch(k.ratchet_floor(t.equity()).select("account", "ts", "trade_id", "balance", "floor"), 2.0))
 query("convex_risk_scalar", sql("equity", f"SELECT account, ts, trade_id, {r6('risk_scalar=CASE WHEN balance<=fl THEN 0 ELSE least(1,((balance-fl)/greatest(peak-fl,1))**2) END;')} FROM rf", RT))(
     lambda t: k.convex_risk_scalar(k.ratchet_floor(t.equity())).select("account", "ts", "trade_id", "risk_scalar"))
 VE = f"ve AS (SELECT *, greatest(0,(max(balance) OVER {win(10)}-balance)/max(balance) OVER {win(10)}*100) AS v FROM pk), vs AS (SELECT *, CASE WHEN v>=HH THEN 0 ELSE greatest(0,least(1,1-v/HH)) END AS velocity_scale FROM ve)"

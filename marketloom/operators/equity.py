@@ -77,6 +77,17 @@ def ratchet_floor(equity: DataFrame, step: float = 0.30, lock: float = 0.60, ini
     return d.select("account", "ts", "trade_id", "balance", "peak", "floor", ((F.col("balance") <= F.col("floor")) & (F.col("floor") > initial)).alias("halt"))
 
 
+def halt_latch(floors: DataFrame, cap_pct: float = 20.0, release: float = 1.02, initial: float = 10000.0) -> DataFrame:
+    """Trading halt with hysteresis (account, ts, trade_id, balance, floor): set at the floor or at a hard drawdown from the initial
+    capital, cleared only above release x floor. The state is the last event so far, a running maximum over row positions."""
+    d = row_index(floors, KEY, ORDER, _chunk()).drop("_n")
+    b, f = F.col("balance"), F.col("floor")
+    code = case((b <= f, 1), ((initial - b) / initial * 100 >= cap_pct, 2), (b > f * release, 0))
+    d = running(d.withColumn("_e", F.col("_i") * 4 + code), KEY, ["_i"], F.floor(F.col("_i") / 8192).cast("long"), maxs={"_last": "_e"})
+    why = F.coalesce(F.col("_last") % 4, F.lit(0))
+    return d.select("account", "ts", "trade_id", "balance", "floor", (why > 0).alias("halted"), case((why == 1, "FLOOR"), (why == 2, "HARD_DRAWDOWN"), default="NONE").alias("reason"))
+
+
 def convex_risk_scalar(floors: DataFrame, gamma: float = 2.0) -> DataFrame:
     """((balance - floor) / (peak - floor)) ^ gamma in [0, 1]. Needs balance, peak, floor."""
     raw = (F.col("balance") - F.col("floor")) / F.greatest(F.col("peak") - F.col("floor"), F.lit(1.0))
