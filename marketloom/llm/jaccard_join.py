@@ -19,6 +19,7 @@ HEAVY = 12  # documents that make a token heavy
 HEAVY_KEPT = 1 << 19  # the most frequent heavy tokens that are ordered by count; the rest are ordered by hash
 BUCKET_TOKENS = 2_000_000  # tokens of all texts a bucket
 HELD = 1_000_000  # tokens a task gathers before it sends them on
+SEEN = 1 << 18  # fingerprints a task remembers to post a copied set once
 WORD = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -106,14 +107,16 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT, most: int
 
 
 def _postings(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Prefix tokens by bucket. A task posts equal sets once; heavy tokens are dealt one by one, so copies in many tasks meet in no crowded bucket."""
     keys, counts, seen = heavy
     held: list[tuple] = []
+    posted: set[int] = set()
     size = 0
 
     def flush():
         token, sid, m, pos, l, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
         own = _bucket(token, buckets)
-        to = np.where(cnt > 0, (sid % buckets).astype(np.int64), own)  # heavy tokens only pass through
+        to = np.where(cnt > 0, (mix(token ^ mix(sid.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), own)  # heavy tokens only pass through
         order = np.lexsort((cnt > 0, to))
         group = to[order] * 2 + (cnt[order] > 0)
         cut = np.flatnonzero(np.diff(group, prepend=-1))
@@ -136,10 +139,13 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets:
         for s in sets:
             c = cnt[done:done + len(s)]
             done += len(s)
-            if len(s):
+            if len(s) and (sid := set_id(s)) not in posted:
+                if len(posted) >= SEEN:
+                    posted.clear()
+                posted.add(sid)
                 order, l = prefix(s, c, percent)
                 m = len(order)
-                held.append((s[order], np.full(m, set_id(s)), np.full(m, len(s)), np.arange(m), np.full(m, l), c[order]))
+                held.append((s[order], np.full(m, sid), np.full(m, len(s)), np.arange(m), np.full(m, l), c[order]))
                 size += m
         if size >= HELD // 4:
             yield flush()
@@ -229,7 +235,7 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, percent: int = PERCE
     1. Every text becomes a set of shingle hashes with a 64-bit fingerprint; equal sets are one node from here on.
     2. Documents per token are counted over all texts (32-bit tokens in buckets whose number follows the input). The most frequent
        tokens order the prefixes, rare first; the bound on their number changes the cost, never the result.
-    3. Each set sends its adaptive prefix; postings that two sets share remain.
+    3. Each set sends its adaptive prefix, once a task however many copies it has; postings that two sets share remain.
     4. Star round: each set is verified against the one leader (the set that holds the token earliest) it shares most with. Linked
        sets merge into components, so a group of copies costs one pair a member.
     5. Remainder: all pairs that share enough prefix tokens and still lie in different components are verified.
@@ -257,7 +263,7 @@ def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
                                              "bucket int, high array<int>, token array<int>, sid array<long>, n array<int>, pos array<int>, l array<byte>")
     shared = posted.groupBy("bucket").applyInPandas(_shared, "key long, heavy boolean, sid long, n int, pos int, l byte")
     raw = stored(shared, "shared")
-    shared = stored(raw.where("heavy").distinct().union(raw.where("not heavy")), "postings")  # copies repeat heavy postings
+    shared = stored(raw.where("heavy").distinct().union(raw.where("not heavy")), "postings")  # copies in several tasks repeat heavy postings
     discard(raw)
 
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("sid"), F.lit(8))).otherwise(0)

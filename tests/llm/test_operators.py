@@ -54,6 +54,21 @@ def test_near_duplicates_hot_group_of_near_copies(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_postings_of_copies_are_few_and_dealt():
+    """Copies of one text, all tokens heavy: one posting a token from each task, over many buckets."""
+    text, buckets = prose(random.Random(5), 600, 10**6), 16
+    tokens = jaccard_join.shingle_sets(pa.array([text]))[0]
+    keys = jaccard_join._key(jaccard_join._bucket(tokens, buckets), tokens & jaccard_join.LOW32)
+    heavy = (np.sort(keys), np.full(len(keys), 400), jaccard_join.bitmap(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array([text] * 40)], names=["text"]) for _ in range(10)]
+    size = {}
+    for b in jaccard_join._postings(iter(batches), 5, 75, buckets, heavy):
+        for k, t in zip(b.column("bucket").to_pylist(), b.column("token").to_pylist(), strict=True):
+            size[k] = size.get(k, 0) + len(t)
+    posted = len(jaccard_join.prefix(tokens, np.full(len(tokens), 400))[0])
+    assert sum(size.values()) == posted and len(size) == buckets and max(size.values()) < posted / 4
+
+
 def test_near_duplicates_nulls_repeats_empty(spark):
     got = jaccard_join.near_duplicates(docs(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)])).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4)], key=str)
