@@ -66,13 +66,22 @@ def _keyed(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], sch
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), dim), pa.int32()), pa.array(near, pa.int32()), pa.array(d[np.arange(len(near)), near]), part.column("vec_id"), part.column("x").cast(schema[4].type)], schema=schema)
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row (ties: smaller id); ids -1 are empty places."""
-    order = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, ids), -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+LOW = -(1 << 62)
 
 
-LOW = -(1 << 62)
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids of each row, each once with its best score (ties: smaller id); ids -1 are empty places."""
+    order = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, ids), -scores), axis=1)[:, :k]
+    top, who = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    near = np.sort(who, axis=1)
+    again = np.flatnonzero(((near[:, 1:] == near[:, :-1]) & (near[:, 1:] >= 0)).any(axis=1))
+    if len(again):  # without repeats among its k best a row is done
+        order = np.lexsort((-scores[again], ids[again]), axis=1)
+        s, i = np.take_along_axis(scores[again], order, 1), np.take_along_axis(ids[again], order, 1)
+        lower = np.zeros(i.shape, bool)
+        lower[:, 1:] = i[:, 1:] == i[:, :-1]
+        top[again], who[again] = _top(np.where(lower, LOW, s), np.where(lower, -1, i), k)
+    return top, who
 
 
 def _search(batches: Iterator[pa.RecordBatch], dim: int, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, bound: np.ndarray, k: int, span: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +136,7 @@ def pivot_index(vectors: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], d
         pivots[dim] = choose_pivots(x, PIVOTS)
     schema = T._parse_datatype_string(INDEX)
     shared, arrow = vectors.sparkSession.sparkContext.broadcast(pivots), to_arrow_schema(schema)
-    keyed = vectors.mapInArrow(lambda it: _keyed(it, shared.value, arrow), schema)
+    keyed = vectors.dropDuplicates(["vec_id", "x"]).mapInArrow(lambda it: _keyed(it, shared.value, arrow), schema)
     ordered = keyed.repartitionByRange("dim", "pivot", "dist", "vec_id").sortWithinPartitions("dim", "pivot", "dist", "vec_id")
     return stored(ordered, "pivot-index"), pivots, samples
 

@@ -225,6 +225,25 @@ def test_top_k(spark):
     assert vector_search.top_k(v.limit(0), v.limit(0)).collect() == []
 
 
+def test_top_k_counts_repeated_ids_once(spark):
+    """Every row twice, and one id with the best vectors of all many times over."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(0, 0.2, 8)]) for i in range(300)] * 2 + [(301, [0.9 + 0.001 * j] * 8) for j in range(30)]
+    v = vector_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).coalesce(1)
+    got = vector_search.top_k(v, v.where("vec_id % 100 = 0"), 10).collect()
+    vecs = [(i, np.floor(1024 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
+    want = set()
+    for q in (0, 100, 200):
+        top, x = {}, dict(vecs)[q]
+        for i, y in vecs:
+            if i != q:
+                top[i] = max(top.get(i, -10**18), int(x @ y))
+        want |= {(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(top.items(), key=lambda t: (-t[1], t[0]))[:10])}
+    assert {tuple(r) for r in got} == want and len(got) == 30
+    s, i = vector_search._top(np.array([[9, 9, 8, 7, 5], [1, 2, 3, 4, 5]]), np.array([[4, 4, 4, 2, 1], [1, 2, 3, 4, 5]]), 3)
+    assert s.tolist() == [[9, 7, 5], [5, 4, 3]] and i.tolist() == [[4, 2, 1], [5, 4, 3]]
+
+
 def test_products_are_exact_beyond_doubles():
     a = np.array([[3_037_000_499, 1]], np.int64)
     assert vector_search.products(a, np.array([[3_037_000_498, 1]], np.int64))[0, 0] == 3_037_000_499 * 3_037_000_498 + 1
