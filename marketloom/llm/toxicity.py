@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._arrays import byte_class, mix, ragged, slices, utf8, word_bounds, word_hashes
+from ._store import discard, stored
 
 WORD = byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 BUCKETS = 1 << 18
@@ -194,17 +195,39 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataF
     return docs.join(parts[0].union(parts[1]).select("doc_id", "toxic"), "doc_id")
 
 
+def choose(sizes, most_bytes: int) -> list:
+    """Keys of (key, label, bytes) rows, in their order, whose texts fit: half the bytes are kept for each class, and what one leaves the other takes.
+    A text that does not fit is passed over. A class that has rows but gets none is an error."""
+    used, rows, taken, later = [0, 0], [0, 0], [[], []], []
+    for at, (key, label, size) in enumerate(sizes):
+        rows[label] += 1
+        if used[label] + size <= most_bytes // 2:
+            used[label] += size
+            taken[label].append((at, key))
+        else:
+            later.append((at, key, label, size))
+    for at, key, label, size in later:
+        if sum(used) + size <= most_bytes:
+            used[label] += size
+            taken[label].append((at, key))
+    for label in (0, 1):
+        if rows[label] and not taken[label]:
+            raise ValueError(f"no labelled text of class {label} fits into {most_bytes} bytes ({rows[label]} rows)")
+    return [key for _, key in sorted(taken[0] + taken[1])]
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int = 6 << 20) -> Model:
-    """Model from a bounded sample: `rows` of each class and `most_bytes` of text, a documented bound; ids order it, so it is the same each time."""
-    texts, marks, held = [], [], 0
-    sample = labelled_sample(documents, labels, rows).withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").select("text", "toxic")
-    for r in sample.toLocalIterator():
-        held += len(r[0])
-        if held > most_bytes:
-            break
-        texts.append(r[0])
-        marks.append(int(r[1]))
-    return train(texts, np.array(marks, np.int64))
+    """Model from a bounded sample: `rows` ids of each class and `most_bytes` of text, a documented bound dealt by `choose`; ids order it, so it is
+    the same each time. Rows that repeat an id and its text count once."""
+    sample = stored(labelled_sample(documents, labels, rows).select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h"), F.xxhash64("text").alias("t"), F.col("toxic").cast("int").alias("toxic"), "text"), "labelled")
+    one = sample.groupBy("h", "doc_id", "t").agg(F.first("toxic").alias("toxic"), F.max(F.octet_length("text")).alias("size")).orderBy("h", "doc_id", "t")
+    keys = choose((((r.doc_id, r.t), r.toxic, r.size) for r in one.toLocalIterator()), most_bytes)
+    place, texts, marks = {k: i for i, k in enumerate(keys)}, [""] * len(keys), np.zeros(len(keys), np.int64)
+    wanted = documents.sparkSession.createDataFrame([(int(i), int(t)) for i, t in keys], "doc_id long, t long")
+    for r in sample.join(F.broadcast(wanted), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).toLocalIterator():
+        texts[place[r.doc_id, r.t]], marks[place[r.doc_id, r.t]] = r.text, r.toxic
+    discard(sample)
+    return train(texts, marks)
 
 
 def score(documents: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

@@ -279,3 +279,18 @@ def test_toxicity_learns_words_and_shares_subwords(spark):
     assert [0 <= r.toxicity <= 1 for r in odd] == [True] * 4 and odd[0].toxicity == odd[1].toxicity == odd[3].toxicity
     none = toxicity.fit(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.scores(pa.array(["a"], pa.large_string()))[0] <= 0.5
+
+
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    """One labelled text longer than the whole bound, wherever its hash puts it, leaves the others to be learned."""
+    rng = random.Random(10)
+    rows = [(k, "blorgle " * (k % 2) + prose(rng, 20, 300)) for k in range(120)]
+    marks = spark.createDataFrame([(k, 1, k % 2) for k in range(120)], "doc_id long, quality int, toxic int")
+    first = [r.doc_id for r in toxicity.labelled_sample(docs(spark, rows), marks, 3000).orderBy(toxicity.F.xxhash64("doc_id", toxicity.F.lit(1))).collect()]
+    rows[first[0]] = (first[0], rows[first[0]][1] * 1000)
+    m = toxicity.fit(docs(spark, rows), marks, most_bytes=40_000)
+    assert (lambda bad, good: bad >= toxicity.THRESHOLD > good)(*m.scores(pa.array(["w1 blorgle w2", "w1 w3 w2"], pa.large_string())))
+    assert toxicity.choose([("a", 0, 90), ("b", 0, 30), ("c", 1, 60), ("d", 1, 20), ("e", 0, 30)], 100) == ["b", "d", "e"]
+    assert toxicity.choose([("a", 0, 40), ("b", 0, 40), ("c", 1, 20)], 100) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="class 1"):
+        toxicity.choose([("a", 0, 10), ("b", 1, 101)], 100)
