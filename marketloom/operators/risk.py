@@ -220,19 +220,55 @@ def block_bootstrap_sharpe(rets: DataFrame, reps: int = 10_000, block: int = 10,
                                    (F.avg(flag(F.col("sr") > 1)) * 100).alias("prob_above_1_pct"))
 
 
-def block_bootstrap_trades(trades: DataFrame, reps: int = 20, block: int = 5, ruin: float = -0.25, seed: int = 42,
+BATCH, SLOTS = 250, 1_024  # replicates a task and slots of them that are composed together
+
+
+def _paths(blocks, batch: int, reps: int, seed: int):
+    """Terminal log return and deepest log fall of each replicate of a batch; blocks in order, slot j takes the block drawn for it."""
+    import numpy as np
+
+    s, h, l, f = (blocks[c].to_numpy(np.float64) for c in ("s", "h", "l", "f"))
+    m = 2147483647
+    rep = np.arange(batch * BATCH, min((batch + 1) * BATCH, reps), dtype=np.int64)
+    total, peak, fall = np.zeros(len(rep)), np.full(len(rep), -np.inf), np.zeros(len(rep))
+    for at in range(0, len(s), SLOTS):
+        x = rep[:, None] * 1000003 + np.arange(at, min(at + SLOTS, len(s)), dtype=np.int64) * 8191 + seed * 131071
+        x = ((x % m) + 12345) * 48271 % m
+        x ^= x >> 13
+        blk = x * 69621 % m % len(s)
+        level = np.cumsum(np.concatenate([total[:, None], s[blk]], axis=1), axis=1)  # before each slot, and after the last
+        high = np.maximum.accumulate(np.concatenate([peak[:, None], level[:, :-1] + h[blk]], axis=1), axis=1)
+        fall = np.minimum(fall, np.minimum(f[blk], level[:, :-1] + l[blk] - high[:, :-1]).min(axis=1))
+        total, peak = level[:, -1], high[:, -1]
+    return rep, np.where(np.isinf(peak), np.nan, total), np.where(np.isinf(peak), np.nan, fall)
+
+
+def block_bootstrap_trades(trades: DataFrame, reps: int = 10_000, block: int = 5, ruin: float = -0.25, seed: int = 42,
                            stake: float = 1.0) -> DataFrame:
     """Resampled equity per strategy (``stake``: share of equity in each trade): quantiles of terminal return and maximum drawdown, ruin share.
-    Slot j of a replicate takes the block drawn for it; the drawdown scan is chunked by slot."""
+    Slot j of a replicate takes the block drawn for it. A block is reduced once to its sum of log returns, highest point, lowest point and
+    deepest fall; a task composes these along the slots for a batch of replicates and holds the reduced blocks of one strategy."""
+    import pandas as pd
+
     t = trades.select("strategy", "trade_id", "exit_ts", F.log1p(F.col("net_pnl_pct") / 100 * stake).alias("lr"))
     d = row_index(t, ["strategy"], ["exit_ts", "trade_id"], time_chunk("exit_ts", TICK_CHUNK))
-    d = d.select("strategy", F.floor(F.col("_i") / block).cast("long").alias("blk"), (F.col("_i") % block).alias("pos"), "lr", "_n")
-    slots = d.where("pos = 0").select("strategy", F.col("blk").alias("slot"), F.ceil(F.col("_n") / block).alias("m"))
-    slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    slots = slots.select("strategy", "rep", "slot", F.pmod(mix(F.col("rep"), F.col("slot"), seed), F.col("m")).alias("blk"))
-    path = slots.join(d.select("strategy", "blk", "pos", "lr"), ["strategy", "blk"])
-    path = drawdown_rows(path, ["strategy", "rep"], ["slot", "pos"], F.floor(F.col("slot") / 1024).cast("long"), "lr")
-    r = path.groupBy("strategy", "rep").agg(((F.exp(F.sum("lr")) - 1) * 100).alias("ret"), (F.min(F.col("cum") / F.col("peak") - 1) * 100).alias("mdd"))
+    d = d.groupBy("strategy", F.floor(F.col("_i") / block).cast("long").alias("blk")).agg(F.sort_array(F.collect_list(F.struct("_i", "lr"))).alias("x"))
+    inf = F.lit(float("inf"))
+    start = F.struct(F.lit(0.0).alias("s"), (-inf).alias("h"), inf.alias("l"), F.lit(0.0).alias("f"))
+
+    def step(a, r):
+        c = a["s"] + r["lr"]
+        return F.struct(c.alias("s"), F.greatest(a["h"], c).alias("h"), F.least(a["l"], c).alias("l"), F.least(a["f"], c - F.greatest(a["h"], c)).alias("f"))
+
+    d = d.select("strategy", "blk", F.aggregate(F.filter("x", lambda r: r["lr"].isNotNull()), start, step).alias("x")).select("strategy", "blk", "x.*")
+    d = spread(d.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BATCH)))), "strategy", "batch")
+
+    def compose(key, pdf):
+        rep, total, fall = _paths(pdf.sort_values("blk"), int(key[1]), reps, seed)
+        return pd.DataFrame({"strategy": key[0], "rep": rep, "total": total, "fall": fall})
+
+    r = d.groupBy("strategy", "batch").applyInPandas(compose, f"strategy {trades.schema['strategy'].dataType.simpleString()}, rep long, total double, fall double")
+    r = r.select("strategy", ((F.exp("total") - 1) * 100).alias("ret"), ((F.exp("fall") - 1) * 100).alias("mdd"))
     pct = lambda k, p: F.percentile(k, F.lit(p))
     return r.groupBy("strategy").agg(pct("ret", 0.05).alias("return_p5_pct"), pct("ret", 0.5).alias("return_median_pct"), pct("ret", 0.95).alias("return_p95_pct"),
                                      pct("mdd", 0.05).alias("mdd_p5_pct"), pct("mdd", 0.5).alias("mdd_median_pct"),

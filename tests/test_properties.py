@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from conftest import FOLDER
 from marketloom import streaming as st
 from marketloom.operators import equity as eq, features as ft, models, portfolio as pf, risk
 from marketloom.session import work_dir
@@ -26,6 +28,20 @@ def test_bootstrap_is_deterministic_and_ordered(tables):
     assert (a["ci_lower"] <= a["bootstrap_mean"]).all() and (a["bootstrap_mean"] <= a["ci_upper"]).all()
 
 
+def test_block_bootstrap_trades_draws_all_replicates(spark, tables):
+    """The registered query against its SQL with the replicates of the reference, and the operator at the count that the SQL has."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("orders", "customer", "lineitem", "events", "part", "supplier", "nation", "region"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    sql = contract.oracle_sql()["block_bootstrap_trades"]
+    for got, text in ((contract.queries()["block_bootstrap_trades"](spark, FOLDER), sql.replace("range(20)", "range(10000)")),
+                      (risk.block_bootstrap_trades(tables.trades(), reps=20, stake=0.01), sql.replace("range(10000)", "range(20)"))):
+        want, got = con.execute(text).fetchdf().set_index("strategy").sort_index(), got.toPandas().set_index("strategy").sort_index()
+        assert list(got.index) == list(want.index) and len(got) > 1
+        np.testing.assert_allclose(got[want.columns].to_numpy(float), want.to_numpy(float), atol=2e-5)
+
+
 def test_var_percentile_and_tail_order(tables):
     r = ft.log_returns(tables.bars())
     v = risk.var_cvar(r, 0.95, method="percentile").toPandas().set_index("symbol")
