@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, prefix_trie
 from .decontamination import op1_decontamination
 from .html_extraction import op2_html_extraction
 from .jaccard_join import op5_jaccard_join
@@ -16,7 +16,7 @@ from .vector_search import op8_top_k
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_html_extraction": op2_html_extraction, "op3_token_counts": op3_token_counts, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
            "op6_secrets": op6_secrets, "op7_language_id": op7_language_id, "op8_top_k": op8_top_k, "op9_licenses": licenses.op9_licenses, "op10_toxicity": op10_toxicity,
-           "op12_periodic_runs": op12_periodic_runs}
+           "op12_periodic_runs": op12_periodic_runs, "op13_prefix_trie": prefix_trie.op13_prefix_trie}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -38,5 +38,5 @@ s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint sco
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from s)
 select * from r where "rank" <= 10"""
 
-SQL = {"op8_top_k": TOP_K, "op9_licenses": licenses.oracle(),
+SQL = {"op8_top_k": TOP_K, "op13_prefix_trie": prefix_trie.ORACLE, "op9_licenses": licenses.oracle(),
        "op1_decontamination": f"with docs as (select * from documents), {CONTAMINATION} select * from con"}

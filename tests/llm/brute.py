@@ -113,3 +113,34 @@ def run_row(doc_id, text):
     best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
     return (len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest(),
             hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in drop).encode()).hexdigest())
+
+
+def rebuilt_conversations(rows):
+    """rows: (conv_id, turn, role, text) -> {conv_id: [(role, text)]} as the prefix-trie contract rebuilds them; ties keep role, length order."""
+    import zlib
+
+    own = collections.defaultdict(list)
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", len(r[3] or ""))):
+        own[c].append((r or "", x or ""))
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(c - 100 * int(c / 100))
+        out[c] = own.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_trie(convs):
+    """{(depth, turns)} node rows from {conv_id: turns}."""
+    members = collections.defaultdict(list)
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            members[tuple(convs[c][:d])].append(c)
+    kids = collections.Counter(k[:-1] for k in members if k)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for k, who in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += kids[k] == 0
+            saved[k[:d]] += (len(who) - 1) * (len(k[-1][1]) if k else 0)
+    sha = lambda k: hashlib.sha256(",".join(str(c) for c in members[k] if len(convs[c]) == len(k)).encode()).hexdigest()
+    return [(who[0], len(k), members[k[:-1]][0] if k else None, len(who), kids[k], leaves[k], saved[k], sha(k)) for k, who in members.items()]
