@@ -144,3 +144,28 @@ def prefix_trie(convs):
             saved[k[:d]] += (len(who) - 1) * (len(k[-1][1]) if k else 0)
     sha = lambda k: hashlib.sha256(",".join(str(c) for c in members[k] if len(convs[c]) == len(k)).encode()).hexdigest()
     return [(who[0], len(k), members[k[:-1]][0] if k else None, len(who), kids[k], leaves[k], saved[k], sha(k)) for k, who in members.items()]
+
+
+def vector_groups(rows, least=0.95):
+    """{id: (links, component, kept)} over all pairs; an id with several vectors has their links together. rows: (id, vector)."""
+    import math
+
+    import numpy as np
+
+    ids = sorted({i for i, _ in rows if i is not None})
+    sound = {(i, tuple(v)) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)}
+    sound = [(i, np.array(v) / max(map(abs, v))) for i, v in sorted(sound)]
+    parent, count = {i: i for i in ids}, collections.Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in sound:
+        for j, y in sound:
+            if len(x) == len(y) and (i != j or x is not y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= least:
+                count[i] += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: (count[i], find(i), find(i) == i) for i in ids}
