@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import licenses, prefix_trie
 from .decontamination import op1_decontamination
+from .embedding_dedup import op11_embedding_dedup
 from .html_extraction import op2_html_extraction
 from .jaccard_join import op5_jaccard_join
 from .language_id import op7_language_id
@@ -16,7 +17,7 @@ from .vector_search import op8_top_k
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_html_extraction": op2_html_extraction, "op3_token_counts": op3_token_counts, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard_join": op5_jaccard_join,
            "op6_secrets": op6_secrets, "op7_language_id": op7_language_id, "op8_top_k": op8_top_k, "op9_licenses": licenses.op9_licenses, "op10_toxicity": op10_toxicity,
-           "op12_periodic_runs": op12_periodic_runs, "op13_prefix_trie": prefix_trie.op13_prefix_trie}
+           "op11_embedding_dedup": op11_embedding_dedup, "op12_periodic_runs": op12_periodic_runs, "op13_prefix_trie": prefix_trie.op13_prefix_trie}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
