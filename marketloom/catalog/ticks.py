@@ -56,7 +56,8 @@ query("tick_regime", sql("ticks", "SELECT symbol, ts, seq, rg AS regime, CASE WH
       "(SELECT symbol, ts, seq, CASE WHEN i<20 THEN 'RANGING' WHEN v<300 THEN 'DEAD' WHEN v>3000 THEN 'VOLATILE' WHEN greatest(u,d)/c>=0.6 AND abs(price-f)/f*100>0.02 THEN CASE WHEN u>=d THEN 'TRENDING_UP' ELSE 'TRENDING_DOWN' END ELSE 'RANGING' END AS rg FROM "
       f"(SELECT *, stddev_samp(r) OVER {fr(21)} AS v, sum((r>0)::INT) OVER {fr(21)} AS u, sum((r<0)::INT) OVER {fr(21)} AS d, count(r) OVER {fr(21)} AS c, first_value(price) OVER {fr(22)} AS f FROM (SELECT symbol, ts, seq, price, (price-lag(price) OVER ({W}))/lag(price) OVER ({W})*100 AS r, row_number() OVER ({W}) AS i FROM ticks)))"))(
     lambda t: k.tick_regime(t.ticks(), vol_low=300.0, vol_high=3000.0))
-query("cooldown_filter", sql("ticks", "SELECT symbol, ts, seq FROM kept", """cn AS (SELECT symbol, ts, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM ticks),
+COOLDOWN = """cn AS (SELECT symbol, ts, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM ticks),
 nx AS MATERIALIZED (SELECT c.symbol, c.i, min(n.i) AS nxt FROM cn c JOIN cn n ON n.symbol=c.symbol AND n.ts>=c.ts+INTERVAL 1800 SECOND GROUP BY ALL),
-kept AS (SELECT symbol, ts, seq, i FROM cn WHERE i=1 UNION ALL SELECT n.symbol, n.ts, n.seq, n.i FROM kept k JOIN nx ON nx.symbol=k.symbol AND nx.i=k.i JOIN cn n ON n.symbol=nx.symbol AND n.i=nx.nxt)""").replace("WITH ", "WITH RECURSIVE ", 1))(
+kept AS (SELECT symbol, ts, seq, i FROM cn WHERE i=1 UNION ALL SELECT n.symbol, n.ts, n.seq, n.i FROM kept k JOIN nx ON nx.symbol=k.symbol AND nx.i=k.i JOIN cn n ON n.symbol=nx.symbol AND n.i=nx.nxt)"""
+query("cooldown_filter", sql("ticks", "SELECT symbol, ts, seq FROM kept", COOLDOWN).replace("WITH ", "WITH RECURSIVE ", 1))(
     lambda t: k.cooldown_filter(t.ticks(), 1800))

@@ -3,15 +3,11 @@ dropped by the watermark. Sources and sinks are files in a shared folder, so any
 
 from __future__ import annotations
 
-import math
-import statistics
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import ANN, RF_DAILY
 from ..session import work_dir
+from .ordered import (cooldown_filter_stream, edge_latch, equity_guard_stream, kyle_lambda_stream, lead_signal_stream, rolling_ofi_stream,  # noqa: F401
+                      rolling_tick_stats_stream)
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -25,12 +21,17 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", fi
 
 
 def drain(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over everything available, into files, and return the written table."""
+    """Run a streaming query over everything available, into files, and return the written table. State is kept in RocksDB."""
     spark = out.sparkSession
-    path = work_dir(spark, name)
-    q = (out.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", work_dir(spark, name + "-state"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    path, key = work_dir(spark, name), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (out.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", work_dir(spark, name + "-state"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -47,58 +48,3 @@ def activity_sessions(ticks: DataFrame, gap: str = "10 minutes", delay: str = "1
     """Sessions of ticks per symbol, closed after ``gap`` without one."""
     return ticks.withWatermark("ts", delay).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume")).select("symbol", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "ticks", "volume")
-
-
-GUARD_OUT = "account string, ts timestamp, trade_id long, balance double, peak double, floor double, halt boolean"
-
-
-def equity_guard_stream(equity: DataFrame, step: float = 0.30, lock: float = 0.60, initial: float = 10000.0) -> DataFrame:
-    """Peak, ratchet floor and halt per account as running state; the state is one number per account."""
-
-    def guard(key, frames: Iterator, state: GroupState):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pd.concat(list(frames)).sort_values(["ts", "trade_id"])
-        peak0 = state.get[0] if state.exists else initial
-        peak = np.maximum(np.maximum.accumulate(pdf["balance"].to_numpy()), peak0)
-        floor = initial * (1 + np.floor((peak - initial) / initial * 100 / step) * step * lock / 100)
-        state.update((float(peak[-1]),))
-        yield pdf.assign(peak=peak, floor=floor, halt=(pdf["balance"].to_numpy() <= floor) & (floor > initial))
-
-    return equity.select("account", "ts", "trade_id", "balance").groupBy("account").applyInPandasWithState(
-        guard, GUARD_OUT, "peak double", "append", GroupStateTimeout.NoTimeout)
-
-
-LATCH_OUT = "strategy string, exit_ts timestamp, trade_id long, status string, buffered int"
-
-
-def edge_latch(trades: DataFrame, window: int = 30, min_wr: float = 0.45, min_sr: float = 0.5, min_pf: float = 1.05, max_losses: int = 7, back_n: int = 10, back_wr: float = 0.52) -> DataFrame:
-    """Status per trade: suspended once three of win rate, Sharpe, profit factor and loss streak fail, and back only after ``back_n`` trades
-    with a win rate of ``back_wr``. State per strategy: the last ``window`` results, the buffer since suspension, the streak."""
-
-    def latch(key, frames: Iterator, state: GroupState):
-        import pandas as pd
-
-        pdf = pd.concat(list(frames)).sort_values(["exit_ts", "trade_id"])
-        recent, buf, streak, off = (list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]) if state.exists else ([], [], 0, False)
-        out = []
-        for p in pdf["net_pnl_pct"]:
-            recent = (recent + [float(p)])[-window:]
-            streak = 0 if p > 0 else streak + 1
-            wins, losses = sum(x for x in recent if x > 0), -sum(x for x in recent if x < 0)
-            sd = statistics.stdev(recent) / 100 if len(recent) > 5 else 0.0
-            sr = (statistics.fmean(recent) / 100 - RF_DAILY) / sd * math.sqrt(ANN) if sd > 1e-12 else 0.0
-            fails = ((sum(x > 0 for x in recent) / len(recent) < min_wr) + (sr < min_sr) + ((wins / losses if losses > 1e-12 else 9.99) < min_pf) + (streak >= max_losses))
-            if off:
-                buf = (buf + [int(p > 0)])[-back_n:]
-                if len(buf) >= back_n and sum(buf) / len(buf) >= back_wr:
-                    off, buf = False, []
-            elif len(recent) >= 5 and fails >= 3:
-                off, buf = True, []
-            out.append(("SUSPEND" if off else "ACTIVE", len(buf)))
-        state.update((recent, buf, streak, off))
-        yield pdf[["strategy", "exit_ts", "trade_id"]].assign(status=[a for a, _ in out], buffered=[b for _, b in out])
-
-    return trades.select("strategy", "exit_ts", "trade_id", "net_pnl_pct").groupBy("strategy").applyInPandasWithState(
-        latch, LATCH_OUT, "recent array<double>, buf array<int>, streak int, off boolean", "append", GroupStateTimeout.NoTimeout)

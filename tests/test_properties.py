@@ -17,7 +17,7 @@ def test_hmm_probabilities_and_labels(tables):
     h = models.hmm_regime(tables.bars(), iters=20).toPandas()
     assert len(h) == tables.bars().select("symbol").distinct().count()
     np.testing.assert_allclose(h[["prob_bearish", "prob_sideways", "prob_bullish"]].sum(axis=1), 100, rtol=1e-9)
-    assert set(h["current_regime"]) <= set(models.HMM_LABELS) and (h["confidence_pct"] <= 95.0).all()
+    assert set(h["current_regime"]) <= set(models.LABELS) and (h["confidence_pct"] <= 95.0).all()
     np.testing.assert_allclose(np.array(h["transition"].tolist()).reshape(-1, 3, 3).sum(axis=2), 1.0, rtol=1e-9)
 
 
@@ -64,32 +64,6 @@ def test_vote_signal_bounds(tables):
     assert (v["stop_long"] < v["price"]).all() and (v["target_long"] > v["price"]).all()
 
 
-def _two_files(spark, df, order, name):
-    """The table as two files in time order: each becomes its own micro-batch."""
-    path = work_dir(spark, name)
-    cut = df.select(F.percentile(F.unix_micros(order), F.lit(0.5))).first()[0]
-    df.where(F.unix_micros(order) <= cut).coalesce(1).write.parquet(path)
-    df.where(F.unix_micros(order) > cut).coalesce(1).write.mode("append").parquet(path)
-    return st.file_stream(spark, path, files_per_batch=1)
-
-
-def test_guard_state_survives_batches(spark, tables):
-    out = st.drain(st.equity_guard_stream(_two_files(spark, tables.equity(), "ts", "eq")), "guard").toPandas()
-    want = eq.ratchet_floor(tables.equity()).toPandas()
-    k = ["account", "trade_id"]
-    pd.testing.assert_frame_equal(out.sort_values(k)[k + ["peak", "floor", "halt"]].reset_index(drop=True), want.sort_values(k)[k + ["peak", "floor", "halt"]].reset_index(drop=True))
-
-
-def test_latch_is_the_same_in_one_or_two_batches(spark, tables):
-    t = tables.trades().select("strategy", "exit_ts", "trade_id", (F.col("net_pnl_pct") - 0.4).alias("net_pnl_pct"))
-    path = work_dir(spark, "one")
-    t.write.parquet(path)
-    a = st.drain(st.edge_latch(st.file_stream(spark, path)), "l1").toPandas().sort_values("trade_id").reset_index(drop=True)
-    b = st.drain(st.edge_latch(_two_files(spark, t, "exit_ts", "two")), "l2").toPandas().sort_values("trade_id").reset_index(drop=True)
-    pd.testing.assert_frame_equal(a, b)
-    assert {"ACTIVE", "SUSPEND"} == set(a["status"])
-
-
 def test_late_ticks_are_dropped(spark):
     rows = lambda *s: spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.to_datetime(list(s)), "seq": range(len(s)), "price": 10.0, "volume": 1.0}))
     path = work_dir(spark, "late")
