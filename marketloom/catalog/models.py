@@ -86,6 +86,29 @@ wz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
 query("hawkes_clustering", rec("ticks", f"SELECT symbol, n AS n_events, {r6('mu;alpha=al;beta=be;branching_ratio=eta;cluster_size=1/(1-eta);intensity=it;log_likelihood=ll')}, CASE WHEN eta>0.7 AND it>mu*3 THEN 'STRONG_MOMENTUM_FLOW' WHEN eta>0.5 THEN 'CLUSTERING_DETECTED' WHEN eta<0.2 THEN 'CALM_BACKGROUND_FLOW' ELSE 'MODERATE_ACTIVITY' END AS signal FROM wz", HAWKES))(
     lambda t: k.hawkes_clustering(t.ticks(), 86400.0, HB))
 query("hmm_regime")(lambda t: k.hmm_regime(t.bars()))
+ONE = {"d": "greatest(exp(-0.5*(r-mu{k})**2/v{k})/sqrt(2*pi()*v{k}),1e-300) AS d{k}", "a": "(0.05::DOUBLE+0.85::DOUBLE*a{k})*n.d{k}", "b": "0.05::DOUBLE*(n.d0*b0+n.d1*b1+n.d2*b2)+0.85::DOUBLE*n.d{k}*b{k}"}
+
+
+def three(text):
+    return ", ".join(text.replace("{k}", str(j)) for j in range(3))
+
+
+HMM = f"""ha AS MATERIALIZED (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rets),
+hq AS (SELECT symbol, quantile_cont(r,0.33) AS lo, quantile_cont(r,0.66) AS hi FROM ha WHERE n>=30 GROUP BY symbol),
+hm AS (SELECT symbol, coalesce(avg(r) FILTER (r<=lo),-0.001) AS mu0, coalesce(avg(r) FILTER (r>lo AND r<hi),0) AS mu1, coalesce(avg(r) FILTER (r>=hi),0.001) AS mu2, coalesce(greatest(var_pop(r) FILTER (r<=lo),1e-8),1e-4) AS v0,
+ coalesce(greatest(var_pop(r) FILTER (r>lo AND r<hi),1e-8),5e-5) AS v1, coalesce(greatest(var_pop(r) FILTER (r>=hi),1e-8),1e-4) AS v2 FROM ha JOIN hq USING (symbol) GROUP BY symbol),
+hd AS MATERIALIZED (SELECT symbol, i, n, r, {three(ONE['d'])} FROM ha JOIN hm USING (symbol)),
+hf AS (SELECT symbol, i, d0/(d0+d1+d2) AS a0, d1/(d0+d1+d2) AS a1, d2/(d0+d1+d2) AS a2 FROM hd WHERE i=1 UNION ALL SELECT symbol, i, q0/(q0+q1+q2), q1/(q0+q1+q2), q2/(q0+q1+q2) FROM
+ (SELECT n.symbol, n.i, {three(ONE['a'] + ' AS q{k}')} FROM hf f JOIN hd n ON n.symbol=f.symbol AND n.i=f.i+1)),
+hb AS (SELECT symbol, i, 1::DOUBLE AS b0, 1::DOUBLE AS b1, 1::DOUBLE AS b2 FROM hd WHERE i=n UNION ALL SELECT symbol, i, q0/(q0+q1+q2), q1/(q0+q1+q2), q2/(q0+q1+q2) FROM
+ (SELECT n.symbol, n.i-1 AS i, {three(ONE['b'] + ' AS q{k}')} FROM hb f JOIN hd n ON n.symbol=f.symbol AND n.i=f.i AND n.i>1)),
+hg AS (SELECT symbol, i, n, r, a0, a1, a2, {three('a{k}*b{k}/(a0*b0+a1*b1+a2*b2) AS g{k}')}, {three('lead(d{k}*b{k}) OVER (PARTITION BY symbol ORDER BY i) AS e{k}')} FROM hd JOIN hf USING (symbol, i) JOIN hb USING (symbol, i)),
+hx AS (SELECT symbol, j, k, sum(x/s) AS f FROM (SELECT symbol, j, k, i, [a0,a1,a2][j+1]*CASE WHEN j=k THEN 0.9 ELSE 0.05 END::DOUBLE*[e0,e1,e2][k+1] AS x, sum([a0,a1,a2][j+1]*CASE WHEN j=k THEN 0.9 ELSE 0.05 END::DOUBLE*[e0,e1,e2][k+1]) OVER (PARTITION BY symbol, i) AS s FROM hg, range(3) p(j), range(3) q(k) WHERE e0 IS NOT NULL) GROUP BY ALL),
+hy AS (SELECT symbol, j, sum([g0,g1,g2][j+1]*r)/sum([g0,g1,g2][j+1]) AS mu, max(CASE WHEN i=n THEN [g0,g1,g2][j+1] END) AS g FROM hg, range(3) p(j) GROUP BY ALL),
+hz AS (SELECT symbol, j, hy.mu, hy.g, greatest(sum([g0,g1,g2][j+1]*(r-hy.mu)**2)/sum([g0,g1,g2][j+1]),1e-8) AS v FROM hg JOIN hy USING (symbol) GROUP BY ALL),
+ho AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mu, j)-1 AS st FROM hz)"""
+query("hmm_step", rec("rets", f"SELECT symbol, st AS state, ['HIGH_VOL_BEARISH','SIDEWAYS_CHOP','LOW_VOL_BULLISH'][st+1] AS label, {r6('mean_ann_pct=mu*252*100;vol_ann_pct=sqrt(v*252)*100;probability_pct=g*100;to_0=t0;to_1=t1;to_2=t2')} FROM (SELECT o.symbol, o.st, any_value(o.mu) AS mu, any_value(o.v) AS v, any_value(o.g) AS g, {three('sum(f) FILTER (u.st={k})/sum(f) AS t{k}')} FROM ho o JOIN hx x ON x.symbol=o.symbol AND x.j=o.j JOIN ho u ON u.symbol=o.symbol AND u.j=x.k GROUP BY o.symbol, o.st)", HMM))(
+    lambda t: k.hmm_step(t.bars()))
 STATE = "CASE WHEN r<-0.008 THEN 0 WHEN r<0.004 THEN 1 ELSE 2 END"
 query("regime_transitions", sql("rets", f"SELECT symbol, cur AS state, {r6('p0 p1 p2')}, {r6('entropy_norm=en;stability=greatest(0,least(1,1-en));size_scalar=greatest(0.1,least(1,1-pow(p0/0.5,1.5)))')}, CASE WHEN p0>=0.55 THEN 'BLOCK' WHEN p0>=0.3 OR en>=0.85 THEN 'REDUCE' ELSE 'CLEAR' END AS status FROM (SELECT *, -(p0*ln(p0)+p1*ln(p1)+p2*ln(p2))/ln(3) AS en FROM rg)",
       f"""ra AS (SELECT * FROM (SELECT symbol, {STATE} AS s, lead({STATE}) OVER (PARTITION BY symbol ORDER BY ts) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rv FROM rets) WHERE rv<=200),

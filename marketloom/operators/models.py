@@ -1,7 +1,7 @@
 """Sequential and pair models as grouped Spark jobs.
 
 Filters whose memory fades read as many bars as they remember (a bounded array per symbol) or blocks with a halo that long;
-data-dependent filters compose their maps block by block. Only the hidden Markov model holds a series in a task, and refuses longer ones."""
+data-dependent filters and the hidden Markov model compose their maps block by block."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, bar_blocks, blocked, fold_blocks, last_rows, memory, ordered_array, spread, tail_rows, time_chunk
+from ..plans import BAR_CHUNK, bar_blocks, blocked, last_rows, memory, narrow, ordered_array, spread, tail_rows, time_chunk, whole_blocks
+from .hidden_markov import LABELS, hmm_fit
 from . import features as ft, portfolio as pf, structure as st
 
 def trend_memory(r: float, q: float) -> int:
@@ -32,7 +33,7 @@ def trend_memory(r: float, q: float) -> int:
 def kalman_trend(bars: DataFrame, r: float = 1e-3, q: float = 1e-5) -> DataFrame:
     """Constant-velocity filter at the last bar: level, trend, gain, one-sigma band, label.
     The filter reads as many bars as it remembers in double precision at its noise ratio (``trend_memory``): the unbroken answer."""
-    t = tail_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), trend_memory(r, q))
+    t = tail_rows(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), trend_memory(r, q))
     arr = t.groupBy("symbol").agg(ordered_array(["close", "_rev"], "ts").alias("_a"), F.count(F.lit(1)).alias("n")).where("n >= 10")
     d = lambda v: F.lit(float(v))
     z0 = F.col("_a")[0]["close"]
@@ -83,7 +84,7 @@ def _regr(x: str, y: str) -> list[Column]:
 
 def ou_fit(bars: DataFrame, n: int = 60) -> DataFrame:
     """Mean-reversion fit of the last n closes by AR(1) regression; null parameters where the slope leaves (0, 1)."""
-    t = last_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], n)
+    t = last_rows(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], n)
     t = t.withColumn("x", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")))  # at most n rows
     a = t.groupBy("symbol").agg(*_regr("x", "close"), F.max_by("close", "ts").alias("price"), F.count(F.lit(1)).alias("k")).where("k >= 30")
     a = _ou_columns(a, "price")
@@ -228,13 +229,33 @@ def _regime_of(p) -> Column:
 
 def bayes_history(bars: DataFrame, rows: int = 2048) -> DataFrame:
     """Posterior of the four regimes at every bar. The transition matrix contracts by at most 0.94 per bar in the projective
-    metric, so a halo of 700 bars leaves less than 1e-18 of the start."""
-    r = ft.returns(bars).where("sr is not null").select("symbol", "ts", (F.col("sr") * 100).alias("r"))
-    b = bar_blocks(r, before=700, rows=rows)
-    names = [f"p{k}" for k in range(4)]
-    start = F.struct(*[F.lit(0.25).alias(n) for n in names])
-    return fold_blocks(b, ["ts"] + ["r"], start, lambda s, x: F.struct(*[v.alias(n) for v, n in zip(_bayes_step([s[n] for n in names], x["r"]), names)]),
-                       lambda s, x: [x["ts"].alias("ts"), *[s[n].alias(n) for n in names]])
+    metric, so a halo of 700 bars leaves less than 1e-18 of the start. A task updates several blocks side by side."""
+    r = ft.return_rows(bars, "sr")
+    b = bar_blocks(r.select("symbol", "ts", (F.col("r") * 100).alias("r"), "_i", "_n"), before=700, rows=rows)
+    flat = spread(b.df.select("symbol", "_b", "_i", "_own", F.unix_micros("ts").alias("at"), "r"), "symbol", "_b").sortWithinPartitions("symbol", "_b", "_i")
+
+    def posterior(frames):
+        import numpy as np
+        import pandas as pd
+
+        mu, sd, a = np.array(REGIME_MU), np.array(REGIME_SD), np.array(REGIME_A)
+        for blocks in whole_blocks(frames, ["symbol", "_b"]):
+            size = np.array([len(x) for x in blocks])
+            p, out = np.full((len(blocks), 4), 0.25), np.empty((size.max(), len(blocks), 4))
+            x = np.zeros((size.max(), len(blocks)))
+            for i, f in enumerate(blocks):
+                x[:len(f), i] = f["r"]
+            for t in range(len(x)):
+                z = (x[t][:, None] - mu) / sd
+                p = np.maximum(np.maximum(p, 1e-9) @ a * np.exp(-z * z / 2) / (sd / 100 * math.sqrt(2 * math.pi)), 1e-9)
+                p /= p.sum(1, keepdims=True)
+                out[t] = p
+            for i, f in enumerate(blocks):
+                own = f["_own"].to_numpy()
+                yield pd.DataFrame({"symbol": f["symbol"][own], "at": f["at"][own], **{f"p{k}": out[:len(f), i, k][own] for k in range(4)}})
+
+    h = flat.mapInPandas(posterior, "symbol string, at long, " + ", ".join(f"p{k} double" for k in range(4)))
+    return h.select("symbol", F.timestamp_micros("at").alias("ts"), *[f"p{k}" for k in range(4)])
 
 
 def bayes_regime(bars: DataFrame) -> DataFrame:
@@ -262,7 +283,7 @@ def garch_regime(bars: DataFrame, rows: int = 4096) -> DataFrame:
     """GARCH(1,1) by grid likelihood over all returns with the long-run variance as target; percentile of the current volatility ->
     regime and size multiplier. The variance keeps at most the largest beta of its past per bar, so blocks with a halo that long give
     the unbroken recursion; likelihoods and ranks of blocks add up."""
-    r = ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr")
+    r = ft.return_rows(bars).select("symbol", "ts", F.col("r").alias("lr"), "_i", "_n")
     m = r.groupBy("symbol").agg(F.avg("lr").alias("mu"), F.var_pop("lr").alias("v"), F.count("lr").alias("n"), F.skewness("lr").alias("sk"), F.kurtosis("lr").alias("ku")).where("n >= 20")
     b = bar_blocks(r, before=memory(max(GARCH_BETA)), rows=rows)
     a = b.df.groupBy("symbol", "_b").agg(ordered_array(["lr", "_own"]).alias("_a")).join(m.select("symbol", "mu", "v"), "symbol")
@@ -319,77 +340,20 @@ def hawkes_clustering(ticks: DataFrame, window_s: float = 60.0, betas=(0.1, 0.5,
                     case(((e > 0.7) & (F.col("intensity") > F.col("mu") * 3), "STRONG_MOMENTUM_FLOW"), (e > 0.5, "CLUSTERING_DETECTED"), (e < 0.2, "CALM_BACKGROUND_FLOW"), default="MODERATE_ACTIVITY").alias("signal"))
 
 
-HMM_LABELS = ["HIGH_VOL_BEARISH", "SIDEWAYS_CHOP", "LOW_VOL_BULLISH"]  # states by rising mean
-HMM_SCHEMA = ("symbol string, current_regime string, confidence_pct double, prob_bearish double, prob_sideways double, prob_bullish double, persistence int, "
-              "history array<string>, means array<double>, vols array<double>, transition array<double>")
-
+def hmm_regime(bars: DataFrame, iters: int = 80) -> DataFrame:
+    """Three-state Gaussian hidden Markov model per symbol by expectation-maximisation over all its returns."""
+    return hmm_fit(ft.return_rows(bars), iters)
 
-def hmm_regime(bars: DataFrame, iters: int = 80, most: int = 50_000) -> DataFrame:
-    """Three-state Gaussian hidden Markov model per symbol by expectation-maximisation over all its returns.
-    NumPy does the recursions on one array per symbol; a series of more than ``most`` returns stops the job instead of losing rows."""
-    r = ft.returns(bars).where("lr is not null").select("symbol", "ts", "lr")
-    size = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    size = size.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("too many returns for one model: "), "symbol")).cast("long")).otherwise(F.col("n"))).where("n >= 30")
-    r = r.join(size, "symbol")
-    arr = r.groupBy("symbol").agg(ordered_array(["lr"], "ts").alias("_a")).select("symbol", F.transform("_a", lambda x: x["lr"]).alias("r"))
-    # fitting costs far more than moving the arrays: spread the symbols over all tasks instead of by bytes
-    return spread(arr, "symbol").mapInPandas(_hmm_batches(iters), HMM_SCHEMA)
-
-
-def _hmm_batches(iters: int):
-    """Expectation-maximisation for a batch of symbols at once: one NumPy step per time index, vectorised over symbols."""
-
-    def fit(batches):
-        import numpy as np
-        import pandas as pd
 
-        cols = [f.split()[0] for f in HMM_SCHEMA.split(", ")]
-        for pdf in (whole[i:i + 64] for whole in batches for i in range(0, len(whole), 64)):  # bounds the arrays below
-            size = pdf["r"].map(len).to_numpy()
-            n, top = len(pdf), int(size.max())
-            x, on = np.zeros((top, n)), np.arange(top)[:, None] < size  # time first, short series padded at the end
-            mu, var = np.empty((n, 3)), np.empty((n, 3))
-            for i, v in enumerate(pdf["r"]):
-                v = np.asarray(v, float)
-                x[: len(v), i] = v
-                lo, hi = np.percentile(v, [33, 66])
-                parts = [v[v <= lo], v[(v > lo) & (v < hi)], v[v >= hi]]
-                mu[i] = [p.mean() if len(p) else d for p, d in zip(parts, (-0.001, 0.0, 0.001))]
-                var[i] = [max(p.var(), 1e-8) if len(p) else d for p, d in zip(parts, (1e-4, 5e-5, 1e-4))]
-            trans, init = np.full((n, 3, 3), 1 / 3), np.full((n, 3), 1 / 3)
-            fwd, bwd = np.empty((top, n, 3)), np.empty((top, n, 3))
-            live = on[:, :, None]
-            norm = lambda v: v / np.clip(v.sum(-1, keepdims=True), 1e-300, None)
-            for _ in range(iters):
-                dens = np.clip(np.exp(-0.5 * (x[:, :, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var), 1e-300, None)
-                fwd[0] = norm(init * dens[0])
-                for t in range(1, top):
-                    fwd[t] = norm((fwd[t - 1][:, :, None] * trans).sum(1) * dens[t])
-                bwd[-1] = 1.0
-                for t in range(top - 2, -1, -1):
-                    bwd[t] = np.where(live[t + 1], norm((trans * (dens[t + 1] * bwd[t + 1])[:, None, :]).sum(2)), 1.0)
-                post = norm(fwd * bwd) * live
-                joint = fwd[:-1, :, :, None] * (dens[1:] * bwd[1:])[:, :, None, :] * trans
-                joint /= np.clip(joint.sum((2, 3), keepdims=True), 1e-300, None)
-                flow = (joint * live[1:, :, :, None]).sum(0)
-                init, trans = post[0], norm(flow)
-                mass = np.clip(post.sum(0), 1e-300, None)
-                mu = (post * x[:, :, None]).sum(0) / mass
-                var = np.clip((post * (x[:, :, None] - mu) ** 2).sum(0) / mass, 1e-8, None)
-            out = []
-            for i, s in enumerate(pdf["symbol"]):
-                order = np.argsort(mu[i])
-                own = post[: size[i], i][:, order]
-                path = own[-60:].argmax(1)
-                cur, run = int(path[-1]), 1
-                while run < len(path) and path[-1 - run] == cur:
-                    run += 1
-                pr = own[-1]
-                out.append([s, HMM_LABELS[cur], min(float(pr[cur]), 0.95) * 100, *(pr * 100).tolist(), run, [HMM_LABELS[k] for k in path],
-                            (mu[i][order] * ANN * 100).tolist(), (np.sqrt(var[i][order] * ANN) * 100).tolist(), trans[i][order][:, order].ravel().tolist()])
-            yield pd.DataFrame(out, columns=cols)
-
-    return fit
+def hmm_step(bars: DataFrame, stay: float = 0.9, block: int = 512) -> DataFrame:
+    """One step of the model from a fixed start with sticky states, over short blocks: mean, deviation, probability now and transitions of each
+    state, by rising mean."""
+    d = hmm_fit(ft.return_rows(bars), 1, block, stay=stay)
+    prob = F.array("prob_bearish", "prob_sideways", "prob_bullish")
+    k = F.col("state")
+    return d.select("symbol", "means", "vols", "transition", prob.alias("p"), F.posexplode(F.array(*[F.lit(x) for x in LABELS])).alias("state", "label")).select(
+        "symbol", k.cast("long").alias("state"), "label", F.col("means")[k].alias("mean_ann_pct"), F.col("vols")[k].alias("vol_ann_pct"), F.col("p")[k].alias("probability_pct"),
+        *[F.element_at("transition", 3 * k + j + 1).alias(f"to_{j}") for j in range(3)])
 
 
 def regime_transitions(labels: DataFrame, history: int = 200, warn: float = 0.30, block: float = 0.55, entropy: float = 0.85, least: int = 30) -> DataFrame:

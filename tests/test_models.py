@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from marketloom.operators import features, models
+from marketloom.operators import features, hidden_markov, models
+from marketloom.operators.hidden_markov import hmm_fit
 
 
 @pytest.fixture(scope="module")
@@ -75,10 +76,25 @@ def test_garch_blocks_agree(walks):
         assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(small[c], whole[c])), c
 
 
-def test_hidden_markov_model_refuses_what_it_cannot_hold(walks):
+def test_hidden_markov_blocks_agree_with_whole_series(walks):
     _, _, bars = walks
-    with pytest.raises(Exception, match="too many returns"):
-        models.hmm_regime(bars, iters=1, most=1000).collect()
+    r = features.return_rows(bars)
+    small, whole = (hmm_fit(r, 4, block=n, stay=0.8).orderBy("symbol").toPandas() for n in (700, 100_000))
+    assert len(small) == len(whole) > 0
+    for c in small.columns:
+        for a, b in zip(small[c], whole[c]):
+            np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9) if c in ("means", "vols", "transition") or c.startswith(("prob", "conf")) else np.testing.assert_array_equal(a, b)
+
+
+def test_hidden_markov_model_of_a_long_series(spark):
+    rng = np.random.default_rng(4)
+    state = np.repeat(rng.integers(0, 3, 2_000), 100)
+    r = rng.normal(np.array([-0.02, 0.0, 0.02])[state], np.array([0.02, 0.01, 0.01])[state])
+    at = pd.Timestamp("2000-01-01") + pd.to_timedelta(np.arange(len(r)), unit="h")
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "LONG", "ts": at, "r": r}))
+    got = hmm_fit(df, 3, block=32_768, stay=0.9).first()
+    assert got["means"][0] < -200 < got["means"][1] < 200 < got["means"][2] and min(got["transition"][k] for k in (0, 4, 8)) > 0.9
+    assert len(got["history"]) == 60 and got["current_regime"] == hidden_markov.LABELS[state[-1]]
 
 
 def test_memory_refuses_endless_filters():
