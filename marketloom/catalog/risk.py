@@ -11,7 +11,7 @@ S = "sqrt(252)"
 
 
 def rets(t):
-    return ft.log_returns(t.bars())
+    return t.rets()
 
 
 def sr(m, s, rf=RF_DAILY):
@@ -81,15 +81,19 @@ bc AS (SELECT symbol, rep, sum(w*n) AS n, sum(w*s) AS s, sum(w*ss) AS ss FROM bb
 bd AS (SELECT symbol, {sdiv(f's/n-{RF_DAILY!r}::DOUBLE', 'sqrt(greatest((ss-s*s/n)/(n-1),0))')}*{S} AS sr FROM bc WHERE n>1),
 boot AS (SELECT symbol, avg(sr) AS bm, quantile_cont(sr,0.025) AS ci_lower, quantile_cont(sr,0.975) AS ci_upper, avg((sr>0)::INT)*100 AS p0, avg((sr>1)::INT)*100 AS p1 FROM bd GROUP BY symbol)"""
 query("block_bootstrap_sharpe", sql("rets", f"SELECT symbol, {r6('bootstrap_mean=bm;ci_lower;ci_upper;prob_positive_pct=p0;prob_above_1_pct=p1')} FROM boot", BOOT))(lambda t: k.block_bootstrap_sharpe(rets(t)))
+TRADE_BOOT = f"""ta AS (SELECT strategy, (i-1)//5 AS blk, i, lr, n FROM (SELECT strategy, ln(1+net_pnl_pct/100*0.01) AS lr, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts,trade_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM trades)),
+tc AS (SELECT strategy, blk, i, n, sum(lr) OVER w AS c FROM ta WINDOW w AS (PARTITION BY strategy, blk ORDER BY i ROWS UNBOUNDED PRECEDING)),
+td AS (SELECT *, c-max(c) OVER (PARTITION BY strategy, blk ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM tc),
+te AS MATERIALIZED (SELECT strategy, blk, any_value(n) AS n, arg_max(c,i) AS s, max(c) AS h, min(c) AS l, min(d) AS f FROM td GROUP BY ALL),
+tb AS (SELECT strategy, rep, blk AS slot, {mix_sql('rep', 'blk')}%ceil(n/5)::BIGINT AS pick FROM te, range(REPS) g(rep)),
+tg AS (SELECT tb.strategy, rep, slot, s, h, l, f, sum(s) OVER w-s AS v FROM tb JOIN te ON te.strategy=tb.strategy AND te.blk=tb.pick WINDOW w AS (PARTITION BY tb.strategy, rep ORDER BY slot ROWS UNBOUNDED PRECEDING)),
+tf AS (SELECT strategy, rep, (exp(sum(s))-1)*100 AS ret, (exp(min(least(f, v+l-p)))-1)*100 AS mdd FROM (SELECT *, coalesce(max(v+h) OVER (PARTITION BY strategy, rep ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),v+l) AS p FROM tg) GROUP BY ALL)"""
 query("block_bootstrap_trades", sql("trades", f"SELECT strategy, {r6('return_p5_pct=quantile_cont(ret,0.05);return_median_pct=quantile_cont(ret,0.5);return_p95_pct=quantile_cont(ret,0.95);mdd_p5_pct=quantile_cont(mdd,0.05);mdd_median_pct=quantile_cont(mdd,0.5);ruin_pct=avg((mdd<=-25)::INT)*100;prob_positive_pct=avg((ret>0)::INT)*100')} FROM tf GROUP BY strategy",
-      f"""ta AS MATERIALIZED (SELECT strategy, (i-1)//5 AS blk, (i-1)%5 AS pos, lr, n FROM (SELECT strategy, ln(1+net_pnl_pct/100*0.01) AS lr, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts,trade_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM trades)),
-tb AS (SELECT strategy, rep, slot, {mix_sql('rep', 'slot')}%ceil(n/5)::BIGINT AS blk FROM (SELECT strategy, blk AS slot, n FROM ta WHERE pos=0), range(20) g(rep)),
-tc AS (SELECT strategy, rep, slot, pos, lr FROM tb JOIN ta USING (strategy, blk)),
-td AS (SELECT *, sum(lr) OVER (PARTITION BY strategy, rep ORDER BY slot, pos ROWS UNBOUNDED PRECEDING) AS c FROM tc),
-te AS (SELECT strategy, rep, lr, exp(c-max(c) OVER (PARTITION BY strategy, rep ORDER BY slot, pos ROWS UNBOUNDED PRECEDING))-1 AS dd FROM td),
-tf AS (SELECT strategy, rep, (exp(sum(lr))-1)*100 AS ret, min(dd)*100 AS mdd FROM te GROUP BY ALL)"""))(lambda t: k.block_bootstrap_trades(t.trades(), stake=0.01))
-query("bootstrap_win_rate", sql("trades", f"SELECT strategy, {r6('mean_pct=avg(wr)*100;ci_lower_pct=quantile_cont(wr,0.025)*100;ci_upper_pct=quantile_cont(wr,0.975)*100')} FROM (SELECT strategy, rep, sum(w*win)/sum(w) AS wr FROM (SELECT strategy, rep, win, {pois('x')} AS w FROM "
-      f"(SELECT strategy, rep, (net_pnl_usd>0)::INT AS win, {mix_sql('rep', 'trade_id')} AS x FROM trades, range(1000) g(rep))) GROUP BY ALL) GROUP BY strategy"))(lambda t: k.bootstrap_win_rate(t.trades()))
+      TRADE_BOOT.replace("REPS", "10000")))(lambda t: k.block_bootstrap_trades(t.trades(), stake=0.01))
+query("bootstrap_win_rate", sql("trades", f"SELECT strategy, {r6('mean_pct=avg(wr)*100;ci_lower_pct=quantile_cont(wr,0.025)*100;ci_upper_pct=quantile_cont(wr,0.975)*100')} FROM (SELECT strategy, win/(win+loss) AS wr FROM wd WHERE win+loss>0) GROUP BY strategy",
+      f"""wa AS (SELECT strategy, count(*) FILTER (net_pnl_usd>0) AS w, count(*) FILTER (NOT coalesce(net_pnl_usd>0,false)) AS l FROM trades GROUP BY strategy),
+wb AS (SELECT strategy, w, l, sqrt(-2*ln(({mix_sql('rep', 'w')}+0.5)/2147483647.0::DOUBLE)) AS r, ({mix_sql('rep', 'l', 43)}+0.5)/2147483647.0::DOUBLE*(2*pi()) AS a FROM wa, range(1000) g(rep)),
+wc AS (SELECT *, r*cos(a) AS z, r*sin(a) AS y FROM wb), wd AS (SELECT strategy, greatest(round(w+sqrt(w::DOUBLE)*z+(z*z-1)/6),0) AS win, greatest(round(l+sqrt(l::DOUBLE)*y+(y*y-1)/6),0) AS loss FROM wc)"""))(lambda t: k.bootstrap_win_rate(t.trades()))
 query("win_rate_significance", sql("trades", f"""SELECT strategy, n, {r6(f'win_rate_pct=wr*100;z_stat=z;p_value=p;min_tstat={k.MIN_T!r};adjusted_p=least(p*{k.TESTS},1)')}, p<0.05 AS significant, rn AS required_n, greatest(0,rn-n) AS shortfall, abs(z)>={k.MIN_T!r}::DOUBLE AS passes_correction
  FROM (SELECT *, 1-{phi_sql('z')} AS p, CASE WHEN abs(wr-0.5)>0.001 THEN floor({k.POWER!r}::DOUBLE/(abs(wr-0.5)**2))::BIGINT+1 ELSE 99999 END AS rn FROM (SELECT *, (wr-0.5)/sqrt(0.25/n) AS z FROM (SELECT strategy, count(*) AS n, avg((net_pnl_usd>0)::INT) AS wr FROM trades GROUP BY strategy)))"""))(
     lambda t: k.win_rate_significance(t.trades()))
