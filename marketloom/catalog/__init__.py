@@ -17,6 +17,7 @@ LONGS = {"rank", "portfolio", "utc_from", "hour", "trades_today", "n_events", "l
 def _output(df):
     """Round doubles and widen counters to long, the type the SQL form gives them."""
     wide = {f.name: F.col(f.name).cast("long") for f in df.schema.fields if f.name in LONGS and isinstance(f.dataType, T.IntegerType)}
+    df = df.drop("_i", "_n")  # positions of an indexed view
     return rounded(df.withColumns(wide) if wide else df)
 
 

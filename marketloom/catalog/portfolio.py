@@ -10,7 +10,7 @@ from .views import r6, sql
 
 
 def brets(t):
-    return ft.log_returns(t.bars_brand())
+    return t.rets_brand()
 
 
 def members(t):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ANN, RF_DAILY, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, Blocks, blocked, row_index, running, time_chunk
+from ..plans import BAR_CHUNK, Blocks, blocked, by_position, indexed, running, time_chunk
 
 KEY, ORDER = ["account"], ["ts", "trade_id"]
 
@@ -17,14 +17,14 @@ def _chunk() -> Column:
 
 
 def _peak(equity: DataFrame, initial: float) -> DataFrame:
-    d = running(equity, KEY, ORDER, _chunk(), maxs={"peak": "balance"})
+    d = running(equity, KEY, *by_position(equity, ORDER, _chunk()), maxs={"peak": "balance"})
     return d.withColumn("peak", F.greatest("peak", F.lit(initial)))
 
 
 def high_water_mark(equity: DataFrame, initial: float = 10000.0) -> DataFrame:
     """Running peak, drawdown from it and the time the peak was first reached."""
     x = equity.withColumn("_s", F.struct("balance", (-F.unix_micros("ts")).alias("t")))
-    d = running(x, KEY, ORDER, _chunk(), maxs={"_m": "_s"})
+    d = running(x, KEY, *by_position(x, ORDER, _chunk()), maxs={"_m": "_s"})
     pk = F.greatest("_m.balance", F.lit(initial))
     return d.select("account", "ts", "trade_id", "balance", pk.alias("peak"), ((pk - F.col("balance")) / pk * 100).alias("drawdown_pct"),
                     F.when(F.col("_m.balance") > initial, F.timestamp_micros(-F.col("_m.t"))).alias("peak_since"))
@@ -60,7 +60,7 @@ def trailing_stop_level(equity: DataFrame, p: float = 0.15, warn: float = 0.08,
     """Stop at peak (1 - p), warning band, trigger that stays on once hit, proximity and size scale."""
     d = _peak(equity, initial)
     d = d.withColumns({"stop": F.col("peak") * (1 - p), "_hit": (F.col("balance") <= F.col("peak") * (1 - p)).cast("int")})
-    d = running(d, KEY, ORDER, _chunk(), maxs={"_trig": "_hit"})
+    d = running(d, KEY, *by_position(d, ORDER, _chunk()), maxs={"_trig": "_hit"})
     b = F.col("balance")
     prox = clamp(1 - (b - F.col("stop")) / (F.col("peak") - F.col("stop")), 0.0, 1.0)
     d = d.withColumns({"triggered": F.col("_trig") == 1, "proximity": prox})
@@ -80,7 +80,7 @@ def ratchet_floor(equity: DataFrame, step: float = 0.30, lock: float = 0.60, ini
 def halt_latch(floors: DataFrame, cap_pct: float = 20.0, release: float = 1.02, initial: float = 10000.0) -> DataFrame:
     """Trading halt with hysteresis (account, ts, trade_id, balance, floor): set at the floor or at a hard drawdown from the initial
     capital, cleared only above release x floor. The state is the last event so far, a running maximum over row positions."""
-    d = row_index(floors, KEY, ORDER, _chunk()).drop("_n")
+    d = indexed(floors, KEY, ORDER, _chunk()).drop("_n")
     b, f = F.col("balance"), F.col("floor")
     code = case((b <= f, 1), ((initial - b) / initial * 100 >= cap_pct, 2), (b > f * release, 0))
     d = running(d.withColumn("_e", F.col("_i") * 4 + code), KEY, ["_i"], F.floor(F.col("_i") / 8192).cast("long"), maxs={"_last": "_e"})
@@ -184,8 +184,8 @@ def reserve_split(trades: DataFrame, rate: float = 0.15, initial: float = 10000.
     trades: account, ts, trade_id, pnl."""
     x = F.col("pnl")
     t = trades.withColumns({"_x": F.when(x > 0, x * (1 - rate)).otherwise(x), "_r": F.when(x > 0, x * rate).otherwise(0.0), "_p": F.when(x > 0, x).otherwise(0.0)})
-    d = running(t, KEY, ORDER, _chunk(), sums={"_sx": "_x", "locked_reserve": "_r", "total_profit": "_p"})
+    d = running(t, KEY, *by_position(t, ORDER, _chunk()), sums={"_sx": "_x", "locked_reserve": "_r", "total_profit": "_p"})
     d = d.withColumns({"_s": initial + F.col("_sx"), "_gap": min_balance - initial - F.col("_sx")})
-    d = running(d, KEY, ORDER, _chunk(), maxs={"_g": "_gap"})
+    d = running(d, KEY, *by_position(d, ORDER, _chunk()), maxs={"_g": "_gap"})
     cap = F.col("_s") + F.greatest(F.lit(0.0), F.col("_g"))
     return d.select("account", "ts", "trade_id", cap.alias("tradeable_capital"), "locked_reserve", (cap + F.col("locked_reserve")).alias("total_balance"), "total_profit")

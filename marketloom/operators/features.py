@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, phi, safe_div
-from ..plans import BAR_CHUNK, Blocks, bar_blocks, fold_blocks, last_rows, memory, ordered_array, tail_rows, time_chunk
+from ..plans import BAR_CHUNK, Blocks, affine_scan, bar_blocks, last_rows, memory, ordered_array, tail_rows, time_chunk, narrow
 
 
 
@@ -17,27 +17,33 @@ def _lag(b: Blocks, col: str, k: int = 1) -> Column:
 
 def returns(bars: DataFrame) -> DataFrame:
     """symbol, ts, close, volume, prev close, log return lr, simple return sr, position _i, series length _n."""
-    b = bar_blocks(bars.select("symbol", "ts", "close", "volume"), before=1)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "close", "volume"), before=1)
     b = b.add(prev=_lag(b, "close"))
     b = b.add(lr=F.log(F.col("close") / F.col("prev")), sr=F.col("close") / F.col("prev") - 1)
     return b.done(drop_index=False)
 
 
+def return_rows(bars: DataFrame, kind: str = "lr") -> DataFrame:
+    """Returns from the second bar on, with their own positions."""
+    d = returns(bars).where("_i > 0")
+    return d.select("symbol", "ts", "close", F.col(kind).alias("r"), (F.col("_i") - 1).alias("_i"), (F.col("_n") - 1).alias("_n"))
+
+
 def log_returns(bars: DataFrame) -> DataFrame:
-    return returns(bars).where("prev is not null").select("symbol", "ts", "close", F.col("lr").alias("r"))
+    return return_rows(bars, "lr").drop("_i", "_n")
 
 
 def simple_returns(bars: DataFrame) -> DataFrame:
-    return returns(bars).where("prev is not null").select("symbol", "ts", "close", F.col("sr").alias("r"))
+    return return_rows(bars, "sr").drop("_i", "_n")
 
 
 def roc(bars: DataFrame, ks=(3, 5, 10, 20, 60, 120)) -> DataFrame:
-    b = bar_blocks(bars.select("symbol", "ts", "close"), before=max(ks))
+    b = bar_blocks(narrow(bars, "symbol", "ts", "close"), before=max(ks))
     return b.add(**{f"roc_{k}": (F.col("close") / _lag(b, "close", k) - 1) * 100 for k in ks}).done()
 
 
 def rolling_mean_std(bars: DataFrame, n: int = 20) -> DataFrame:
-    b = bar_blocks(bars.select("symbol", "ts", "close"), before=n - 1)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "close"), before=n - 1)
     f = b.frame(n)
     return b.add(mean=b.full(n, F.avg("close").over(f)), std=b.full(n, F.stddev_samp("close").over(f)),
                  low_n=b.full(n, F.min("close").over(f)), high_n=b.full(n, F.max("close").over(f))
@@ -55,18 +61,18 @@ def _ema_init(spans) -> Column:
     return F.struct(*[F.lit(None).cast("double").alias(f"ema{k}") for k in spans])
 
 
-def ema(bars: DataFrame, spans=(20, 50), rows: int = 4096) -> DataFrame:
-    """Exponential averages at every bar, seeded with the first close. The halo of 20*(span+1) bars leaves a
-    weight below 1e-17 to anything older, so blocks agree with an unbroken recursion to double precision."""
-    b = bar_blocks(bars.select("symbol", "ts", "close"), before=20 * (max(spans) + 1), rows=rows)
-    return fold_blocks(b, ["ts", "close"], _ema_init(spans), _ema_step(spans, "close"),
-                       lambda s, r: [r["ts"].alias("ts"), r["close"].alias("close"), *[s[f"ema{k}"].alias(f"ema{k}") for k in spans]]
-                       ).drop("_i")
+def ema(bars: DataFrame, spans=(20, 50)) -> DataFrame:
+    """Exponential averages at every bar, seeded with the first close. Closes are not null."""
+    return _add_emas(narrow(bars, "symbol", "ts", "close"), spans).drop("_i", "_n")
+
+
+def _add_emas(df: DataFrame, spans=(20, 50)) -> DataFrame:
+    return affine_scan(df, ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), "close", {f"ema{k}": 2 / (k + 1) for k in spans})
 
 
 def last_emas(bars: DataFrame, spans) -> DataFrame:
     """EMA values at the last bar of each symbol, from as many bars as the longest span remembers in double precision."""
-    t = tail_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), memory(1 - 2 / (max(spans) + 1)))
+    t = tail_rows(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK), memory(1 - 2 / (max(spans) + 1)))
     arr = t.groupBy("symbol").agg(ordered_array(["close"], "ts").alias("_a"))
     return arr.select("symbol", F.aggregate("_a", _ema_init(spans), _ema_step(spans, "close")).alias("_e")).select("symbol", "_e.*")
 
@@ -118,38 +124,38 @@ def _add_z(b: Blocks, n: int = 20) -> Blocks:
 
 
 def rsi(bars, n: int = 14) -> DataFrame:
-    b = _add_rsi(bar_blocks(bars.select("symbol", "ts", "close"), before=n), n)
+    b = _add_rsi(bar_blocks(narrow(bars, "symbol", "ts", "close"), before=n), n)
     return b.done().where("rsi is not null").select("symbol", "ts", "rsi")
 
 
 def atr(bars, n: int = 14) -> DataFrame:
-    b = _add_atr(_add_tr(bar_blocks(bars.select("symbol", "ts", "high", "low", "close"), before=n)), n)
+    b = _add_atr(_add_tr(bar_blocks(narrow(bars, "symbol", "ts", "high", "low", "close"), before=n)), n)
     return b.done().where("atr is not null").select("symbol", "ts", "atr")
 
 
 def atr_percentile(bars) -> DataFrame:
-    b = _add_atr_pct(_add_atr(_add_tr(bar_blocks(bars.select("symbol", "ts", "high", "low", "close"), before=21))))
+    b = _add_atr_pct(_add_atr(_add_tr(bar_blocks(narrow(bars, "symbol", "ts", "high", "low", "close"), before=21))))
     return b.done().where("atr is not null").select("symbol", "ts", "atr_percentile")
 
 
 def adx(bars, n: int = 14) -> DataFrame:
-    b = _add_adx(_add_tr(bar_blocks(bars.select("symbol", "ts", "high", "low", "close"), before=2 * n + 1)), n)
+    b = _add_adx(_add_tr(bar_blocks(narrow(bars, "symbol", "ts", "high", "low", "close"), before=2 * n + 1)), n)
     return b.done().where("adx is not null").select("symbol", "ts", "adx")
 
 
 def volume_ratio(bars, n: int = 20) -> DataFrame:
-    b = _add_vol_ratio(bar_blocks(bars.select("symbol", "ts", "volume"), before=n), n)
+    b = _add_vol_ratio(bar_blocks(narrow(bars, "symbol", "ts", "volume"), before=n), n)
     return b.done().where("volume_ratio is not null").select("symbol", "ts", "volume_ratio")
 
 
 def technicals(bars: DataFrame) -> DataFrame:
-    """All per-bar indicators of the panel: one block pass for the windows, one fold for the averages."""
+    """All per-bar indicators of the panel: one block pass for the windows, one scan for the averages."""
     b = bar_blocks(bars, before=48)
     b = _add_z(_add_vol_ratio(_add_adx(_add_atr_pct(_add_atr(_add_tr(_add_rsi(b)))))))
     b = b.add(roc_10=(F.col("close") / _lag(b, "close", 10) - 1) * 100)
     w = b.done(drop_index=False).select("symbol", "ts", "_i", "_n", "open", "high", "low", "close", "volume", "rsi", "atr",
                                         "atr_percentile", "adx", "volume_ratio", "roc_10", "z")
-    return w.join(ema(bars).drop("close"), ["symbol", "ts"])
+    return _add_emas(w)
 
 
 def technicals_panel(bars: DataFrame) -> DataFrame:
@@ -174,7 +180,7 @@ def z_label(z) -> Column:
 
 
 def zscore_signal(bars: DataFrame, n: int = 20) -> DataFrame:
-    b = _add_z(bar_blocks(bars.select("symbol", "ts", "close"), before=n), n)
+    b = _add_z(bar_blocks(narrow(bars, "symbol", "ts", "close"), before=n), n)
     d = b.done().where("z is not null")
     z, m, s = F.col("z"), F.col("_zm"), F.col("_zs")
     return d.select("symbol", "ts", "z", m.alias("mean"), s.alias("std"), (m + 2 * s).alias("upper_2sigma"),
@@ -189,7 +195,7 @@ def zscore_band(df: DataFrame, col: str = "z") -> DataFrame:
 
 def multi_timeframe(bars: DataFrame) -> DataFrame:
     """Three-way confluence at the last bar, for both directions."""
-    b = bar_blocks(bars.select("symbol", "ts", "open", "close"), before=5)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "open", "close"), before=5)
     b = b.add(c5=_lag(b, "close", 5), c3=_lag(b, "close", 3))
     last = b.done(drop_index=False).where("_i = _n - 1 and _n >= 30").drop("_i", "_n")
     x = last.join(last_emas(bars, (5, 10, 20, 50)), "symbol")
@@ -214,7 +220,7 @@ def multi_timeframe(bars: DataFrame) -> DataFrame:
 
 def momentum_factor(bars: DataFrame) -> DataFrame:
     """Rates of change at the last bar, acceleration, share of positive horizons, volatility-adjusted momentum."""
-    t = last_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], 122)
+    t = last_rows(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], 122)
     w = Window.partitionBy("symbol").orderBy("ts")  # at most 122 rows
     t = t.withColumn("lr", F.log(F.col("close") / F.lag("close").over(w)))
     at = lambda k: F.max(F.when(F.col("_rev") == k, F.col("close")))
@@ -332,7 +338,7 @@ def realized_vol_suite(bars: DataFrame) -> DataFrame:
 
 def liquidity_regime(bars: DataFrame) -> DataFrame:
     """Amihud percentile of the last bar, volume z-score and price/volume divergence -> score and label."""
-    b = bar_blocks(bars.select("symbol", "ts", "close", "volume"), before=30)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "close", "volume"), before=30)
     b = b.add(ret=F.col("close") / _lag(b, "close") - 1)
     b = b.add(am=F.when(F.col("volume") != 0, F.abs("ret") / F.col("volume")),
               vma=b.full(30, F.avg("volume").over(b.frame(30)), lead=1), vm=b.full(20, F.avg("volume").over(b.frame(20)), lead=1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, clamp, flag, is_true, safe_div
-from ..plans import Blocks, blocked, last_rows, tick_blocks, time_chunk
+from ..plans import Blocks, blocked, last_rows, tick_blocks, time_chunk, narrow
 
 ID = ["symbol", "ts", "seq"]
 EPS = 1e-12
@@ -23,7 +23,7 @@ def _kyle(b: Blocks, n: int, cap: float) -> Blocks:
 
 def kyle_lambda(t: DataFrame, n: int = 80, cap: float = 0.1, low: float = 0.002, high: float = 0.008, smooth: int = 50) -> DataFrame:
     """Price impact per unit of signed volume, smoothed by an average with weight 0.2 over the last 50 estimates."""
-    b = _kyle(tick_blocks(t.select(*ID, "price", "volume"), before=n + smooth + 2), n, cap)
+    b = _kyle(tick_blocks(narrow(t, *ID, "price", "volume"), before=n + smooth + 2), n, cap)
     hist = F.collect_list("lam").over(b.frame(smooth))  # at most `smooth` numbers
     ema = F.aggregate(F.slice(hist, 2, smooth), hist[0], lambda a, x: 0.2 * x + 0.8 * a)
     d = b.add(lambda_smooth=F.when(F.col("lam").isNotNull(), ema)).done().where("lam is not null")
@@ -33,7 +33,7 @@ def kyle_lambda(t: DataFrame, n: int = 80, cap: float = 0.1, low: float = 0.002,
 
 def flow_toxicity(t: DataFrame, n: int = 60, cap: float = 0.1, high: float = 0.008, lag: int = 15) -> DataFrame:
     """0.40 impact + 0.35 persistence of moves + 0.25 size anomaly over the last n ticks; regime from a weighted history of 30 scores."""
-    b = _kyle(tick_blocks(t.select(*ID, "price", "volume", "bid_size", "ask_size"), before=n + 33), n, cap)
+    b = _kyle(tick_blocks(narrow(t, *ID, "price", "volume", "bid_size", "ask_size"), before=n + 33), n, cap)
     f = b.frame(n)
     prev = b.w.rowsBetween(-(n - 1), -1)
     b = b.add(_px=F.collect_list("price").over(f), _vm=F.avg("volume").over(prev), _vs=F.stddev_pop("volume").over(prev))  # at most n prices
@@ -60,7 +60,7 @@ def flow_toxicity(t: DataFrame, n: int = 60, cap: float = 0.1, high: float = 0.0
 def lead_lag(bars: DataFrame, pairs: DataFrame, window: int = 60, max_lag: int = 10, min_corr: float = 0.45, min_move: float = 0.03) -> DataFrame:
     """Best lagged correlation (follower after leader, 1 to max_lag bars) over the last ``window`` bars of each pair.
     pairs: (leader, follower, rank_gap), the ordered pairs to test. Every series is cut to its newest rows first."""
-    t = last_rows(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], window)
+    t = last_rows(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], window)
     w = Window.partitionBy("symbol").orderBy("ts")  # at most `window` rows
     t = t.withColumns({"r": F.col("close") / F.lag("close").over(w) - 1, "m3": (F.col("close") / F.lag("close", 2).over(w) - 1) * 100, "k": F.col("_rev")})
     lead = t.select(F.col("symbol").alias("leader"), "k", F.col("r").alias("x")).where("x is not null")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, clamp, flag, is_true
-from ..plans import bar_blocks, last_rows
+from ..plans import bar_blocks, last_rows, narrow
 from . import features as ft
 
 
 def swing_points(bars: DataFrame, keep: int = 5) -> DataFrame:
     """Two-bar fractal highs and lows; newest ``keep`` of each kind, the newest three mark the zones."""
-    b = bar_blocks(bars.select("symbol", "ts", "high", "low"), before=2, after=2)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "high", "low"), before=2, after=2)
     h = lambda k: F.lag("high", k).over(b.w)
     l = lambda k: F.lag("low", k).over(b.w)
     around = (1, 2, -1, -2)
@@ -89,7 +89,7 @@ def ob_bias(bars: DataFrame, lookback: int = 50) -> DataFrame:
 
 def market_structure(bars: DataFrame, swing: int = 5, lookback: int = 100) -> DataFrame:
     """Swing extremes of the last 100 bars, trend of the last two highs and lows, break-of-structure flags."""
-    t = last_rows(bars.select("symbol", "ts", "high", "low", "close"), ["symbol"], ["ts"], lookback)
+    t = last_rows(narrow(bars, "symbol", "ts", "high", "low", "close"), ["symbol"], ["ts"], lookback)
     w = Window.partitionBy("symbol").orderBy("ts")  # at most `lookback` rows
     f = w.rowsBetween(-swing, swing)
     inner = (F.row_number().over(w) > swing) & (F.col("_rev") > swing)
@@ -183,7 +183,7 @@ def setup_quality_score(x: DataFrame) -> DataFrame:
 
 def next_open_entry(bars: DataFrame, max_gap: float = 0.20) -> DataFrame:
     """Entry at the next bar's open; the close itself when there is no next bar or the gap is 20 % or more."""
-    b = bar_blocks(bars.select("symbol", "ts", "open", "close"), after=1)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "open", "close"), after=1)
     d = b.add(nxt=F.lead("open").over(b.w)).done()
     ok = is_true(F.abs(F.col("nxt") - F.col("close")) / F.greatest("close", F.lit(1e-6)) < max_gap)
     return d.select("symbol", "ts", "close", F.when(ok, F.col("nxt")).otherwise(F.col("close")).alias("entry"),

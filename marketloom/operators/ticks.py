@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, clamp, flag, is_true, safe_div
-from ..plans import TICK_CHUNK, Blocks, ordered_array, row_index, running, tick_blocks, time_blocks, time_chunk
+from ..plans import TICK_CHUNK, Blocks, ordered_array, row_index, running, tick_blocks, time_blocks, time_chunk, narrow
 
 ID = ["symbol", "ts", "seq"]
 
@@ -76,7 +76,7 @@ def spoof_environment(walls: DataFrame, signals: DataFrame, seconds: int = 5, co
 
 def fill_proxy_book(t: DataFrame) -> DataFrame:
     """Without a book: size min(1 + 20 |move %|, 3.5) on the side of the last mid move, 1 on the other."""
-    b = tick_blocks(t.select(*ID, "price", "bid", "ask", "bid_size", "ask_size"), before=1).add(_m=mid())
+    b = tick_blocks(narrow(t, *ID, "price", "bid", "ask", "bid_size", "ask_size"), before=1).add(_m=mid())
     p = F.lag("_m").over(b.w)
     b = b.add(_d=F.col("_m") - p, _p=p)
     mv = F.least(1 + F.abs(F.col("_d") / F.col("_p")) * 100 * 20, F.lit(3.5))
@@ -108,7 +108,7 @@ def rolling_tick_stats(t: DataFrame) -> DataFrame:
 
 
 def rolling_ofi(t: DataFrame, n: int = 20) -> DataFrame:
-    return _rofi(tick_blocks(t.select(*ID, "bid_size", "ask_size"), before=n), n).done().select(*ID, F.col("rofi").alias("ofi"))
+    return _rofi(tick_blocks(narrow(t, *ID, "bid_size", "ask_size"), before=n), n).done().select(*ID, F.col("rofi").alias("ofi"))
 
 
 def spread_filter(t: DataFrame, mult: float = 1.5) -> DataFrame:
@@ -148,7 +148,7 @@ def _streaks(t: DataFrame) -> DataFrame:
 
 
 def tick_streak(t: DataFrame) -> DataFrame:
-    return _streaks(t.select(*ID, "price")).select(*ID, "up_streak", "down_streak")
+    return _streaks(narrow(t, *ID, "price")).select(*ID, "up_streak", "down_streak")
 
 
 def burst_signal(t: DataFrame, min_streak: int = 3, min_move: float = 0.005, ofi_floor: float = 0.20, ofi_ceiling: float = 0.80, max_spread: float = 0.25) -> DataFrame:
@@ -190,14 +190,14 @@ def acceleration_signal(t: DataFrame, ratio: float = 1.4, min_move: float = 0.00
 
 def momentum_flip(t: DataFrame, positions: DataFrame, threshold: float = 0.06) -> DataFrame:
     """Ticks where the three-tick move runs against an open position. positions: (symbol, direction), a small dimension."""
-    b = tick_blocks(t.select(*ID, "price"), before=2)
+    b = tick_blocks(narrow(t, *ID, "price"), before=2)
     p = F.lag("price", 2).over(b.w)
     d = b.add(move_pct=(F.col("price") - p) / p * 100).done().where("move_pct is not null").join(positions, "symbol")
     return d.select(*ID, "direction", "move_pct", F.when(F.col("direction") == "LONG", F.col("move_pct") < -threshold).otherwise(F.col("move_pct") > threshold).alias("flip"))
 
 
 def trend_continues(t: DataFrame) -> DataFrame:
-    b = tick_blocks(t.select(*ID, "price"), before=4)
+    b = tick_blocks(narrow(t, *ID, "price"), before=4)
     b = b.add(_m=F.col("price") - F.lag("price").over(b.w))
     f = b.frame(3)
     d = b.add(up=F.sum(flag(F.col("_m") > 0)).over(f), dn=F.sum(flag(F.col("_m") < 0)).over(f)).done(drop_index=False).where("_i >= 3")
@@ -207,7 +207,7 @@ def trend_continues(t: DataFrame) -> DataFrame:
 def tick_regime(t: DataFrame, window: int = 20, vol_low: float = 0.005, vol_high: float = 0.08, bias: float = 0.6, min_move: float = 0.02) -> DataFrame:
     """DEAD / VOLATILE / TRENDING_UP / TRENDING_DOWN / RANGING over the last window + 2 ticks, with size and level multipliers."""
     n = window + 2
-    b = tick_blocks(t.select(*ID, "price"), before=n)
+    b = tick_blocks(narrow(t, *ID, "price"), before=n)
     p = F.lag("price").over(b.w)
     b = b.add(_r=(F.col("price") - p) / p * 100)
     f = b.frame(n - 1)

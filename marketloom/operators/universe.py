@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, is_true
-from ..plans import BAR_CHUNK, bar_blocks, last_rows, row_index, running, time_chunk
+from ..plans import BAR_CHUNK, bar_blocks, indexed, last_rows, narrow, row_index, running, time_chunk
 
 
 def normalize_symbol(df: DataFrame, col: str = "raw") -> DataFrame:
@@ -68,7 +68,7 @@ def asof_slice(bars: DataFrame, dates: DataFrame, n: int = 90, min_n: int = 55)
 
     The position of the last bar at or before a date is a running maximum over bars and dates together; a bar belongs to
     a slice when its position lies within n of that, which is an equi-join on blocks of n positions."""
-    idx = row_index(bars.select("symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK))
+    idx = indexed(narrow(bars, "symbol", "ts", "close"), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK))
     marks = idx.select("symbol", "ts", F.col("_i").alias("pos"), F.lit(0).alias("is_scan"))
     scans = dates.select("symbol", F.col("scan_date").alias("ts"), F.lit(None).cast("long").alias("pos"), F.lit(1).alias("is_scan"))
     x = running(marks.unionByName(scans), ["symbol"], ["ts", "is_scan"], time_chunk("ts", BAR_CHUNK), maxs={"last": "pos"})
@@ -82,7 +82,7 @@ def asof_slice(bars: DataFrame, dates: DataFrame, n: int = 90, min_n: int = 55)
 def forward_window(bars: DataFrame, is_signal: Column, k: int = 10, days: int = 15) -> DataFrame:
     """Next k bars within ``days`` days of each signal bar. Signals are bars of the same series, so the look-ahead is a frame
     over the following rows of the block, not a join. At most k rows per signal."""
-    b = bar_blocks(bars.select("symbol", "ts", "open", "high", "low", "close"), after=k)
+    b = bar_blocks(narrow(bars, "symbol", "ts", "open", "high", "low", "close"), after=k)
     nxt = F.collect_list(F.struct("ts", "open", "high", "low", "close")).over(b.w.rowsBetween(1, k))
     d = b.add(_path=nxt, _sig=is_signal).done().where("_sig")
     lim = F.col("ts") + F.make_dt_interval(F.lit(days))

@@ -9,7 +9,9 @@ into blocks first, so that the largest task holds one block however many rows th
                     more than SPLIT_ROWS rows is cut finer first, so a crowded day of one key is not one task.
 * ``last_rows``   - newest n rows per key; Spark turns the rank filter into a per-task limit before the shuffle.
 * ``order_stats`` - exact order statistics by counting value chunks and sorting only the chunk that is hit.
-* ``fold_blocks`` - sequential recursions over a block's array, for recursions that forget their start.
+* ``affine_scan`` - exponential averages as composed affine maps of blocks.
+* ``whole_blocks`` - complete blocks in a task, for recursions that NumPy runs over several blocks side by side.
+* ``indexed``     - positions stored with a table, so that the operators above count nothing.
 """
 
 from __future__ import annotations
@@ -84,6 +86,22 @@ def running(df: DataFrame, keys: list[str], order: list, chunk: Column, *,
     return out.select(*[F.col(k) for k in columns], *exprs)
 
 
+def narrow(df: DataFrame, *cols) -> DataFrame:
+    """Columns of a frame, with the positions that ``indexed`` has given its rows."""
+    return df.select(*cols, *[x for x in ("_i", "_n") if x in df.columns])
+
+
+def indexed(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:
+    """A series with the position _i of each row and the length _n, for a table that is written once and read by many operators: they cut
+    blocks by position then, and count nothing again. The positions hold as long as no row is filtered out."""
+    return df if "_i" in df.columns else row_index(df, keys, order, chunk)
+
+
+def by_position(df: DataFrame, order: list, chunk: Column) -> tuple[list, Column]:
+    """Order and chunks of a running scan: positions where the frame has them."""
+    return (["_i"], F.floor(F.col("_i") / BLOCK_ROWS).cast("long")) if "_i" in df.columns else (order, chunk)
+
+
 def row_index(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:
     """Add _i, the 0-based position of each row in its key's series, and _n, the length of the series."""
     df = _chunked(df, keys, order, chunk)
@@ -172,6 +190,8 @@ def tick_blocks(ticks: DataFrame, *, before: int = 0, after: int = 0, keys=("sym
 
 def last_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str = "_rev") -> DataFrame:
     """Newest n rows of each key, numbered 1 (newest) to n. n up to 1000 keeps the limit before the shuffle."""
+    if "_i" in df.columns:
+        return df.withColumn(name, (F.col("_n") - F.col("_i")).cast("int")).where(F.col(name) <= n).drop("_i", "_n")
     w = Window.partitionBy(*keys).orderBy(*[c(o).desc() for o in order])
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
@@ -180,7 +200,7 @@ def tail_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, n: int
     """Newest n rows of each key like ``last_rows``; beyond 1000 rows positions come from chunk counts instead of a rank over the key."""
     if n <= 1000:
         return last_rows(df, keys, order, n, name)
-    d = row_index(df, keys, order, chunk)
+    d = indexed(df, keys, order, chunk)
     return d.withColumn(name, F.col("_n") - F.col("_i")).where(F.col(name) <= n).drop("_i", "_n")
 
 
@@ -232,6 +252,7 @@ def quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float]) ->
 def drawdown_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, log_ret) -> DataFrame:
     """Add cum = exp(running sum of log returns) and peak = its running maximum, in one carry pass.
     Inside a chunk the peak of the local sum is known; earlier chunks add one offset and one earlier peak."""
+    order, chunk = by_position(df, order, chunk)
     df = _chunked(df, keys, order, chunk).withColumn("_x", c(log_ret))
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -257,22 +278,54 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def fold_blocks(b: Blocks, cols: list[str], init: Column, step, emit) -> DataFrame:
-    """Sequential recursion over each block, one output row per own row.
-    init: state struct; step(state, row) -> state struct; emit(state, row) -> list of aliased columns.
-    The halo must be long enough for the recursion to forget its start; the first block has no halo and is exact."""
-    arr = spread(b.df, *b.keys, "_b").groupBy(*b.keys, "_b").agg(ordered_array(["_own", *cols]).alias("_a"))
-
-    def item(s, r):
-        return F.struct(r["_own"].alias("_own"), r["_i"].alias("_i"), *emit(s, r))
-
-    probe = arr.select(init.alias("_s"), F.col("_a")[0].alias("_r"))
-    kind = probe.select(item(F.col("_s"), F.col("_r")).alias("e")).schema["e"].dataType.simpleString()
-    start = F.struct(init.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def advance(acc, r):
-        s = step(acc["s"], r)
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(item(s, r).cast(kind))).alias("out"))
-
-    return (arr.select(*b.keys, F.explode(F.aggregate("_a", start, advance)["out"]).alias("_e"))
-            .where("_e._own").select(*b.keys, "_e.*").drop("_own"))
+def affine_scan(df: DataFrame, keys: list[str], order: list, chunk: Column, value, decays: dict[str, float]) -> DataFrame:
+    """Add y(t) = (1 - a) y(t - 1) + a x(t) for each (name, a), seeded with the first value of the key.
+
+    A block of rows is the affine map y = q^n y0 + b, and maps compose: inside a block y0 = 0 gives every row's own part as one running sum
+    (of a x q^-k, times q^k; all terms shrink backwards, so no digits are lost), the blocks' b are one aggregate, and the state before a block is
+    the sum of the blocks before it, each faded by the rows since. Blocks are short enough for q^-k to stay a double. No row is copied,
+    no array is built, and a hot key is many blocks.
+    """
+    q = {n: 1 - a for n, a in decays.items()}
+    if not all(0 < v < 1 for v in q.values()):
+        raise ValueError("weights must lie between 0 and 1")
+    rows = max(1, min([BLOCK_ROWS, *[int(460 / -math.log(v)) for v in q.values()]]))
+    b = blocked(df, keys, order, chunk, rows=rows)
+    off, x = (F.col("_i") % rows).cast("double"), c(value).cast("double")
+    w = b.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = b.df.withColumns({f"_y_{n}": F.pow(F.lit(v), off) * F.sum((1 - v) * x * F.pow(F.lit(v), -off)).over(w) for n, v in q.items()})
+    first = F.max(F.when(F.col("_i") == 0, x))
+    ends = b.df.groupBy(*keys, "_b").agg(first.alias("_x0"), *[F.sum((1 - v) * x * F.pow(F.lit(v), rows - 1 - off)).alias(f"_e_{n}") for n, v in q.items()])
+    wk = Window.partitionBy(*keys).orderBy("_b")
+    carries = []
+    for n, v in q.items():
+        fade, end = v ** rows, F.coalesce(F.col("_x0") * F.lit(v ** rows), F.lit(0.0)) + F.col(f"_e_{n}")
+        reach = 1 if fade <= 1e-18 else math.ceil(math.log(1e-18) / math.log(fade))  # blocks until a block has faded
+        terms = [F.coalesce(F.lag(end, j + 1).over(wk), F.lit(0.0)) * fade ** j for j in range(reach)]
+        carries.append(F.coalesce("_x0", sum(terms[1:], terms[0])).alias(f"_c_{n}"))
+    out = local.join(ends.select(*keys, "_b", *carries), [*keys, "_b"])
+    for n, v in q.items():
+        out = out.withColumn(n, F.col(f"_y_{n}") + F.pow(F.lit(v), off + 1) * F.col(f"_c_{n}"))
+    return out.drop("_b", "_own", *[f"_{k}_{n}" for n in q for k in "yc"])
+
+
+def whole_blocks(frames, tag: list[str], rows: int = 1 << 16):
+    """Lists of complete blocks, about ``rows`` rows together, from frames sorted by ``tag`` and position: a block never ends at a batch."""
+    import pandas as pd
+
+    ready, size, tail, tail_tag = [], 0, [], None
+    for pdf in frames:
+        for t, part in pdf.groupby(tag, sort=False, dropna=False):
+            if tail and t != tail_tag:
+                ready.append(pd.concat(tail, ignore_index=True))
+                tail = []
+                if size >= rows:
+                    yield ready
+                    ready, size = [], 0
+            tail_tag = t
+            tail.append(part)
+            size += len(part)
+    if tail:
+        ready.append(pd.concat(tail, ignore_index=True))
+    if ready:
+        yield ready

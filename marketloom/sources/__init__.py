@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..plans import BAR_CHUNK, TICK_CHUNK, running, time_chunk
+from ..operators import features
+from ..plans import BAR_CHUNK, TICK_CHUNK, by_position, indexed, running, time_chunk
 from ..session import work_dir
 
 
@@ -51,39 +52,46 @@ class Tables:
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
-    def _path(self, daily: DataFrame, key: str, symbol) -> DataFrame:
-        """Turn per-day returns into a price path."""
-        p = running(daily, [key], ["ts"], time_chunk("ts", BAR_CHUNK), sums={"s": "r"})
-        p = p.select(symbol.alias("symbol"), "ts", "w", "volume",
+    def _path(self, name: str, build, key: str, symbol) -> DataFrame:
+        """Turn per-day returns into a price path with the position of every bar."""
+        daily = indexed(self._stored(f"{name}_daily", build), [key], ["ts"], time_chunk("ts", BAR_CHUNK))
+        p = running(daily, [key], *by_position(daily, ["ts"], time_chunk("ts", BAR_CHUNK)), sums={"s": "r"})
+        p = p.select(symbol.alias("symbol"), "ts", "w", "volume", "_i", "_n",
                      (100 * F.exp("s")).alias("close"), (100 * F.exp(F.col("s") - 0.9 * F.col("r"))).alias("open"))
         return p.select("symbol", "ts", "open",
                         (F.greatest("open", "close") * (1 + F.col("w"))).alias("high"),
                         (F.least("open", "close") * (1 - F.col("w"))).alias("low"),
-                        "close", "volume")
+                        "close", "volume", "_i", "_n")
 
     def bars(self) -> DataFrame:
-        """Daily bars per supplier."""
-        return self._stored("bars", self._bars)
+        """Daily bars per supplier; _i and _n are a bar's position and the length of its series."""
+        key = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+        return self._stored("bars", lambda: self._path("bars", self._bars_daily, "l_suppkey", key))
 
-    def _bars(self) -> DataFrame:
+    def rets(self) -> DataFrame:
+        """Log returns of the bars, with positions."""
+        return self._stored("rets", lambda: features.return_rows(self.bars()))
+
+    def rets_brand(self) -> DataFrame:
+        return self._stored("rets_brand", lambda: features.return_rows(self.bars_brand()))
+
+    def _bars_daily(self) -> DataFrame:
         li = self.base("lineitem")
-        daily = li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(
+        return li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(
             (0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) + 0.002 * F.sin(F.sum("l_extendedprice"))).alias("r"),
             (0.1 * F.avg("l_tax")).alias("w"), F.sum("l_quantity").alias("volume"))
-        return self._path(daily, "l_suppkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
 
     def bars_brand(self) -> DataFrame:
         """Daily bars per brand."""
-        return self._stored("bars_brand", self._bars_brand)
+        return self._stored("bars_brand", lambda: self._path("bars_brand", self._brand_daily, "p_brand", F.col("p_brand")))
 
-    def _bars_brand(self) -> DataFrame:
+    def _brand_daily(self) -> DataFrame:
         li = self.base("lineitem").join(self.base("part").select("p_partkey", "p_brand"),
                                         F.col("l_partkey") == F.col("p_partkey"))
-        daily = li.groupBy("p_brand", F.col("l_shipdate").alias("ts")).agg(
+        return li.groupBy("p_brand", F.col("l_shipdate").alias("ts")).agg(
             (0.2 * (F.sum("l_discount") - 0.05 * F.count(F.lit(1))) / F.sqrt(F.count(F.lit(1)).cast("double"))
              + 0.002 * F.sin(F.sum("l_extendedprice"))).alias("r"),
             (0.1 * F.avg("l_tax")).alias("w"), F.sum("l_quantity").alias("volume"))
-        return self._path(daily, "p_brand", F.col("p_brand"))
 
     def _ticks(self, symbol) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
@@ -93,8 +101,8 @@ class Tables:
                         (1.0 + k).alias("bid_size"), (100.0 - k).alias("ask_size"), (1.0 + k).alias("volume")))
 
     def ticks(self) -> DataFrame:
-        """Five long series, one per event type."""
-        return self._ticks(F.col("event_type"))
+        """Five long series, one per event type; _i and _n are a tick's position and the length of its series."""
+        return self._stored("ticks", lambda: indexed(self._ticks(F.col("event_type")), ["symbol"], ["ts", "seq"], time_chunk("ts", TICK_CHUNK)))
 
     def user_ticks(self) -> DataFrame:
         """Many short series, one per user."""
@@ -176,8 +184,9 @@ class Tables:
 
     def _equity(self) -> DataFrame:
         t = self.trades().select("account", F.col("exit_ts").alias("ts"), "trade_id", "net_pnl_usd")
-        e = running(t, ["account"], ["ts", "trade_id"], time_chunk("ts", BAR_CHUNK), sums={"s": "net_pnl_usd"})
-        return e.select("account", "ts", "trade_id", (10000 + F.col("s") * 0.0517131).alias("balance"))
+        t = indexed(t, ["account"], ["ts", "trade_id"], time_chunk("ts", BAR_CHUNK))
+        e = running(t, ["account"], *by_position(t, ["ts", "trade_id"], time_chunk("ts", BAR_CHUNK)), sums={"s": "net_pnl_usd"})
+        return e.select("account", "ts", "trade_id", (10000 + F.col("s") * 0.0517131).alias("balance"), "_i", "_n")
 
     def positions(self) -> DataFrame:
         o = self.base("orders").where("o_orderstatus = 'O'")

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from marketloom import plans
 from marketloom.operators import features, ticks
+from marketloom.session import work_dir
 
 def win():
     return Window.partitionBy("symbol").orderBy("ts", "seq")
@@ -64,9 +65,24 @@ def test_drawdown_rows(hot):
 
 def test_ema_blocks_equal_unbroken_recursion(hot):
     pdf, df = hot
-    got = features.ema(df.select("symbol", "ts", "close"), (5, 20), rows=500).toPandas().sort_values(["symbol", "ts"])
-    want = pdf.sort_values(["symbol", "ts"]).groupby("symbol")["close"].transform(lambda c: c.ewm(span=20, adjust=False).mean())
-    np.testing.assert_allclose(got["ema20"].to_numpy(), want.to_numpy(), rtol=1e-13)
+    for spans in ((5, 20), (2, 600)):  # short blocks for the fast average, many fading blocks for the slow one
+        got = features.ema(df.select("symbol", "ts", "close"), spans).toPandas().sort_values(["symbol", "ts"])
+        for n in spans:
+            want = pdf.sort_values(["symbol", "ts"]).groupby("symbol")["close"].transform(lambda c: c.ewm(span=n, adjust=False).mean())
+            np.testing.assert_allclose(got[f"ema{n}"].to_numpy(), want.to_numpy(), rtol=1e-12)
+
+
+def test_indexed_frames_give_the_same_features(hot):
+    _, df = hot
+    bars = df.selectExpr("symbol", "ts", "close open", "close * 1.01 high", "close * 0.99 low", "close", "x + 1 volume").dropDuplicates(["symbol", "ts"])
+    path = work_dir(df.sparkSession, "indexed")
+    plans.indexed(bars, ["symbol"], ["ts"], plans.time_chunk("ts", plans.BAR_CHUNK)).write.parquet(path)
+    known = df.sparkSession.read.parquet(path)
+    for f in (features.technicals, features.momentum_factor, features.realized_vol_suite, features.zscore_signal):
+        a, b = (f(x).drop("_i", "_n").toPandas().sort_values(["symbol", *(["ts"] if f in (features.technicals, features.zscore_signal) else [])]).reset_index(drop=True) for x in (bars, known))
+        pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+    plan = features.zscore_signal(known)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
 
 
 @pytest.mark.parametrize("seconds", [1500, 9000, 60000])
