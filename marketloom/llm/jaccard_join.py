@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._arrays import bitmap, byte_class, find, grams, mix, release, slices, utf8, word_bounds, word_hashes
 from ._store import components, discard, small_batches, stored
@@ -58,16 +58,19 @@ def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Tokens as 32-bit numbers, by bucket: what the count of documents per token needs."""
+    """Tokens as 32-bit numbers with their counts, by bucket: what the count of documents per token needs."""
     held, size = [], 0
 
     def flush():
-        t = np.sort(np.concatenate(held))
+        t, count = np.unique(np.concatenate(held), return_counts=True)  # a token that many texts hold is one entry
         own = _bucket(t, buckets)
         cut = np.flatnonzero(np.diff(own, prepend=-1))
-        low = (t & LOW32).astype(np.uint32)
-        blobs = [low[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(t)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(own[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
+        low, many, more = (t & LOW32).astype(np.uint32), np.flatnonzero(count > 1), (count - 1).astype(np.uint32)
+        bounds = [*cut.tolist(), len(t)]
+        blobs = [low[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        inside = np.searchsorted(many, bounds)
+        extra = [low[many[a:b]].tobytes() + more[many[a:b]].tobytes() for a, b in zip(inside, inside[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(own[cut].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], names=["bucket", "tokens", "more"])
 
     for b in slices(batches):
         for s in shingle_sets(b.column("text"), n):
@@ -84,6 +87,9 @@ def _heavy(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     t = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["tokens"]]))
     cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     count = np.diff(cut, append=len(t))
+    for blob in pdf["more"]:  # tokens, then how often they occurred beyond the first time
+        token, times = np.frombuffer(blob, np.uint32).reshape(2, -1)
+        count[np.searchsorted(t[cut], token)] += times
     cut, count = cut[count >= least], count[count >= least]
     return pd.DataFrame({"bucket": np.full(len(cut), pdf["bucket"].iloc[0], np.int32), "token": t[cut].astype(np.int64), "cnt": count.astype(np.int64)})
 
@@ -253,7 +259,7 @@ def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
     ids = sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     buckets = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
     texts = documents.where("doc_id is not null")
-    counted = texts.select("text").mapInArrow(lambda it: _token_counts(it, n, buckets), "bucket int, tokens binary")
+    counted = texts.select("text").mapInArrow(lambda it: _token_counts(it, n, buckets), "bucket int, tokens binary, more binary")
     counted = counted.groupBy("bucket").applyInPandas(lambda pdf: _heavy(pdf, HEAVY), "bucket int, token long, cnt long")
     top = counted.orderBy(F.desc("cnt"), "bucket", "token").limit(HEAVY_KEPT).toPandas()
     keys = _key(top["bucket"].to_numpy(np.int64), top["token"].to_numpy(np.int64))
@@ -277,10 +283,15 @@ def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
     merged = stored(components(edges), "merged")
     owned = shared.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = owned.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    owned = stored(owned.join(mixed, "key", "left_semi"), "owned")
-    rest = owned.alias("a").join(owned.alias("b"), F.expr(f"a.key = b.key and a.sid < b.sid and a.root <> b.root and {_fits('a', 'b', percent)}"))
-    rest = rest.groupBy(F.col("a.sid").alias("hub"), F.col("b.sid").alias("sid")).agg(F.count(F.lit(1)).alias("c"), F.first(F.expr("least(a.l, b.l)")).alias("l"))
+    sizes = owned.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    rank = (F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "root")) - 1).alias("rank")  # the largest root of a key is 0
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
+    ranked = sizes.join(mixed, "key", "left_semi").select("key", "root", rank)
+    owned = stored(owned.join(ranked, ["key", "root"]), "owned")
+    # a set of a smaller root probes every larger root of its key: sets of one root never meet
+    probes = owned.where("rank > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rank") - 1)))
+    rest = probes.alias("a").join(owned.alias("b"), F.expr(f"a.key = b.key and a.other = b.rank and {_fits('a', 'b', percent)}"))
+    rest = rest.groupBy(F.expr("least(a.sid, b.sid)").alias("hub"), F.expr("greatest(a.sid, b.sid)").alias("sid")).agg(F.count(F.lit(1)).alias("c"), F.first(F.expr("least(a.l, b.l)")).alias("l"))
     rest = stored(rest.where("c >= l").select("hub", "sid"), "rest")
     more, want = links(documents, ids, rest, n, percent)
     more = stored(more, "edges")
