@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._arrays import ragged, slices
+from ._arrays import mix, ragged, slices
 
 SPACE = "▁"
 CACHED = 300_000  # segments kept per worker
@@ -176,13 +176,12 @@ class MergeModel:
             cut[offsets[:-1][offsets[:-1] < len(a)]] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(a))
-        parts = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist())]
-        order: dict[str, int] = {}
-        which = np.fromiter((order.setdefault(p, len(order)) for p in parts), np.int64, len(parts))
+        one, which = distinct_runs(codes, begin, end)
+        order = [joined[b:e] for b, e in zip(begin[one].tolist(), end[one].tolist())]
         known = [self.segment_ids(p) for p in order]
         # A lone space that did not merge with its word belongs to the run of spaces before it.
         loose = np.array([len(p) > 1 and p[0] == SPACE and p[1] != SPACE and self.pieces[k[0]] == SPACE for p, k in zip(order, known)], bool)
-        fix = np.flatnonzero(loose[which] & (begin > 0)) if len(parts) else np.zeros(0, np.int64)
+        fix = np.flatnonzero(loose[which] & (begin > 0)) if len(begin) else np.zeros(0, np.int64)
         fix = fix[(fix > 0)]
         fix = fix[(a[begin[fix] - 1] == self.space) & ~np.isin(begin[fix], offsets)]
         sizes = np.array([len(k) for k in known], np.int64)
@@ -190,7 +189,7 @@ class MergeModel:
         first = np.cumsum(sizes) - sizes
         extra: dict[int, np.ndarray] = {}
         for i in fix:
-            extra[i - 1] = self.segment_ids(parts[i - 1] + SPACE)
+            extra[i - 1] = self.segment_ids(joined[begin[i - 1]:end[i - 1]] + SPACE)
             extra[i] = known[which[i]][1:]
         count = sizes[which]
         for i, v in extra.items():
@@ -238,6 +237,18 @@ class MergeModel:
         return "".join(out)
 
 
+def distinct_runs(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct run of codes, and which of them every run is. Runs are told apart by a 64-bit hash and their length."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    place = np.arange(len(codes)) - np.repeat(begin, end - begin)
+    h = mix(h ^ (place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+    key = mix(np.add.reduceat(h, begin) + (end - begin).astype(np.uint64))
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    return one, which
+
+
 def utf8_or_marks(data: bytes) -> str:
     out, at = [], 0
     while at < len(data):
