@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._arrays import byte_class, mix, slices, utf8, word_bounds
-from .toxicity import held_out, word_table
+from ._arrays import byte_class, mix, slices, utf8, word_bounds, word_hashes
+from .toxicity import held_out
 
 WORD = byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])  # letters, and every character outside ASCII
-LONGEST = 8  # characters of a piece that the models use
 ROWS = 1_000  # learnable texts of a language, at most
-WORDS = 200_000  # words of a language, at most
+LANGUAGES = 1_000  # more are an error
+KEPT_BYTES = 1 << 25  # of word scores that a worker keeps
 ROUNDS = 3  # of expectation maximisation
 FLOOR = 1e-7  # probability of a character outside the vocabulary
 UNDETERMINED = "und"
@@ -29,16 +29,27 @@ def _gram_hash(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(h + (np.uint64(n) << np.uint64(59)))
 
 
+@dataclass
+class Vocabulary:
+    """Sorted hashes of pieces, and which lengths of pieces there are."""
+
+    hashes: np.ndarray
+    lengths: list[int]
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
 @lru_cache
-def vocabulary(model_file: str) -> np.ndarray:
-    """Sorted hashes of the usable pieces of a public piece model: letters only, lower case, a leading mark for a word's start kept."""
+def vocabulary(model_file: str) -> Vocabulary:
+    """The usable pieces of a public piece model, of every length: letters only, lower case, a leading mark for a word's start kept."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {p.lower() for i in range(m.vocab_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i)) for p in [m.id_to_piece(i)]}
-    pieces = {p for p in pieces if p.lstrip("▁").isalpha() and p.count("▁") <= 1 and len(p) <= LONGEST}
+    pieces = {p for p in pieces if p.lstrip("▁").isalpha() and p.count("▁") <= 1}
     pieces |= {"▁"} | {c for p in pieces for c in p}
-    return np.unique(np.concatenate([_gram_hash(np.array([ord(c) for c in p], np.uint32), len(p)) for p in pieces]))
+    return Vocabulary(np.unique(np.concatenate([_gram_hash(np.array([ord(c) for c in p], np.uint32), len(p)) for p in pieces])), sorted({len(p) for p in pieces}))
 
 
 @dataclass
@@ -52,19 +63,21 @@ class Lattice:
     piece: np.ndarray
 
 
-def lattice(words: list[str], vocab: np.ndarray) -> Lattice:
+def lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     marked = ["▁" + w for w in words]
     size = np.array([len(w) for w in marked], np.int64)
     first = np.cumsum(size) - size
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
     word = np.repeat(np.arange(len(words)), size)
     end, length, piece = [], [], []
-    for n in range(1, LONGEST + 1):
+    for n in vocab.lengths:
         if len(codes) < n:
             break
         h = _gram_hash(codes, n)
-        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-        ok = (vocab[at] == h) & (word[:len(h)] == word[n - 1:])
+        inside = np.flatnonzero(word[:len(h)] == word[n - 1:])
+        at, ok = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at[inside] = np.minimum(np.searchsorted(vocab.hashes, h[inside]), len(vocab) - 1)
+        ok[inside] = vocab.hashes[at[inside]] == h[inside]
         if n == 1:
             at, ok = np.where(ok, at, len(vocab)), np.ones(len(h), bool)
         s = np.flatnonzero(ok)
@@ -138,7 +151,38 @@ class Model:
     langs: list[str]
     p: np.ndarray
     prior: np.ndarray
-    vocab: np.ndarray
+    vocab: Vocabulary
+
+    def __post_init__(self):
+        self.seen: dict[int, int] = {}  # hash of a byte run -> row of `kept`
+        self.kept = np.zeros((0, len(self.langs) + 1))  # scores by language, and the number of letter runs
+
+    def _scored(self, runs: list[bytes]) -> np.ndarray:
+        """Scores of byte runs by language, and how many letter runs each holds."""
+        known = [_letters(r.decode("utf-8", "replace")) for r in runs]
+        words = [w for ws in known for w in ws]
+        count = np.array([len(ws) for ws in known], np.int64)
+        out = np.zeros((len(runs), len(self.langs) + 1))
+        out[:, -1] = count
+        if words:
+            flat = np.concatenate([word_scores(lattice(words[i:i + 20_000], self.vocab), self.p) for i in range(0, len(words), 20_000)])
+            owner = np.repeat(np.arange(len(known)), count)
+            for j in range(len(self.langs)):
+                out[:, j] = np.bincount(owner, flat[:, j], len(known))
+        return out
+
+    def scores(self, hashes: np.ndarray, run) -> np.ndarray:
+        """Rows of scores for distinct byte runs by hash; run(i) gives the bytes of one that is new. What is kept is bounded in bytes."""
+        if self.kept.nbytes > KEPT_BYTES:
+            self.seen, self.kept = {}, self.kept[:0]
+        place = np.fromiter((self.seen.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            at = len(self.kept)
+            self.kept = np.concatenate([self.kept, self._scored([run(i) for i in new.tolist()])])
+            place[new] = np.arange(at, at + len(new))
+            self.seen.update(zip(hashes[new].tolist(), range(at, at + len(new)), strict=True))
+        return self.kept[place]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         data, offsets = utf8(column)
@@ -147,19 +191,11 @@ class Model:
         total = np.tile(np.log(self.prior), (n, 1)) if self.langs else np.zeros((n, 0))
         lettered = np.zeros(n, bool)
         if len(starts) and self.langs:
-            one, which, _ = word_table(data, starts, ends)
-            known = [_letters(bytes(data[s:e]).decode("utf-8", "replace")) for s, e in zip(starts[one].tolist(), ends[one].tolist())]
-            words = [w for ws in known for w in ws]
-            count = np.array([len(ws) for ws in known], np.int64)
-            per_word = np.zeros((len(known), len(self.langs)))
-            scores = [word_scores(lattice(words[i:i + 20_000], self.vocab), self.p) for i in range(0, len(words), 20_000)]
-            if scores:
-                owner = np.repeat(np.arange(len(known)), count)
-                flat = np.concatenate(scores)
-                per_word = np.column_stack([np.bincount(owner, flat[:, j], len(known)) for j in range(len(self.langs))])
+            hashes, one, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+            per_word = self.scores(hashes, lambda i: bytes(data[starts[one[i]]:ends[one[i]]]))
             row = np.repeat(np.arange(n), np.diff(first))
             total += np.column_stack([np.bincount(row, per_word[which, j], n) for j in range(len(self.langs))])
-            lettered = np.bincount(row, count[which], n) > 0
+            lettered = np.bincount(row, per_word[which, -1], n) > 0
         if not self.langs:
             return [UNDETERMINED] * n, np.zeros(n)
         odds = np.exp(total - total.max(1, keepdims=True))
@@ -183,9 +219,8 @@ def train(rows: list[tuple[str, str]], model_file: str, rounds: int = ROUNDS) ->
     for lang, text in rows:
         c = counts.setdefault(lang, {})
         texts[lang] = texts.get(lang, 0) + 1
-        if sum(c.values()) < WORDS:
-            for w in "".join(x if x.isalpha() else " " for x in text).lower().split():
-                c[w] = c.get(w, 0) + 1
+        for w in "".join(x if x.isalpha() else " " for x in text).lower().split():
+            c[w] = c.get(w, 0) + 1
     langs = sorted(counts)
     p = np.zeros((len(langs), len(vocab) + 1))
     for i, lang in enumerate(langs):
@@ -206,7 +241,9 @@ def train(rows: list[tuple[str, str]], model_file: str, rounds: int = ROUNDS) ->
 def fit(documents: DataFrame, model_file: str, rows: int = ROWS, chars: int = 4_000) -> Model:
     """Model from a bounded sample: the first `rows` learnable texts of each language by hash of the id, of each its first `chars` characters."""
     learn = documents.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).withColumn("h", F.xxhash64("doc_id"))
-    langs = [r[0] for r in learn.select("lang").distinct().orderBy("lang").limit(1_000).collect()]
+    langs = [r[0] for r in learn.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     # ids first: what meets in the one task of a top-n list is then a few bytes a row
     ids = [(r[0],) for lang in langs for r in learn.where(F.col("lang") == lang).select("doc_id", "h").orderBy("h", "doc_id").limit(rows).collect()]
     chosen = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long").distinct())  # `rows` a language at most
