@@ -33,6 +33,9 @@ class TestSuffixes:
     seed: int
     seeds: np.ndarray
     seen: np.ndarray
+    window: np.ndarray  # one suffix for each distinct window
+    bounds: np.ndarray  # of a window's items in `members`
+    members: np.ndarray
 
 
 def _columns(words: np.ndarray, at: np.ndarray, stop: np.ndarray, width: int) -> np.ndarray:
@@ -54,7 +57,13 @@ def suffixes_of(names: list[str], texts: list[str], window: int) -> TestSuffixes
     seed = int(min(4, count[count > 0].min())) if len(words) else 1
     keys = grams(words, seed)
     seeds = np.unique(keys[left[:len(keys)] >= seed])
-    return TestSuffixes(_columns(words, at, stop, window), need, item, at, words, left, names, seed, seeds, bitmap(seeds))
+    rows = _columns(words, at, stop, window)
+    real = np.flatnonzero(need)
+    key = np.where(np.arange(window) < need[real][:, None], rows[real], 0)
+    _, one, group = np.unique(np.column_stack([key, need[real].astype(np.uint64)]), axis=0, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([group.ravel(), item[real]], 1), axis=0) if len(real) else np.zeros((0, 2), np.int64)
+    bounds = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
+    return TestSuffixes(rows, need, item, at, words, left, names, seed, seeds, bitmap(seeds), real[one], bounds, pairs[:, 1])
 
 
 def _less(rows: np.ndarray, keys: np.ndarray, or_equal: bool) -> np.ndarray:
@@ -82,7 +91,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shard_matches(words: np.ndarray, first: np.ndarray, tests: TestSuffixes, window: int):
     """Suffix array of one shard, searched for every test suffix.
 
-    Returns the occurrences of windows (document word position, length, item) and for each test suffix its longest match and where.
+    Returns the occurrences of distinct windows (document word position, length, window) and for each test suffix its longest match and where.
     Only suffixes that begin with a test seed are sorted: no other can hold a whole window.
     """
     stop = np.repeat(first[1:], np.diff(first))
@@ -108,13 +117,20 @@ def shard_matches(words: np.ndarray, first: np.ndarray, tests: TestSuffixes, win
         grow = grow & (words[np.minimum(p + k, len(words) - 1)] == tests.words[np.minimum(q + k, len(tests.words) - 1)])
         longest[full[grow]] += 1
         k += 1
-    real = np.flatnonzero((tests.need > 0) & (longest >= tests.need))
+    group = np.flatnonzero(longest[tests.window] >= tests.need[tests.window])
+    real = tests.window[group]
     inside = np.arange(window) < tests.need[real][:, None]
     lo = bisect(rows, np.where(inside, tests.rows[real], 0))
     hi = bisect(rows, np.where(inside, tests.rows[real], np.uint64((1 << 64) - 1)), right=True)
     hits = ragged(lo, hi - lo)
-    who = np.repeat(real, hi - lo)
-    return np.stack([at[hits], tests.need[who], tests.item[who]]), longest, where
+    return np.stack([at[hits], np.repeat(tests.need[real], hi - lo), np.repeat(group, hi - lo)]), longest, where
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column of texts, and the first word of each text (with one more at the end)."""
+    data, offsets = utf8(column)
+    starts, ends, first = word_bounds(data, offsets, WORD)
+    return word_hashes(data, starts, ends), first
 
 
 def _marks(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -126,10 +142,8 @@ def _marks(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _scan(tests: TestSuffixes, window: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", SHARD_BYTES):
-        data, offsets = utf8(b.column("text"))
-        starts, ends, first = word_bounds(data, offsets, WORD)
-        words = word_hashes(data, starts, ends)
-        (at, length, item), longest, where = shard_matches(words, first, tests, window)
+        words, first = _words(b.column("text"))
+        (at, length, group), longest, where = shard_matches(words, first, tests, window)
         spans = b.column("hit_spans").to_pylist()
         row = np.searchsorted(first, at, "right") - 1
         for r in np.flatnonzero(np.array([bool(s) for s in spans])):  # hits of earlier blocks
@@ -142,8 +156,8 @@ def _scan(tests: TestSuffixes, window: int, schema: pa.Schema, batches: Iterator
         down = np.sort(np.concatenate([np.flatnonzero(np.diff(hit.astype(np.int8), append=0) < 0) + 1, both]))
         n_hit = np.bincount(np.searchsorted(first, np.flatnonzero(hit), "right") - 1, minlength=b.num_rows)
         items, span_row = [set(x or ()) for x in b.column("items").to_pylist()], np.searchsorted(first, up, "right") - 1
-        for r, i in np.unique(np.stack([row, item]), axis=1).T if len(row) else ():
-            items[r].add(tests.names[i])
+        for r, g in np.unique(np.stack([row, group]), axis=1).T if len(row) else ():
+            items[r].update(tests.names[i] for i in tests.members[tests.bounds[g]:tests.bounds[g + 1]])
         new_spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
         for r, u, d in zip(span_row, up, down, strict=True):
             new_spans[r].append({"start": int(u - first[r]), "stop": int(d - first[r])})
@@ -200,8 +214,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return matches(documents, benchmark, window, keep=keep).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
+def _clean(tests: TestSuffixes, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents that are not contaminated; only verdicts are made of a shard."""
+    for b in slices(batches, "text", SHARD_BYTES):
+        words, first = _words(b.column("text"))
+        (at, length, _), _, _ = shard_matches(words, first, tests, window)
+        n_hit = np.bincount(np.searchsorted(first, np.flatnonzero(_marks(len(words), at, length)), "right") - 1, minlength=b.num_rows)
+        bad = (n_hit > 0) & (20 * n_hit >= np.diff(first))
+        yield b.filter(pa.array(~bad)) if bad.any() else b
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents (all their columns) that `contamination` does not mark; clashing column names are safe."""
+    """Documents (all their columns, `text` a string) that `contamination` does not mark; clashing column names are safe. A row goes to Python once and
+    comes back as it is. A benchmark of more than one block needs the hits of all of them before the verdict."""
+    blocks = _blocks(benchmark, BLOCK_BYTES)
+    names, texts = next(blocks, ([], []))
+    if next(blocks, None) is None:
+        tests = documents.sparkSession.sparkContext.broadcast(suffixes_of(names, texts, window))
+        return documents.mapInArrow(lambda batches: _clean(tests.value, window, batches), documents.schema)
     row = documents.select(F.col("text").alias("text"), F.struct(*[documents[c] for c in documents.columns]).alias("row"))
     return contamination(row, benchmark, window, keep=("row",)).where("not contaminated").select("row.*")
 
