@@ -14,7 +14,8 @@ from ._store import components, discard, small_batches, stored
 LEAST = 0.95  # cosine of a link
 NEIGHBOURS = 8  # length of a list at first; lists that are full of links grow
 REVERSE = 8  # nodes that list a node, taken into one round of its local joins; another draw each round
-WORDS = 4  # 64-bit words of a sketch
+WORDS = 2  # 64-bit words of a sketch
+TABLES = 2 * WORDS  # orders that lists start from: by each word, and by each word turned half round
 WINDOW = 12  # neighbours in the order of a sketch word that a list starts from
 SETTLED = 0.05  # a descent ends when fewer of its list places change in a round
 ROUNDS = 12
@@ -85,11 +86,14 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, keep: int) -> Iterat
 EDGE = "src long, dst long, dist int, " + ", ".join(f"{c} long" for c in P + Q)
 
 
-def start_lists(nodes: DataFrame, words: list[int], keep: int) -> DataFrame:
-    """First lists: rows are sorted by one word of the sketch and each meets its neighbours there; one pass a word."""
+def start_lists(nodes: DataFrame, keep: int) -> DataFrame:
+    """First lists: rows are sorted by the bits of their sketch, from another one on in each of TABLES passes, and each meets its neighbours there."""
     out = None
-    for k in words:
-        order = ["dim", *[f"p{(k + i) % WORDS}" for i in range(WORDS)], "id"]
+    for k in range(TABLES):
+        words = [F.col(f"p{(k + i) % WORDS}") for i in range(WORDS)]
+        if k >= WORDS:
+            words[0] = F.shiftleft(words[0], 32).bitwiseOR(F.shiftrightunsigned(words[0], 32))
+        order = ["dim", *words, "id"]
         rows = nodes.select("id", "dim", *P).repartitionByRange(*order).sortWithinPartitions(*order)
         part = rows.mapInArrow(lambda it: _windows(it, WINDOW, keep), EDGE)
         out = part if out is None else out.union(part)
@@ -303,7 +307,7 @@ def _search(heads: DataFrame, least: float, cap: int, seed: int) -> tuple[DataFr
     """(links per node, ball pairs that link, members of balls) over the nodes (id, w, x)."""
     half = math.cos(math.acos(least) / 2) + 1e-12
     nodes = stored(heads.select("id", "w", "x").mapInArrow(lambda it: _sketches(it, seed), "id long, w long, x array<double>, dim int, " + ", ".join(f"{p} long" for p in P)), "sketches")
-    first = start_lists(nodes, list(range(WORDS)), cap)
+    first = start_lists(nodes, cap)
     edges = stored(_cut_lists(first.withColumns({"cap": F.lit(cap), "fresh": F.lit(True)})), "lists")
     members = stored(nodes.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("cos")).where("false"), "members")
     turn = 0
