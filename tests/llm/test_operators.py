@@ -187,6 +187,27 @@ def test_html_frames(spark):
     assert all(r.n_chars == len(r.text) for r in got) and html_extraction.main_text(df.limit(0)).collect() == []
 
 
+def test_repeated_words_are_one_window():
+    """An item and a shard of one word over and over: each place counts once, and items that share a window share its places."""
+    tests = decontamination.suffixes_of(["x", "y", "z"], ["the " * 60, "the " * 20, "the the"], 13)
+    assert len(tests.window) == 2
+    words, first = decontamination._words(pa.array(["the " * 8_000, "no the the the"]))
+    (at, length, group), longest, _ = decontamination.shard_matches(words, first, tests, 13)
+    assert len(at) < 20_000 and longest.max() == 60
+    items = {tests.names[i] for g in np.unique(group) for i in tests.members[tests.bounds[g]:tests.bounds[g + 1]]}
+    assert items == {"x", "y", "z"} and decontamination._marks(len(words), at, length).sum() == 8_003
+
+
+def test_decontaminate_by_one_block_or_several(spark, monkeypatch):
+    rng = random.Random(12)
+    bench = [(f"i{k}", prose(rng, 40, 10_000)) for k in range(6)]
+    rows = [(k, (bench[k % 6][1] if k % 3 == 0 else "") + " " + prose(rng, 80, 10_000)) for k in range(40)] + [(90, None), (91, "")]
+    b = spark.createDataFrame(bench, "item_id string, text string")
+    one = sorted(r.doc_id for r in decontamination.decontaminate(docs(spark, rows), b).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
+    assert one == sorted(r.doc_id for r in decontamination.decontaminate(docs(spark, rows), b).collect()) == [k for k, _ in rows if k % 3 or k >= 90]
+
+
 def test_language_forward_is_the_sum_over_segmentations():
     m = language_id.train([("a", "the thing then"), ("b", "der die das größe")], MODEL)
     for w in ("the", "größen", "x", "漢字", "thingthe"):
@@ -194,10 +215,10 @@ def test_language_forward_is_the_sum_over_segmentations():
         for k in range(2):
             a = [1.0] + [0.0] * len(x)
             for j in range(1, len(x) + 1):
-                for n in range(1, min(language_id.LONGEST, j) + 1):
+                for n in [n for n in vocab.lengths if n <= j]:
                     h = language_id._gram_hash(np.array([ord(c) for c in x[j - n:j]], np.uint32), n)[0]
-                    i = int(np.searchsorted(vocab, h))
-                    a[j] += a[j - n] * (m.p[k, i] if i < len(vocab) and vocab[i] == h else m.p[k, -1] if n == 1 else 0)
+                    i = int(np.searchsorted(vocab.hashes, h))
+                    a[j] += a[j - n] * (m.p[k, i] if i < len(vocab) and vocab.hashes[i] == h else m.p[k, -1] if n == 1 else 0)
             assert math.isclose(language_id.word_scores(language_id.lattice([w], vocab), m.p)[0, k], math.log(a[-1]), rel_tol=1e-9)
 
 
@@ -210,6 +231,19 @@ def test_language_held_out(spark):
     assert language_id.identify(docs(spark, [(1, "x")]), language_id.fit(docs(spark, []), MODEL)).first().lang_pred == "und"
 
 
+def test_language_scores_of_words_live_on(monkeypatch):
+    """Slices give one answer whether scores of words are kept, dropped in between or made anew; very long and repeated texts too."""
+    m = language_id.train([("a", "the thing then other"), ("b", "der die das größe andere")], MODEL)
+    texts = ["the thing 漢字", "größe der x", "the " * 60_000, "the thing 漢字", None, "--", "ab" * 30_000]
+    whole = m.predict(pa.array(texts, pa.string()))
+    fresh = language_id.Model(m.langs, m.p, m.prior, m.vocab)
+    monkeypatch.setattr(language_id, "KEPT_BYTES", 0)
+    single = [fresh.predict(pa.array([t], pa.string())) for t in texts]
+    assert whole[0] == [s[0][0] for s in single] == ["a", "b", "a", "a", "und", "und", whole[0][-1]]
+    np.testing.assert_allclose(whole[1], [s[1][0] for s in single], rtol=1e-9)
+    assert max(m.vocab.lengths) > 8
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(v) for v in rng.normal(0, 0.2, 16)], 0) for i in range(700)] + [(700 + i, [0.5] * 16, 0) for i in range(400)]  # a third equal

@@ -9,7 +9,7 @@ from conftest import FOLDER
 from marketloom.llm import queries, secrets, sentencepiece as pieces, toxicity
 from test_queries import rows as table_rows
 
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = [*("documents embeddings pages benchmark labels".split()), "conversations"]
 
 
 def test_stages_are_dealt_operators():
@@ -75,4 +75,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
