@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm._store import discard, stored
+from marketloom.llm._store import discard, small_batches, stored
 from marketloom.llm.decontamination import decontaminate
 from marketloom.llm.jaccard_join import near_duplicates
 from marketloom.llm.secrets import redact
@@ -55,7 +55,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with small_batches(spark):  # whole rows pass through Python
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before is not None:
             discard(before)
         before = docs
