@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, phi, safe_div
-from ..plans import BAR_CHUNK, Blocks, affine_scan, bar_blocks, last_rows, memory, ordered_array, tail_rows, time_chunk, narrow
+from ..plans import BAR_CHUNK, Blocks, affine_scan, bar_blocks, last_rows, memory, narrow, ordered_array, tail_rows, time_chunk
 
 
 

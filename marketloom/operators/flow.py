@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, clamp, flag, is_true, safe_div
-from ..plans import Blocks, blocked, last_rows, tick_blocks, time_chunk, narrow
+from ..plans import Blocks, blocked, last_rows, narrow, tick_blocks, time_chunk
 
 ID = ["symbol", "ts", "seq"]
 EPS = 1e-12

@@ -279,31 +279,65 @@ GARCH_ALPHA = [0.03, 0.05, 0.08, 0.12, 0.20]
 GARCH_BETA = [0.70, 0.78, 0.85, 0.90, 0.94]
 
 
+def _garch_blocks(frames, grid, each):
+    """Variance recursions of all grid points over several blocks side by side. each(frames of the blocks, variances, squared residuals, own) makes the output;
+    variances: (time, block, grid point)."""
+    import numpy as np
+
+    for blocks in whole_blocks(frames, ["symbol", "_b"], 1 << 15):
+        top = max(map(len, blocks))
+        e, own = np.zeros((top, len(blocks))), np.zeros((top, len(blocks)), bool)
+        v = np.array([f["v"].iloc[0] for f in blocks])[:, None]
+        for i, f in enumerate(blocks):
+            e[:len(f), i], own[:len(f), i] = (f["lr"] - f["mu"]) ** 2, f["_own"]
+        al, be = (np.array([f[k].iloc[0] for f in blocks])[:, None] if grid is None else np.array([g[j] for g in grid])[None, :] for j, k in enumerate(("al", "be")))
+        s = np.empty((top, len(blocks), 1 if grid is None else len(grid)))
+        s[0] = v
+        for t in range(1, top):
+            s[t] = v * (1 - al - be) + al * e[t - 1][:, None] + be * s[t - 1]
+        yield each(blocks, s, e, own)
+
+
 def garch_regime(bars: DataFrame, rows: int = 4096) -> DataFrame:
     """GARCH(1,1) by grid likelihood over all returns with the long-run variance as target; percentile of the current volatility ->
     regime and size multiplier. The variance keeps at most the largest beta of its past per bar, so blocks with a halo that long give
-    the unbroken recursion; likelihoods and ranks of blocks add up."""
+    the unbroken recursion; a block is shuffled once and holds all grid points side by side, and likelihoods and ranks of blocks add up."""
     r = ft.return_rows(bars).select("symbol", "ts", F.col("r").alias("lr"), "_i", "_n")
     m = r.groupBy("symbol").agg(F.avg("lr").alias("mu"), F.var_pop("lr").alias("v"), F.count("lr").alias("n"), F.skewness("lr").alias("sk"), F.kurtosis("lr").alias("ku")).where("n >= 20")
-    b = bar_blocks(r, before=memory(max(GARCH_BETA)), rows=rows)
-    a = b.df.groupBy("symbol", "_b").agg(ordered_array(["lr", "_own"]).alias("_a")).join(m.select("symbol", "mu", "v"), "symbol")
-    a = a.select("symbol", "_b", "v", F.transform("_a", lambda x: F.struct(((x["lr"] - F.col("mu")) * (x["lr"] - F.col("mu"))).alias("e"), x["_own"].alias("own"))).alias("e2"))
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("al"), F.lit(j).alias("be")) for i in GARCH_ALPHA for j in GARCH_BETA if i + j < 0.9999]))
-    g = spread(a.withColumn("g", grid), "symbol", "_b", "g")
-    om = F.col("v") * (1 - F.col("g.al") - F.col("g.be"))
-
-    def fold(add):
-        """Variance along a block; add(variance, squared residual) is summed over the block's own rows."""
-        def step(s, x):
-            return F.struct((om + F.col("g.al") * x["e"] + F.col("g.be") * s["s2"]).alias("s2"), s["s2"].alias("at"), (s["l"] + F.when(x["own"], add(s["s2"], x["e"])).otherwise(0.0)).alias("l"))
-
-        return F.aggregate("e2", F.struct(F.col("v").alias("s2"), F.col("v").alias("at"), F.lit(0.0).alias("l")), step)
-
-    g = g.select("symbol", "_b", "g", fold(lambda s2, e: F.log(F.greatest(s2, F.lit(1e-12))) + e / F.greatest(s2, F.lit(1e-12))).alias("s"))
-    g = g.groupBy("symbol", "g").agg((F.sum("s.l") / 2).alias("nll"), F.max_by("s.at", "_b").alias("cur"))
+    b = bar_blocks(r, before=memory(max(GARCH_BETA)), rows=rows).df.select("symbol", "_b", "_i", "_own", "lr")
+    grid = [(i, j) for i in GARCH_ALPHA for j in GARCH_BETA if i + j < 0.9999]
+
+    def laid(known):
+        return spread(b.join(known, "symbol"), "symbol", "_b").sortWithinPartitions("symbol", "_b", "_i")
+
+    def likelihood(frames):
+        import numpy as np
+        import pandas as pd
+
+        def each(blocks, s, e, own):
+            x = np.maximum(s, 1e-12)
+            l = ((np.log(x) + e[:, :, None] / x) * own[:, :, None]).sum(0)
+            cur = np.stack([s[len(f) - 1, i] for i, f in enumerate(blocks)])
+            return pd.DataFrame({"symbol": [f["symbol"].iloc[0] for f in blocks], "_b": [f["_b"].iloc[0] for f in blocks], "l": list(l), "cur": list(cur)})
+
+        yield from _garch_blocks(frames, grid, each)
+
+    def ranks(frames):
+        import pandas as pd
+
+        def each(blocks, s, e, own):  # rows are below by more than rounding: moments summed in another order move the last digit
+            low = [(own[:len(f), i] & (s[:len(f), i, 0] < f["cur"].iloc[0] * (1 - 1e-12))).sum() for i, f in enumerate(blocks)]
+            return pd.DataFrame({"symbol": [f["symbol"].iloc[0] for f in blocks], "below": low})
+
+        yield from _garch_blocks(frames, None, each)
+
+    g = laid(m.select("symbol", "mu", "v")).mapInPandas(likelihood, "symbol string, _b long, l array<double>, cur array<double>")
+    g = g.groupBy("symbol").agg(*[F.sum(F.col("l")[k]).alias(f"l{k}") for k in range(len(grid))], F.max_by("cur", "_b").alias("cur"))
+    point = F.explode(F.array(*[F.struct((F.col(f"l{k}") / 2).alias("nll"), F.col("cur")[k].alias("cur"), F.struct(F.lit(i).alias("al"), F.lit(j).alias("be")).alias("g")) for k, (i, j) in enumerate(grid)]))
+    g = g.select("symbol", point.alias("p")).select("symbol", "p.*")
     best = g.groupBy("symbol").agg(F.min_by(F.struct("g", "cur", "nll"), F.struct(F.round("nll", 6), "g.al", "g.be")).alias("x"), F.min("nll").alias("nll")).select("symbol", "x.g", "x.cur", "nll")
-    # rows are below by more than rounding: moments summed in another order move the last digit
-    low = a.join(best, "symbol").select("symbol", fold(lambda s2, e: F.when(s2 < F.col("cur") * (1 - 1e-12), 1.0).otherwise(0.0))["l"].alias("below")).groupBy("symbol").agg(F.sum("below").alias("below"))
+    known = m.select("symbol", "mu", "v").join(best.select("symbol", "g.al", "g.be", "cur"), "symbol")
+    low = laid(known).mapInPandas(ranks, "symbol string, below long").groupBy("symbol").agg(F.sum("below").alias("below"))
     x = m.join(best, "symbol").join(low, "symbol")
     x = x.withColumns({"rank": F.col("below") / F.col("n") * 100.0, "jb": F.col("n") / 6 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4)})
     k = F.col("rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import case, is_true
-from ..plans import bar_blocks, quantiles, narrow
+from ..plans import bar_blocks, narrow, quantiles
 from . import features as ft
 
 # Seconds per bar interval; daily bars tolerate 4 intervals, others 3.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import case, clamp, flag, is_true, safe_div
-from ..plans import TICK_CHUNK, Blocks, ordered_array, row_index, running, tick_blocks, time_blocks, time_chunk, narrow
+from ..plans import TICK_CHUNK, Blocks, narrow, running, tick_blocks, trailing_sum
 
 ID = ["symbol", "ts", "seq"]
 
@@ -64,13 +64,10 @@ def spoof_walls(levels: DataFrame, ratio: float = 5.0, n: int = 10) -> DataFrame
 
 
 def spoof_environment(walls: DataFrame, signals: DataFrame, seconds: int = 5, count: int = 2) -> DataFrame:
-    """Signals (symbol, ts, seq, direction) with two walls or more on their own side in the trailing seconds.
-    Both streams share one time-chunked window, so no range join is needed."""
-    w = walls.select("symbol", "ts", "side", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("wall"))
-    s = signals.select("symbol", "ts", F.when(F.col("direction") == "LONG", "B").otherwise("A").alias("side"), "seq", F.lit(0).alias("wall"))
-    b = time_blocks(w.unionByName(s), ["symbol", "side"], "ts", TICK_CHUNK, seconds)
-    r = Window.partitionBy("symbol", "side", "_b").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    d = b.withColumn("recent_walls", F.sum("wall").over(r)).where("_own and wall = 0")
+    """Signals (symbol, ts, seq, direction) with two walls or more on their own side in the trailing seconds."""
+    w = walls.select("symbol", "side", F.unix_micros("ts").alias("u"), F.lit(1).cast("long").alias("wall"))
+    s = signals.select("symbol", F.when(F.col("direction") == "LONG", "B").otherwise("A").alias("side"), F.unix_micros("ts").alias("u"), "ts", "seq")
+    d = trailing_sum(w, s, ["symbol", "side"], "u", "wall", seconds * 1_000_000, TICK_CHUNK * 1_000_000, "recent_walls")
     return d.select(*ID, "side", "recent_walls", (F.col("recent_walls") >= count).alias("spoof_environment"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, lit, phi, safe_div, t_quantile
-from ..plans import TICK_CHUNK, blocked, drawdown_rows, last_rows, quantiles, row_index, running, runs, time_blocks, time_chunk
+from ..plans import BLOCK_ROWS, TICK_CHUNK, blocked, day_starts, drawdown_rows, indexed, last_rows, quantiles, running, runs, time_chunk, trailing_sum
 
 EXIT_ORDER = ["exit_ts", "trade_id"]
 
@@ -301,22 +301,20 @@ def triple_barrier_outcomes(signals: DataFrame, k: int = 10, partial_rr: float =
 
 def revenge_flags(trades: DataFrame, minutes: int = 15, losses: int = 3, key: str = "strategy") -> DataFrame:
     """Three losses or more within the trailing window at a trade's exit."""
-    span = minutes * 60
-    b = time_blocks(trades.select(key, *EXIT_ORDER, (F.col("net_pnl_usd") < 0).cast("int").alias("loss")), [key], "exit_ts", TICK_CHUNK, span)
-    w = Window.partitionBy(key, "_b").orderBy(F.unix_timestamp("exit_ts")).rangeBetween(-span, 0)
-    d = b.withColumn("recent_losses", F.sum("loss").over(w)).where("_own")
+    t = trades.select(key, *EXIT_ORDER, F.unix_timestamp("exit_ts").alias("s"), (F.col("net_pnl_usd") < 0).cast("int").alias("loss"))
+    d = trailing_sum(t.where("loss = 1").select(key, "s", F.lit(1).cast("long").alias("loss")), t.select(key, "s", *EXIT_ORDER), [key], "s", "loss", minutes * 60, TICK_CHUNK, "recent_losses")
     return d.select(key, "trade_id", "exit_ts", "recent_losses", (F.col("recent_losses") >= losses).alias("revenge"))
 
 
 def daily_loss_lock(trades: DataFrame, initial: float = 1e6, limit_pct: float = 2.0, key: str = "strategy") -> DataFrame:
     """Per trade: day profit in % of the balance at the start of the day, locked from the first breach to the day's end."""
-    t = trades.select(key, *EXIT_ORDER, "net_pnl_usd", F.to_date("exit_ts").alias("day"))
-    days = t.groupBy(key, "day").agg(F.sum("net_pnl_usd").alias("p"))
-    w = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    days = days.select(key, "day", (F.lit(initial) + F.coalesce(F.sum("p").over(w), F.lit(0.0))).alias("day_start"))
-    d = Window.partitionBy(key, "day").orderBy(*EXIT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    x = t.join(days, [key, "day"]).withColumn("day_pnl_pct", F.sum("net_pnl_usd").over(d) / F.greatest("day_start", F.lit(1.0)) * 100)
-    return x.select(key, "trade_id", "exit_ts", "day_start", "day_pnl_pct", (F.max((F.col("day_pnl_pct") <= -limit_pct).cast("int")).over(d) == 1).alias("locked"))
+    t = indexed(trades.select(key, *EXIT_ORDER, "net_pnl_usd"), [key], EXIT_ORDER, time_chunk("exit_ts", TICK_CHUNK))
+    at = F.floor(F.col("_i") / BLOCK_ROWS).cast("long")
+    t = running(t, [key], ["_i"], at, sums={"_sum": "net_pnl_usd"})
+    t = day_starts(t, [key], F.to_date("exit_ts"), F.col("_sum") - F.col("net_pnl_usd"))
+    t = t.withColumn("day_start", initial + F.col("_day.x")).withColumn("day_pnl_pct", (F.col("_sum") - F.col("_day.x")) / F.greatest("day_start", F.lit(1.0)) * 100)
+    t = running(t, [key], ["_i"], at, maxs={"_breach": F.when(F.col("day_pnl_pct") <= -limit_pct, F.col("_i"))})
+    return t.select(key, "trade_id", "exit_ts", "day_start", "day_pnl_pct", F.coalesce(F.col("_breach") >= F.col("_day.at"), F.lit(False)).alias("locked"))
 
 
 def pre_trade_flags(orders: DataFrame, state: DataFrame, initial: float = 10000.0, risk_limit: float = 1.0, max_trades: int = 5, max_dd: float = 10.0) -> DataFrame:
@@ -327,8 +325,8 @@ def pre_trade_flags(orders: DataFrame, state: DataFrame, initial: float = 10000.
     s = state.select("account", "ts", F.col("trade_id").alias("order_id"), *[F.lit(None).cast("double").alias(k) for k in ("entry_price", "stop_price", "size_usd")],
                      F.struct("ts", F.col("trade_id").alias("id"), "balance").alias("st"), F.lit(0).alias("kind"))
     x = running(o.unionByName(s), ["account"], ["ts", "kind", "order_id"], time_chunk("ts", TICK_CHUNK * 366), maxs={"last": "st"}).where("kind = 1")
-    day = Window.partitionBy("account", F.to_date("ts")).orderBy("ts", "order_id")
-    x = x.withColumns({"balance": F.coalesce("last.balance", F.lit(initial)), "trades_today": F.row_number().over(day) - 1})
+    x = day_starts(indexed(x, ["account"], ["ts", "order_id"], time_chunk("ts", TICK_CHUNK)), ["account"], F.to_date("ts"))
+    x = x.withColumns({"balance": F.coalesce("last.balance", F.lit(initial)), "trades_today": (F.col("_i") - F.col("_day.at")).cast("int")})
     x = x.withColumn("risk_pct", F.abs(F.col("entry_price") - F.col("stop_price")) * (F.col("size_usd") / F.greatest("entry_price", F.lit(1.0))) / F.greatest("balance", F.lit(1.0)) * 100)
     dd = (F.col("balance") - initial) / initial * 100
     r = F.col("risk_pct")

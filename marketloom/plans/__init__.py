@@ -162,14 +162,27 @@ def blocked(df: DataFrame, keys: list[str], order: list, chunk: Column, *,
     return Blocks(out, keys, rows)
 
 
-def time_blocks(df: DataFrame, keys: list[str], ts, chunk: int, span: int) -> DataFrame:
-    """Cut a series into time chunks (_b); rows of the last ``span`` seconds of a chunk are copied into the next one
-    (_own false), so trailing time frames up to span are exact inside (keys, _b)."""
-    t = F.unix_micros(c(ts))
-    b = F.floor(t / (chunk * 1_000_000)).cast("long")
-    homes = F.array_compact(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
-                                    F.when(t >= ((b + 1) * chunk - span) * 1_000_000, F.struct((b + 1).alias("b"), F.lit(False).alias("own")))))
-    return df.withColumn("_h", F.explode(homes)).withColumns({"_b": F.col("_h.b"), "_own": F.col("_h.own")}).drop("_h")
+def trailing_sum(events: DataFrame, probes: DataFrame, keys: list[str], t: str, value: str, span: int, chunk: int, name: str) -> DataFrame:
+    """probes with the sum of `value` over the events of the key in [t - span, t] (t: a long). It is the difference of two prefix sums, each looked up as of
+    a time in one running scan over both inputs, so neither a busy stretch of a key nor the span decides how much a task holds."""
+    ids = [x for x in probes.columns if x not in (*keys, t)]
+    none = [F.lit(None).cast(probes.schema[i].dataType).alias(i) for i in ids]
+    e = events.select(*keys, t, F.col(value).alias("_v"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_at"), *none)
+    zero = F.lit(0).cast(events.schema[value].dataType).alias("_v")
+    p = [probes.select(*keys, x.alias(t), zero, F.lit(k).alias("_k"), F.col(t).alias("_at"), *ids) for k, x in ((1, F.col(t)), (-1, F.col(t) - span - 1))]
+    rows = e.unionByName(p[0]).unionByName(p[1]).withColumn("_o", F.abs("_k"))  # events of one time come first
+    run = running(rows, keys, [t, "_o"], F.floor(F.col(t) / chunk).cast("long"), sums={"_p": "_v"}).where("_o = 1")
+    return run.groupBy(*keys, F.col("_at").alias(t), *ids).agg(F.sum(F.col("_p") * F.col("_k")).alias(name))
+
+
+def day_starts(df: DataFrame, keys: list[str], day, extra: Column | None = None) -> DataFrame:
+    """Add _day, for a frame with positions: (position of the first row of the row's day, `extra` at that row). A scan over positions that restarts at
+    each day, so a day with most rows of its key is many tasks."""
+    b = blocked(df.withColumn("_today", c(day)), keys, ["_i"], F.floor(F.col("_i") / BLOCK_ROWS), before=1)
+    first = F.coalesce(F.lag("_today").over(b.w) != F.col("_today"), F.lit(True))
+    mark = F.struct(F.col("_i").alias("at"), *([extra.alias("x")] if extra is not None else []))
+    d = b.add(_mark=F.when(first, mark)).done(drop_index=False)
+    return running(d, keys, ["_i"], F.floor(F.col("_i") / BLOCK_ROWS).cast("long"), maxs={"_day": "_mark"}).drop("_mark", "_today")
 
 
 def runs(df: DataFrame, keys: list[str], order: list, chunk: Column, state) -> DataFrame:

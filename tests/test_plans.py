@@ -121,3 +121,36 @@ def test_crowded_day_of_one_key_is_cut(spark, monkeypatch):
     by = want.groupby("symbol")["x"]
     assert (got["_i"].to_numpy() == want.groupby("symbol").cumcount().to_numpy()).all()
     assert np.allclose(got["s"], by.cumsum()) and np.allclose(got["m"], by.cummax())
+
+
+@pytest.mark.parametrize("span", [0, 600, 20000])
+def test_trailing_sum_of_a_busy_stretch(hot, monkeypatch, span):
+    pdf, df = hot
+    monkeypatch.setattr(plans, "SPLIT_ROWS", 200)
+    rows = df.select("symbol", F.unix_timestamp("ts").alias("s"), F.col("x").cast("long").alias("x"), "seq")
+    got = plans.trailing_sum(rows.select("symbol", "s", "x"), rows.select("symbol", "s", "seq"), ["symbol"], "s", "x", span, plans.DAY, "n").toPandas()
+    assert len(got) == len(pdf)
+    for s, g in pdf.assign(s=pdf["ts"].astype("int64") // 10 ** 9 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].astype("int64") // 10 ** 6).groupby("symbol"):
+        t, x = g["s"].to_numpy(), g["x"].to_numpy()
+        want = {q: x[(t <= a) & (t >= a - span)].sum() for q, a in zip(g["seq"], t)}
+        assert {r.seq: r.n for r in got[got["symbol"] == s].itertuples()} == want
+
+
+def test_a_day_with_most_rows_restarts_at_its_start(spark, monkeypatch):
+    """95 % of the trades of a key on one day: the scan restarts at days without a window that holds one."""
+    from marketloom.operators import trades as tr
+
+    monkeypatch.setattr(plans, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.integers(0, 86_400, 950), 86_400 * rng.integers(1, 9, 50) + 7])
+    pdf = pd.DataFrame({"strategy": "S", "exit_ts": pd.Timestamp("2024-03-01") + pd.to_timedelta(np.sort(at), unit="s"), "trade_id": np.arange(1000), "net_pnl_usd": np.round(rng.normal(-5, 800, 1000), 2)})
+    df = spark.createDataFrame(pdf)
+    got = tr.daily_loss_lock(df, 1e5, 2.0)
+    assert "day" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if x.strip(" :+-").startswith("Window") and "to_date" in x)
+    got = got.toPandas().sort_values("trade_id").reset_index(drop=True)
+    day = pdf["exit_ts"].dt.date
+    start = 1e5 + pdf["net_pnl_usd"].cumsum().sub(pdf["net_pnl_usd"]).groupby(day).transform("first")
+    pct = pdf["net_pnl_usd"].groupby(day).cumsum() / start * 100
+    np.testing.assert_allclose(got["day_pnl_pct"], pct, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(got["day_start"], start, rtol=1e-12)
+    assert (got["locked"].to_numpy() == (pct <= -2.0).groupby(day).cummax().to_numpy()).all() and 0 < got["locked"].sum() < 1000
