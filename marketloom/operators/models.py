@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, bar_blocks, blocked, last_rows, memory, narrow, ordered_array, spread, tail_rows, time_chunk, whole_blocks
+from ..plans import BAR_CHUNK, bar_blocks, blocked, last_rows, memory, narrow, ordered_array, row_index, spread, tail_rows, time_chunk, whole_blocks
 from .hidden_markov import LABELS, hmm_fit
 from . import features as ft, portfolio as pf, structure as st
 
@@ -349,25 +349,66 @@ def garch_regime(bars: DataFrame, rows: int = 4096) -> DataFrame:
 HAWKES_ETA = [0.05, 0.1, 0.3, 0.5, 0.7, 0.9]
 
 
-def hawkes_clustering(ticks: DataFrame, window_s: float = 60.0, betas=(0.1, 0.5, 1.0, 2.0, 5.0), min_events: int = 10) -> DataFrame:
+def hawkes_clustering(ticks: DataFrame, window_s: float = 60.0, betas=(0.1, 0.5, 1.0, 2.0, 5.0), min_events: int = 10, rows: int = 4096) -> DataFrame:
     """Self-exciting arrival model over the last ``window_s`` seconds of each symbol: grid over branching ratio and decay with
-    the base rate fixed by the event count. The window bounds the array per symbol."""
-    end = ticks.groupBy("symbol").agg(F.max(F.unix_micros("ts")).alias("te"))
-    t = ticks.select("symbol", F.unix_micros("ts").alias("u")).join(end, "symbol").where(F.col("u") >= F.col("te") - int(window_s * 1e6))
-    a = t.groupBy("symbol").agg(F.sort_array(F.collect_list("u")).alias("u")).withColumn("n", F.size("u")).where(F.col("n") >= min_events)
-    a = a.withColumn("t", F.transform("u", lambda x: (x - F.col("u")[0]) / 1e6)).withColumn("span", F.element_at("t", -1)).where("span > 0")
-    g = a.select("symbol", "n", "t", "span", F.explode(F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(float(b)).alias("be")) for e in HAWKES_ETA for b in betas])).alias("g"))
-    g = spread(g, "symbol", "g")
-    be, al = F.col("g.be"), F.col("g.eta") * F.col("g.be")
-    mu = (1 - F.col("g.eta")) * F.col("n") / F.col("span")
-    start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("r"), F.lit(0.0).alias("l"), F.lit(0.0).alias("c"))
+    the base rate fixed by the event count.
 
-    def step(s, x):
-        r = F.when(s["p"].isNull(), 0.0).otherwise((s["r"] + 1) * F.exp(-be * (x - s["p"])))
-        return F.struct((x + F.lit(0.0)).alias("p"), r.alias("r"), (s["l"] + F.log(F.greatest(mu + al * r, F.lit(1e-9)))).alias("l"), (s["c"] + 1 - F.exp(-be * (F.col("span") - x))).alias("c"))
+    What past arrivals add to the intensity fades exponentially, so a block of arrivals is one decayed sum per decay rate; the sums of a symbol's
+    blocks compose to the state in front of each block, and likelihoods and counts of blocks add up. A busy symbol is many blocks."""
+    import numpy as np
+    import pandas as pd
 
-    g = g.withColumn("s", F.aggregate("t", start, step))
-    g = g.select("symbol", "n", "span", F.col("g.eta").alias("eta"), F.col("g.be").alias("beta"), mu.alias("mu"), (F.col("s.l") - mu * F.col("span") - F.col("g.eta") * F.col("s.c")).alias("ll"), (mu + al * (F.col("s.r") + 1)).alias("intensity"))
+    betas, etas = [float(x) for x in betas], HAWKES_ETA
+    end = ticks.groupBy("symbol").agg(F.max(F.unix_micros("ts")).alias("te"))
+    t = ticks.select("symbol", F.unix_micros("ts").alias("u")).join(end, "symbol").where(F.col("u") >= F.col("te") - int(window_s * 1e6)).drop("te")
+    t = row_index(t, ["symbol"], ["u"], F.floor(F.col("u") / 3_600_000_000).cast("long")).where(F.col("_n") >= min_events).withColumn("_b", F.floor(F.col("_i") / rows))
+    span = t.groupBy("symbol").agg(F.min("u").alias("u0"), F.max("u").alias("te"), F.max("_n").alias("n")).withColumn("span", (F.col("te") - F.col("u0")) / 1e6).where("span > 0")
+    edge = t.groupBy("symbol", "_b").agg(F.max("u").alias("last"))
+    fade = [F.sum(F.exp(-x * (F.col("last") - F.col("u")) / 1e6)) for x in betas]
+    sums = t.join(edge, ["symbol", "_b"]).groupBy("symbol", "_b", "last").agg(F.array(*fade).alias("c"))
+
+    def compose(pdf):  # one short row a block
+        pdf = pdf.sort_values("_b")
+        last, c, be = pdf["last"].to_numpy(), np.stack(pdf["c"].to_list()), np.array(betas)
+        before = np.zeros_like(c)
+        for k in range(1, len(c)):
+            before[k] = before[k - 1] * np.exp(-be * (last[k - 1] - (last[k - 2] if k > 1 else last[0])) / 1e6) + c[k - 1]
+        return pd.DataFrame({"symbol": pdf["symbol"], "_b": pdf["_b"], "before": list(before), "prior": np.concatenate([last[:1], last[:-1]])})
+
+    state = sums.groupBy("symbol").applyInPandas(compose, "symbol string, _b long, before array<double>, prior long")
+    per = state.join(span.select("symbol", "u0", "n", "span"), "symbol")
+    flat = spread(t.select("symbol", "_b", "_i", "u"), "symbol", "_b").join(per, ["symbol", "_b"])
+    flat = flat.repartition("symbol", "_b").sortWithinPartitions("symbol", "_b", "_i")
+
+    def parts(frames):
+        be, et = np.array(betas), np.array(etas)
+        for blocks in whole_blocks(frames, ["symbol", "_b"], 1 << 15):
+            k, top = len(blocks), max(map(len, blocks))
+            u, on = np.zeros((top, k)), np.zeros((top, k), bool)
+            for i, f in enumerate(blocks):
+                u[:len(f), i], on[:len(f), i] = (f["u"] - f["u0"]) / 1e6, True
+            first = lambda c: np.array([f[c].iloc[0] for f in blocks], float)
+            n, sp = first("n"), first("span")
+            before = np.stack([np.asarray(f["before"].iloc[0]) for f in blocks])
+            r = before * np.exp(-be * (u[0] - (first("prior") - first("u0")) / 1e6)[:, None])
+            mu = (1 - et) * (n / sp)[:, None]
+            l, c, final = np.zeros((k, len(et), len(be))), np.zeros((k, len(be))), np.zeros((k, len(be)))
+            for j in range(top):
+                if j:
+                    r = (r + 1) * np.exp(-be * np.maximum(u[j] - u[j - 1], 0)[:, None])
+                live = on[j]
+                l[live] += np.log(np.maximum(mu[live][:, :, None] + et[None, :, None] * be * r[live][:, None, :], 1e-9))
+                c[live] += 1 - np.exp(-be * (sp[live] - u[j, live])[:, None])
+                final[live] = r[live]
+            yield pd.DataFrame({"symbol": [f["symbol"].iloc[0] for f in blocks], "_b": [f["_b"].iloc[0] for f in blocks], "l": list(l.reshape(k, -1)), "c": list(c), "r": list(final)})
+
+    p = flat.mapInPandas(parts, "symbol string, _b long, l array<double>, c array<double>, r array<double>")
+    total = lambda c, m: F.array(*[F.sum(F.col(c)[i]) for i in range(m)])
+    p = p.groupBy("symbol").agg(total("l", len(etas) * len(betas)).alias("l"), total("c", len(betas)).alias("c"), F.max_by("r", "_b").alias("r")).join(span.select("symbol", "n", "span"), "symbol")
+    g = p.select("symbol", "n", "span", "l", "c", "r", F.explode(F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(x).alias("beta"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, e in enumerate(etas) for j, x in enumerate(betas)])).alias("g"))
+    g = g.select("*", "g.eta", "g.beta", ((1 - F.col("g.eta")) * F.col("n") / F.col("span")).alias("mu"))
+    g = g.select("symbol", "n", "span", "eta", "beta", "mu", (F.col("l")[F.col("g.i") * len(betas) + F.col("g.j")] - F.col("mu") * F.col("span") - F.col("eta") * F.col("c")[F.col("g.j")]).alias("ll"),
+                 (F.col("mu") + F.col("eta") * F.col("beta") * (F.col("r")[F.col("g.j")] + 1)).alias("intensity"))
     b = g.groupBy("symbol").agg(F.max_by(F.struct("n", "span", "eta", "beta", "mu", "ll", "intensity"), F.struct(F.round("ll", 6), -F.col("eta"), -F.col("beta"))).alias("x")).select("symbol", "x.*")
     e = F.col("eta")
     return b.select("symbol", F.col("n").alias("n_events"), "mu", (e * F.col("beta")).alias("alpha"), "beta", e.alias("branching_ratio"), (1 / (1 - e)).alias("cluster_size"), "intensity", F.col("ll").alias("log_likelihood"),

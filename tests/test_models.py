@@ -97,6 +97,23 @@ def test_hidden_markov_model_of_a_long_series(spark):
     assert len(got["history"]) == 60 and got["current_regime"] == hidden_markov.LABELS[state[-1]]
 
 
+def test_arrival_model_over_blocks(spark):
+    """Many arrivals of one symbol, with equal times: blocks of any size give one answer, that of the plain recursion."""
+    rng = np.random.default_rng(9)
+    u = np.sort(rng.integers(0, 50_000_000, 6_000))
+    u[100:105] = u[100]
+    ticks = spark.createDataFrame(pd.DataFrame({"symbol": "BUSY", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(u), unit="us"), "seq": range(6_000)}))
+    small, whole = (models.hawkes_clustering(ticks, rows=n).first().asDict() for n in (37, 100_000))
+    assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(small.values(), whole.values()))
+    t = (np.sort(u) - u.min()) / 1e6
+    e, be, n = whole["branching_ratio"], whole["beta"], len(t)
+    mu, r, ll = (1 - e) * n / t[-1], 0.0, 0.0
+    for i, x in enumerate(t):
+        r = (r + 1) * math.exp(-be * (x - t[i - 1])) if i else 0.0
+        ll += math.log(mu + e * be * r) - e * (1 - math.exp(-be * (t[-1] - x)))
+    assert whole["log_likelihood"] == pytest.approx(ll - mu * t[-1], rel=1e-9) and whole["n_events"] == n
+
+
 def test_memory_refuses_endless_filters():
     with pytest.raises(ValueError):
         models.trend_memory(1.0, 1e-30)
