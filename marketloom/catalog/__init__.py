@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import (equity, features, flow, models, portfolio, quality, risk, sources, streams, structure, ticks, trades, universe)  # noqa: F401
+    from . import (decisions, equity, features, flow, models, portfolio, quality, risk, sources, streams, structure, ticks, trades, universe)  # noqa: F401

@@ -108,9 +108,9 @@ suite AS (SELECT *, list_median(list_filter([close_to_close,parkinson,garman_kla
 query("realized_vol_suite", sql("bars", f"SELECT symbol, {r6('close_to_close;parkinson;garman_klass;yang_zhang;consensus_vol_pct=cv;efficiency_ratio=close_to_close/greatest(yang_zhang,1e-9)')}, "
       "CASE WHEN cv<10 THEN 'LOW_VOL' WHEN cv<30 THEN 'NORMAL' WHEN cv<60 THEN 'HIGH_VOL' ELSE 'CRISIS_VOL' END AS vol_label FROM suite", SUITE))(lambda t: f.realized_vol_suite(t.bars()))
 LIQ = f"""la AS (SELECT symbol, ts, close, volume, close/lag(close) OVER ({W})-1 AS ret, lag(close,20) OVER ({W}) AS c20, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rev FROM bars),
-lb AS (SELECT *, abs(ret)/nullif(volume,0) AS am, avg(volume) OVER {fr(30)} AS vma, avg(volume) OVER {fr(20)} AS vm, stddev_samp(volume) OVER {fr(20)} AS vs FROM la WHERE ret IS NOT NULL),
-lc AS (SELECT symbol, am AS aml, volume/greatest(vma,1e-6) AS vr, close/c20-1 AS tr, coalesce((volume-vm)/nullif(vs,0),0) AS volume_z FROM lb WHERE rev=1),
-ld AS (SELECT symbol, avg((am<aml*(1-1e-9))::INT)*100 AS amihud_pct FROM lb JOIN lc USING (symbol) GROUP BY symbol),
+lb AS MATERIALIZED (SELECT *, abs(ret)/nullif(volume,0) AS am, arg_max(abs(ret)/nullif(volume,0),ts) OVER (PARTITION BY symbol) AS aml, avg(volume) OVER {fr(30)} AS vma, avg(volume) OVER {fr(20)} AS vm, stddev_samp(volume) OVER {fr(20)} AS vs FROM la WHERE ret IS NOT NULL),
+lc AS (SELECT symbol, volume/greatest(vma,1e-6) AS vr, close/c20-1 AS tr, coalesce((volume-vm)/nullif(vs,0),0) AS volume_z FROM lb WHERE rev=1),
+ld AS (SELECT symbol, avg((am<aml*(1-1e-9))::INT)*100 AS amihud_pct FROM lb GROUP BY symbol),
 liq AS (SELECT *, greatest(0,least(100,50-(amihud_pct-50)*0.5+volume_z*10)) AS liquidity_score FROM lc JOIN ld USING (symbol)),
 liqr AS (SELECT *, CASE WHEN liquidity_score>65 THEN 'ABUNDANT' WHEN liquidity_score>40 THEN 'NORMAL' WHEN liquidity_score>20 THEN 'THIN' ELSE 'STRESSED' END AS liquidity_regime FROM liq)"""
 query("liquidity_regime", sql("bars", f"SELECT symbol, liquidity_regime, {r6('liquidity_score amihud_pct volume_z')}, (tr>0 AND vr<0.8) AS divergence FROM liqr", LIQ))(lambda t: f.liquidity_regime(t.bars()))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import flow as k, universe as un
+from ..operators import analysis as an, flow as k, models as md, ticks as tk, universe as un
 from . import query
+from .models import TRANS
 from .views import r6, sql
 
 W = "PARTITION BY symbol ORDER BY ts, seq"
@@ -65,12 +66,22 @@ query("active_lead_signals", sql("ticks", f"SELECT follower, leader, direction,
       "WHERE rn=1 AND follower IN (SELECT symbol FROM ticks GROUP BY symbol HAVING arg_max(bid_size,(ts,seq))>30)", LL))(
     lambda t: k.active_lead_signals(leads(t), t.ticks().groupBy("symbol").agg(F.max_by("bid_size", F.struct("ts", "seq")).alias("b")).select("symbol", F.when(F.col("b") > 30, "CLEAN").otherwise("MIXED").alias("flow_regime")),
                                     F.lit("2024-01-31 00:00:00").cast("timestamp"), 14400.0))
-query("entry_quality", sql("ticks", f"SELECT symbol, ts, seq, direction, {r6('composite_quality=greatest(0,least(1,0.4*(1-toxicity)+0.3*st+0.3*CASE WHEN ld IS NULL THEN 0.7 WHEN ld=direction THEN lc ELSE 1-lc*0.5 END));final_scalar=greatest(0,least(1,CASE WHEN ld IS NOT NULL AND ld<>direction THEN least(ss,0.5) ELSE ss END*rs))')}, br AS block_reason, br='' AS approved FROM "
-      "(SELECT *, CASE WHEN toxicity>=0.75 THEN 'TOXIC_FLOW' WHEN seq%10=0 THEN 'REGIME_TRANSITION' ELSE '' END AS br FROM (SELECT symbol, ts, seq, toxicity, CASE WHEN seq%2=0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE flow_regime WHEN 'CLEAN' THEN 1.0 WHEN 'MIXED' THEN 0.7 ELSE 0 END AS ss, (seq%7)/7.0 AS st, 0.1+(seq%9)/10.0 AS rs, CASE seq%3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' END AS ld, (seq%5)/5.0 AS lc FROM toxr))", TOX))(
-    lambda t: k.entry_quality(tox(t).withColumns({
-        "direction": F.when(F.col("seq") % 2 == 0, "LONG").otherwise("SHORT"), "stability": (F.col("seq") % 7) / 7.0, "regime_scalar": 0.1 + (F.col("seq") % 9) / 10.0,
-        "transition_status": F.when(F.col("seq") % 10 == 0, "BLOCK").otherwise("CLEAR"), "lead_direction": F.when(F.col("seq") % 3 == 0, "LONG").when(F.col("seq") % 3 == 1, "SHORT"),
-        "lead_confidence": (F.col("seq") % 5) / 5.0})).select("symbol", "ts", "seq", "direction", "composite_quality", "final_scalar", "block_reason", "approved"))
+REG = """ta AS (SELECT symbol, ts, seq, price, (price-lag(price) OVER (WW))/lag(price) OVER (WW)*100 AS r, row_number() OVER (WW) AS i FROM ticks),
+tb AS (SELECT *, stddev_samp(r) OVER F21 AS v, sum((r>0)::INT) OVER F21 AS u, sum((r<0)::INT) OVER F21 AS d, count(r) OVER F21 AS c, first_value(price) OVER F22 AS f FROM ta),
+states AS MATERIALIZED (SELECT symbol, i, CASE WHEN i<20 THEN 1 WHEN v<300 OR v>3000 THEN 0 WHEN greatest(u,d)/c>=0.6 AND abs(price-f)/f*100>0.02 THEN 2 ELSE 1 END AS s FROM tb)""".replace("WW", W).replace("F21", fr(21)).replace("F22", fr(22))
+ENTRY = TOX + ",\n" + REG + ",\n" + TRANS + ",\n" + LL + f""",
+ea AS (SELECT follower AS symbol, arg_max(direction,(confidence,leader)) AS ld, max(confidence) AS lc FROM hf WHERE triggered GROUP BY follower),
+eb AS (SELECT symbol, ts, seq, CASE WHEN sum(bid_size) OVER {fr(20)}/(sum(bid_size) OVER {fr(20)}+sum(ask_size) OVER {fr(20)})>=0.5 THEN 'LONG' ELSE 'SHORT' END AS direction FROM ticks),
+ec AS (SELECT symbol, ts, seq, direction, toxicity, CASE flow_regime WHEN 'CLEAN' THEN 1.0 WHEN 'MIXED' THEN 0.7 ELSE 0 END AS ss, stability AS st, size_scalar AS rs, ld, lc, CASE WHEN toxicity>=0.75 THEN 'TOXIC_FLOW' WHEN status='BLOCK' THEN 'REGIME_TRANSITION' ELSE '' END AS br FROM toxr JOIN eb USING (symbol, ts, seq) JOIN rt USING (symbol) LEFT JOIN ea USING (symbol))"""
+
+
+def entries(t):
+    states = an.tick_states(tk.tick_regime(t.ticks(), vol_low=300.0, vol_high=3000.0)).select("symbol", F.struct("ts", "seq").alias("ts"), "state")
+    return k.entry_quality(an.entry_checks(tox(t), md.regime_transitions(states), leads(t), tk.rolling_ofi(t.ticks())))
+
+
+query("entry_quality", sql("ticks", f"SELECT symbol, ts, seq, direction, {r6('composite_quality=greatest(0,least(1,0.4*(1-toxicity)+0.3*st+0.3*CASE WHEN ld IS NULL THEN 0.7 WHEN ld=direction THEN lc ELSE 1-lc*0.5 END));final_scalar=greatest(0,least(1,CASE WHEN ld IS NOT NULL AND ld<>direction THEN least(ss,0.5) ELSE ss END*rs))')}, br AS block_reason, br='' AS approved FROM ec", ENTRY))(
+    lambda t: entries(t).select("symbol", "ts", "seq", "direction", "composite_quality", "final_scalar", "block_reason", "approved"))
 
 FW = fr(48, o="ts")
 FS = f"""fa AS (SELECT *, avg(rate) OVER {FW} AS mean, stddev_pop(rate) OVER {FW}+1e-12 AS sd, avg((rate>0)::INT) OVER {FW} AS pos, avg((rate<0)::INT) OVER {FW} AS neg, rate*100 AS p FROM funding),

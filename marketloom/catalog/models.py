@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import features as ft, models as k, portfolio as pf
+from ..operators import analysis as an, models as k, portfolio as pf
 from . import query
 from .features import rec
 from .portfolio import members
@@ -109,10 +109,11 @@ hz AS (SELECT symbol, j, hy.mu, hy.g, greatest(sum([g0,g1,g2][j+1]*(r-hy.mu)**2)
 ho AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mu, j)-1 AS st FROM hz)"""
 query("hmm_step", rec("rets", f"SELECT symbol, st AS state, ['HIGH_VOL_BEARISH','SIDEWAYS_CHOP','LOW_VOL_BULLISH'][st+1] AS label, {r6('mean_ann_pct=mu*252*100;vol_ann_pct=sqrt(v*252)*100;probability_pct=g*100;to_0=t0;to_1=t1;to_2=t2')} FROM (SELECT o.symbol, o.st, any_value(o.mu) AS mu, any_value(o.v) AS v, any_value(o.g) AS g, {three('sum(f) FILTER (u.st={k})/sum(f) AS t{k}')} FROM ho o JOIN hx x ON x.symbol=o.symbol AND x.j=o.j JOIN ho u ON u.symbol=o.symbol AND u.j=x.k GROUP BY o.symbol, o.st)", HMM))(
     lambda t: k.hmm_step(t.bars()))
-STATE = "CASE WHEN r<-0.008 THEN 0 WHEN r<0.004 THEN 1 ELSE 2 END"
-query("regime_transitions", sql("rets", f"SELECT symbol, cur AS state, {r6('p0 p1 p2')}, {r6('entropy_norm=en;stability=greatest(0,least(1,1-en));size_scalar=greatest(0.1,least(1,1-pow(p0/0.5,1.5)))')}, CASE WHEN p0>=0.55 THEN 'BLOCK' WHEN p0>=0.3 OR en>=0.85 THEN 'REDUCE' ELSE 'CLEAR' END AS status FROM (SELECT *, -(p0*ln(p0)+p1*ln(p1)+p2*ln(p2))/ln(3) AS en FROM rg)",
-      f"""ra AS (SELECT * FROM (SELECT symbol, {STATE} AS s, lead({STATE}) OVER (PARTITION BY symbol ORDER BY ts) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rv FROM rets) WHERE rv<=200),
-rc AS (SELECT symbol, s AS cur FROM ra WHERE rv=1), rg AS (SELECT symbol, cur, (count(*) FILTER (x=0 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p0, (count(*) FILTER (x=1 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p1, (count(*) FILTER (x=2 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p2 FROM ra JOIN rc USING (symbol) GROUP BY ALL)"""))(
-    lambda t: k.regime_transitions(ft.log_returns(t.bars()).select("symbol", "ts", F.when(F.col("r") < -0.008, 0).when(F.col("r") < 0.004, 1).otherwise(2).alias("state"))))
+TRANS = """ra AS (SELECT * FROM (SELECT symbol, s, lead(s) OVER (PARTITION BY symbol ORDER BY i) AS x, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS rv, count(*) OVER (PARTITION BY symbol) AS m FROM states) WHERE rv<=200 AND m>=30),
+rc AS (SELECT symbol, s AS cur FROM ra WHERE rv=1), rg AS (SELECT symbol, cur, (count(*) FILTER (x=0 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p0, (count(*) FILTER (x=1 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p1, (count(*) FILTER (x=2 AND s=cur)+0.5)/(count(x) FILTER (s=cur)+1.5) AS p2 FROM ra JOIN rc USING (symbol) GROUP BY ALL),
+rt AS (SELECT *, greatest(0,least(1,1-en)) AS stability, greatest(0.1,least(1,1-pow(p0/0.5,1.5))) AS size_scalar, CASE WHEN p0>=0.55 THEN 'BLOCK' WHEN p0>=0.3 OR en>=0.85 THEN 'REDUCE' ELSE 'CLEAR' END AS status FROM (SELECT *, -(p0*ln(p0)+p1*ln(p1)+p2*ln(p2))/ln(3) AS en FROM rg))"""
+query("regime_transitions", rec("bars", f"SELECT symbol, cur AS state, {r6('p0 p1 p2')}, {r6('entropy_norm=en;stability;size_scalar')}, status FROM rt",
+      BAY + ",\nstates AS MATERIALIZED (SELECT symbol, i, CASE greatest(p0,p1,p2,p3) WHEN p0 THEN 2 WHEN p1 THEN 1 ELSE 0 END AS s FROM bf WHERE i>0),\n" + TRANS))(
+    lambda t: k.regime_transitions(an.regime_states(k.bayes_history(t.bars()))))
 query("regime_composite")(lambda t: k.regime_composite(t.bars()))
 query("model_vote_signal")(lambda t: k.model_vote_signal(t.bars()))

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft, quality as q, scores as sc
 from . import query
-from .features import LIQ, VRP
 from .views import r6, sdiv, sql
 
 MT = """mt AS (SELECT symbol, count(*) AS total_rows, count(*) FILTER (g>4*86400) AS gap_count, count(*) FILTER (g>7*86400) AS critical_gaps FROM
@@ -61,43 +60,6 @@ query("screener_rank", sql("bars", f"SELECT 'N'||s_nationkey AS market, symbol,
       "row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, symbol)=1 AS top_pick FROM screens JOIN supplier ON symbol='S'||s_suppkey", SCREEN))(lambda t: sc.screener_rank(sc.screener_score(t.bars()), markets(t)))
 
 
-def decision_features(t):
-    """One decision row per symbol from the screener, liquidity, volatility-premium and supplier columns."""
-    b = t.bars()
-    x = (sc.screener_score(b).select("symbol", F.col("score").alias("screener_score"), F.col("sortino_pts"), F.col("momentum_pts"), F.col("zscore_pts"), F.col("regime_proxy"))
-         .join(ft.liquidity_regime(b).select("symbol", "liquidity_regime", "amihud_pct"), "symbol")
-         .join(ft.vol_risk_premium(b).select("symbol", "vrp_regime", "vrp", "rv20"), "symbol"))
-    return x.select("symbol", "screener_score", (F.col("sortino_pts") / 10 - 1).alias("sortino"), F.floor(F.col("momentum_pts") / 5).cast("int").alias("bullish_factors"),
-                    F.when(F.col("momentum_pts") < 10, 3).otherwise(1).alias("bearish_factors"),
-                    F.when(F.col("regime_proxy") == "MILD_BEARISH", "BEAR_TREND").when(F.col("regime_proxy") == "MILD_BULLISH", "MEAN_REVERTING").otherwise(F.col("regime_proxy")).alias("regime"),
-                    F.when(F.col("zscore_pts") >= 13, "OVERSOLD").when(F.col("zscore_pts") <= 3, "OVERBOUGHT").otherwise("NEUTRAL").alias("z_label"),
-                    F.when(F.col("momentum_pts") >= 13, "BULLISH").when(F.col("momentum_pts") <= 3, "BEARISH").otherwise("NEUTRAL").alias("structure_bias"),
-                    F.when(F.col("sortino_pts") >= 25, "STRONG").when(F.col("sortino_pts") >= 18, "MODERATE").when(F.col("sortino_pts") >= 10, "WEAK").otherwise("NO_EDGE").alias("kelly_edge"),
-                    "liquidity_regime", F.when(F.col("vrp") < -1, "HIGH").when(F.col("vrp") > 1, "LOW").otherwise("NORMAL").alias("vol_regime"),
-                    F.col("amihud_pct").alias("prob_profit"), F.lit(300).alias("n_bars"), (F.col("vrp") + 2).alias("expected_value"))
-
-
-DEC = SCREEN + ",\n" + LIQ + ",\n" + VRP + """,
-dec AS (SELECT symbol, score AS screener_score, sortino_pts/10-1 AS sortino, floor(momentum_pts/5) AS bu, CASE WHEN momentum_pts<10 THEN 3 ELSE 1 END AS be,
- CASE regime_proxy WHEN 'MILD_BEARISH' THEN 'BEAR_TREND' WHEN 'MILD_BULLISH' THEN 'MEAN_REVERTING' ELSE regime_proxy END AS regime, CASE WHEN zscore_pts>=13 THEN 'OVERSOLD' WHEN zscore_pts<=3 THEN 'OVERBOUGHT' ELSE 'NEUTRAL' END AS z_label,
- CASE WHEN momentum_pts>=13 THEN 'BULLISH' WHEN momentum_pts<=3 THEN 'BEARISH' ELSE 'NEUTRAL' END AS structure_bias, CASE WHEN sortino_pts>=25 THEN 'STRONG' WHEN sortino_pts>=18 THEN 'MODERATE' WHEN sortino_pts>=10 THEN 'WEAK' ELSE 'NO_EDGE' END AS kelly_edge,
- liquidity_regime, CASE WHEN vrp<-1 THEN 'HIGH' WHEN vrp>1 THEN 'LOW' ELSE 'NORMAL' END AS vol_regime, amihud_pct AS prob_profit, vrp+2 AS expected_value FROM screen JOIN liqr USING (symbol) JOIN vrp USING (symbol)),
-decs AS (SELECT *, greatest(0,least(100,50+least(sortino*5,15)+greatest(-15,least(15,(bu-be)*3))+CASE WHEN regime LIKE '%TREND%' THEN 10 WHEN regime='MEAN_REVERTING' THEN -5 ELSE 0 END
- +CASE WHEN z_label LIKE '%OVERSOLD%' THEN 7 WHEN z_label LIKE '%OVERBOUGHT%' THEN -7 ELSE 0 END+(screener_score-50)*0.2)) AS composite_score FROM dec),
-conf AS (SELECT *, (0.2*greatest(0,least(1,(composite_score-40)/60))+0.2*(CASE kelly_edge WHEN 'STRONG' THEN 1 WHEN 'MODERATE' THEN 0.7 WHEN 'NO_EDGE' THEN 0 ELSE 0.3 END)
- +0.15*(CASE WHEN structure_bias=(CASE WHEN composite_score>55 THEN 'BULLISH' WHEN composite_score<45 THEN 'BEARISH' ELSE 'NEUTRAL' END) THEN 1 ELSE 0.4 END)
- +0.15*(CASE regime||'|'||vol_regime WHEN 'LOW_VOL_BULLISH|LOW' THEN 1 WHEN 'LOW_VOL_BULLISH|NORMAL' THEN 0.9 WHEN 'SIDEWAYS_CHOP|NORMAL' THEN 0.8 WHEN 'HIGH_VOL_BEARISH|HIGH' THEN 0.5 WHEN 'HIGH_VOL_BEARISH|CRISIS' THEN 0.1 WHEN 'SIDEWAYS_CHOP|HIGH' THEN 0.4 ELSE 0.5 END)
- +0.1*(CASE liquidity_regime WHEN 'ABUNDANT' THEN 1 WHEN 'NORMAL' THEN 0.8 WHEN 'THIN' THEN 0.4 ELSE 0 END)+0.1*greatest(0,least(1,(prob_profit-40)/60))+0.05+0.05*greatest(0,least(1,(sortino+0.5)/2)))*100 AS confidence FROM decs)"""
-query("composite_score", sql("rets", f"SELECT symbol, {r6('composite_score')}, CASE WHEN composite_score>=70 THEN 'BULLISH' WHEN composite_score<=30 THEN 'BEARISH' ELSE 'NEUTRAL' END AS verdict FROM decs", DEC)
-      )(lambda t: sc.composite_score(decision_features(t)).select("symbol", "composite_score", "verdict"))
-query("signal_confidence", sql("rets", f"SELECT symbol, {r6('confidence')}, CASE WHEN confidence>=75 THEN 'VERY_HIGH' WHEN confidence>=55 THEN 'HIGH' WHEN confidence>=40 THEN 'MODERATE' ELSE 'LOW' END AS confidence_label, CASE WHEN confidence>=55 THEN 'OPEN' WHEN confidence>=40 THEN 'RESTRICTED' ELSE 'CLOSED' END AS trade_gate FROM conf", DEC)
-      )(lambda t: sc.signal_confidence(sc.composite_score(decision_features(t))).select("symbol", "confidence", "confidence_label", "trade_gate"))
-query("active_strategy", sql("rets", f"SELECT symbol, s AS active_strategy, {r6('strategy_sizing=' + chr(40) + 'CASE s WHEN ' + repr('DEFENSIVE_SHORT_ONLY') + ' THEN 0.5 WHEN ' + repr('TREND_FOLLOWING_LONG') + ' THEN 1 WHEN ' + repr('MEAN_REVERSION_RANGE') + ' THEN 0.7 ELSE 0 END);')} FROM "
-      "(SELECT symbol, CASE WHEN regime='HIGH_VOL_BEARISH' OR vol_regime IN ('HIGH','CRISIS') THEN 'DEFENSIVE_SHORT_ONLY' WHEN regime='LOW_VOL_BULLISH' AND composite_score>=65 THEN 'TREND_FOLLOWING_LONG' WHEN regime='SIDEWAYS_CHOP' OR liquidity_regime='THIN' THEN 'MEAN_REVERSION_RANGE' ELSE 'WAIT_FOR_CONFLUENCE' END AS s FROM decs)", DEC)
-      )(lambda t: sc.active_strategy(sc.composite_score(decision_features(t))).select("symbol", "active_strategy", "strategy_sizing"))
-query("quick_verdict", sql("rets", "SELECT symbol, CASE WHEN kelly_edge='NO_EDGE' OR expected_value<0 THEN 'STAND CLEAR' WHEN composite_score>=70 AND structure_bias='BULLISH' AND kelly_edge IN ('MODERATE','STRONG') THEN 'EXECUTE LONG' "
-      "WHEN composite_score<=30 AND structure_bias='BEARISH' AND kelly_edge IN ('MODERATE','STRONG') THEN 'EXECUTE SHORT' ELSE 'STAND CLEAR' END AS quick_verdict FROM decs", DEC)
-      )(lambda t: sc.quick_verdict(sc.composite_score(decision_features(t))).select("symbol", "quick_verdict"))
 query("macro_regime", sql("brets", f"SELECT as_of, {r6('nasdaq_pct=n;dxy_pct=d;gold_pct=g;risk_score=rs')}, CASE WHEN n>0.5 AND d<0.3 THEN 'RISK_ON' WHEN n<-0.5 OR d>0.5 THEN 'RISK_OFF' WHEN g>1 AND d>0.3 THEN 'INFLATION_FEAR' ELSE 'TRANSITIONAL' END AS macro_regime, "
       "CASE WHEN rs>60 THEN 'RISK_ON' WHEN rs<40 THEN 'RISK_OFF' ELSE 'NEUTRAL' END AS risk_label FROM (SELECT *, greatest(0,least(100,50+n*3-d*2-g)) AS rs FROM (SELECT ts AS as_of, coalesce(max((exp(r)-1)*100) FILTER (symbol='Brand#11'),0) AS n, "
       "coalesce(max((exp(r)-1)*100) FILTER (symbol='Brand#12'),0) AS d, coalesce(max((exp(r)-1)*100) FILTER (symbol='Brand#13'),0) AS g FROM brets WHERE symbol IN ('Brand#11','Brand#12','Brand#13') GROUP BY ts))"))(

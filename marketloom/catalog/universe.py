@@ -39,7 +39,8 @@ query("align_tail", sql("rets", f"SELECT a.symbol AS key, a.rev, {r6('ra=a.r;rb=
     lambda t: k.align_tail(ft.log_returns(t.bars()).withColumnRenamed("symbol", "key"), ft.log_returns(t.bars()).where(F.dayofmonth("ts") % 2 == 1).withColumnRenamed("symbol", "key")))
 query("asof_slice", sql("bars", f"SELECT symbol, scan_date, ts, {r6('close')} FROM (SELECT b.symbol, q.scan_date, b.ts, b.close, row_number() OVER (PARTITION BY b.symbol, q.scan_date ORDER BY b.ts DESC) AS rn, count(*) OVER (PARTITION BY b.symbol, q.scan_date) AS n FROM bars b JOIN (SELECT unnest([TIMESTAMP '1996-01-01', TIMESTAMP '1997-03-15', TIMESTAMP '1999-12-31', TIMESTAMP '2001-06-30']) AS scan_date) q ON b.ts<=q.scan_date) WHERE rn<=90 AND n>=55"))(
     lambda t: k.asof_slice(t.bars(), t.bars().select("symbol").distinct().withColumn("scan_date", F.explode(F.array(*[F.lit(d).cast("timestamp") for d in ("1996-01-01", "1997-03-15", "1999-12-31", "2001-06-30")])))))
-query("forward_window", sql("bars", f"SELECT * FROM (SELECT a.symbol, a.ts AS signal_ts, b.i-a.i AS step, b.ts, {r6('open=b.open;high=b.high;low=b.low;close=b.close')} FROM fw a JOIN fw b ON b.symbol=a.symbol AND b.i BETWEEN a.i+1 AND a.i+10 AND b.ts<=a.ts+INTERVAL 15 DAY WHERE a.close>a.open*1.01)", f"fw AS (SELECT *, row_number() OVER ({W}) AS i FROM bars)"))(
+query("forward_window", sql("bars", f"SELECT symbol, signal_ts, x.k AS step, x.ts AS ts, {r6('open=x.open;high=x.high;low=x.low;close=x.close')} FROM (SELECT symbol, ts AS signal_ts, i, unnest(nx) AS x FROM fw WHERE close>open*1.01) WHERE x.ts<=signal_ts+INTERVAL 15 DAY",
+      f"fi AS (SELECT *, row_number() OVER ({W}) AS i FROM bars), fv AS MATERIALIZED (SELECT *, list({{'ts': ts, 'open': open, 'high': high, 'low': low, 'close': close, 'j': i}}) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nl FROM fi), fw AS (SELECT *, list_transform(nl, lambda y: {{'k': y.j-i, 'ts': y.ts, 'open': y.open, 'high': y.high, 'low': y.low, 'close': y.close}}) AS nx FROM fv)"))(
     lambda t: k.forward_window(t.bars(), F.col("close") > F.col("open") * 1.01))
 query("cross_asset_snapshot", sql("bars_brand", f"SELECT name, {r6('current=c;prev=p;change_pct=(c/p-1)*100')}, CASE WHEN c>p THEN 'UP' ELSE 'DOWN' END AS trend FROM (SELECT CASE symbol WHEN 'Brand#11' THEN 'NASDAQ' WHEN 'Brand#12' THEN 'DXY' ELSE 'GOLD' END AS name, arg_max(close,ts) AS c, arg_max(p,ts) AS p FROM (SELECT *, lag(close) OVER ({W}) AS p FROM bars_brand WHERE symbol IN ('Brand#11','Brand#12','Brand#13')) GROUP BY 1)"))(
     lambda t: k.cross_asset_snapshot(t.bars_brand(), t.spark.sql("SELECT * FROM VALUES ('Brand#11','NASDAQ'),('Brand#12','DXY'),('Brand#13','GOLD') AS d(symbol, name)")))
