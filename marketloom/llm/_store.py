@@ -39,6 +39,11 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect plans that nothing holds any more: Spark then deletes their shuffle files, which a loop of many short jobs piles up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of an edge table (a long, b long); root is the smallest node reachable.
 

@@ -9,13 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._store import components, discard, small_batches, stored
+from ._store import components, discard, drop_shuffles, small_batches, stored
 
 LEAST = 0.95  # cosine of a link
 NEIGHBOURS = 8  # length of a list at first; lists that are full of links grow
 REVERSE = 8  # nodes that list a node, taken into one round of its local joins; another draw each round
-WORDS = 2  # 64-bit words of a sketch
-TABLES = 2 * WORDS  # orders that lists start from: by each word, and by each word turned half round
+WORDS = 4  # 64-bit words of a sketch; half as many lost links of wide groups
 WINDOW = 12  # neighbours in the order of a sketch word that a list starts from
 SETTLED = 0.05  # a descent ends when fewer of its list places change in a round
 ROUNDS = 12
@@ -87,13 +86,10 @@ EDGE = "src long, dst long, dist int, " + ", ".join(f"{c} long" for c in P + Q)
 
 
 def start_lists(nodes: DataFrame, keep: int) -> DataFrame:
-    """First lists: rows are sorted by the bits of their sketch, from another one on in each of TABLES passes, and each meets its neighbours there."""
+    """First lists: rows are sorted by the bits of their sketch, from another word on in each pass, and each meets its neighbours there."""
     out = None
-    for k in range(TABLES):
-        words = [F.col(f"p{(k + i) % WORDS}") for i in range(WORDS)]
-        if k >= WORDS:
-            words[0] = F.shiftleft(words[0], 32).bitwiseOR(F.shiftrightunsigned(words[0], 32))
-        order = ["dim", *words, "id"]
+    for k in range(WORDS):
+        order = ["dim", *[f"p{(k + i) % WORDS}" for i in range(WORDS)], "id"]
         rows = nodes.select("id", "dim", *P).repartitionByRange(*order).sortWithinPartitions(*order)
         part = rows.mapInArrow(lambda it: _windows(it, WINDOW, keep), EDGE)
         out = part if out is None else out.union(part)
@@ -131,6 +127,7 @@ def descend(edges: DataFrame, seed: int) -> DataFrame:
         new = stored(_cut_lists(old.union(found)), "lists")
         discard(edges)
         edges = new
+        drop_shuffles(edges.sparkSession)
         n = edges.agg(F.count(F.lit(1)), F.sum(F.when(F.col("fresh"), 1).otherwise(0))).first()
         if (n[1] or 0) <= SETTLED * n[0]:
             break
