@@ -204,21 +204,23 @@ def _doc_bits(ids: DataFrame, bits: int = 24) -> np.ndarray:
     return total
 
 
-def _verify(pdf: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
-    """Exact test of each member against the group's pivot."""
-    hub = pdf["is_hub"].to_numpy()
-    if not hub.any() or hub.all():
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    pivot = shingle_sets(pa.array(pdf["text"][hub].iloc[:1], pa.large_string()), n)[0]
-    members = pdf[~hub]
-    batch = pa.RecordBatch.from_arrays([pa.array(members["text"], pa.large_string()), pa.array(members["sid"], pa.int64())], names=["text", "sid"])
-    found = []
-    for b in slices(iter([batch])):
-        for s, i in zip(shingle_sets(b.column("text"), n), b.column("sid").to_pylist(), strict=True):
-            common = len(np.intersect1d(s, pivot, assume_unique=True))
-            if 100 * common >= percent * (len(s) + len(pivot) - common):
-                found.append(i)
-    return pd.DataFrame({"a": np.full(len(found), pdf["hub"].iloc[0], np.int64), "b": np.array(found, np.int64)})
+def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Exact test of each member against its group's pivot. Rows come sorted by group, the pivot first; groups are small and many, so they share batches."""
+    group, pivot = None, None
+    for b in slices(batches):
+        hubs, parts, ids, first = (b.column(k).to_pylist() for k in ("hub", "part", "sid", "is_hub"))
+        found = []
+        for s, hub, part, sid, is_hub in zip(shingle_sets(b.column("text"), n), hubs, parts, ids, first, strict=True):
+            if is_hub:
+                group, pivot = (hub, part), s
+            elif group == (hub, part) and len(s) and len(pivot):
+                at = np.searchsorted(pivot, s)
+                at[at == len(pivot)] = 0
+                common = int((pivot[at] == s).sum())
+                if 100 * common >= percent * (len(s) + len(pivot) - common):
+                    found.append((hub, sid))
+        a, c = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
 
 def links(documents: DataFrame, ids: DataFrame, pairs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +234,8 @@ def links(documents: DataFrame, ids: DataFrame, pairs: DataFrame, n: int, percen
     bits = documents.sparkSession.sparkContext.broadcast(_doc_bits(want.select("doc_id")))
     texts = documents.select("doc_id", "text").mapInArrow(lambda it: _only(it, bits.value), "doc_id long, text string")
     rows = texts.join(want.hint("merge"), "doc_id").select("hub", "part", "sid", "is_hub", "text")
-    return rows.groupBy("hub", "part").applyInPandas(lambda pdf: _verify(pdf, n, percent), "a long, b long"), want
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
+    return rows.mapInArrow(lambda it: _verify(it, n, percent), "a long, b long"), want
 
 
 def near_duplicates(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
