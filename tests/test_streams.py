@@ -85,13 +85,13 @@ def test_guard_is_the_ratchet_floor(spark, tables):
 def latch_rows(p):
     """Trade by trade: (status, trades in the buffer)."""
     recent, buf, streak, off, out = [], [], 0, False, []
-    for x in p:
+    for x in p.tolist():
         recent = (recent + [x])[-30:]
         streak = 0 if x > 0 else streak + 1
         wins, losses = sum(v for v in recent if v > 0), -sum(v for v in recent if v < 0)
         sd = np.std(recent, ddof=1) / 100 if len(recent) > 5 else 0.0
         sr = (np.mean(recent) / 100 - 0.05 / 252) / sd * np.sqrt(252) if sd > 1e-12 else 0.0
-        fails = (sum(v > 0 for v in recent) / len(recent) < 0.45) + (sr < 0.5) + ((wins / losses if losses > 1e-12 else 9.99) < 1.05) + (streak >= 7)
+        fails = sum(map(bool, (sum(v > 0 for v in recent) / len(recent) < 0.45, sr < 0.5, (wins / losses if losses > 1e-12 else 9.99) < 1.05, streak >= 7)))
         if off:
             buf = (buf + [int(x > 0)])[-10:]
             if len(buf) >= 10 and sum(buf) / len(buf) >= 0.52:
