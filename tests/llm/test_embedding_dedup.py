@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 VECTOR = "vec_id long, embedding array<double>, label int, dist int, x double"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Many short jobs over small tables: two partitions a shuffle."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    yield
+    spark.conf.set(key, before)
+
+
 def table(spark, rows):
     return spark.createDataFrame([(i, v, 0, 1, 2.0) for i, v in rows], VECTOR)
 
@@ -21,7 +31,7 @@ def rows():
     tight, loose, a, b = (unit(rng.normal(size=24)) for _ in range(4))
     out = [(i, unit(rng.normal(size=24))) for i in range(300)]
     out += [(1_000 + i, unit(tight + rng.normal(size=24) * 0.02)) for i in range(150)]
-    out += [(2_000 + i, unit(loose + rng.normal(size=24) * 0.045)) for i in range(40)]
+    out += [(2_000 + i, unit(loose + rng.normal(size=24) * 0.045)) for i in range(20)]
     out += [(3_000 + i, out[0][1] * (1 + i % 2 * 3)) for i in range(60)] + [(3_100, -out[0][1])]
     b = unit(b - a * (a @ b))
     out += [(4_000 + i, np.cos(i * 0.3) * a + np.sin(i * 0.3) * b) for i in range(9)]

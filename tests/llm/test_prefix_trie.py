@@ -11,6 +11,16 @@ from marketloom.llm import prefix_trie as trie, queries
 TURN = "conv_id long, turn long, role string, text string"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Many short jobs over small tables: two partitions a shuffle."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    yield
+    spark.conf.set(key, before)
+
+
 def plain(rows):
     return sorted(tuple(r) for r in rows)
 
