@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import work_dir
-from .ordered import (cooldown_filter_stream, edge_latch, equity_guard_stream, kyle_lambda_stream, lead_signal_stream, rolling_ofi_stream,  # noqa: F401
+from .ordered import (Ordered, cooldown_filter_stream, edge_latch, equity_guard_stream, kyle_lambda_stream, lead_signal_stream, rolling_ofi_stream,  # noqa: F401
                       rolling_tick_stats_stream)
 
 
@@ -20,8 +20,11 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", fi
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)})
 
 
-def drain(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over everything available, into files, and return the written table. State is kept in RocksDB."""
+def drain(out: DataFrame | Ordered, name: str, mode: str = "append", complete: bool = False) -> DataFrame:
+    """Run a streaming query over everything available, into files, and return the written table. Spark's own state is kept in RocksDB.
+    complete, for a stream folded in order: the input has ended, so rows that wait for the watermark leave as well."""
+    if isinstance(out, Ordered):
+        return out.drain(name, complete)
     spark = out.sparkSession
     path, key = work_dir(spark, name), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)

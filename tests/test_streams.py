@@ -92,6 +92,42 @@ def test_guard_is_the_ratchet_floor(spark, tables):
     same(got[["account", "trade_id", "peak", "floor", "halt"]], eq.ratchet_floor(tables.equity()).select("account", "trade_id", "peak", "floor", "halt").toPandas(), ["account", "trade_id"])
 
 
+def test_guard_of_a_complete_input_has_every_row(spark):
+    """The input has ended, so rows that still wait for the watermark leave too, in order and after the peak of the batches before."""
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(40), unit="h")
+    pdf = pd.DataFrame({"account": ["A", None] * 20, "ts": ts, "trade_id": np.arange(40), "balance": 10000 + 50 * np.sin(np.arange(40)) * np.arange(40)})
+    stream = files(spark, pdf, "account string, ts timestamp, trade_id long, balance double", [pdf["trade_id"] < 30, pdf["trade_id"] >= 30], "complete")
+    got = st.drain(st.equity_guard_stream(stream, delay="12 hours"), "complete", complete=True).toPandas()
+    peak = pdf.groupby("account", dropna=False)["balance"].cummax().clip(lower=10000.0)
+    same(got[["trade_id", "balance", "peak"]], pdf[["trade_id", "balance"]].assign(peak=peak), ["trade_id"])
+
+
+def test_no_task_of_a_stream_sees_a_whole_key(spark, monkeypatch):
+    """Blocks of forty rows, each with the rows before it: the latch goes through all of them and over micro-batches."""
+    monkeypatch.setattr("marketloom.plans.BLOCK_ROWS", 40)
+    p = np.round(np.random.default_rng(4).normal(0, 1, 400), 3)
+    pdf = pd.DataFrame({"strategy": "S", "exit_ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(400), unit="min"), "trade_id": np.arange(400), "net_pnl_pct": p})
+    stream = files(spark, pdf, "strategy string, exit_ts timestamp, trade_id long, net_pnl_pct double", [pdf["trade_id"] < 150, pdf["trade_id"] >= 150], "latch-blocks")
+    out = st.edge_latch(stream, delay="1 minute")
+    got = st.drain(out, "latch-blocks", complete=True).toPandas()
+    status, buffered = zip(*latch_rows(pdf["net_pnl_pct"]))
+    same(got[["trade_id", "status", "buffered"]], pdf[["trade_id"]].assign(status=status, buffered=buffered), ["trade_id"])
+
+
+def test_lead_signals_are_not_paired(spark):
+    """Two thousand signals within the time to live of each of a hundred flow rows: running minima, no join of signals with flow."""
+    base = pd.Timestamp("2024-01-01")
+    sig = pd.DataFrame({"leader": "X", "follower": "F", "direction": "LONG", "confidence": np.arange(2000) % 997 / 1000, "lag": 1, "triggered": True, "signal_ts": base + pd.to_timedelta(np.arange(2000), unit="ms")})
+    fl = pd.DataFrame({"symbol": "F", "ts": base + pd.to_timedelta(np.arange(100) * 20, unit="ms"), "seq": np.arange(100), "flow_regime": "CLEAN"})
+    s = files(spark, sig, "leader string, follower string, direction string, confidence double, lag long, triggered boolean, signal_ts timestamp", [sig["lag"] == 1], "sig-many")
+    f = files(spark, fl, "symbol string, ts timestamp, seq long, flow_regime string", [fl["seq"] >= 0], "flow-many")
+    out = st.lead_signal_stream(s, f, "1 second", "1 minute")
+    assert "Join" not in out.rows._jdf.queryExecution().analyzed().toString()
+    got = st.drain(out, "lead-many", complete=True).toPandas()
+    best = [sig["confidence"][max(0, 20 * i - 1000):20 * i + 1].max() for i in range(100)]
+    same(got[["seq", "confidence"]], pd.DataFrame({"seq": np.arange(100), "confidence": best}), ["seq"])
+
+
 def latch_rows(p):
     """Trade by trade: (status, trades in the buffer)."""
     recent, buf, streak, off, out = [], [], 0, False, []
