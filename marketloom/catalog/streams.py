@@ -46,15 +46,15 @@ def passed(view, ts):
     return f"epoch_us({ts})<=(SELECT (epoch_us(max({ts}))//1000-((epoch_us(max({ts}))-epoch_us(min({ts})))//{1000 * PARTS}+1))*1000 FROM {view})"
 
 
-def streamed(f, view, ts, cols, name):
+def streamed(f, view, ts, cols, name, complete=False):
     def run(t):
         rows, delay = replay(t, getattr(t, view)().select(*cols), ts)
-        return st.drain(f(rows, delay), name)
+        return st.drain(f(rows, delay), name, complete=complete)
     return run
 
 
-query("equity_guard_stream", sql("equity", f"SELECT account, ts, trade_id, {r6('balance;peak;floor=fl')}, balance<=fl AND fl>10000 AS halt FROM rf WHERE {passed('equity', 'ts')}", RT))(
-    streamed(lambda r, d: st.equity_guard_stream(r, delay=d), "equity", "ts", ["account", "ts", "trade_id", "balance"], "guard-stream"))
+query("equity_guard_stream", sql("equity", f"SELECT account, ts, trade_id, {r6('balance;peak;floor=fl')}, balance<=fl AND fl>10000 AS halt FROM rf", RT))(
+    streamed(lambda r, d: st.equity_guard_stream(r, delay=d), "equity", "ts", ["account", "ts", "trade_id", "balance"], "guard-stream", complete=True))
 # one step of the recursion is one change of status: the first failing trade, then the first with six wins among ten trades since
 LATCH = EDGE.replace("account", "strategy") + """,
 la AS (SELECT strategy, exit_ts, trade_id, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts, trade_id) AS i, avg((net_pnl_pct>0)::INT) OVER (PARTITION BY strategy ORDER BY exit_ts, trade_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)>=0.52 AS back FROM trades),
