@@ -93,6 +93,9 @@ def lead_stream(t):
     names = "VALUES ('click','error'),('click','purchase'),('error','purchase'),('purchase','signup'),('signup','view'),('view','click') AS p(leader, follower)"
     s = m.select(F.col("symbol").alias("leader"), F.col("ts").alias("signal_ts"), (F.abs("r") >= 0.05).alias("triggered"), F.when(F.col("r") > 0, "LONG").otherwise("SHORT").alias("direction"),
                  F.least(F.abs("r"), F.lit(1.0)).alias("confidence"), (1 + F.col("seq") % 3).alias("lag")).join(t.spark.sql(f"SELECT * FROM {names}"), "leader")
+    path = work_dir(t.spark, "signals")  # read several times below
+    s.write.parquet(path)
+    s = t.spark.read.parquet(path)
     signals, d1 = replay(t, s, "signal_ts")
     clean = F.when(F.col("bid_size") > 30, "CLEAN").otherwise("MIXED").alias("flow_regime")
     flow, d2 = replay(t, ticks.select("symbol", "ts", "seq", clean), "ts")
