@@ -81,3 +81,27 @@ def test_report_round_trip(spark, tables):
     assert sorted(back.select("symbol", "range.hi").collect()) == sorted(df.select("symbol", "range.hi").collect())
     js = feeds.write_report(df, work_dir(spark, "repj"), "json")
     assert js.count() == df.count() and "range" in js.first()["value"]
+
+
+def test_replicates_of_groups_in_one_task_and_in_many(spark):
+    """Draws by the plain formula; a group of many runs is added up over tasks, one of a single run is finished where it is, a null group stays."""
+    rng = np.random.default_rng(2)
+    pdf = pd.concat([pd.DataFrame({"g": g, "k": np.arange(n) + at, "v": rng.normal(size=n)}) for g, n, at in (("HOT", 3000, 0), ("A", 40, 0), ("B", 700, 90), (None, 9, 5))], ignore_index=True)
+    x = (((np.arange(60)[:, None] * 1000003 + pdf["k"].to_numpy()[None, :] * 8191 + 42 * 131071) % 2147483647 + 12345) * 48271) % 2147483647
+    x = (x ^ (x >> 13)) * 69621 % 2147483647
+    w = np.searchsorted(risk.POISSON, x / 2147483647.0, side="right")
+    assert np.array_equal(risk.replicate_weights(pdf["k"], 60, 42), w)
+    want = {g: (w[:, i] @ pdf["v"].to_numpy()[i]).sum() for g, i in pdf.groupby(pdf["g"].fillna("-")).indices.items()}
+    df = spark.createDataFrame(pdf, "g string, k long, v double").repartition(5)
+    for gather in (True, False):
+        got = risk.replicate_stats(df, "g", "k", ["v"], 60, 42, lambda t: [float(t.sum())], "total double", gather=gather).collect()
+        assert len(got) == 4 and all(abs(r["total"] - want[r["g"] or "-"]) < 1e-6 for r in got)
+
+
+def test_win_rate_draws_every_trade(spark):
+    """A trade counts in each replicate by a draw of its own id, so other ids give another interval; a null result is no win."""
+    pdf = pd.DataFrame({"strategy": "S", "trade_id": np.arange(300) * 7, "net_pnl_usd": [1.0, -1.0, None] * 100})
+    w = risk.replicate_weights(pdf["trade_id"], 1000, 42)
+    wr = w @ (pdf["net_pnl_usd"].to_numpy() > 0) / w.sum(1) * 100
+    row = risk.bootstrap_win_rate(spark.createDataFrame(pdf, "strategy string, trade_id long, net_pnl_usd double").withColumn("net_pnl_usd", F.nanvl("net_pnl_usd", F.lit(None).cast("double")))).first()
+    assert np.allclose([row["mean_pct"], row["ci_lower_pct"], row["ci_upper_pct"]], [wr.mean(), *np.quantile(wr, [0.025, 0.975])])
