@@ -16,7 +16,7 @@ BAGG = """count(*) AS n, avg((net_pnl_usd>0)::INT)*100 AS win_rate_pct, sum(net_
 query("bucket_stats", sql("trades", f"SELECT symbol, {BS} FROM (SELECT symbol, {BAGG} FROM trades GROUP BY symbol)"))(lambda t: k.bucket_stats(t.trades(), ["symbol"]))
 query("attribution_by_dimension", sql("trades", f"SELECT dimension, value, {BS} FROM (SELECT dimension, value, {BAGG} FROM (" + " UNION ALL ".join(f"SELECT *, '{d}' AS dimension, {d} AS value FROM trades" for d in ("strategy", "symbol", "exit_reason", "regime", "direction")) + ") GROUP BY ALL)"))(
     lambda t: k.attribution_by_dimension(t.trades()))
-query("attribution_time_of_day", sql("trades", f"SELECT utc_from, {BS} FROM (SELECT hour(entry_ts)//4*4 AS utc_from, {BAGG} FROM trades GROUP BY 1)"))(lambda t: k.attribution_time_of_day(t.trades()))
+query("attribution_time_of_day", sql("trades", f"SELECT utc_from, {BS} FROM (SELECT hour(entry_ts)//4*4 AS utc_from, {BAGG} FROM trades GROUP BY 1)"))(lambda t: k.attribution_time_of_day(t.trades_once()))
 query("optimal_hours", sql("trades", f"SELECT strategy, hour, {r6('sharpe pnl')}, CASE WHEN b<=3 THEN 'BEST' ELSE 'WORST' END AS kind, {r6('saved_if_avoided=CASE WHEN b>3 THEN losses ELSE 0 END;')} FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY sharpe DESC, hour) AS b, row_number() OVER (PARTITION BY strategy ORDER BY sharpe, hour DESC) AS w FROM "
       "(SELECT strategy, hour(entry_ts) AS hour, avg(net_pnl_pct)/stddev_samp(net_pnl_pct) AS sharpe, sum(net_pnl_usd) AS pnl, coalesce(-sum(net_pnl_usd) FILTER (net_pnl_usd<=0),0) AS losses FROM trades GROUP BY ALL)) WHERE b<=3 OR w<=3"))(lambda t: k.optimal_hours(t.trades()))
 SIG = " UNION ALL ".join(f"SELECT '{n}' AS signal, {on.replace('is not null', 'IS NOT NULL')} AS present, net_pnl_usd, net_pnl_pct, fee_usd FROM trades WHERE {ok}" for n, (ok, on) in k.SIGNALS.items())
@@ -46,7 +46,7 @@ query("kelly_from_trades", sql("trades", f"SELECT strategy, n, {r6(f'win_rate_pc
       "sum(net_pnl_pct) FILTER (net_pnl_pct>0)/-sum(net_pnl_pct) FILTER (net_pnl_pct<0) AS pf, avg(net_pnl_pct)/stddev_pop(net_pnl_pct)*sqrt(252) AS sharpe FROM trades GROUP BY strategy))"))(lambda t: k.kelly_from_trades(t.trades()))
 query("cvar_kelly", sql("rets trades", f"SELECT symbol, {r6('full_kelly_pct=fk*100;frac_kelly_pct=fr*100;cvar_kelly_pct=kk*100;recommended_pct=CASE WHEN fk<=0 THEN 0 ELSE least(kk,0.03)*100 END;')}, CASE WHEN fk<=0 THEN 'NEGATIVE_EDGE' WHEN w*fr>0.002 THEN 'CVAR' ELSE 'KELLY' END AS binding FROM (SELECT *, CASE WHEN w*fr>0.002 THEN fr*0.002/(w*fr) ELSE fr END AS kk FROM "
       "(SELECT *, greatest(0,fk*0.25) AS fr FROM (SELECT symbol, wr-(1-wr)/(aw/al) AS fk, abs(least(cvar_hist,cvar_cf)) AS w FROM (SELECT symbol, avg((net_pnl_pct>0)::INT) AS wr, avg(net_pnl_pct) FILTER (net_pnl_pct>0) AS aw, -avg(net_pnl_pct) FILTER (net_pnl_pct<0) AS al FROM trades GROUP BY symbol) JOIN var95 USING (symbol))))", V95))(
-    lambda t: k.cvar_kelly(t.trades(), risk.var_cvar(rets(t)), limit=0.002))
+    lambda t: k.cvar_kelly(t.trades_once(), risk.var_cvar(rets(t)), limit=0.002))
 RF = "PARTITION BY strategy ORDER BY exit_ts, trade_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW"
 query("rolling_half_kelly", sql("trades", f"SELECT strategy, trade_id, {r6('size_usd=CASE WHEN c>=20 AND coalesce(al,0.01)>0 THEN greatest(10,least(300,10000*greatest(0,(p*b-(1-p))/b/2)/100)) ELSE 50 END;win_rate_pct=p*100')}, c>=20 AS ready FROM (SELECT *, w/c AS p, coalesce(aw,0.01)/coalesce(al,0.01) AS b FROM (SELECT strategy, trade_id, count(*) OVER ({RF}) AS c, count(*) FILTER (net_pnl_pct>0) OVER ({RF}) AS w, "
       f"avg(net_pnl_pct) FILTER (net_pnl_pct>0) OVER ({RF}) AS aw, avg(-net_pnl_pct) FILTER (net_pnl_pct<=0) OVER ({RF}) AS al FROM trades))"))(lambda t: k.rolling_half_kelly(t.trades()))
@@ -67,7 +67,7 @@ query("exposure_report", sql("positions", f"SELECT kind, key, {r6('usd;cap_usd=c
       "SELECT 'SYMBOL', symbol||'_'||direction, sum(size_usd), count(DISTINCT strategy) FROM positions GROUP BY ALL UNION ALL SELECT 'STRATEGY', strategy, sum(size_usd), 1 FROM positions GROUP BY ALL))"))(
     lambda t: k.exposure_report(t.positions(), t.positions().select("symbol", F.concat(F.lit("K"), F.expr("string(int(substring(symbol, 2)) % 7)")).alias("cluster")).distinct(), 1.973e9))
 query("strategy_scalar", sql("trades", f"SELECT strategy, {r6('sharpe=s;win_rate=wr;profit_factor=CASE WHEN l>1e-12 THEN w/l WHEN w>0 THEN 9.9 ELSE 0 END;size_scalar=CASE WHEN s<=0 THEN 0 WHEN s<0.5 THEN greatest(0.6,least(1,0.6+s/(0.5+1e-12)*0.4)) WHEN s>1.5 THEN 1.2 ELSE 1 END;')} FROM (SELECT strategy, avg(p)/stddev_samp(p) AS s, avg((p>0)::INT) AS wr, coalesce(sum(p) FILTER (p>0),0) AS w, coalesce(-sum(p) FILTER (p<0),0) AS l FROM "
-      "(SELECT strategy, net_pnl_pct AS p, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts DESC, trade_id DESC) AS rn FROM trades) WHERE rn<=20 GROUP BY strategy)"))(lambda t: k.strategy_scalar(t.trades()))
+      "(SELECT strategy, net_pnl_pct AS p, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts DESC, trade_id DESC) AS rn FROM trades) WHERE rn<=20 GROUP BY strategy)"))(lambda t: k.strategy_scalar(t.trades_once()))
 
 
 def barrier_signals(t, n=10):

@@ -105,3 +105,13 @@ def test_win_rate_draws_every_trade(spark):
     wr = w @ (pdf["net_pnl_usd"].to_numpy() > 0) / w.sum(1) * 100
     row = risk.bootstrap_win_rate(spark.createDataFrame(pdf, "strategy string, trade_id long, net_pnl_usd double").withColumn("net_pnl_usd", F.nanvl("net_pnl_usd", F.lit(None).cast("double")))).first()
     assert np.allclose([row["mean_pct"], row["ci_lower_pct"], row["ci_upper_pct"]], [wr.mean(), *np.quantile(wr, [0.025, 0.975])])
+
+
+def test_trades_read_once_are_not_stored(spark, tables):
+    """The same rows as the stored view, without writing it."""
+    from marketloom.sources import _STORED, Tables
+
+    folder = FOLDER + "/."  # a name of its own
+    once = Tables(spark, folder).trades_once()
+    assert once.exceptAll(tables.trades()).isEmpty() and once.count() == tables.trades().count()
+    assert not any(k[1] == folder and k[2] == "trades" for k in _STORED)
