@@ -154,3 +154,27 @@ def test_a_day_with_most_rows_restarts_at_its_start(spark, monkeypatch):
     np.testing.assert_allclose(got["day_pnl_pct"], pct, rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(got["day_start"], start, rtol=1e-12)
     assert (got["locked"].to_numpy() == (pct <= -2.0).groupby(day).cummax().to_numpy()).all() and 0 < got["locked"].sum() < 1000
+
+
+def test_positioned_is_index_and_running_sum_in_one_shuffle(hot, spark):
+    _, df = hot
+    sums = {"s": "x"}
+    got = plans.positioned(df, ["symbol"], ["ts", "seq"], chunk(), sums)
+    one = plans.row_index(df, ["symbol"], ["ts", "seq"], chunk())
+    want = plans.running(one, ["symbol"], *plans.by_position(one, ["ts", "seq"], chunk()), sums=sums)
+    pd.testing.assert_frame_equal(frame(got, "_i", "_n", "s"), frame(want, "_i", "_n", "s"), check_dtype=False, rtol=1e-12)
+    odd = spark.createDataFrame([(None, 1, 1.0), ("a", 1, None), ("a", 1, 2.0), ("a", 2, 3.0)], "symbol string, ts int, x double").withColumn("ts", F.timestamp_seconds("ts"))
+    rows = plans.positioned(odd, ["symbol"], ["ts", "x"], chunk(), sums).orderBy("_i").collect()
+    assert [(r.symbol, r._i, r._n, r.s) for r in rows] == [("a", 0, 3, 0.0), ("a", 1, 3, 2.0), ("a", 2, 3, 5.0)]
+
+
+def test_bar_view_shuffles_its_days_once(spark, tables, monkeypatch):
+    """Positions and prices of the bars: the daily rows are ordered once, and high and low are not written."""
+    path = tables._path("bars", tables._bars_daily, "l_suppkey", F.col("l_suppkey").cast("string"))
+    text = path._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window [row_number") == 1 and text.count("Sort [l_suppkey") <= 4, text
+    stored = []
+    monkeypatch.setattr(type(tables), "_stored", lambda self, name, build: stored.append(build().columns) or build())
+    monkeypatch.setattr(type(tables), "_path", lambda self, *a: path)
+    bars = tables.bars()
+    assert "high" not in stored[0] and bars.columns == ["symbol", "ts", "open", "high", "low", "close", "volume", "_i", "_n"]
