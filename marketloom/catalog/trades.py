@@ -95,6 +95,6 @@ query("daily_loss_lock", sql("trades", f"SELECT strategy, trade_id, exit_ts, {r6
 query("pre_trade_flags", sql("equity", f"SELECT account, trade_id AS order_id, {r6('balance=b;risk_pct=r')}, td AS trades_today, concat_ws(',', CASE WHEN r>1 AND r<=2 THEN 'RISK' END, CASE WHEN td>=5 THEN 'TRADE_COUNT' END) AS warnings, concat_ws(',', CASE WHEN r>2 THEN 'RISK' END, CASE WHEN (b-10000)/10000*100<=-10 THEN 'DRAWDOWN' END) AS rejections, "
       "concat_ws(',', CASE WHEN r>2 THEN 'RISK' END, CASE WHEN (b-10000)/10000*100<=-10 THEN 'DRAWDOWN' END)='' AS approved FROM (SELECT *, entry_price*0.002*size_usd/greatest(entry_price,1)/greatest(b,1)*100 AS r FROM (SELECT t.account, t.trade_id, t.entry_price, t.size_usd, coalesce(e.balance,10000) AS b, row_number() OVER (PARTITION BY t.account, t.entry_ts::DATE ORDER BY t.entry_ts, t.trade_id)-1 AS td "
       "FROM trades t ASOF LEFT JOIN (SELECT account, ts, arg_max(balance, trade_id) AS balance FROM equity GROUP BY ALL) e ON e.account=t.account AND e.ts<=t.entry_ts))"))(
-    lambda t: k.pre_trade_flags(t.trades().select("account", F.col("entry_ts").alias("ts"), F.col("trade_id").alias("order_id"), "entry_price", (F.col("entry_price") * 0.998).alias("stop_price"), "size_usd"), t.equity()))
+    lambda t: k.pre_trade_flags(t.proposals(), t.equity()))
 query("threshold_advice", sql("trades", f"SELECT strategy, {r6('win_rate_pct=wr')}, CASE WHEN wr>65 THEN 'LOOSEN' WHEN wr<50 THEN 'TIGHTEN' ELSE 'KEEP' END AS advice, {r6('min_move_pct=CASE WHEN wr>65 THEN 0.004 WHEN wr<50 THEN 0.006 ELSE 0.005 END;ofi_floor=CASE WHEN wr>65 THEN 0.17 WHEN wr<50 THEN 0.23 ELSE 0.2 END')} FROM (SELECT strategy, avg((net_pnl_usd>0)::INT)*100 AS wr FROM "
       "(SELECT strategy, net_pnl_usd, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts DESC, trade_id DESC) AS rn FROM trades) WHERE rn<=20 GROUP BY strategy)"))(lambda t: k.threshold_advice(t.trades()))

@@ -115,3 +115,22 @@ def test_trades_read_once_are_not_stored(spark, tables):
     once = Tables(spark, folder).trades_once()
     assert once.exceptAll(tables.trades()).isEmpty() and once.count() == tables.trades().count()
     assert not any(k[1] == folder and k[2] == "trades" for k in _STORED)
+
+
+def test_pre_trade_flags_count_a_day_that_crowded_chunks_split(spark, monkeypatch):
+    """Orders of a day and balances as of their time by a plain walk, with chunks of few rows; rows are indexed once."""
+    from marketloom import plans
+    from marketloom.operators import trades as ops
+
+    monkeypatch.setattr(plans, "SPLIT_ROWS", 40)
+    monkeypatch.setattr(ops, "indexed", None)  # the day's orders need no positions of their own
+    rng = np.random.default_rng(3)
+    t0 = pd.Timestamp("2024-01-01")
+    o = pd.DataFrame({"account": rng.choice(["a", "b"], 600, p=[0.9, 0.1]), "ts": t0 + pd.to_timedelta(rng.integers(0, 4 * 86400, 600), "s"), "order_id": np.arange(600), "entry_price": 10.0, "stop_price": 9.0, "size_usd": 500.0})
+    s = pd.DataFrame({"account": rng.choice(["a", "b"], 300), "ts": t0 + pd.to_timedelta(rng.integers(0, 4 * 86400, 300), "s"), "trade_id": np.arange(300), "balance": rng.uniform(8000, 12000, 300)})
+    got = ops.pre_trade_flags(spark.createDataFrame(o), spark.createDataFrame(s)).toPandas().set_index("order_id").sort_index()
+    o = o.sort_values(["ts", "order_id"])
+    o["n"] = o.groupby(["account", o["ts"].dt.date]).cumcount()
+    want = pd.merge_asof(o, s.sort_values(["ts", "trade_id"]), on="ts", by="account").set_index("order_id").sort_index()
+    assert (got["trades_today"] == want["n"]).all()
+    assert np.allclose(got["balance"], want["balance"].fillna(10000.0))
