@@ -134,3 +134,26 @@ def test_pre_trade_flags_count_a_day_that_crowded_chunks_split(spark, monkeypatc
     want = pd.merge_asof(o, s.sort_values(["ts", "trade_id"]), on="ts", by="account").set_index("order_id").sort_index()
     assert (got["trades_today"] == want["n"]).all()
     assert np.allclose(got["balance"], want["balance"].fillna(10000.0))
+
+
+def test_walk_forward_windows_and_scaled_falls_by_a_plain_walk(spark):
+    """Windows whose limits are midnights, for rows at and off midnight; the scaled drawdown is taken from one pass over the test rows."""
+    rng = np.random.default_rng(5)
+    day = pd.date_range("2020-01-31", "2022-12-31", freq="D")
+    ts = [d + pd.Timedelta(hours=int(h)) for d, h in zip(day, rng.choice([0, 0, 9], len(day)))]
+    p = pd.DataFrame({"symbol": "a", "ts": ts, "r": rng.normal(0, 0.02, len(day))})
+    w = risk._walk_windows(spark.createDataFrame(p), 12, 3).toPandas()
+    s, e = p["ts"].min(), p["ts"].max()
+    want, reduced = [], 0
+    for k in range(20):
+        t0, t1, t2 = (s.normalize() + pd.DateOffset(months=3 * k + m) for m in (0, 12, 15))
+        if t2 <= e:
+            train, test = p[p["ts"].between(t0, t1)], p[p["ts"].between(t1, t2)]
+            want += [(k, "train", t) for t in train["ts"]] + [(k, "test", t) for t in test["ts"]]
+            scale = np.clip(0.12 / max(train["r"].std(ddof=0) * np.sqrt(252), 1e-6), 0.1, 1.5)
+            fall = lambda r: np.min(np.exp(r.cumsum() - r.cumsum().cummax()) - 1)
+            reduced += abs(fall(test["r"] * scale)) < abs(fall(test["r"])) - 1e-12
+    assert sorted(want) == sorted(zip(w["k"], w["part"], w["ts"]))
+    got = risk.vol_scaled_walk_forward(spark.createDataFrame(p))
+    assert got.first()["mdd_reduced"] == reduced and reduced > 0
+    assert "scaled" not in got._jdf.queryExecution().optimizedPlan().toString().replace("oos_scaled", "").replace("mdd_scaled", "")
