@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import case, is_true
-from ..plans import bar_blocks, narrow, quantiles
+from ..plans import BAR_CHUNK, bar_blocks, narrow, previous, quantiles, time_chunk
 from . import features as ft
 
 # Seconds per bar interval; daily bars tolerate 4 intervals, others 3.
@@ -46,9 +46,8 @@ def price_outliers(bars: DataFrame, z: float = 3.5) -> DataFrame:
 
 def exchange_anomalies(bars: DataFrame, jump: float = 0.30) -> DataFrame:
     """Duplicate timestamps, jumps above 30 %, zero closes, negative volume -> integrity label."""
-    b = bar_blocks(narrow(bars, "symbol", "ts", "close", "volume"), before=1)
-    prev = F.lag("close").over(b.w)
-    d = b.add(chg=F.when(prev != 0, F.abs(F.col("close") / prev - 1)), dup=is_true(F.lag("ts").over(b.w) == F.col("ts"))).done()
+    d = previous(narrow(bars, "symbol", "ts", "close", "volume"), ["symbol"], "ts", time_chunk("ts", BAR_CHUNK), {"_close": "close", "_ts": "ts"})
+    d = d.withColumns({"chg": F.when(F.col("_close") != 0, F.abs(F.col("close") / F.col("_close") - 1)), "dup": is_true(F.col("_ts") == F.col("ts"))})
     a = d.groupBy("symbol").agg(F.count(F.when(F.col("dup"), 1)).alias("duplicate_ts"), F.count(F.when(F.col("chg") > jump, 1)).alias("price_jumps"),
                                 F.max("chg").alias("max_move"), F.count(F.when(F.col("close") == 0, 1)).alias("zero_close"),
                                 F.count(F.when(F.col("volume") < 0, 1)).alias("negative_volume"))

@@ -178,3 +178,16 @@ def test_bar_view_shuffles_its_days_once(spark, tables, monkeypatch):
     monkeypatch.setattr(type(tables), "_path", lambda self, *a: path)
     bars = tables.bars()
     assert "high" not in stored[0] and bars.columns == ["symbol", "ts", "open", "high", "low", "close", "volume", "_i", "_n"]
+
+
+def test_previous_values_over_chunks_in_one_shuffle(spark):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"symbol": rng.choice(["a", "b"], 400), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.permutation(40_000)[:400], "s"), "close": rng.uniform(1, 2, 400)})
+    p.loc[::7, "close"] = np.nan
+    df = spark.createDataFrame(p).withColumn("close", F.nanvl("close", F.lit(None).cast("double")))
+    df = df.union(spark.createDataFrame([("a", 5.0), (None, 1.0)], "symbol string, close double").select("symbol", F.lit(None).cast("timestamp"), "close"))
+    got = plans.previous(df, ["symbol"], "ts", chunk(), {"c": "close", "t": "ts"})
+    w = Window.partitionBy("symbol").orderBy("ts")
+    want = df.where("symbol is not null").withColumns({"c": F.lag("close").over(w), "t": F.lag("ts").over(w)})
+    rows = lambda d: sorted(map(repr, d.select("symbol", "ts", "close", "c", "t").collect()))
+    assert rows(got) == rows(want)
