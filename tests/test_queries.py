@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -27,7 +28,7 @@ def con():
 
 def rows(pdf):
     def text(v):
-        if v is None or (isinstance(v, float) and np.isnan(v)) or v != v:
+        if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) or v != v:
             return "NULL"
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
