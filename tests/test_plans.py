@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from marketloom import plans
-from marketloom.operators import features, ticks
+from marketloom.operators import features, risk, ticks
 from marketloom.session import work_dir
 
 def win():
@@ -191,3 +191,32 @@ def test_previous_values_over_chunks_in_one_shuffle(spark):
     want = df.where("symbol is not null").withColumns({"c": F.lag("close").over(w), "t": F.lag("ts").over(w)})
     rows = lambda d: sorted(map(repr, d.select("symbol", "ts", "close", "c", "t").collect()))
     assert rows(got) == rows(want)
+
+
+def test_replicates_share_their_draws():
+    """Paths of the trade bootstrap equal the draws of their formula, and a draw that many replicates make is made once."""
+    rng = np.random.default_rng(3)
+    n, reps, seed, m = 30_011, 9_000, 42, 2**31 - 1
+    s = rng.normal(0, 0.001, n)
+    table = np.stack([s, s + 0.001, s - 0.001, -np.abs(s)], axis=-1)
+    table[rng.random(n) < 0.1] = risk.EMPTY
+    start, length, used, first, number = risk._segments(n, reps, seed)
+    mine = np.flatnonzero(used)
+    keep = mine[np.isin(mine, [(first[r] + j) % len(start) for r in (0, 7, 8191, 8999) for j in range(number[r])])]
+    part = np.tile(risk.EMPTY, (len(start), 1))
+    part[keep] = np.stack(risk._drawn(np.concatenate([table, [risk.EMPTY]]), start[keep], length[keep]), axis=-1)
+    for r in (0, 7, 8191, 8999):
+        x = (r * 1000003 + np.arange(n) * 8191 + seed * 131071) % m
+        x = (x + 12345) * 48271 % m
+        x ^= x >> 13
+        pick = table[x * 69621 % m % n]
+        level = np.concatenate([[0.0], np.cumsum(pick[:, 0])])
+        high = np.maximum.accumulate(np.concatenate([[-np.inf], level[:-1] + pick[:, 1]]))[:-1]
+        got = risk.EMPTY
+        for j in range(number[r]):
+            got = risk._joined(got, part[(first[r] + j) % len(start)])
+        np.testing.assert_allclose([got[0], got[3]], [level[-1], np.minimum(pick[:, 3], level[:-1] + pick[:, 2] - high).min()], atol=1e-12)
+    start, length, used, first, number = risk._segments(8_640_000, 10_000, seed)  # a strategy of 43 million trades: 8.6e10 slots
+    assert length[used].sum() <= m
+    ends = np.concatenate([[0], np.cumsum(np.tile(length, 2))])
+    assert (ends[first + number] - ends[first] == 8_640_000).all()
