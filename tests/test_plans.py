@@ -220,3 +220,20 @@ def test_replicates_share_their_draws():
     assert length[used].sum() <= m
     ends = np.concatenate([[0], np.cumsum(np.tile(length, 2))])
     assert (ends[first + number] - ends[first] == 8_640_000).all()
+
+
+def test_short_series_are_sorted_where_they_meet(hot):
+    """Series of one block and longer ones have the same tail figures as every series by counts, and a short series' values are sent once."""
+    pdf, df = hot
+    rets = plans.indexed(df.where("seq % 7 <> 3").select("symbol", "ts", (F.round("x") / 1000 - 0.02 + F.log("close") / 1e4).alias("r")), ["symbol"], ["ts"], plans.time_chunk("ts", CH))
+    rows = plans.BLOCK_ROWS
+    want = risk.advanced_risk(rets.drop("_i", "_n")).toPandas().sort_values("symbol").reset_index(drop=True)
+    try:
+        plans.BLOCK_ROWS = 1000  # one series is longer
+        got = risk.advanced_risk(rets)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        got = got.toPandas().sort_values("symbol").reset_index(drop=True)
+    finally:
+        plans.BLOCK_ROWS = rows
+    assert set(got["symbol"]) == {"HOT", "A", "B"} and "collect_list" in plan
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
