@@ -19,6 +19,7 @@ HEAVY = 12  # documents that make a token heavy
 HEAVY_KEPT = 1 << 19  # the most frequent heavy tokens that are ordered by count; the rest are ordered by hash
 BUCKET_TOKENS = 2_000_000  # tokens of all texts a bucket
 HELD = 1_000_000  # tokens a task gathers before it sends them on
+SKETCH = 1024  # bits of the widest sketch of a set
 SEEN = 1 << 18  # fingerprints a task remembers to post a copied set once
 WORD = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -43,6 +44,15 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([total ^ len(s) * 0x2545F4914F6CDD1D & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens by hash, as 64-bit words: two to four bits a token, 256 at least and SKETCH at most.
+
+    Tokens that two sets share cancel in the exclusive or of their sketches, so its ones are at most as many as the tokens that only one of them holds."""
+    bits = min(SKETCH, max(256, 1 << (2 * len(s) - 1).bit_length()))
+    at = (mix(s ^ np.uint64(0x2127599BF4325C37)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, axis=None, bitorder="little").view("<i8") if len(s) else np.zeros(0, np.int64)
+
+
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (((tokens >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
 
@@ -54,7 +64,9 @@ def _key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
 def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         sets = shingle_sets(b.column("text"), n)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
+        words = [sketch(s) for s in sets]
+        sketches = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32)), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), sketches], names=["doc_id", "n", "sid", "sketch"])
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -175,13 +187,24 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts)
 
 
+def _need(a: str, b: str, percent: int) -> str:
+    return f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
+
+
 def _fits(a: str, b: str, percent: int) -> str:
     """Two postings can be a linked pair's first l common tokens: sizes and remaining tokens allow the overlap (n, pos, l columns)."""
-    need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
+    need = _need(a, b, percent)
     l = f"least({a}.l, {b}.l)"
     return (f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {a}.n - {a}.pos >= {need} - {l} + 1 and {b}.n - {b}.pos >= {need} - {l} + 1")
 
 
+def _close(a: str, b: str, percent: int) -> str:
+    """Two sketches allow the overlap (n, sketch columns). The wider one is folded; sizes that link differ by less than a factor of two in width."""
+    width = f"least(size({a}.sketch), size({b}.sketch))"
+    word = lambda x: f"(get({x}.sketch, i) ^ if(size({x}.sketch) > {width}, get({x}.sketch, i + {width}), 0L))"
+    return f"aggregate(sequence(0, {width} - 1), 0, (d, i) -> d + bit_count({word(a)} ^ {word(b)})) <= {a}.n + {b}.n - 2 * {_need(a, b, percent)}"
+
+
 def _only(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     bits = np.uint64(64 - (len(wanted).bit_length() - 1))
     for b in batches:
@@ -247,7 +270,8 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, percent: int = PERCE
     3. Each set sends its adaptive prefix, once a task however many copies it has; postings that two sets share remain.
     4. Star round: each set is verified against the one leader (the set that holds the token earliest) it shares most with. Linked
        sets merge into components, so a group of copies costs one pair a member.
-    5. Remainder: all pairs that share enough prefix tokens and still lie in different components are verified.
+    5. Remainder: all pairs that share enough prefix tokens and still lie in different components are verified. Their sketches are compared in the
+       join, so that of many sets with common tokens only the pairs that can link leave it.
 
     documents: doc_id long, text string; other columns are ignored. Null, empty and blank texts have no shingles and stay alone;
     repeated rows come out repeated; a row with a null doc_id keeps a null component_id unless its set has an id.
@@ -258,7 +282,7 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, percent: int = PERCE
 
 def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
-    sets = stored(documents.mapInArrow(lambda it: _sizes(it, n), "doc_id long, n long, sid long"), "sets")
+    sets = stored(documents.mapInArrow(lambda it: _sizes(it, n), "doc_id long, n long, sid long, sketch array<long>"), "sets")
     ids = sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     buckets = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
     texts = documents.where("doc_id is not null")
@@ -290,10 +314,11 @@ def _near_duplicates(documents: DataFrame, n: int, percent: int) -> DataFrame:
     rank = (F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "root")) - 1).alias("rank")  # the largest root of a key is 0
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
     ranked = sizes.join(mixed, "key", "left_semi").select("key", "root", rank)
-    owned = stored(owned.join(ranked, ["key", "root"]), "owned")
+    sketches = sets.where("n > 0 and doc_id is not null").select("sid", "sketch").dropDuplicates(["sid"])
+    owned = stored(owned.join(ranked, ["key", "root"]).join(sketches, "sid"), "owned")
     # a set of a smaller root probes every larger root of its key: sets of one root never meet
     probes = owned.where("rank > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rank") - 1)))
-    rest = probes.alias("a").join(owned.alias("b"), F.expr(f"a.key = b.key and a.other = b.rank and {_fits('a', 'b', percent)}"))
+    rest = probes.alias("a").join(owned.alias("b"), F.expr(f"a.key = b.key and a.other = b.rank and {_fits('a', 'b', percent)} and {_close('a', 'b', percent)}"))
     rest = rest.groupBy(F.expr("least(a.sid, b.sid)").alias("hub"), F.expr("greatest(a.sid, b.sid)").alias("sid")).agg(F.count(F.lit(1)).alias("c"), F.first(F.expr("least(a.l, b.l)")).alias("l"))
     rest = stored(rest.where("c >= l").select("hub", "sid"), "rest")
     more, want = links(documents, ids, rest, n, percent)

@@ -54,6 +54,34 @@ def test_near_duplicates_hot_group_of_near_copies(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_of_too_many_edits_do_not_meet_in_the_remainder(spark, monkeypatch):
+    """Half the group links with its leader, the other half shares prefix tokens with all of it and links with nothing: those pairs are no rows."""
+    rng = random.Random(12)
+    base = prose(rng, 150, 10**6).split()
+    rows = []
+    for k in range(240):
+        at = set(rng.sample(range(10, 140), 1 if k % 2 else 4))
+        rows.append((k, " ".join(f"n{k}x{i}" if i in at else w for i, w in enumerate(base))))
+    real, pairs = jaccard_join.stored, []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: pairs.append(df.count()) or real(df, name) if name == "rest" else real(df, name))
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows) and len(pairs) == 1 and pairs[0] < 5_000
+
+
+def test_sketches_never_deny_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 40, 127, 129, 255, 257, 400, 511, 513, 900, 3000):
+        for share in (0.75, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[:int(len(a) * share)], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]))
+            x, y = sorted((jaccard_join.sketch(a), jaccard_join.sketch(b)), key=len)
+            if not len(x) or len(y) > 2 * len(x):
+                continue
+            y = y[:len(x)] ^ y[len(x):] if len(y) > len(x) else y
+            ones = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+            assert ones <= len(np.setxor1d(a, b)) and 4 <= len(x) <= jaccard_join.SKETCH // 64
+
+
 def test_postings_of_copies_are_few_and_dealt():
     """Copies of one text, all tokens heavy: one posting a token from each task, over many buckets."""
     text, buckets = prose(random.Random(5), 600, 10**6), 16
