@@ -62,7 +62,7 @@ query("combined_risk_scale", sql("equity", f"SELECT account, ts, trade_id, {r6('
       "FROM (SELECT *, greatest(0,least(1.2,vsc*fs*trailing_scale*velocity_scale*gate)) AS b FROM (SELECT mb.account, mb.ts, mb.trade_id, mb.balance, fl, triggered, trailing_scale, velocity_scale, nt, CASE WHEN vol_ann<1e-6 THEN 1.2 WHEN vol_ann IS NULL THEN 1 ELSE greatest(0.1,least(1.2,0.12/vol_ann)) END AS vsc, "
       "CASE WHEN mb.peak<=fl THEN 0.5 ELSE 1-1/(1+exp(-6*(greatest(0,least(1,1-(mb.balance-fl)/(mb.peak-fl)))-0.5))) END AS fs, CASE WHEN mb.i>=20 THEN (mb.balance>=m20)::INT ELSE 1 END AS gate, CASE coalesce(nt,0) WHEN 0 THEN 1 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0 END AS es "
       f"FROM mb JOIN tr USING (account, trade_id) JOIN vs USING (account, trade_id) JOIN vv USING (account, trade_id) JOIN (SELECT account, trade_id, avg(balance) OVER {win(20)} AS m20 FROM pk) USING (account, trade_id) LEFT JOIN edge USING (account, trade_id)))", MF + ",\n" + trail(0.031, 0.08) + ",\n" + VE.replace("HH", "5.0") + ",\n" + VO + ",\n" + EDGE))(
-    lambda t: k.combined_risk_scale(t.equity(), t.trades(), trail=0.031))
+    lambda t: k.combined_risk_scale(t.equity(), t.results(), trail=0.031))
 query("reserve_split", sql("trades", f"SELECT account, ts, trade_id, {r6('tradeable_capital=cap;locked_reserve=lr;total_balance=cap+lr;total_profit=tp')} FROM (SELECT *, s+greatest(0,max(9990-s) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS cap FROM (SELECT account, ts, trade_id, 10000+sum(CASE WHEN p>0 THEN p*(1-0.1471) ELSE p END) OVER w AS s, sum(CASE WHEN p>0 THEN p*0.1471 ELSE 0 END) OVER w AS lr, "
       f"sum(greatest(p,0)) OVER w AS tp FROM (SELECT account, exit_ts AS ts, trade_id, net_pnl_usd*0.0517131::DOUBLE AS p FROM trades) WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)))"))(
     lambda t: k.reserve_split(t.trades().select("account", F.col("exit_ts").alias("ts"), "trade_id", (F.col("net_pnl_usd") * 0.0517131).alias("pnl")), rate=0.1471, min_balance=9990.0))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, RF_DAILY, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, Blocks, blocked, by_position, indexed, running, time_chunk
+from ..plans import BAR_CHUNK, Blocks, blocked, by_position, by_series, indexed, running, time_chunk
 
 KEY, ORDER = ["account"], ["ts", "trade_id"]
 
@@ -17,6 +17,9 @@ def _chunk() -> Column:
 
 
 def _peak(equity: DataFrame, initial: float) -> DataFrame:
+    """Running peak, from the highest balance so far where the frame has it (_top)."""
+    if "_top" in equity.columns:
+        return equity.withColumn("peak", F.greatest("_top", F.lit(initial)))
     d = running(equity, KEY, *by_position(equity, ORDER, _chunk()), maxs={"peak": "balance"})
     return d.withColumn("peak", F.greatest("peak", F.lit(initial)))
 
@@ -34,9 +37,9 @@ def high_water_mark(equity: DataFrame, initial: float = 10000.0) -> DataFrame:
 MILESTONES = [(5.0, 0.0), (10.0, 5.0), (20.0, 10.0), (30.0, 20.0), (50.0, 30.0), (75.0, 50.0), (100.0, 75.0), (150.0, 100.0), (200.0, 150.0)]
 
 
-def milestone_floor(equity: DataFrame, initial: float = 10000.0, ladder=tuple(MILESTONES)) -> DataFrame:
+def milestone_floor(equity: DataFrame, initial: float = 10000.0, ladder=tuple(MILESTONES), keep: tuple = ()) -> DataFrame:
     """Highest milestone ever reached -> locked floor (none before the first), headroom and progress to the next.
-    The ladder is a plan-time constant, so it is a CASE chain rather than a join."""
+    The ladder is a plan-time constant, so it is a CASE chain rather than a join. keep: further columns of the rows."""
     d = _peak(equity, initial)
     ret = (F.col("peak") / initial - 1) * 100
     rows = list(ladder)
@@ -49,24 +52,30 @@ def milestone_floor(equity: DataFrame, initial: float = 10000.0, ladder=tuple(MI
     return d.select("account", "ts", "trade_id", "balance", "peak", "tier", "floor", F.greatest(F.lit(0.0), b - f).alias("headroom_usd"),
                     (safe_div(F.greatest(F.lit(0.0), b - f), f) * 100).alias("headroom_pct"),
                     F.when(F.col("next_target").isNotNull(), F.least(safe_div(b - f, F.col("next_target") - f) * 100, F.lit(100.0))).otherwise(0.0).alias("progress_pct"),
-                    (b < f).alias("below_floor"))
+                    (b < f).alias("below_floor"), *keep)
 
 
 def decay(x: Column, steepness: float = 8.0) -> Column:
     return 1 - 1 / (1 + F.exp(-steepness * (x - 0.5)))
 
 
-def trailing_stop_level(equity: DataFrame, p: float = 0.15, warn: float = 0.08, initial: float = 10000.0) -> DataFrame:
-    """Stop at peak (1 - p), warning band, trigger that stays on once hit, proximity and size scale."""
+def _hit(p: float) -> Column:
+    return (F.col("balance") <= F.col("peak") * (1 - p)).cast("int")
+
+
+def trailing_stop_level(equity: DataFrame, p: float = 0.15, warn: float = 0.08, initial: float = 10000.0, keep: tuple = ()) -> DataFrame:
+    """Stop at peak (1 - p), warning band, trigger that stays on once hit (known where the frame has _trig), proximity and size scale. keep: further columns
+    of the rows."""
     d = _peak(equity, initial)
-    d = d.withColumns({"stop": F.col("peak") * (1 - p), "_hit": (F.col("balance") <= F.col("peak") * (1 - p)).cast("int")})
-    d = running(d, KEY, *by_position(d, ORDER, _chunk()), maxs={"_trig": "_hit"})
+    d = d.withColumns({"stop": F.col("peak") * (1 - p), "_hit": _hit(p)})
+    if "_trig" not in d.columns:
+        d = running(d, KEY, *by_position(d, ORDER, _chunk()), maxs={"_trig": "_hit"})
     b = F.col("balance")
     prox = clamp(1 - (b - F.col("stop")) / (F.col("peak") - F.col("stop")), 0.0, 1.0)
     d = d.withColumns({"triggered": F.col("_trig") == 1, "proximity": prox})
     d = d.withColumns({"trailing_scale": decay(F.greatest(F.lit(0.0), (F.col("proximity") - 0.5) * 2)), "warning": (b < F.col("peak") * (1 - warn)) & ~F.col("triggered")})
     return d.select("account", "ts", "trade_id", "balance", "peak", "stop", "triggered", "warning", "proximity", "trailing_scale",
-                    case((F.col("triggered"), "HALTED"), (F.col("warning"), "WARNING"), default="ACTIVE").alias("status"))
+                    case((F.col("triggered"), "HALTED"), (F.col("warning"), "WARNING"), default="ACTIVE").alias("status"), *keep)
 
 
 def ratchet_floor(equity: DataFrame, step: float = 0.30, lock: float = 0.60, initial: float = 10000.0) -> DataFrame:
@@ -144,12 +153,15 @@ def edge_monitor(trades: DataFrame, n: int = 30, min_wr: float = 0.45, min_sr: f
     """Rolling win rate, Sharpe, profit factor and loss streak -> triggers -> status and size scale.
     trades: key, exit_ts, trade_id, net_pnl_pct."""
     t = trades.select(key, "exit_ts", "trade_id", "net_pnl_pct")
-    b = blocked(t, [key], ["exit_ts", "trade_id"], time_chunk("exit_ts", BAR_CHUNK), before=n)
-    f, p = b.frame(n), F.col("net_pnl_pct")
-    d = b.add(cnt=F.count(F.lit(1)).over(f), wr=F.avg(flag(p > 0)).over(f), m=F.avg(p / 100).over(f), sd=F.stddev_samp(p / 100).over(f),
-              gw=F.coalesce(F.sum(F.when(p > 0, p)).over(f), F.lit(0.0)), gl=F.coalesce(F.sum(F.when(p < 0, -p)).over(f), F.lit(0.0)),
-              win=F.when(p > 0, F.col("_i"))).done(drop_index=False)
-    d = running(d, [key], ["_i"], F.floor(F.col("_i") / b.rows).cast("long"), maxs={"lw": "win"}).where("cnt >= 5")
+
+    def rolled(b: Blocks) -> DataFrame:
+        f, p = b.frame(n), F.col("net_pnl_pct")
+        d = b.add(cnt=F.count(F.lit(1)).over(f), wr=F.avg(flag(p > 0)).over(f), m=F.avg(p / 100).over(f), sd=F.stddev_samp(p / 100).over(f),
+                  gw=F.coalesce(F.sum(F.when(p > 0, p)).over(f), F.lit(0.0)), gl=F.coalesce(F.sum(F.when(p < 0, -p)).over(f), F.lit(0.0)),
+                  win=F.when(p > 0, F.col("_i")))
+        return d.past(lw="win").done(drop_index=False).select(key, "exit_ts", "trade_id", "_i", "cnt", "wr", "m", "sd", "gw", "gl", "lw")
+
+    d = by_series(t, [key], ["exit_ts", "trade_id"], time_chunk("exit_ts", BAR_CHUNK), n, rolled).where("cnt >= 5")
     sr = F.when((F.col("cnt") > 5) & (F.col("sd") > 1e-12), (F.col("m") - RF_DAILY) / F.col("sd") * math.sqrt(ANN)).otherwise(0.0)
     d = d.withColumns({"rolling_sharpe": sr, "profit_factor": safe_div("gw", "gl", 9.99), "loss_streak": F.col("_i") - F.coalesce("lw", F.lit(-1))})
     trig = [("WIN_RATE", F.col("wr") < min_wr), ("SHARPE", F.col("rolling_sharpe") < min_sr), ("PROFIT_FACTOR", F.col("profit_factor") < min_pf), ("LOSS_STREAK", F.col("loss_streak") >= max_losses)]
@@ -162,16 +174,28 @@ def edge_monitor(trades: DataFrame, n: int = 30, min_wr: float = 0.45, min_sr: f
 
 def combined_risk_scale(equity: DataFrame, trades: DataFrame, initial: float = 10000.0, target: float = 0.12, trail: float = 0.15) -> DataFrame:
     """Product of the volatility, floor, trailing, velocity and moving-average scales with the edge scale; mode and halt reason."""
-    m = milestone_floor(equity, initial).select("account", "ts", "trade_id", "balance", "peak", "floor", "below_floor")
-    t = trailing_stop_level(equity, trail, initial=initial).select("account", "trade_id", "trailing_scale", "triggered")
-    b = _velocity(_vol(_blocks(equity, 21)), 10, 5.0)
-    v = b.add(gate=F.when(F.col("_i") >= 20, flag(F.col("balance") >= F.avg("balance").over(b.frame(20)))).otherwise(1.0)).done().select("account", "trade_id", "vol_ann", "velocity_scale", "gate")
-    e = edge_monitor(trades).select("account", "trade_id", "edge_scale", "edge_status")
-    x = m.join(t, ["account", "trade_id"]).join(v, ["account", "trade_id"]).join(e, ["account", "trade_id"], "left").fillna({"edge_scale": 1.0, "edge_status": "ACTIVE"})
+
+    def scales(b: Blocks) -> DataFrame:
+        b = _velocity(_vol(b), 10, 5.0)
+        b = b.add(gate=F.when(F.col("_i") >= 20, flag(F.col("balance") >= F.avg("balance").over(b.frame(20)))).otherwise(1.0)).past(_top="balance")
+        b = b.add(peak=F.greatest("_top", F.lit(initial))).add(_hit=_hit(trail)).past(_trig="_hit")
+        return b.done().select("account", "ts", "trade_id", "balance", "_top", "_trig", *of_v)
+
+    of_v = ("vol_ann", "velocity_scale", "gate")
+    d = by_series(equity, KEY, ORDER, _chunk(), 21, scales)
+    of_m = ("floor", "below_floor")
+    d = milestone_floor(d, initial, keep=("_top", "_trig", *of_v)).select("account", "ts", "trade_id", "balance", "_top", "_trig", *of_m, *of_v)
+    d = trailing_stop_level(d, trail, initial=initial, keep=(*of_m, *of_v))
     vs = F.when(F.col("vol_ann") < 1e-6, 1.2).otherwise(F.coalesce(clamp(target / F.col("vol_ann"), 0.1, 1.2), F.lit(1.0)))
     prox = clamp(1 - safe_div(F.col("balance") - F.col("floor"), F.col("peak") - F.col("floor")), 0.0, 1.0)
     fs = F.when(F.col("peak") <= F.col("floor"), 0.5).otherwise(decay(prox, 6.0))
-    x = x.withColumn("base", clamp(vs * fs * F.col("trailing_scale") * F.col("velocity_scale") * F.col("gate"), 0.0, 1.2))
+    d = d.dropna(subset=["account", "trade_id"]).select("account", "ts", "trade_id", "below_floor", fs.alias("fs"), "trailing_scale", "triggered", vs.alias("vs"), (F.col("velocity_scale") * F.col("gate")).alias("vg"))
+    one = Window.partitionBy("account", "trade_id")  # rows that share an id stand for each other in the stop and in the volatility scales
+    d = d.withColumns({"_t": F.collect_list(F.struct("trailing_scale", "triggered")).over(one), "_v": F.collect_list(F.struct("vs", "vg")).over(one)})
+    d = d.select("account", "ts", "trade_id", "below_floor", "fs", "_v", F.inline("_t")).select("account", "ts", "trade_id", "below_floor", "fs", "trailing_scale", "triggered", F.inline("_v"))
+    e = edge_monitor(trades).select("account", "trade_id", "edge_scale", "edge_status")
+    x = d.join(e, ["account", "trade_id"], "left").fillna({"edge_scale": 1.0, "edge_status": "ACTIVE"})
+    x = x.withColumn("base", clamp(F.col("vs") * F.col("fs") * F.col("trailing_scale") * F.col("vg"), 0.0, 1.2))
     x = x.withColumn("final_scale", clamp(F.col("base") * F.col("edge_scale"), 0.0, 1.2))
     s = F.col("base")
     return x.select("account", "ts", "trade_id", "final_scale", case((s == 0, "HALTED"), (s < 0.25, "DEFENSIVE"), (s < 0.6, "REDUCED"), (s < 0.9, "STANDARD"), default="FULL").alias("mode"),

@@ -157,3 +157,41 @@ def test_walk_forward_windows_and_scaled_falls_by_a_plain_walk(spark):
     got = risk.vol_scaled_walk_forward(spark.createDataFrame(p))
     assert got.first()["mdd_reduced"] == reduced and reduced > 0
     assert "scaled" not in got._jdf.queryExecution().optimizedPlan().toString().replace("oos_scaled", "").replace("mdd_scaled", "")
+
+
+@pytest.mark.parametrize("name", ["combined_risk_scale"])
+def test_account_queries_do_not_store_whole_trades(spark, monkeypatch, name):
+    from marketloom.catalog import QUERIES
+    from marketloom.sources import _STORED, Tables
+
+    folder = FOLDER + {"combined_risk_scale": "/././."}[name]  # a name of its own
+    monkeypatch.setattr(Tables, "trades", lambda self: pytest.fail("the whole trades view is written for a few columns"))
+    before = set(_STORED)
+    assert QUERIES[name](spark, folder).count() > 0
+    assert {k[2] for k in set(_STORED) - before} <= {"results", "equity"}
+
+
+def test_combined_risk_scale_of_long_series_and_repeated_ids(spark, monkeypatch):
+    """Blocks of few rows give what plain windows give; equity is shuffled by account once; an id that comes twice stands for itself in each part."""
+    from marketloom import plans
+    from marketloom.operators import equity as ops
+
+    rng = np.random.default_rng(4)
+    n = 700
+    ts = pd.Timestamp("2020-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 900 * 86400, n)), "s")
+    p = pd.DataFrame({"account": rng.choice(["a", "b"], n, p=[0.9, 0.1]), "ts": ts, "trade_id": np.arange(n), "pct": rng.normal(0.02, 1, n)})
+    p["balance"] = 10000 * (1 + p["pct"] / 100).groupby(p["account"]).cumprod()
+    trades = spark.createDataFrame(p.rename(columns={"ts": "exit_ts", "pct": "net_pnl_pct"}))
+    whole = ops.combined_risk_scale(spark.createDataFrame(p[["account", "ts", "trade_id", "balance"]]), trades, trail=0.05)
+    got = whole.toPandas().sort_values("trade_id").reset_index(drop=True)
+    assert len(got) == n and got["mode"].nunique() > 2 and got["halt_reason"].nunique() > 2
+    monkeypatch.setattr(plans, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(plans, "BLOCK_ROWS", 64)
+    equity = spark.createDataFrame(p[["account", "ts", "trade_id", "balance"]])
+    indexed = plans.indexed(equity, ["account"], ["ts", "trade_id"], plans.time_chunk("ts", plans.BAR_CHUNK))
+    for e in (equity, indexed):
+        cut = ops.combined_risk_scale(e, trades, trail=0.05).toPandas().sort_values("trade_id").reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, cut, check_dtype=False, rtol=1e-9, atol=1e-12)
+    twice = equity.unionByName(equity.where("trade_id = 5"))
+    assert ops.combined_risk_scale(twice, trades, trail=0.05).where("trade_id = 5").count() == 8
+    assert ops.combined_risk_scale(twice, trades, trail=0.05).where("trade_id <> 5").count() == n - 1
