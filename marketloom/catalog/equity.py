@@ -65,4 +65,4 @@ query("combined_risk_scale", sql("equity", f"SELECT account, ts, trade_id, {r6('
     lambda t: k.combined_risk_scale(t.equity(), t.results(), trail=0.031))
 query("reserve_split", sql("trades", f"SELECT account, ts, trade_id, {r6('tradeable_capital=cap;locked_reserve=lr;total_balance=cap+lr;total_profit=tp')} FROM (SELECT *, s+greatest(0,max(9990-s) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS cap FROM (SELECT account, ts, trade_id, 10000+sum(CASE WHEN p>0 THEN p*(1-0.1471) ELSE p END) OVER w AS s, sum(CASE WHEN p>0 THEN p*0.1471 ELSE 0 END) OVER w AS lr, "
       f"sum(greatest(p,0)) OVER w AS tp FROM (SELECT account, exit_ts AS ts, trade_id, net_pnl_usd*0.0517131::DOUBLE AS p FROM trades) WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)))"))(
-    lambda t: k.reserve_split(t.trades().select("account", F.col("exit_ts").alias("ts"), "trade_id", (F.col("net_pnl_usd") * 0.0517131).alias("pnl")), rate=0.1471, min_balance=9990.0))
+    lambda t: k.reserve_split(t.results().select("account", F.col("exit_ts").alias("ts"), "trade_id", (F.col("net_pnl_usd") * 0.0517131).alias("pnl")), rate=0.1471, min_balance=9990.0))

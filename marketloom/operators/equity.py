@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ANN, RF_DAILY, case, clamp, flag, is_true, safe_div
-from ..plans import BAR_CHUNK, Blocks, blocked, by_position, by_series, indexed, running, time_chunk
+from ..plans import BAR_CHUNK, Blocks, blocked, by_position, by_series, indexed, positioned, running, time_chunk
 
 KEY, ORDER = ["account"], ["ts", "trade_id"]
 
@@ -204,12 +204,11 @@ def combined_risk_scale(equity: DataFrame, trades: DataFrame, initial: float = 1
 
 def reserve_split(trades: DataFrame, rate: float = 0.15, initial: float = 10000.0, min_balance: float = 5000.0) -> DataFrame:
     """Share of every win moves to a locked reserve; losses never push trading capital below its minimum.
-    max(min, previous + x) unrolls to S + max(0, max over the past of (min - S)) with S the free running sum, so two scans suffice.
+    max(min, previous + x) unrolls to S + max(0, min - least S so far) with S the free running sum, so one pass of running sums and of their minimum suffices.
     trades: account, ts, trade_id, pnl."""
     x = F.col("pnl")
-    t = trades.withColumns({"_x": F.when(x > 0, x * (1 - rate)).otherwise(x), "_r": F.when(x > 0, x * rate).otherwise(0.0), "_p": F.when(x > 0, x).otherwise(0.0)})
-    d = running(t, KEY, *by_position(t, ORDER, _chunk()), sums={"_sx": "_x", "locked_reserve": "_r", "total_profit": "_p"})
-    d = d.withColumns({"_s": initial + F.col("_sx"), "_gap": min_balance - initial - F.col("_sx")})
-    d = running(d, KEY, *by_position(d, ORDER, _chunk()), maxs={"_g": "_gap"})
-    cap = F.col("_s") + F.greatest(F.lit(0.0), F.col("_g"))
+    t = trades.select("account", "ts", "trade_id", "pnl")
+    d = positioned(t, KEY, ORDER, _chunk(), {"_sx": F.when(x > 0, x * (1 - rate)).otherwise(x), "locked_reserve": F.when(x > 0, x * rate).otherwise(0.0), "total_profit": F.when(x > 0, x).otherwise(0.0)},
+                   {"_low": "_sx"})
+    cap = initial + F.col("_sx") + F.greatest(F.lit(0.0), min_balance - initial - F.col("_low"))
     return d.select("account", "ts", "trade_id", cap.alias("tradeable_capital"), "locked_reserve", (cap + F.col("locked_reserve")).alias("total_balance"), "total_profit")

@@ -159,12 +159,31 @@ def test_walk_forward_windows_and_scaled_falls_by_a_plain_walk(spark):
     assert "scaled" not in got._jdf.queryExecution().optimizedPlan().toString().replace("oos_scaled", "").replace("mdd_scaled", "")
 
 
-@pytest.mark.parametrize("name", ["combined_risk_scale"])
+@pytest.mark.parametrize("most", [40, 1_000_000])
+def test_reserve_split_by_a_plain_walk(spark, monkeypatch, most):
+    """Trades of a long and a short account, whole and cut into chunks of few rows; capital never falls below its minimum by a loss."""
+    from marketloom import plans
+    from marketloom.operators import equity as ops
+
+    monkeypatch.setattr(plans, "SPLIT_ROWS", most)
+    rng = np.random.default_rng(8)
+    p = pd.DataFrame({"account": rng.choice(["a", "b"], 500, p=[0.95, 0.05]), "ts": pd.Timestamp("2019-01-01") + pd.to_timedelta(rng.integers(0, 2000 * 86400, 500), "s"), "trade_id": np.arange(500), "pnl": rng.normal(-20, 300, 500)})
+    df = ops.reserve_split(spark.createDataFrame(p), 0.2, 10000.0, 9900.0)
+    got = df.toPandas().set_index("trade_id")
+    assert len(got) == 500
+    for _, g in p.sort_values(["ts", "trade_id"]).groupby("account"):
+        cap, kept = 10000.0, 0.0
+        for r in g.itertuples():
+            cap, kept = max(9900.0, cap + (r.pnl * 0.8 if r.pnl > 0 else r.pnl)), kept + max(r.pnl, 0) * 0.2
+            assert np.allclose(got.loc[r.trade_id, ["tradeable_capital", "locked_reserve", "total_balance"]].astype(float), [cap, kept, cap + kept])
+
+
+@pytest.mark.parametrize("name", ["reserve_split", "combined_risk_scale"])
 def test_account_queries_do_not_store_whole_trades(spark, monkeypatch, name):
     from marketloom.catalog import QUERIES
     from marketloom.sources import _STORED, Tables
 
-    folder = FOLDER + {"combined_risk_scale": "/././."}[name]  # a name of its own
+    folder = FOLDER + {"reserve_split": "/./.", "combined_risk_scale": "/././."}[name]  # a name of its own
     monkeypatch.setattr(Tables, "trades", lambda self: pytest.fail("the whole trades view is written for a few columns"))
     before = set(_STORED)
     assert QUERIES[name](spark, folder).count() > 0
