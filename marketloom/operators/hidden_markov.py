@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ANN
-from ..plans import BAR_CHUNK, indexed, narrow, ordered_array, quantiles, spread, time_chunk
+from ..plans import BAR_CHUNK, indexed, narrow, ordered_array, quantiles, spread, time_chunk, whole_blocks
 from ..session import work_dir
 
 LABELS = ["HIGH_VOL_BEARISH", "SIDEWAYS_CHOP", "LOW_VOL_BULLISH"]  # states by rising mean
@@ -23,19 +23,36 @@ EMPTY_MEAN, EMPTY_VAR, LEAST_VAR, CUTS = (-0.001, 0.0, 0.001), (1e-4, 5e-5, 1e-4
 HISTORY = 60  # states of the newest returns that are reported
 TINY = 1e-300
 BLOCK = 32_768  # returns of one series in a block
-TOGETHER = 1 << 17  # returns that a task works on at a time
+TOGETHER = 1 << 19  # returns that a task works on at a time
 RESULT = ("symbol string, current_regime string, confidence_pct double, prob_bearish double, prob_sideways double, prob_bullish double, persistence int, "
           "history array<string>, means array<double>, vols array<double>, transition array<double>")
 MODEL = "mu array<double>, var array<double>, trans array<double>, init array<double>"
 
 
+def _total(v: np.ndarray) -> np.ndarray:
+    """Sum over the states, which come before the series: whole rows are added, where a sum over a last axis of three would walk it number by number."""
+    s = np.add.reduce(v, axis=-2)
+    return np.maximum(s, TINY, out=s)
+
+
 def _norm(v: np.ndarray) -> np.ndarray:
     return v / np.clip(v.sum(-1, keepdims=True), TINY, None)
 
 
+def _last(*arrays: np.ndarray) -> list[np.ndarray]:
+    """Series last."""
+    return [np.ascontiguousarray(np.moveaxis(a, 0, -1)) for a in arrays]
+
+
 def densities(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """(time, series, state)"""
-    return np.clip(np.exp(-0.5 * (x[:, :, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var), TINY, None)
+    """(time, state, series); mu and var: (state, series)"""
+    d = x[:, None, :] - mu
+    np.square(d, out=d)
+    d *= -0.5
+    d /= var
+    np.exp(d, out=d)
+    d /= np.sqrt(2 * np.pi * var)
+    return np.maximum(d, TINY, out=d)
 
 
 def padded(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -48,34 +65,52 @@ def padded(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_matrix(dens: np.ndarray, on: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Per block the product D0 (A D1) (A D2) ..., scaled: it carries a state row vector from the block's first return past its last."""
-    m = np.eye(3) * dens[0][:, None, :]
+    """Per block the product D0 (A D1) (A D2) ..., scaled: it carries a state row vector from the block's first return past its last. trans: (series, state, state)."""
+    m = np.eye(3) * dens[0].T[:, None, :]
     for t in range(1, len(dens)):
-        new = np.einsum("sij,sjk->sik", m, trans) * dens[t][:, None, :]
+        new = np.einsum("sij,sjk->sik", m, trans) * dens[t].T[:, None, :]
         m = np.where(on[t][:, None, None], new / np.clip(new.max((1, 2), keepdims=True), TINY, None), m)
     return m / np.clip(m.max((1, 2), keepdims=True), TINY, None)
 
 
 def expectations(dens: np.ndarray, on: np.ndarray, trans: np.ndarray, enter: np.ndarray, leave: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """State probabilities of every return and the expected transitions summed over the block.
-
-    enter: state distribution before the first return is seen; leave: backward vector after the last; before: forward vector of the return in front of the
-    block (rows of zeros where there is none), so that the step into the block counts."""
-    top, live = len(dens), on[:, :, None]
-    fwd, bwd = np.empty_like(dens), np.empty_like(dens)
-    fwd[0] = _norm(enter * dens[0])
+    """State probabilities of every return (time, state, series) and the expected transitions summed over the block (state, state, series).
+
+    trans: (state, state, series); the others (state, series). enter: state distribution before the first return is seen; leave: backward vector after the last;
+    before: forward vector of the return in front of the block (zeros where there is none), so that the step into the block counts.
+    A step's transitions i -> j are fwd_i trans_ij q_j over their total, q being density times backward vector. The total is q times the predicted state, so
+    they are summed as nine products along time and no array of all pairs is built."""
+    top, full = len(dens), on.all(1)
+    fwd, pred, q = np.empty_like(dens), np.empty_like(dens), np.empty_like(dens)
+    pairs = np.empty_like(trans)
+    f = np.multiply(enter, dens[0], out=fwd[0])
+    f /= _total(f)
     for t in range(1, top):
-        fwd[t] = _norm((fwd[t - 1][:, :, None] * trans).sum(1) * dens[t])
-    bwd[-1] = leave
-    for t in range(top - 2, -1, -1):
-        bwd[t] = np.where(live[t + 1], _norm((trans * (dens[t + 1] * bwd[t + 1])[:, None, :]).sum(2)), leave)
-    post = _norm(fwd * bwd) * live
-    joint = fwd[:-1, :, :, None] * (dens[1:] * bwd[1:])[:, :, None, :] * trans
-    joint /= np.clip(joint.sum((2, 3), keepdims=True), TINY, None)
-    flow = (joint * live[1:, :, :, None]).sum(0)
+        np.multiply(f[:, None], trans, out=pairs)
+        p = np.add.reduce(pairs, axis=0, out=pred[t])
+        f = np.multiply(p, dens[t], out=fwd[t])
+        f /= _total(f)
+    post, back = np.empty_like(dens), np.ascontiguousarray(trans.swapaxes(0, 1))
+    b = leave
+    for t in range(top - 1, -1, -1):
+        y = np.multiply(dens[t], b, out=q[t])
+        np.multiply(fwd[t], b, out=post[t])
+        if t:
+            np.multiply(y[:, None], back, out=pairs)
+            b = np.add.reduce(pairs, axis=0)
+            b /= _total(b)
+            if not full[t]:
+                b = np.where(on[t], b, leave)
+    post /= _total(post)[:, None, :]
+    post *= on[:, None, :]
+    first = q[0].copy()
+    g, pred = q[1:], pred[1:]
+    pred *= g
+    g *= (on[1:] / _total(pred))[:, None, :]
+    flow = np.stack([np.stack([(fwd[:-1, i] * g[:, j]).sum(0) for j in range(3)]) for i in range(3)]) * trans
     if before is not None:
-        into = before[:, :, None] * (dens[0] * bwd[0])[:, None, :] * trans
-        flow = flow + into / np.clip(into.sum((1, 2), keepdims=True), TINY, None)
+        into = before[:, None, :] * first[None, :, :] * trans
+        flow = flow + into / np.clip(into.sum((0, 1)), TINY, None)
     return post, flow
 
 
@@ -107,31 +142,55 @@ def _stack(pdf: pd.DataFrame) -> tuple:
     return a("mu", 3), a("var", 3), a("trans", 3, 3), a("init", 3)
 
 
-def _fit_whole(iters: int):
-    """All steps of series that are one block each."""
+def _start(r: np.ndarray) -> tuple[list, list]:
+    """Means and variances of ``_starts`` for a series that is in one task."""
+    x, n = np.sort(r), len(r)
+    at = [(n - 1) * p for p in CUTS]
+    lo, hi = (x[int(k)] + (x[int(np.ceil(k))] - x[int(k)]) * (k - int(k)) for k in at)
+    parts = [r[r <= lo], r[(r > lo) & (r < hi)], r[r >= hi]]
+    return [v.mean() if len(v) else EMPTY_MEAN[k] for k, v in enumerate(parts)], [max(v.var(), LEAST_VAR) if len(v) else EMPTY_VAR[k] for k, v in enumerate(parts)]
+
+
+def _fit_whole(iters: int, stay: float):
+    """Start and all steps of series that are one block each."""
 
     def fit(frames):
         names = [f.split()[0] for f in RESULT.split(", ")]
         for pdf in (g for whole in frames if len(whole) for g in _groups(whole)):
             x, on = padded(pdf["r"].to_list())
-            mu, var, trans, init = _stack(pdf)
+            mu, var = _last(*(np.array(v) for v in zip(*(_start(np.asarray(r, float)) for r in pdf["r"]))))
+            trans, init = np.empty((3, 3, len(pdf))), np.full((3, len(pdf)), 1 / 3)
+            trans[:] = np.where(np.eye(3) > 0, stay, (1 - stay) / 2)[:, :, None]
             for _ in range(iters):
-                post, flow = expectations(densities(x, mu, var), on, trans, init, np.ones((len(pdf), 3)))
-                init, trans = post[0], _norm(flow)
-                mass = np.clip(post.sum(0), TINY, None)
-                mu = (post * x[:, :, None]).sum(0) / mass
-                var = np.clip((post * (x[:, :, None] - mu) ** 2).sum(0) / mass, LEAST_VAR, None)
+                post, flow = expectations(densities(x, mu, var), on, trans, init, np.ones((3, len(pdf))))
+                init, trans = post[0].copy(), flow / _total(flow)[:, None, :]
+                mass = np.maximum(post.sum(0), TINY)
+                mu = (post * x[:, None, :]).sum(0) / mass
+                d = x[:, None, :] - mu
+                np.square(d, out=d)
+                d *= post
+                var = np.maximum(d.sum(0) / mass, LEAST_VAR)
             size = on.sum(0)
-            yield pd.DataFrame([_report(s, mu[i], var[i], trans[i], post[max(0, size[i] - HISTORY):size[i], i]) for i, s in enumerate(pdf["symbol"])], columns=names)
+            yield pd.DataFrame([_report(s, mu[:, i], var[:, i], trans[:, :, i], post[max(0, size[i] - HISTORY):size[i], :, i]) for i, s in enumerate(pdf["symbol"])], columns=names)
 
     return fit
 
 
+def _fit_rows(fit):
+    """``_fit_whole`` over rows sorted by series and position."""
+
+    def run(frames):
+        for blocks in whole_blocks(frames, ["symbol"], TOGETHER):
+            yield from fit([pd.DataFrame({"symbol": [f["symbol"].iloc[0] for f in blocks], "r": [f["lr"].to_numpy() for f in blocks]})])
+
+    return run
+
+
 def _matrices(frames):
     for pdf in (g for whole in frames if len(whole) for g in _groups(whole)):
         x, on = padded(pdf["r"].to_list())
         mu, var, trans, _ = _stack(pdf)
-        yield pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "b": pdf["b"].to_numpy(), "m": list(block_matrix(densities(x, mu, var), on, trans).reshape(-1, 9))})
+        yield pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "b": pdf["b"].to_numpy(), "m": list(block_matrix(densities(x, *_last(mu, var)), on, trans).reshape(-1, 9))})
 
 
 def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,13 +212,13 @@ def _sums(frames):
     """Expected counts of each block, and what its end says about the newest states."""
     for pdf in (g for whole in frames if len(whole) for g in _groups(whole)):
         x, on = padded(pdf["r"].to_list())
-        mu, var, trans, _ = _stack(pdf)
-        vec = lambda c: np.stack(pdf[c].map(np.asarray).to_list())
+        mu, var, trans, _ = _last(*_stack(pdf))
+        vec = lambda c: _last(np.stack(pdf[c].map(np.asarray).to_list()))[0]
         post, flow = expectations(densities(x, mu, var), on, trans, vec("enter"), vec("leave"), vec("before"))
-        d = x[:, :, None] - mu  # deviations from the old mean, so that no digits are lost
+        d = x[:, None, :] - mu  # deviations from the old mean, so that no digits are lost
         size = on.sum(0)
-        yield pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "b": pdf["b"].to_numpy(), "w": list(post.sum(0)), "wd": list((post * d).sum(0)), "wdd": list((post * d * d).sum(0)),
-                            "flow": list(flow.reshape(-1, 9)), "first": list(post[0]), "tail": [post[max(0, k - HISTORY):k, i].ravel() for i, k in enumerate(size)]})
+        yield pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "b": pdf["b"].to_numpy(), "w": list(post.sum(0).T), "wd": list((post * d).sum(0).T), "wdd": list((post * d * d).sum(0).T),
+                            "flow": list(flow.reshape(9, -1).T), "first": list(post[0].T), "tail": [post[max(0, k - HISTORY):k, :, i].ravel() for i, k in enumerate(size)]})
 
 
 def _starts(r: DataFrame, stay: float) -> DataFrame:
@@ -174,7 +233,7 @@ def _starts(r: DataFrame, stay: float) -> DataFrame:
     return a.select("symbol", mu.alias("mu"), var.alias("var"), F.array(*map(F.lit, trans)).alias("trans"), F.array(*[F.lit(1 / 3)] * 3).alias("init"))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -195,7 +254,7 @@ def _fit_blocks(blocks: DataFrame, model: DataFrame, iters: int) -> DataFrame:
         row = lambda k: F.greatest(sum((F.col("flow")[3 * (k // 3) + j] for j in (1, 2)), F.col("flow")[3 * (k // 3)]), F.lit(TINY))
         model = x.select("symbol", F.array(*[F.col("old")[k] + shift[k] for k in range(3)]).alias("mu"), F.array(*[F.greatest(F.col("wdd")[k] / mass(k) - shift[k] * shift[k], F.lit(LEAST_VAR)) for k in range(3)]).alias("var"),
                          F.array(*[F.col("flow")[k] / row(k) for k in range(9)]).alias("trans"), "init", "tail")
-        model = _stored(model, "hmm-step")
+        model = stored(model, "hmm-step")
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def report(frames):
@@ -206,17 +265,20 @@ def _fit_blocks(blocks: DataFrame, model: DataFrame, iters: int) -> DataFrame:
     return model.mapInPandas(report, RESULT)
 
 
-def hmm_fit(r: DataFrame, iters: int = 80, block: int = BLOCK, least: int = 30, stay: float = 1 / 3) -> DataFrame:
+def hmm_fit(r: DataFrame, iters: int = 80, block: int = BLOCK, least: int = 30, stay: float = 1 / 3, whole: DataFrame | None = None) -> DataFrame:
     """One row per symbol with `least` returns or more (r: symbol, ts, r, no nulls): state now, its probabilities, how long it has held, the newest states, annualised
-    means and deviations and the transition matrix in order of the means. A series longer than `block` is never in one task as a whole."""
+    means and deviations and the transition matrix in order of the means. A series longer than `block` is never in one task as a whole.
+    whole: returns (symbol, _i, lr) of further series, each of `least` to `block` rows, whose rows are together already, so that they are not sent again."""
     r = indexed(narrow(r, "symbol", "ts", F.col("r").alias("lr")), ["symbol"], ["ts"], time_chunk("ts", BAR_CHUNK)).where(F.col("_n") >= least)
     last = F.greatest(F.lit(0), F.floor((F.col("_n") - HISTORY) / block))  # the last block holds the whole history
     b = F.when(F.col("_n") <= block, 0).otherwise(F.least(F.floor(F.col("_i") / block), last)).cast("long")
-    r = _stored(r.select("symbol", "_i", "lr", b.alias("b"), (F.col("_n") > block).alias("long")), "hmm-returns")
-    model = _stored(_starts(r, stay), "hmm-start")
-    blocks = r.groupBy("symbol", "long", "b").agg(F.transform(ordered_array(["lr"]), lambda x: x["lr"]).alias("r"))
-    out = spread(blocks.where("not long").join(model, "symbol"), "symbol").mapInPandas(_fit_whole(iters), RESULT)
+    r = stored(r.select("symbol", "_i", "lr", b.alias("b"), (F.col("_n") > block).alias("long")), "hmm-returns")
+    laid = lambda rows: rows.groupBy("symbol", "b").agg(F.transform(ordered_array(["lr"]), lambda x: x["lr"]).alias("r"))
+    out = laid(spread(r.where("not long"), "symbol")).mapInPandas(_fit_whole(iters, stay), RESULT)  # rows are sent once, to the task of their series
+    if whole is not None:
+        out = out.union(whole.sortWithinPartitions("symbol", "_i").mapInPandas(_fit_rows(_fit_whole(iters, stay)), RESULT))
     if r.where("long").isEmpty():
         return out
-    long = _stored(spread(blocks.where("long"), "symbol", "b").select("symbol", "b", "r"), "hmm-blocks")
-    return out.union(_fit_blocks(long, model.join(long.select("symbol").distinct(), "symbol", "left_semi"), iters))
+    model = stored(_starts(r.where("long"), stay), "hmm-start")
+    long = stored(laid(spread(r.where("long"), "symbol", "b")), "hmm-blocks")
+    return out.union(_fit_blocks(long, model, iters))

@@ -117,3 +117,25 @@ def test_arrival_model_over_blocks(spark):
 def test_memory_refuses_endless_filters():
     with pytest.raises(ValueError):
         models.trend_memory(1.0, 1e-30)
+
+
+def test_expected_transitions_by_all_pairs():
+    """Sums over time of the nine products equal the sums of the whole array of pairs, with series of unequal length."""
+    rng = np.random.default_rng(2)
+    size, k = np.array([9, 5, 1]), 3
+    on = np.arange(9)[:, None] < size
+    dens, trans = rng.uniform(0.1, 2, (9, 3, k)), rng.uniform(0.1, 1, (3, 3, k))
+    trans /= trans.sum(1, keepdims=True)
+    post, flow = hidden_markov.expectations(dens.copy(), on, trans, np.full((3, k), 1 / 3), np.ones((3, k)))
+    for s, n in enumerate(size):
+        a, b, t = np.zeros((n, 3)), np.ones((n, 3)), trans[:, :, s]
+        a[0] = dens[0, :, s] / 3
+        for i in range(1, n):
+            a[i] = a[i - 1] @ t * dens[i, :, s]
+        for i in range(n - 2, -1, -1):
+            b[i] = t @ (dens[i + 1, :, s] * b[i + 1])
+        like = a[-1].sum()
+        np.testing.assert_allclose(post[:n, :, s], a * b / like, rtol=1e-12)
+        pairs = sum((a[i][:, None] * t * (dens[i + 1, :, s] * b[i + 1]) / like for i in range(n - 1)), np.zeros((3, 3)))
+        np.testing.assert_allclose(flow[:, :, s], pairs, rtol=1e-12)
+        assert not post[n:, :, s].any()
