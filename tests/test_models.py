@@ -119,6 +119,29 @@ def test_memory_refuses_endless_filters():
         models.trend_memory(1.0, 1e-30)
 
 
+def test_short_series_are_sent_once(spark, walks, monkeypatch):
+    """Models over bars with positions: series that a block holds and longer ones give the same rows; the vote works the trend filter out once."""
+    from marketloom import plans
+
+    _, _, bars = walks
+    stored = plans.indexed(bars, ["symbol"], ["ts"], plans.time_chunk("ts", plans.BAR_CHUNK)).cache()
+    seen, trend = [], models.kalman_trend
+    monkeypatch.setattr(models, "kalman_trend", lambda b, *a: seen.append(b) or trend(b, *a))
+    monkeypatch.setattr(models, "hmm_regime", lambda b, f=models.hmm_regime: f(b, 1))
+    models.model_vote_signal(stored)
+    monkeypatch.undo()
+    assert len(seen) == 1
+    whole = [f(stored).orderBy("symbol").toPandas() for f in (lambda b: models.hmm_regime(b, 5), models.bayes_regime, features.liquidity_regime)]
+    monkeypatch.setattr(plans, "BLOCK_ROWS", 1000)
+    monkeypatch.setattr(models, "BLOCK_ROWS", 1000)
+    cut = [f(stored).orderBy("symbol").toPandas() for f in (lambda b: models.hmm_regime(b, 5), models.bayes_regime, features.liquidity_regime)]
+    for a, b in zip(whole, cut):
+        assert len(a) == len(b) == 2
+        for c in a.columns:
+            for x, y in zip(a[c], b[c]):
+                np.testing.assert_allclose(x, y, rtol=1e-7, atol=1e-9) if isinstance(x, float) or c in ("means", "vols", "transition") else np.testing.assert_array_equal(x, y)
+
+
 def test_expected_transitions_by_all_pairs():
     """Sums over time of the nine products equal the sums of the whole array of pairs, with series of unequal length."""
     rng = np.random.default_rng(2)
